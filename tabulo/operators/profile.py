@@ -53,15 +53,20 @@ def catalog(df: DataFrame, cols=None) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, cols=None) -> DataFrame:
-    """(ordinal, mean, std, min, max, is_integral) for numeric columns, one pass."""
+    """(ordinal, mean, std, min, max, is_integral) for numeric, boolean and
+    temporal (epoch seconds) columns, one pass."""
     cols = profilable(df, cols)
-    num = [(i, c) for i, c in enumerate(cols) if type_family(df.schema[c].dataType) == "numeric"]
+    num = [(i, c) for i, c in enumerate(cols) if type_family(df.schema[c].dataType) != "string"]
     schema = "ordinal int, mean double, std double, min double, max double, is_integral boolean"
     if not num:
         return df.sparkSession.createDataFrame([], schema)
     aggs = []
     for i, c in num:
-        v = F.col(f"`{c}`").cast("double")
+        if type_family(df.schema[c].dataType) == "temporal":
+            # epoch seconds: the coefficient of variation does not depend on the unit
+            v = F.unix_micros(F.col(f"`{c}`").cast("timestamp")) / F.lit(1e6)
+        else:
+            v = F.col(f"`{c}`").cast("double")
         v = F.when(F.isnan(v), F.lit(None)).otherwise(v)
         aggs += [
             F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
