@@ -105,13 +105,17 @@ def two_way_auto(df: DataFrame, col: str, prof_rows, top_n: int = 10) -> DataFra
 
 
 # ---------------------------------------------------------------- A05 - A07
-def mean_by_category(df: DataFrame, cat: str, measure: str) -> DataFrame:
+def _mean_aggs(measure: str, decimals: int | None):
+    """avg as double, or -- for money -- an exact DECIMAL sum divided once."""
+    if decimals is None:
+        return [F.avg(_num(measure)).alias("mean"), F.count(_num(measure)).alias("n")]
+    v = _q(measure).cast(f"decimal(38,{decimals})")
+    return [(F.sum(v).cast("double") / F.count(v)).alias("mean"), F.count(v).alias("n")]
+
+
+def mean_by_category(df: DataFrame, cat: str, measure: str, decimals: int | None = None) -> DataFrame:
     """Mean (and count) of a measure per category, sorted desc."""
-    g = (
-        df.filter(_q(cat).isNotNull())
-        .groupBy(_q(cat).alias(cat))
-        .agg(F.avg(_num(measure)).alias("mean"), F.count(_num(measure)).alias("n"))
-    )
+    g = df.filter(_q(cat).isNotNull()).groupBy(_q(cat).alias(cat)).agg(*_mean_aggs(measure, decimals))
     return g.orderBy(F.desc_nulls_last("mean"), F.asc(cat))
 
 
@@ -123,16 +127,17 @@ def mean_from_partials(df: DataFrame, cat: str, sum_col: str, cnt_col: str) -> D
     return g.select(cat, (F.col("_s") / F.col("n")).alias("mean"), "n").orderBy(F.desc_nulls_last("mean"), F.asc(cat))
 
 
-def mean_by_two(df: DataFrame, cat: str, measure: str, second: str | None = None, prof_rows=None) -> DataFrame:
+def mean_by_two(df: DataFrame, cat: str, measure: str, second: str | None = None, prof_rows=None,
+                decimals: int | None = None) -> DataFrame:
     """Mean by two categories; 2nd one chosen as first other category with 2-7 labels."""
     if second is None and prof_rows is not None:
         second = second_dimension(prof_rows, cat, 2, 7)
     if second is None:
-        return mean_by_category(df, cat, measure).withColumn("second", F.lit(None).cast("string"))
+        return mean_by_category(df, cat, measure, decimals).withColumn("second", F.lit(None).cast("string"))
     return (
         df.filter(_q(cat).isNotNull() & _q(second).isNotNull())
         .groupBy(_q(cat).alias(cat), _q(second).cast("string").alias("second"))
-        .agg(F.avg(_num(measure)).alias("mean"), F.count(_num(measure)).alias("n"))
+        .agg(*_mean_aggs(measure, decimals))
     )
 
 

@@ -101,6 +101,9 @@ def question_confidence(questions: DataFrame, col_conf: DataFrame, qid: str = "q
     return g.select(
         "qid",
         F.round(overall, 2).alias("overall"),
+        overall.alias("overall_raw"),
+        F.coalesce("completeness_raw", F.lit(0.0)).alias("completeness_raw"),
+        F.coalesce("variability_raw", F.lit(0.0)).alias("variability_raw"),
         F.round(F.coalesce("completeness_raw", F.lit(0.0)), 2).alias("completeness"),
         F.round(F.coalesce("variability_raw", F.lit(0.0)), 2).alias("variability"),
         F.when(no_cols, F.lit("no column")).when(F.col("n_found") == 0, F.lit("columns not found"))
@@ -115,10 +118,12 @@ def question_confidence(questions: DataFrame, col_conf: DataFrame, qid: str = "q
 
 def table_confidence(col_conf: DataFrame) -> DataFrame:
     """Mean of the (rounded) column scores, bar and quality summary."""
-    g = col_conf.agg(F.avg("confidence").alias("s"), F.count(F.lit(1)).alias("n_columns"))
+    g = col_conf.agg(F.avg("confidence").alias("s"), F.avg("confidence_raw").alias("s_raw"),
+                     F.count(F.lit(1)).alias("n_columns"))
     s = F.coalesce(F.col("s"), F.lit(0.0))
     return g.select(
         F.round(s, 2).alias("global_confidence"), bar(s).alias("global_bar"),
+        F.col("s_raw").alias("global_confidence_raw"),
         F.when(s >= 0.85, F.lit("excellent")).when(s >= 0.70, F.lit("good")).otherwise(F.lit("medium")).alias(
             "quality_summary"),
         "n_columns",
