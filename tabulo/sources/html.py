@@ -172,7 +172,9 @@ def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 def table_stats(tables: DataFrame) -> DataFrame:
     """S13 per table: rows, columns, % missing cells (2 decimals), column
-    names (in order) and a dtype per column (int64 / float64 / object)."""
+    names (in order) and a pandas-style dtype per column: ``int64`` (all
+    integers, none missing), ``float64`` (numbers with gaps, or all empty),
+    else ``object``."""
     per_col = tables.groupBy("page_id", "table_no", "col_no", "column_name").agg(
         F.count("value").alias("_nn"),
         F.bool_and(F.when(F.col("value").isNotNull(), F.col("value").rlike(r"^\s*[+-]?\d+\s*$"))).alias("_int"),
@@ -180,16 +182,18 @@ def table_stats(tables: DataFrame) -> DataFrame:
             r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"))).alias("_num"),
     )
     dims = tables.groupBy("page_id", "table_no").agg(
-        F.count_distinct("row_no").alias("rows"), F.count_distinct("col_no").alias("columns"),
-        F.count(F.when(F.col("value").isNull(), F.lit(1))).alias("_empty_seen"))
-    dtype = F.when(F.col("_nn") == 0, F.lit("object")).when(F.col("_int"), F.lit("int64")) \
-        .when(F.col("_num"), F.lit("float64")).otherwise(F.lit("object"))
-    meta = per_col.groupBy("page_id", "table_no").agg(
+        F.count_distinct("row_no").alias("rows"), F.count_distinct("col_no").alias("columns"))
+    pc = per_col.join(dims, ["page_id", "table_no"])
+    full = F.col("_nn") == F.col("rows")
+    dtype = (F.when(F.col("_nn") == 0, F.lit("float64"))
+             .when(F.col("_int") & full, F.lit("int64"))
+             .when(F.col("_num"), F.lit("float64"))
+             .otherwise(F.lit("object")))
+    meta = pc.groupBy("page_id", "table_no", "rows", "columns").agg(
         F.array_sort(F.collect_list(F.struct("col_no", "column_name", dtype.alias("dtype")))).alias("_m"),
         F.sum("_nn").alias("_nonnull"))
-    j = dims.join(meta, ["page_id", "table_no"])
     cells = F.col("rows") * F.col("columns")
-    return j.select(
+    return meta.select(
         "page_id", "table_no", "rows", "columns",
         F.round(100.0 * (cells - F.col("_nonnull")) / F.greatest(cells, F.lit(1)), 2).alias("missing_pct"),
         F.transform("_m", lambda x: x["column_name"]).alias("column_names"),
