@@ -15,6 +15,7 @@ from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
 from ..functions.names import snake_case  # noqa: F401  (re-exported for callers)
+from ..session import spread
 
 AUTO_ACCEPT = 0.7  # C17 thresholds
 FIX_ALL = 0.5
@@ -91,7 +92,7 @@ def clean_table(df: DataFrame, prof_rows, rename: bool = True, mode: str = "full
     ``types`` overrides the profile's ``data_type`` per column (C17/C18).
     Day/month/year columns are merged into ``date`` (originals kept), and the
     ``etat``/``note`` shift is repaired first (C15, clean-time rule)."""
-    df = realign(df, "etat", "note", "^[A-Za-z]")
+    df = realign(spread(df), "etat", "note", "^[A-Za-z]")
     prof = {r["column"]: r for r in prof_rows}
     types = types or {}
     names = rename_map(prof_rows) if rename else {}

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType, ArrayType, MapType, BinaryType
 
+from ..session import spread
+
 
 def value_text(df: DataFrame, col: str) -> Column:
     """Text rendering used by the frequency table (NaN is NULL)."""
@@ -40,7 +42,7 @@ def freq(df: DataFrame, cols=None) -> DataFrame:
         ])
     ).alias("cell")
     return (
-        df.select(cells)
+        spread(df).select(cells)
         .select("cell.*")
         .groupBy("ordinal", "column", "value")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -95,12 +95,15 @@ def column_counts(ft: DataFrame) -> DataFrame:
 
 
 def top_values(ft: DataFrame, k: int = N_SAMPLES) -> DataFrame:
-    """k most frequent non-null values per column, ties by value (deterministic)."""
-    w = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("value"))
+    """k most frequent non-null values per column, ties by value (deterministic).
+
+    NULL is ranked last inside the window instead of being filtered first,
+    so this branch shares the frequency-table exchange with
+    ``column_counts`` (Spark reuses it; a pushed-down filter would not)."""
+    w = Window.partitionBy("ordinal").orderBy(F.col("value").isNull().asc(), F.desc("n"), F.asc("value"))
     return (
-        ft.filter(F.col("value").isNotNull())
-        .withColumn("rk", F.row_number().over(w))
-        .filter(F.col("rk") <= k)
+        ft.withColumn("rk", F.row_number().over(w))
+        .filter((F.col("rk") <= k) & F.col("value").isNotNull())
         .groupBy("ordinal")
         .agg(F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("_s"))
         .select("ordinal", F.transform("_s", lambda x: x["value"]).alias("samples"))

@@ -66,3 +66,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def spread(df):
+    """Round-robin rows over the cluster's cores before CPU-heavy row work
+    (regex cleaners, unpivot, HTML parsing) -- ONLY when the plan has fewer
+    partitions than cores (small or single-row-group inputs).  Large inputs
+    already have many partitions and are returned untouched, so this never
+    adds a shuffle at scale."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -145,7 +145,9 @@ def _cells_batches(it):
 
 def html_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """S11 (raw): long cells of every table of every page."""
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
+    from ..session import spread
+
+    src = spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")))
     return src.mapInPandas(_cells_batches, CELL_SCHEMA)
 
 
