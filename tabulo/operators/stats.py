@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .agg import _num, _q
@@ -41,28 +41,106 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 
 def quantiles(v, probs, exact: bool = True, accuracy: int = 100_000):
+    """Single-aggregate quantiles: Spark's exact ``percentile`` (memory grows
+    with the distinct values of a group) or ``percentile_approx``.  Prefer
+    ``exact_quantiles`` on large data."""
     if exact:
         return F.percentile(v, F.array(*[F.lit(p) for p in probs]))
     return F.percentile_approx(v, [float(p) for p in probs], accuracy)
 
 
-def boxplot_stats(df: DataFrame, col: str, whisker: float = 1.5, exact: bool = True) -> DataFrame:
+MAX_LOCAL_GROUPS = 10_000
+
+
+def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
+                    accuracy: int = 10_000, margin: float = 3.0) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) with
+    bounded memory, for groups of any size.
+
+    Pass 1, per group: ``count``, min, max and a Greenwald-Khanna sketch
+    (``percentile_approx``, rank error <= n/accuracy) read at ``p -+ margin/A``;
+    these bracket the rows of rank floor(h) and floor(h)+1, h = (n-1)p
+    (groups under 2A rows use [min, max]).
+    Pass 2: rows below a bracket are only counted, and only the rows inside a
+    bracket (about 2*margin*n/A per probability) are exploded and ranked to
+    pick the two exact neighbours.  No task holds a whole group, no row is
+    multiplied.  Brackets (one row per group) go through the driver when
+    there are at most 10,000 groups (then joined by broadcast), otherwise
+    they are checkpointed and joined as a table.  Returns (by, p, q)."""
+    probs = [float(p) for p in probs]
+    eps = margin / accuracy
+    qs = sorted({min(1.0, max(0.0, x)) for p in probs for x in (p - eps, p + eps)})
+    keys = [F.col(by)] if by else []
+    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
+        F.col("_v").isNotNull() & ~F.isnan("_v"))
+    sk = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", qs, accuracy).alias("_sk"),
+                                 F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    small = F.col("_n") < 2 * accuracy
+
+    def at(x, lower):
+        x = min(1.0, max(0.0, x))
+        edge = F.col("_mn") if lower else F.col("_mx")
+        if x <= 0.0 or x >= 1.0:
+            return F.col("_mn") if x <= 0.0 else F.col("_mx")
+        return F.when(small, edge).otherwise(F.col("_sk")[qs.index(x)])
+
+    br = sk.select(*keys, "_n", F.array(*[at(p - eps, True) for p in probs]).alias("_lo"),
+                   F.array(*[at(p + eps, False) for p in probs]).alias("_hi"))
+    spark = df.sparkSession
+    if by is None:
+        r = br.first()
+        if r is None:
+            return spark.createDataFrame([], "p double, q double")
+        lo = F.array(*[F.lit(x) for x in r["_lo"]])
+        hi = F.array(*[F.lit(x) for x in r["_hi"]])
+        j, key_cols, n_of = base.select("_v", lo.alias("_lo"), hi.alias("_hi")), [], F.lit(r["_n"])
+    else:
+        local = br.limit(MAX_LOCAL_GROUPS + 1).collect()
+        if len(local) <= MAX_LOCAL_GROUPS:
+            brd = F.broadcast(spark.createDataFrame(local, br.schema))  # <= 10,000 rows
+        else:
+            brd = br.checkpoint(eager=True)
+        j, key_cols, n_of = base.join(brd, by), [by], F.col("_n")
+    idx = F.sequence(F.lit(0), F.lit(len(probs) - 1))
+    below = j.groupBy(*key_cols).agg(
+        F.first(n_of).alias("_n"),
+        *[F.sum((F.col("_v") < F.col("_lo")[i]).cast("long")).alias(f"_b{i}") for i in range(len(probs))])
+    inside = j.select(*key_cols, "_v", F.explode(F.filter(idx, lambda i: (F.col("_v") >= F.col("_lo")[i])
+                                                          & (F.col("_v") <= F.col("_hi")[i]))).alias("_i"))
+    ranked = inside.withColumn("_k", F.row_number().over(Window.partitionBy(*key_cols, "_i").orderBy("_v")) - 1)
+    targets = below.select(*key_cols, "_n", F.posexplode(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.col(f"_b{i}").alias("below")) for i, p in enumerate(probs)])).alias("_i", "t"))
+    h = (F.col("_n") - 1) * F.col("t.p")
+    targets = targets.select(*key_cols, "_i", F.col("t.p").alias("p"), (h - F.floor(h)).alias("_fr"),
+                             (F.floor(h) - F.col("t.below")).cast("long").alias("_k0"),
+                             (F.least(F.floor(h) + 1, F.col("_n") - 1) - F.col("t.below")).cast("long").alias("_k1"))
+    # targets: one row per (group, p) -- bounded by groups x probabilities
+    pick = ranked.join(F.broadcast(targets) if by is None or len(local) <= MAX_LOCAL_GROUPS else targets,
+                       key_cols + ["_i"])
+    pick = pick.filter((F.col("_k") == F.col("_k0")) | (F.col("_k") == F.col("_k1")))
+    out = pick.groupBy(*key_cols, "p").agg(
+        F.max(F.when(F.col("_k") == F.col("_k0"), F.col("_v"))).alias("_a"),
+        F.max(F.when(F.col("_k") == F.col("_k1"), F.col("_v"))).alias("_b"),
+        F.first("_fr").alias("_fr"))
+    return out.select(*key_cols, "p", (F.col("_a") + F.col("_fr") * (F.col("_b") - F.col("_a"))).alias("q"))
+
+
+def boxplot_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
     """Q1, median, Q3, IQR fences, mean, sample std and outlier count.
 
-    Pass 1 is one global aggregate; pass 2 counts the rows outside the fences
-    (the 1-row stats are joined as scalars)."""
+    One global aggregate (moments), the exact quartiles (bounded memory,
+    ``exact_quantiles``) and one filtered count; only scalars reach the
+    driver."""
     v = _num(col)
-    st = df.agg(
-        quantiles(v, [0.25, 0.5, 0.75], exact).alias("q"),
-        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"),
-    ).first()
+    st = df.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"),
+                F.min(v).alias("min"), F.max(v).alias("max")).first()
     spark = df.sparkSession
     schema = ("q1 double, median double, q3 double, iqr double, lower_fence double, upper_fence double, "
               "mean double, std double, n long, min double, max double, n_outliers long")
     if not st["n"]:
         return spark.createDataFrame([], schema)
-    q1, med, q3 = st["q"]
+    qv = {r["p"]: r["q"] for r in exact_quantiles(df.select(v.alias("_x")), "_x", [0.25, 0.5, 0.75]).collect()}
+    q1, med, q3 = qv[0.25], qv[0.5], qv[0.75]
     iqr = q3 - q1
     lo, hi = q1 - whisker * iqr, q3 + whisker * iqr
     n_out = df.filter((v < F.lit(lo)) | (v > F.lit(hi))).count()
@@ -70,19 +148,20 @@ def boxplot_stats(df: DataFrame, col: str, whisker: float = 1.5, exact: bool = T
         [(q1, med, q3, iqr, lo, hi, st["mean"], st["std"], st["n"], st["min"], st["max"], n_out)], schema)
 
 
-def iqr_outliers(df: DataFrame, cols, threshold: float = 1.5, samples: int = 5, exact: bool = True) -> DataFrame:
+def iqr_outliers(df: DataFrame, cols, threshold: float = 1.5, samples: int = 5) -> DataFrame:
     """Per numeric column, IQR fences, the TRUE outlier count and the
     ``samples`` smallest outlying values (fixes the reference's cap-at-5 count).
 
-    Numerics are unpivoted, quartiles computed per column with one group-by,
-    the per-column fences (one row per column) broadcast back and the
-    outliers filtered and counted -- all distributed."""
+    Numerics are unpivoted, exact quartiles computed per column with bounded
+    memory, the per-column fences (one row per column) broadcast back and
+    the outliers filtered and counted -- all distributed."""
     cols = list(cols)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), _num(c).alias("v")) for c in cols])).alias("x")).select("x.*")
     long = long.filter(F.col("v").isNotNull())
-    fences = long.groupBy("column").agg(quantiles(F.col("v"), [0.25, 0.75], exact).alias("q")).select(
-        "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = exact_quantiles(long, "v", [0.25, 0.75], by="column")  # one row per (column, p)
+    fences = q.groupBy("column").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
+                                     F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
     fences = fences.withColumn("lower", F.col("q1") - threshold * (F.col("q3") - F.col("q1"))).withColumn(
         "upper", F.col("q3") + threshold * (F.col("q3") - F.col("q1")))
     out = long.join(F.broadcast(fences), "column").filter((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")))

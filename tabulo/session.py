@@ -68,14 +68,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+SMALL_INPUT_BYTES = 32 * 1024 * 1024  # per core
+
+
 def spread(df):
     """Round-robin rows over the cluster's cores before CPU-heavy row work
-    (regex cleaners, unpivot, HTML parsing) -- ONLY when the plan has fewer
-    partitions than cores (small or single-row-group inputs).  Large inputs
-    already have many partitions and are returned untouched, so this never
-    adds a shuffle at scale."""
+    (regex cleaners, unpivot, HTML parsing) -- ONLY for small inputs, where
+    a file with one row group would otherwise be read by one task.  The
+    decision uses Catalyst's size estimate of the optimized plan (no job is
+    run); inputs above ``cores x 32 MB`` are returned untouched, so this
+    never adds a shuffle at scale."""
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # estimate unavailable: leave the plan alone
+        return df
+    if size > cores * SMALL_INPUT_BYTES:
         return df
     return df.repartition(cores)
