@@ -61,10 +61,11 @@ def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
     (``percentile_approx``, rank error <= n/accuracy) read at ``p -+ margin/A``;
     these bracket the rows of rank floor(h) and floor(h)+1, h = (n-1)p
     (groups under 2A rows use [min, max]).
-    Pass 2: rows below a bracket are only counted, and only the rows inside a
-    bracket (about 2*margin*n/A per probability) are exploded and ranked to
-    pick the two exact neighbours.  No task holds a whole group, no row is
-    multiplied.  Brackets (one row per group) go through the driver when
+    Pass 2: rows below a bracket are only counted; rows inside a bracket
+    (about 2*margin*n/A per probability) are collapsed to (value, count)
+    map-side -- so a value repeated a billion times is one row -- and a
+    running count over the distinct values picks the two exact neighbours.
+    No task holds a whole group, no row is multiplied.  Brackets (one row per group) go through the driver when
     there are at most 10,000 groups (then joined by broadcast), otherwise
     they are checkpointed and joined as a table.  Returns (by, p, q)."""
     probs = [float(p) for p in probs]
@@ -107,7 +108,11 @@ def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
         *[F.sum((F.col("_v") < F.col("_lo")[i]).cast("long")).alias(f"_b{i}") for i in range(len(probs))])
     inside = j.select(*key_cols, "_v", F.explode(F.filter(idx, lambda i: (F.col("_v") >= F.col("_lo")[i])
                                                           & (F.col("_v") <= F.col("_hi")[i]))).alias("_i"))
-    ranked = inside.withColumn("_k", F.row_number().over(Window.partitionBy(*key_cols, "_i").orderBy("_v")) - 1)
+    # ties collapse map-side: one row per distinct in-bracket value and count
+    vc = inside.groupBy(*key_cols, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = F.sum("_c").over(Window.partitionBy(*key_cols, "_i").orderBy("_v")
+                           .rowsBetween(Window.unboundedPreceding, 0))
+    vc = vc.withColumn("_cum", cum)  # in-bracket position just past this value
     targets = below.select(*key_cols, "_n", F.posexplode(F.array(*[
         F.struct(F.lit(p).alias("p"), F.col(f"_b{i}").alias("below")) for i, p in enumerate(probs)])).alias("_i", "t"))
     h = (F.col("_n") - 1) * F.col("t.p")
@@ -115,12 +120,12 @@ def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
                              (F.floor(h) - F.col("t.below")).cast("long").alias("_k0"),
                              (F.least(F.floor(h) + 1, F.col("_n") - 1) - F.col("t.below")).cast("long").alias("_k1"))
     # targets: one row per (group, p) -- bounded by groups x probabilities
-    pick = ranked.join(F.broadcast(targets) if by is None or len(local) <= MAX_LOCAL_GROUPS else targets,
-                       key_cols + ["_i"])
-    pick = pick.filter((F.col("_k") == F.col("_k0")) | (F.col("_k") == F.col("_k1")))
+    pick = vc.join(F.broadcast(targets) if by is None or len(local) <= MAX_LOCAL_GROUPS else targets,
+                   key_cols + ["_i"])
+    # value at in-bracket position k = smallest value whose running count exceeds k
     out = pick.groupBy(*key_cols, "p").agg(
-        F.max(F.when(F.col("_k") == F.col("_k0"), F.col("_v"))).alias("_a"),
-        F.max(F.when(F.col("_k") == F.col("_k1"), F.col("_v"))).alias("_b"),
+        F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_v"))).alias("_a"),
+        F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_b"),
         F.first("_fr").alias("_fr"))
     return out.select(*key_cols, "p", (F.col("_a") + F.col("_fr") * (F.col("_b") - F.col("_a"))).alias("q"))
 

@@ -83,7 +83,8 @@ def spread(df):
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = size if isinstance(size, int) else int(size.toString())
     except Exception:  # estimate unavailable: leave the plan alone
         return df
     if size > cores * SMALL_INPUT_BYTES:

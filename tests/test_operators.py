@@ -208,3 +208,21 @@ def test_question_plan_generic(spark):
     keys = {(tuple(sorted(q["columns"])), q["chart"]) for q in qs}
     assert len(keys) == len(qs)
     assert all(c in df.columns for q in qs for c in q["columns"])
+
+
+def test_exact_quantiles_bracket_path(spark):
+    """Groups above 2*accuracy rows take the sketch-bracket path; compare to numpy."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    big = rng.integers(0, 500, 30_000).astype(float)      # heavy ties, above 2A with accuracy=1000
+    small = rng.normal(0, 1, 50)
+    rows = [("big", float(v)) for v in big] + [("small", float(v)) for v in small]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(r["g"], r["p"]): r["q"] for r in ST.exact_quantiles(df, "v", probs, by="g", accuracy=1000).collect()}
+    for g, arr in (("big", big), ("small", small)):
+        for p in probs:
+            assert math.isclose(got[(g, p)], float(np.quantile(arr, p)), rel_tol=1e-12, abs_tol=1e-12), (g, p)
+    one = {r["p"]: r["q"] for r in ST.exact_quantiles(df.filter("g = 'big'"), "v", [0.5], accuracy=1000).collect()}
+    assert one[0.5] == float(np.quantile(big, 0.5))
