@@ -48,10 +48,10 @@ def separator_expr(line) -> F.Column:
 def sniff_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, first_line, sep, encoding) for every file under ``path``.
 
-    The first split of each file supplies its first line; a U+FFFD in that
-    split means the bytes were not valid UTF-8 -> ISO-8859-1 (S03: latin-1
-    decodes anything, so the reference's later fallbacks are never reached
-    for encoding errors)."""
+    The first split of each file supplies its first line; a line of that
+    split that is not valid UTF-8 (``try_validate_utf8`` is NULL) makes the
+    file ISO-8859-1 (S03: latin-1 decodes anything, so the reference's later
+    fallbacks are never reached for encoding errors)."""
     lines = (spark.read.text(path)
              .select("value", F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("start"),
@@ -59,7 +59,7 @@ def sniff_files(spark: SparkSession, path: str) -> DataFrame:
              .filter(F.col("start") == 0))
     per_file = lines.groupBy("file").agg(
         F.min_by("value", "pos").alias("first_line"),
-        F.max(F.instr("value", "\ufffd") > 0).alias("bad_utf8"))
+        F.max(F.try_validate_utf8("value").isNull()).alias("bad_utf8"))
     return per_file.select(
         "file", "first_line", separator_expr(F.col("first_line")).alias("sep"),
         F.when(F.col("bad_utf8"), F.lit("ISO-8859-1")).otherwise(F.lit("UTF-8")).alias("encoding"))
