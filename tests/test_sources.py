@@ -77,3 +77,10 @@ def test_dimensions_and_low_cardinality(spark):
     assert Q.low_cardinality_numeric(prof, k=3) == ["id", "small", "big"]
     assert Q.low_cardinality_numeric(prof, used=["id"], k=1) == ["small"]
     assert Q.main_metric(df, ["small", "big"]) == "big"
+
+
+def test_dimensions_last_pattern_wins(spark):
+    df = spark.createDataFrame([(f"s{i % 3}", f"t{i % 2}", f"c{i % 4}") for i in range(40)],
+                               "segment string, type string, city string")
+    dims = Q.dimensions(profile(df).collect())
+    assert dims == {"segment": "type", "region": "city", "other": "segment"}
