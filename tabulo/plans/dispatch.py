@@ -3,7 +3,10 @@
 Each question becomes one aggregate DataFrame (A-operators), reshaped to a
 tidy frame ``(qid, chart, series, x, y, extra)`` and unioned: one result for
 all charts, keyed by question id (the reference pairs files by list index,
-F9).  The cleaned table is persisted once and every aggregate reads it.
+F9).  ``auto_analyze`` cuts the input's lineage once with ``checkpoint()``
+(written to the shared ``spark.checkpoint.dir``) so its ~15 aggregates read
+materialised data instead of recomputing the input plan, and a lost
+executor never forces the whole lineage to be replayed.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from ..operators import agg as A
 from ..operators import series as S
 from ..operators import stats as ST
 from ..functions.names import identifier_name
+from ..session import ensure_checkpoint_dir
 from . import questions as Q
 
 TIDY = "qid int, chart string, series string, x string, y double, extra string"
@@ -118,56 +122,68 @@ def answer_questions(df: DataFrame, questions, prof_rows, policy: str = "chart")
 
 
 def auto_analyze(df: DataFrame, prof_rows, max_charts: int = 15) -> DataFrame:
-    """Q06: the automatic dashboard on a cleaned table."""
+    """Q06: the automatic dashboard on a (cleaned) table, in the reference's
+    order: metric histogram, box plot, metric by segment and by region,
+    segment x region crosstab, a category distribution, a pie, correlations,
+    a scatter, a bubble cloud, a sunburst over the dimensions, a
+    segment -> region flow, then other metrics and categories up to 15."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    df = df.checkpoint(eager=True)
     k = kinds_of(prof_rows)
-    ident = {r["column"] for r in prof_rows if r["data_type"] == "id"}
-    business = [c for c in k["num"] if c not in ident and not _identifier_like(c, prof_rows)]
-    main = Q.main_metric(df, business or k["num"])
+    nun = {r["column"]: r["nunique"] for r in prof_rows}
+    num_cols = k["num"]
+    cat_cols = k["cat"]
+    business = [c for c in num_cols if not _identifier_like(c, prof_rows)]
+    main = Q.main_metric(df, business or num_cols)
     dims = Q.dimensions(prof_rows)
-    out, qid = [], 0
+    seg, reg, oth = dims["segment"], dims["region"], dims["other"]
+    out = []
 
-    def add(frame):
-        nonlocal qid
-        out.append(frame)
+    def add(chart_df):
+        out.append(chart_df)
+        return len(out)
 
     if main:
-        qid += 1; add(histogram_tidy(df, main, qid))
-        qid += 1; add(aggregate_for_question(df, dict(qid=qid, columns=[main], chart="box"), prof_rows))
-        for dim in (dims["segment"], dims["region"]):
+        add(histogram_tidy(df, main, len(out) + 1))
+        add(aggregate_for_question(df, dict(qid=len(out) + 1, columns=[main], chart="box"), prof_rows))
+        for dim in (seg, reg):
             if dim:
-                qid += 1
-                add(_tidy(A.mean_by_category(df, dim, main), qid, "bar", F.lit(main), dim, "mean", "n"))
-        if dims["segment"] and dims["region"]:
-            qid += 1
-            g = A.mean_by_two(df, dims["segment"], main, second=dims["region"])
-            add(_tidy(g, qid, "heatmap", "second", dims["segment"], "mean", "n"))
-    cats = [c for c in k["cat"] if c not in ident]
-    if cats:
-        qid += 1; add(_tidy(A.top_values(df, cats[0], 10), qid, "bar", F.lit(cats[0]), "value", "n"))
-    nun = {r["column"]: r["nunique"] for r in prof_rows}
-    pie = next((c for c in cats if 6 <= nun.get(c, 0) <= 11), None)
-    if pie:
-        qid += 1; add(_tidy(A.value_shares(df, pie, 8), qid, "pie", F.lit(pie), "value", "share"))
+                g = A.mean_by_two(df, dim, main, prof_rows=prof_rows)
+                add(_tidy(g, len(out) + 1, "bar", "second", dim, "mean", "n"))
+    if seg and reg:
+        add(_tidy(A.crosstab(df, seg, reg), len(out) + 1, "heatmap", "b", "a", "n"))
+    if cat_cols:
+        primary = next((c for c in cat_cols if nun.get(c, 0) < 15), cat_cols[0])
+        add(_tidy(A.two_way_auto(df, primary, prof_rows, 10), len(out) + 1, "bar", "b", "a", "n"))
+        pie = next((c for c in cat_cols if 5 < nun.get(c, 0) < 12), None)
+        if pie:
+            add(_tidy(A.value_shares(df, pie, 8), len(out) + 1, "pie", F.lit(pie), "value", "share"))
+    if len(num_cols) >= 2:
+        corr_cols = business if len(business) >= 2 else num_cols
+        add(_tidy(ST.correlation_matrix(df, corr_cols), len(out) + 1, "heatmap", "c1", "c2", "r"))
     if len(business) >= 2:
-        qid += 1; add(_tidy(ST.correlation_matrix(df, business), qid, "heatmap", "c1", "c2", "r"))
-        other = next(c for c in business if c != main) if main in business else business[1]
-        if main:
-            qid += 1
-            _, line = ST.linear_trend(df, main, other)
-            add(_tidy(line, qid, "scatter", F.lit(f"{main}~{other}"), "x", "y"))
-    if dims["segment"] and dims["region"]:
-        qid += 1
-        h = A.hierarchy_rollup(df, [dims["segment"], dims["region"]], main)
-        add(_tidy(h, qid, "sunburst", dims["segment"], dims["region"], "value", F.col("level").cast("string")))
-        qid += 1
-        f = A.flow_edges(df, dims["segment"], dims["region"], main)
-        add(_tidy(f, qid, "sankey", "source", "target", "value"))
-    for c in business:
-        if qid >= max_charts:
-            break
-        if c != main:
-            qid += 1; add(histogram_tidy(df, c, qid))
+        _, line = ST.linear_trend(df, business[0], business[1])
+        add(_tidy(line, len(out) + 1, "scatter", F.lit(f"{business[0]}~{business[1]}"), "x", "y"))
+    if len(num_cols) >= 2:
+        size = num_cols[2] if len(num_cols) > 2 else None
+        colour = cat_cols[0] if cat_cols else None
+        b = A.bubble_projection(df, num_cols[0], num_cols[1], size, colour)
+        add(_tidy(b, len(out) + 1, "bubble", "colour", "x", "y", F.col("size").cast("string")))
+    hierarchy = [d for d in (seg, reg, oth) if d][:3]
+    if len(cat_cols) >= 2 and len(hierarchy) >= 2:
+        h = A.hierarchy_rollup(df, hierarchy, main)
+        label = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in hierarchy])
+        add(_tidy(h, len(out) + 1, "sunburst", F.col("level").cast("string"), label, "value"))
+    if seg and reg:
+        f = A.flow_edges(df, seg, reg, main)
+        add(_tidy(f, len(out) + 1, "sankey", "source", "target", "value"))
+    for c in num_cols:
+        if c != main and len(out) < max_charts:
+            add(histogram_tidy(df, c, len(out) + 1))
+    for c in cat_cols:
+        if c not in (seg, reg, oth) and len(out) < max_charts and 3 < nun.get(c, 0) < 20:
+            add(_tidy(A.two_way_auto(df, c, prof_rows, 10), len(out) + 1, "bar", "b", "a", "n"))
     return reduce(DataFrame.unionByName, out) if out else _empty(spark)
 
 
