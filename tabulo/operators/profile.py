@@ -151,16 +151,76 @@ def _verified_type() -> F.Column:
     )
 
 
-def profile(df: DataFrame, cols=None, ft: DataFrame | None = None) -> DataFrame:
-    """One row per column: counts, samples, verified/guessed type, roles."""
+def near_unique_split(df: DataFrame, cols, ratio: float = 0.5, rsd: float = 0.02):
+    """One aggregate pass: per column non-null count, approximate distinct
+    count and the number/date shape hit counts.  Returns (stats_rows,
+    near_unique_columns) -- the stats are one row per column."""
+    from ..session import spread
+    from .freq import value_text
+
+    aggs = []
+    for i, c in enumerate(cols):
+        raw = F.col(f"`{c}`")
+        v = value_text(df, c)
+        aggs += [F.count(v).alias(f"nn{i}"), F.approx_count_distinct(raw, rsd).alias(f"nd{i}")]
+        if type_family(df.schema[c].dataType) == "string":  # shape ratios only matter for text
+            aggs += [F.count(F.when(raw.rlike(NUM_RE), 1)).alias(f"nh{i}"),
+                     F.count(F.when((F.length(raw) <= 10) & raw.rlike(DATE_SHAPE_RE), 1)).alias(f"dh{i}")]
+        else:
+            aggs += [F.lit(0).alias(f"nh{i}"), F.lit(0).alias(f"dh{i}")]
+    r = spread(df).agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
+    stats = {c: dict(n_rows=r["_rows"], non_null=r[f"nn{i}"], nunique=r[f"nd{i}"], num_hits=r[f"nh{i}"],
+                     date_hits=r[f"dh{i}"]) for i, c in enumerate(cols)}
+    near = [c for c in cols if stats[c]["non_null"] > 0 and stats[c]["nunique"] >= ratio * stats[c]["non_null"]]
+    return stats, near
+
+
+def profile(df: DataFrame, cols=None, ft: DataFrame | None = None, exact_distinct: bool = True,
+            near_unique_ratio: float = 0.5) -> DataFrame:
+    """One row per column: counts, samples, verified/guessed type, roles.
+
+    ``exact_distinct=False`` (for very large tables): near-unique columns
+    (approximate distinct >= ``near_unique_ratio`` x non-null) are kept out
+    of the frequency table, which would otherwise be as large as the data;
+    their distinct count is the HyperLogLog++ estimate (2% rsd, flagged by
+    ``nunique_exact = false``) and their samples are the 5 smallest values
+    (a bounded top-k).  Thresholds on the distinct ratio (0.95, 0.98,
+    0.995) are then decided on the estimate."""
     cols = profilable(df, cols)
-    ft = ft if ft is not None else freq(df, cols)
+    near, approx_rows = [], None
+    if not exact_distinct and ft is None:
+        stats, near = near_unique_split(df, cols, near_unique_ratio)
+        if near:
+            spark = df.sparkSession
+            ords = {c: i for i, c in enumerate(cols)}
+            samples = {}
+            for c in near:
+                from .freq import value_text
+                v = value_text(df, c)
+                samples[c] = [x[0] for x in df.select(v.alias("v")).filter(F.col("v").isNotNull())
+                              .orderBy("v").limit(N_SAMPLES).collect()]
+            approx_rows = spark.createDataFrame(
+                [(ords[c], stats[c]["n_rows"], stats[c]["non_null"], stats[c]["n_rows"] - stats[c]["non_null"],
+                  stats[c]["nunique"], stats[c]["num_hits"], stats[c]["date_hits"], samples[c]) for c in near],
+                "ordinal int, n_rows long, non_null long, nulls long, nunique long, num_hits long, "
+                "date_hits long, samples array<string>")
+    exact_cols = [c for c in cols if c not in near]
     cat = catalog(df, cols)
+    parts = None
+    if exact_cols:
+        ft = ft if ft is not None else freq(df, exact_cols)
+        if exact_cols != cols:  # re-number the frequency table's ordinals to the full schema
+            remap = F.create_map(*[x for i, c in enumerate(exact_cols) for x in (F.lit(i), F.lit(cols.index(c)))])
+            ft = ft.withColumn("ordinal", remap[F.col("ordinal")])
+        parts = column_counts(ft).join(top_values(ft), "ordinal", "left")
+    if approx_rows is not None:
+        parts = approx_rows if parts is None else parts.unionByName(approx_rows)
+    exact_flag = F.lit(True) if not near else ~F.col("column").isin(*near)
     # all joined sides are one row per column: size bounded by the schema width
     p = (
-        cat.join(F.broadcast(column_counts(ft)), "ordinal", "left")
-        .join(F.broadcast(top_values(ft)), "ordinal", "left")
+        cat.join(F.broadcast(parts), "ordinal", "left")
         .join(F.broadcast(numeric_stats(df, cols)), "ordinal", "left")
+        .withColumn("nunique_exact", exact_flag)
     )
     n_rows = F.max(F.col("n_rows")).over(Window.partitionBy())
     p = (

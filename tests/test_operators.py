@@ -226,3 +226,13 @@ def test_exact_quantiles_bracket_path(spark):
             assert math.isclose(got[(g, p)], float(np.quantile(arr, p)), rel_tol=1e-12, abs_tol=1e-12), (g, p)
     one = {r["p"]: r["q"] for r in ST.exact_quantiles(df.filter("g = 'big'"), "v", [0.5], accuracy=1000).collect()}
     assert one[0.5] == float(np.quantile(big, 0.5))
+
+
+def test_profile_approx_mode(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    exact = {r["column"]: r for r in profile(df).collect()}
+    approx = {r["column"]: r for r in profile(df, exact_distinct=False).collect()}
+    assert approx["l_extendedprice"]["nunique_exact"] is False
+    assert abs(approx["l_extendedprice"]["nunique"] - exact["l_extendedprice"]["nunique"]) < 0.08 * exact["l_extendedprice"]["nunique"]
+    for c in ("l_returnflag", "l_quantity", "l_shipdate"):
+        assert approx[c]["nunique"] == exact[c]["nunique"] and approx[c]["data_type"] == exact[c]["data_type"]
