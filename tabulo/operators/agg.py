@@ -34,7 +34,8 @@ def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(F.desc("n"), F.asc("value"))
     # global top-k over already-aggregated counts (one row per distinct value)
-    return counts.orderBy(F.desc("n"), F.asc("value")).limit(n).withColumn("rank", F.row_number().over(w))
+    return counts.orderBy(F.desc("n"), F.asc("value")).limit(n).withColumn(
+        "rank", F.row_number().over(w).cast("long"))
 
 
 def value_shares(df: DataFrame, col: str, n: int = 8) -> DataFrame:

@@ -109,7 +109,7 @@ FROM b LEFT JOIN c USING (bin)"""
 
 
 def _hist_out(h):
-    return h.select("bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "n")
+    return h.select(F.col("bin").cast("long").alias("bin"), r6("lo").alias("lo"), r6("hi").alias("hi"), "n")
 
 
 @query("histogram_auto", _hist_sql("lineitem", "l_extendedprice",

@@ -346,11 +346,11 @@ def clean_table_orders(spark, sf):
 
 @query("clean_pipeline_report", f"""
 WITH b AS (SELECT count(*) AS rows_before,
-             sum(("Order ID" IS NULL)::BIGINT + (Montant IS NULL)::BIGINT + (Statut IS NULL)::BIGINT
-                 + ("Date Commande" IS NULL)::BIGINT + (priorite IS NULL)::BIGINT) AS nulls_before FROM {MESSY_SQL}),
+             CAST(sum(("Order ID" IS NULL)::BIGINT + (Montant IS NULL)::BIGINT + (Statut IS NULL)::BIGINT
+                 + ("Date Commande" IS NULL)::BIGINT + (priorite IS NULL)::BIGINT) AS BIGINT) AS nulls_before FROM {MESSY_SQL}),
 a AS (SELECT count(*) AS rows_after,
-             sum(("Order ID" IS NULL)::BIGINT + (montant IS NULL)::BIGINT + (statut IS NULL)::BIGINT
-                 + (date_commande IS NULL)::BIGINT + (priorite IS NULL)::BIGINT) AS nulls_after FROM (
+             CAST(sum(("Order ID" IS NULL)::BIGINT + (montant IS NULL)::BIGINT + (statut IS NULL)::BIGINT
+                 + (date_commande IS NULL)::BIGINT + (priorite IS NULL)::BIGINT) AS BIGINT) AS nulls_after FROM (
         SELECT "Order ID", {_montant} AS montant, {_statut} AS statut, {_date} AS date_commande, {_prio} AS priorite
         FROM {MESSY_SQL}))
 SELECT rows_before, nulls_before, rows_after, nulls_after,

@@ -193,13 +193,14 @@ TABLE_HTML = """concat(html,
  '</tbody></table>',
  CASE WHEN page_id % 2 = 0 THEN '<table><tr><th>a</th><th>b</th></tr><tr><td>x<td>y</table>' ELSE '' END) AS html"""
 
-_T0 = """SELECT page_id, 0 AS table_no, page_id % 4 + 1 AS rows, 3 AS columns,
+_T0 = """SELECT page_id, CAST(0 AS BIGINT) AS table_no, page_id % 4 + 1 AS rows, CAST(3 AS BIGINT) AS columns,
   round(100.0 * len(list_filter(range(1, page_id % 4 + 2), lambda r: (page_id + r) % 3 = 0)) / (3 * (page_id % 4 + 1)), 2) AS missing_pct,
   'key|name & co|val' AS column_names,
   'int64|' || CASE WHEN len(list_filter(range(1, page_id % 4 + 2), lambda r: (page_id + r) % 3 = 0)) = page_id % 4 + 1
                    THEN 'float64' ELSE 'object' END || '|int64' AS dtypes
 FROM pages"""
-_T1 = """SELECT page_id, 1 AS table_no, 1 AS rows, 2 AS columns, 0.0 AS missing_pct, 'a|b' AS column_names,
+_T1 = """SELECT page_id, CAST(1 AS BIGINT) AS table_no, CAST(1 AS BIGINT) AS rows, CAST(2 AS BIGINT) AS columns,
+  CAST(0.0 AS DOUBLE) AS missing_pct, 'a|b' AS column_names,
   'object|object' AS dtypes FROM pages WHERE page_id % 2 = 0"""
 
 
@@ -231,7 +232,7 @@ _MESSY_COLS = [("\"Order ID\"", "string"), ("Montant", "string"), ("Statut", "st
 
 
 @query("report_header", f"""
-SELECT (SELECT count(*) FROM {MESSY_SQL}) AS rows, 5 AS columns, (SELECT count(*) FROM ({_ANOMALY_SQL})) AS anomalies,
+SELECT (SELECT count(*) FROM {MESSY_SQL}) AS rows, CAST(5 AS BIGINT) AS columns, (SELECT count(*) FROM ({_ANOMALY_SQL})) AS anomalies,
        CAST(80.0 AS DOUBLE) AS mean_confidence_pct, CAST(76.0 AS DOUBLE) AS quality_pct""")
 def report_header_q(spark, sf):
     d, prof_rows = _messy_profile(spark, sf)
@@ -240,7 +241,7 @@ def report_header_q(spark, sf):
 
 
 @query("proposals_summary", f"""
-SELECT 5 AS columns, CAST(0.8 AS DOUBLE) AS mean_confidence,
+SELECT CAST(5 AS BIGINT) AS columns, CAST(0.8 AS DOUBLE) AS mean_confidence,
   (SELECT count(DISTINCT data_type) FROM ({_profile_sql(MESSY_SQL, _MESSY_COLS).replace("'\"Order ID\"'", "'Order ID'").replace("'\"Date Commande\"'", "'Date Commande'")})) AS distinct_types,
   (SELECT round(avg(k), 4) FROM (SELECT count(*) AS k FROM ({_ANOMALY_SQL}) GROUP BY "column")) AS anomalies_per_column""")
 def proposals_summary_q(spark, sf):
@@ -252,9 +253,9 @@ def proposals_summary_q(spark, sf):
 
 
 @query("missing_cells", f"""
-SELECT count(*) AS rows, 5 AS columns,
-  sum(("Order ID" IS NULL)::BIGINT + (Montant IS NULL)::BIGINT + (Statut IS NULL)::BIGINT
-      + ("Date Commande" IS NULL)::BIGINT + (priorite IS NULL)::BIGINT) AS null_cells,
+SELECT count(*) AS rows, CAST(5 AS BIGINT) AS columns,
+  CAST(sum(("Order ID" IS NULL)::BIGINT + (Montant IS NULL)::BIGINT + (Statut IS NULL)::BIGINT
+      + ("Date Commande" IS NULL)::BIGINT + (priorite IS NULL)::BIGINT) AS BIGINT) AS null_cells,
   round(100.0 * sum(("Order ID" IS NULL)::BIGINT + (Montant IS NULL)::BIGINT + (Statut IS NULL)::BIGINT
       + ("Date Commande" IS NULL)::BIGINT + (priorite IS NULL)::BIGINT) / (count(*) * 5), 2) AS missing_pct
 FROM {MESSY_SQL}""")

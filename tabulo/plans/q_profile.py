@@ -321,9 +321,9 @@ def main_metric_q(spark, sf):
 
 
 @query("dataset_summary", """
-SELECT count(*) AS rows, 6 AS columns,
-  sum((o_orderkey IS NULL)::BIGINT + (o_custkey IS NULL)::BIGINT + (o_orderstatus IS NULL)::BIGINT
-      + (o_totalprice IS NULL)::BIGINT + (o_orderdate IS NULL)::BIGINT + (o_orderpriority IS NULL)::BIGINT) AS null_cells
+SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns,
+  CAST(sum((o_orderkey IS NULL)::BIGINT + (o_custkey IS NULL)::BIGINT + (o_orderstatus IS NULL)::BIGINT
+      + (o_totalprice IS NULL)::BIGINT + (o_orderdate IS NULL)::BIGINT + (o_orderpriority IS NULL)::BIGINT) AS BIGINT) AS null_cells
 FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus,
              CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
       FROM orders)""")
