@@ -301,3 +301,25 @@ def numeric_traits(spark, sf):
     p = profile(table(spark, sf, "lineitem"), NUMS)
     return p.select(F.col("column").alias("column_name"), "is_integral", r6("mean").alias("mean"),
                     r6("std").alias("std"), "min", "max")
+
+
+# ---------------------------------------------------------------- C16 on Structured Streaming
+@query("clean_stream_orders", ORACLE["clean_table_orders"])
+def clean_stream_orders(spark, sf):
+    """The messy orders are landed as Parquet files in the shared checkpoint
+    folder, profiled once (batch), then cleaned by a streaming query
+    (``availableNow`` trigger, checkpointed, exactly-once file sink); the
+    sink is read back.  Same result as the batch ``clean_table_orders``."""
+    from ..streaming.clean_stream import run_clean_stream
+
+    base = ensure_checkpoint_dir(spark)
+    run = uuid.uuid4().hex
+    src, sink = os.path.join(base, f"stream-src-{run}"), os.path.join(base, f"stream-out-{run}")
+    d = messy_orders(spark, sf)
+    d.write.parquet(src)
+    landed = spark.read.parquet(src)
+    prof = profile(landed).collect()
+    q = run_clean_stream(spark, src, landed.schema, prof, sink, name=run)
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.withColumn("date_commande", F.col("date_commande").cast("string"))
