@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
-from ..functions.names import snake_case  # noqa: F401  (re-exported for callers)
 from ..session import spread
 
 AUTO_ACCEPT = 0.7  # C17 thresholds

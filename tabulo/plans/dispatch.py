@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ..operators import agg as A
 from ..operators import series as S
 from ..operators import stats as ST
-from ..functions.names import identifier_name
 from ..session import ensure_checkpoint_dir
 from . import questions as Q
 
@@ -199,4 +198,4 @@ def _identifier_like(col: str, prof_rows) -> bool:
     return r["nunique"] / r["non_null"] >= 0.995
 
 
-__all__ = ["aggregate_for_question", "answer_questions", "auto_analyze", "identifier_name"]
+__all__ = ["aggregate_for_question", "answer_questions", "auto_analyze"]

@@ -11,7 +11,6 @@ from ..operators import clean as C
 from ..operators import fuzzy as Z
 from ..operators.confidence import column_confidence
 from ..operators.profile import profile
-from ..operators.agg import mean_from_partials
 from .registry import query, table, r6
 from .report import anomaly_log, cleaning_report
 
@@ -433,5 +432,3 @@ def drop_empty_rows(spark, sf):
                                          F.count("b").alias("n_b"))
     return a.unionByName(s)
 
-
-__all__ = ["mean_from_partials"]

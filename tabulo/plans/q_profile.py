@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators.profile import profile
-from ..operators.freq import freq
 from .questions import detect_domain, main_metric
 from .registry import query, table, r6
 
@@ -335,5 +334,3 @@ def dataset_summary_q(spark, sf):
         "o_orderpriority")
     return dataset_summary(o)
 
-
-__all__ = ["SCHEMAS", "freq"]
