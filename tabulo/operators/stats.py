@@ -9,6 +9,7 @@ per task, one tiny final merge), or one group-by per column.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -53,7 +54,8 @@ MAX_LOCAL_GROUPS = 10_000
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
-                    accuracy: int = 10_000, margin: float = 3.0) -> DataFrame:
+                    accuracy: int = 10_000, margin: float = 3.0, bracket_rows: int = 2_000_000,
+                    grid: int = 1000, max_rounds: int = 3) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) with
     bounded memory, for groups of any size.
 
@@ -61,13 +63,17 @@ def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
     (``percentile_approx``, rank error <= n/accuracy) read at ``p -+ margin/A``;
     these bracket the rows of rank floor(h) and floor(h)+1, h = (n-1)p
     (groups under 2A rows use [min, max]).
-    Pass 2: rows below a bracket are only counted; rows inside a bracket
-    (about 2*margin*n/A per probability) are collapsed to (value, count)
-    map-side -- so a value repeated a billion times is one row -- and a
-    running count over the distinct values picks the two exact neighbours.
-    No task holds a whole group, no row is multiplied.  Brackets (one row per group) go through the driver when
-    there are at most 10,000 groups (then joined by broadcast), otherwise
-    they are checkpointed and joined as a table.  Returns (by, p, q)."""
+    Refinement (only for huge groups, when a bracket may hold more than
+    ``bracket_rows`` rows): one pass counts the rows below / inside each
+    bracket, a second reads a ``grid``-point sketch over the rows inside the
+    wide brackets only and narrows them around the target ranks.
+    Final pass: rows below a bracket are only counted; rows inside it are
+    collapsed to (value, count) map-side -- a value repeated a billion times
+    is one row -- and a running count picks the two exact neighbours.
+    No task holds a whole group, no row is multiplied.  Brackets (one row
+    per group) go through the driver when there are at most 10,000 groups
+    (then attached by broadcast), otherwise they are checkpointed and joined
+    as a table (no refinement then).  Returns (by, p, q)."""
     probs = [float(p) for p in probs]
     eps = margin / accuracy
     qs = sorted({min(1.0, max(0.0, x)) for p in probs for x in (p - eps, p + eps)})
@@ -88,26 +94,64 @@ def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
     br = sk.select(*keys, "_n", F.array(*[at(p - eps, True) for p in probs]).alias("_lo"),
                    F.array(*[at(p + eps, False) for p in probs]).alias("_hi"))
     spark = df.sparkSession
-    if by is None:
-        r = br.first()
-        if r is None:
-            return spark.createDataFrame([], "p double, q double")
-        lo = F.array(*[F.lit(x) for x in r["_lo"]])
-        hi = F.array(*[F.lit(x) for x in r["_hi"]])
-        j, key_cols, n_of = base.select("_v", lo.alias("_lo"), hi.alias("_hi")), [], F.lit(r["_n"])
-    else:
-        local = br.limit(MAX_LOCAL_GROUPS + 1).collect()
-        if len(local) <= MAX_LOCAL_GROUPS:
-            brd = F.broadcast(spark.createDataFrame(local, br.schema))  # <= 10,000 rows
-        else:
-            from ..session import ensure_checkpoint_dir
-
-            ensure_checkpoint_dir(spark)
-            brd = br.checkpoint(eager=True)
-        j, key_cols, n_of = base.join(brd, by), [by], F.col("_n")
+    key_cols = [by] if by else []
     idx = F.sequence(F.lit(0), F.lit(len(probs) - 1))
+    local = br.limit(MAX_LOCAL_GROUPS + 1).collect()
+    if not local:
+        return spark.createDataFrame([], (f"`{by}` {df.schema[by].dataType.simpleString()}, " if by else "")
+                                     + "p double, q double")
+    distributed = len(local) > MAX_LOCAL_GROUPS
+    state = [dict(g=(r[by] if by else None), n=r["_n"], lo=list(r["_lo"]), hi=list(r["_hi"])) for r in local]
+
+    def attach(st):
+        """base rows with their group's bracket arrays (_lo, _hi, _n)."""
+        if by is None:
+            s0 = st[0]
+            return base.select("_v", F.array(*[F.lit(x) for x in s0["lo"]]).alias("_lo"),
+                               F.array(*[F.lit(x) for x in s0["hi"]]).alias("_hi"), F.lit(s0["n"]).alias("_n"))
+        rows = [(s_["g"], s_["n"], s_["lo"], s_["hi"]) for s_ in st]
+        schema = f"`{by}` {df.schema[by].dataType.simpleString()}, _n long, _lo array<double>, _hi array<double>"
+        return base.join(F.broadcast(spark.createDataFrame(rows, schema)), by)  # <= 10,000 rows
+
+    if not distributed:
+        for _ in range(max_rounds):
+            if all(s_["n"] * 2 * eps <= bracket_rows for s_ in state):
+                break
+            j = attach(state)
+            meas = j.groupBy(*key_cols).agg(*[
+                F.sum((F.col("_v") < F.col("_lo")[i]).cast("long")).alias(f"b{i}") for i in range(len(probs))] + [
+                F.sum(((F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i])).cast("long")).alias(f"m{i}")
+                for i in range(len(probs))]).collect()
+            meas = {(r[by] if by else None): r for r in meas}
+            wide = [(s_, i) for s_ in state for i in range(len(probs)) if meas[s_["g"]][f"m{i}"] > bracket_rows]
+            if not wide:
+                break
+            gp = [k / grid for k in range(grid + 1)]
+            flags = {(s_["g"], i) for s_, i in wide}
+            j = attach(state)
+            want = F.filter(idx, lambda i: (F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i]))
+            ins = j.select(*key_cols, "_v", F.explode(want).alias("_i"))
+            gsk = {((r[by] if by else None), r["_i"]): r["_g"] for r in ins.groupBy(*key_cols, "_i").agg(
+                F.percentile_approx("_v", gp, accuracy).alias("_g")).collect() if ((r[by] if by else None), r["_i"]) in flags}
+            for s_, i in wide:
+                m, below = meas[s_["g"]][f"m{i}"], meas[s_["g"]][f"b{i}"]
+                h = (s_["n"] - 1) * probs[i]
+                t0, t1 = math.floor(h) - below, min(math.floor(h) + 1, s_["n"] - 1) - below
+                gv = gsk[(s_["g"], i)]
+                k_lo = math.floor((t0 / m - 1.0 / accuracy) * grid) - 1
+                k_hi = math.ceil(((t1 + 1) / m + 1.0 / accuracy) * grid) + 1
+                if k_lo >= 0:
+                    s_["lo"][i] = max(s_["lo"][i], gv[k_lo])
+                if k_hi <= grid:
+                    s_["hi"][i] = min(s_["hi"][i], gv[k_hi])
+        j = attach(state)
+    else:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(spark)
+        j = base.join(br.checkpoint(eager=True), by)
     below = j.groupBy(*key_cols).agg(
-        F.first(n_of).alias("_n"),
+        F.first("_n").alias("_n"),
         *[F.sum((F.col("_v") < F.col("_lo")[i]).cast("long")).alias(f"_b{i}") for i in range(len(probs))])
     inside = j.select(*key_cols, "_v", F.explode(F.filter(idx, lambda i: (F.col("_v") >= F.col("_lo")[i])
                                                           & (F.col("_v") <= F.col("_hi")[i]))).alias("_i"))
@@ -123,8 +167,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
                              (F.floor(h) - F.col("t.below")).cast("long").alias("_k0"),
                              (F.least(F.floor(h) + 1, F.col("_n") - 1) - F.col("t.below")).cast("long").alias("_k1"))
     # targets: one row per (group, p) -- bounded by groups x probabilities
-    pick = vc.join(F.broadcast(targets) if by is None or len(local) <= MAX_LOCAL_GROUPS else targets,
-                   key_cols + ["_i"])
+    pick = vc.join(targets if distributed else F.broadcast(targets), key_cols + ["_i"])
     # value at in-bracket position k = smallest value whose running count exceeds k
     out = pick.groupBy(*key_cols, "p").agg(
         F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_v"))).alias("_a"),

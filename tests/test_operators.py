@@ -236,3 +236,21 @@ def test_profile_approx_mode(spark):
     assert abs(approx["l_extendedprice"]["nunique"] - exact["l_extendedprice"]["nunique"]) < 0.08 * exact["l_extendedprice"]["nunique"]
     for c in ("l_returnflag", "l_quantity", "l_shipdate"):
         assert approx[c]["nunique"] == exact[c]["nunique"] and approx[c]["data_type"] == exact[c]["data_type"]
+
+
+def test_exact_quantiles_refinement_rounds(spark):
+    """Tiny accuracy and bracket limit force the refinement passes."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(0, 1, 20_000), np.full(5_000, 0.25)])
+    df = spark.createDataFrame([("a" if i % 2 else "b", float(v)) for i, v in enumerate(vals)], "g string, v double")
+    probs = [0.01, 0.25, 0.5, 0.9]
+    got = {(r["g"], r["p"]): r["q"] for r in ST.exact_quantiles(
+        df, "v", probs, by="g", accuracy=50, bracket_rows=40, grid=200).collect()}
+    for g, arr in (("a", vals[1::2]), ("b", vals[0::2])):
+        for p in probs:
+            assert math.isclose(got[(g, p)], float(np.quantile(arr, p)), rel_tol=1e-12, abs_tol=1e-12), (g, p)
+    one = {r["p"]: r["q"] for r in ST.exact_quantiles(df, "v", probs, accuracy=50, bracket_rows=40, grid=200).collect()}
+    for p in probs:
+        assert math.isclose(one[p], float(np.quantile(vals, p)), rel_tol=1e-12, abs_tol=1e-12)
