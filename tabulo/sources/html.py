@@ -143,10 +143,21 @@ def _cells_batches(it):
         yield pd.DataFrame(rows, columns=["page_id", "table_no", "row_no", "col_no", "is_header", "text"])
 
 
+def _ship_parser() -> None:
+    """Executors need this module's parser; pickle it by value so it travels
+    with the task (no package install or --py-files needed on the workers)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def html_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """S11 (raw): long cells of every table of every page."""
     from ..session import spread
 
+    _ship_parser()
     src = spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")))
     return src.mapInPandas(_cells_batches, CELL_SCHEMA)
 
