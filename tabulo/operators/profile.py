@@ -222,20 +222,22 @@ def profile(df: DataFrame, cols=None, ft: DataFrame | None = None, exact_distinc
         .join(F.broadcast(numeric_stats(df, cols)), "ordinal", "left")
         .withColumn("nunique_exact", exact_flag)
     )
-    n_rows = F.max(F.col("n_rows")).over(Window.partitionBy())
-    p = (
-        p.withColumn("n_rows", F.coalesce(n_rows, F.lit(0)).cast("long"))
-        .fillna(0, ["non_null", "nulls", "nunique", "num_hits", "date_hits"])
-        .withColumn("null_pct", F.round(100.0 * F.col("nulls") / F.greatest(F.col("n_rows"), F.lit(1)), 2))
-    )
-    p = p.withColumn("data_type", _verified_type()).withColumn("guessed_type", _guess_type(p))
-    p = (
-        p.withColumn("type_corrected", F.col("guessed_type") != F.col("data_type"))
+    # one projection for the per-column facts, one for the roles (each
+    # withColumn would re-analyse the whole plan)
+    counts = ["non_null", "nulls", "nunique", "num_hits", "date_hits"]
+    p = p.select(*[c for c in p.columns if c not in counts + ["n_rows"]],
+                 F.coalesce(F.max(F.col("n_rows")).over(Window.partitionBy()), F.lit(0)).cast("long").alias("n_rows"),
+                 *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts])
+    p = p.select(
+        "*",
+        F.round(100.0 * F.col("nulls") / F.greatest(F.col("n_rows"), F.lit(1)), 2).alias("null_pct"),
+        _verified_type().alias("data_type"),
+        _guess_type(p).alias("guessed_type"),
         # Main-path confidence is a constant (max(0.8, 0.6))
-        .withColumn("confidence", F.lit(0.8))
-        .withColumn("proposed_name", N.snake_case(F.col("column")))
-        .withColumn("forbidden", N.is_forbidden(F.col("column")))
-    )
+        F.lit(0.8).alias("confidence"),
+        N.snake_case(F.col("column")).alias("proposed_name"),
+        N.is_forbidden(F.col("column")).alias("forbidden"),
+    ).withColumn("type_corrected", F.col("guessed_type") != F.col("data_type"))
     return with_roles(p)
 
 
@@ -258,7 +260,7 @@ def with_roles(p: DataFrame) -> DataFrame:
         .when(kind == "num", F.lit("measure"))
         .otherwise(F.lit("cat"))
     )
-    return p.withColumn("kind", kind).withColumn("code_threshold", thr).withColumn("role", role)
+    return p.select("*", kind.alias("kind"), thr.alias("code_threshold"), role.alias("role"))
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
