@@ -240,8 +240,11 @@ def flow_edges(df: DataFrame, source: str, target: str, value: str | None = None
         .union(edges.select(F.lit(1).alias("side"), F.col("target").alias("label")))
         .distinct()
     )
-    # node ids: dense rank over (side, label) on the distinct labels
-    nodes = nodes.withColumn("node_id", F.row_number().over(Window.orderBy("side", "label")) - 1)
+    # node ids: dense index over (side, label) on the distinct labels, computed
+    # with the distributed index (no single-task window over all labels)
+    from .series import global_index
+
+    nodes = global_index(nodes, ["side", "label"]).withColumnRenamed("_idx", "node_id")
     src = nodes.filter("side = 0").select(F.col("label").alias("source"), F.col("node_id").alias("source_id"))
     dst = nodes.filter("side = 1").select(F.col("label").alias("target"), F.col("node_id").alias("target_id"))
     return edges.join(src, "source").join(dst, "target").select(

@@ -1,8 +1,8 @@
 """Rolling series and the monotonic test.
 
-Partitioned series (``partition_cols`` given) are plain row-frame windows.
-A single global series would put every row in one task with a plain
-``Window.orderBy``; instead the global plan is:
+A plain ``Window.orderBy`` puts a whole series in one task -- the global
+series, or any series key holding a large share of the rows.  Both are run
+with one plan instead:
 
 1. ``repartitionByRange`` on the order key, sort within partitions, tag each
    row with its partition id and position, and ``checkpoint()`` (written to
@@ -11,8 +11,9 @@ A single global series would put every row in one task with a plain
 2. per-partition row counts -> prefix offsets (the only collect: one number
    per partition) -> a dense global row index;
 3. rows are cut into chunks of ``B`` rows; the last ``w-1`` rows of each
-   chunk are copied into the next one, the window runs partitioned by chunk
-   and the copies are dropped.  Identical to the plain window.
+   chunk are copied into the next one, the window runs partitioned by
+   (series key, chunk) and the copies are dropped.  Identical to the plain
+   window; a key with a third of the rows spans many chunks.
 """
 
 from __future__ import annotations
@@ -51,6 +52,18 @@ def global_index(df: DataFrame, order_cols, partitions: int | None = None) -> Da
     return ranged.withColumn("_idx", off_map[F.col("_pid")] + F.col("_pos")).drop("_pid", "_pos")
 
 
+def index_within(df: DataFrame, group_cols, order_cols, partitions: int | None = None) -> DataFrame:
+    """``_idx`` (global dense index in (group, order) order), ``_k`` (0-based
+    position inside the group) and ``_n`` (group size), without a window per
+    group: a group holding a third of the rows is still spread over tasks.
+    Per-group start and size come from one aggregate joined back (one row
+    per group)."""
+    g = list(group_cols)
+    indexed = global_index(df, g + [c for c in order_cols if c not in g], partitions)
+    starts = indexed.groupBy(*[_q(c) for c in g]).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    return indexed.join(starts, g).withColumn("_k", F.col("_idx") - F.col("_start")).drop("_start")
+
+
 def _chunked(indexed: DataFrame, lookback: int, n_rows: int, chunk_rows: int | None = None) -> DataFrame:
     b = chunk_rows or max(lookback + 1, min(TARGET_CHUNK_ROWS, math.ceil(max(n_rows, 1) / 8)))
     base = indexed.withColumn("_chunk", F.floor(F.col("_idx") / b)).withColumn("_copy", F.lit(False))
@@ -75,26 +88,27 @@ def rolling(df: DataFrame, order_col: str, value_col: str, partition_cols=(), ti
         _q(order_col).isNotNull() & F.col("_v").isNotNull())
     lookback = max(mean_window, band_window) - 1
     if keys:
-        w = Window.partitionBy(*[_q(c) for c in keys]).orderBy(*[_q(c) for c in order])
-        n = F.count(F.lit(1)).over(Window.partitionBy(*[_q(c) for c in keys]))
-        out = data.withColumn("_n", n).withColumn("_idx", F.row_number().over(w) - 1)
-        wm = w.rowsBetween(-(mean_window - 1), 0)
-        wb = w.rowsBetween(-(band_window - 1), 0)
+        # skew-proof: no window over a whole series key; the dense index runs
+        # over (keys, order) and the chunks never mix keys
+        indexed = index_within(data, keys, order)
+        n_rows = indexed.count()
+        out = _chunked(indexed, lookback, n_rows, chunk_rows)
+        w = Window.partitionBy(*[_q(c) for c in keys], "_chunk").orderBy("_idx")
     else:
         indexed = global_index(data, order)
         n_rows = indexed.count()
         out = _chunked(indexed, lookback, n_rows, chunk_rows).withColumn("_n", F.lit(n_rows))
+        out = out.withColumn("_k", F.col("_idx"))
         w = Window.partitionBy("_chunk").orderBy("_idx")
-        wm = w.rowsBetween(-(mean_window - 1), 0)
-        wb = w.rowsBetween(-(band_window - 1), 0)
+    wm = w.rowsBetween(-(mean_window - 1), 0)
+    wb = w.rowsBetween(-(band_window - 1), 0)
     out = (
         out.withColumn("rolling_mean", F.when(F.col("_n") > smooth_above, F.avg("_v").over(wm)).otherwise(F.col("_v")))
         .withColumn("band_min", F.when(F.col("_n") > band_above, F.min("_v").over(wb)))
         .withColumn("band_max", F.when(F.col("_n") > band_above, F.max("_v").over(wb)))
     )
-    if not keys:
-        out = out.filter(~F.col("_copy"))
-    return out.select(*[_q(c) for c in dict.fromkeys(keys + order)], F.col("_idx").alias("row_idx"),
+    out = out.filter(~F.col("_copy"))
+    return out.select(*[_q(c) for c in dict.fromkeys(keys + order)], F.col("_k").alias("row_idx"),
                       F.col("_v").alias(value_col), "rolling_mean", "band_min", "band_max")
 
 

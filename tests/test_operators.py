@@ -254,3 +254,18 @@ def test_exact_quantiles_refinement_rounds(spark):
     one = {r["p"]: r["q"] for r in ST.exact_quantiles(df, "v", probs, accuracy=50, bracket_rows=40, grid=200).collect()}
     for p in probs:
         assert math.isclose(one[p], float(np.quantile(vals, p)), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_rolling_hot_key_spans_chunks(spark):
+    """A series key holding most rows is split over chunks; result = plain window."""
+    from pyspark.sql import Window
+    rows = [("hot" if i % 10 else f"k{i % 3}", i, float((i * 37) % 101)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, t long, v double")
+    got = S.rolling(df, "t", "v", partition_cols=["key"], chunk_rows=97, smooth_above=0, band_above=0)
+    w = Window.partitionBy("key").orderBy("t")
+    ref = df.select("key", "t", (F.row_number().over(w) - 1).alias("rn"),
+                    F.avg("v").over(w.rowsBetween(-9, 0)).alias("m"), F.min("v").over(w.rowsBetween(-4, 0)).alias("mn"))
+    j = got.join(ref, ["key", "t"])
+    assert j.count() == df.count() == got.count()
+    assert j.filter((F.abs(F.col("m") - F.col("rolling_mean")) > 1e-9) | (F.col("mn") != F.col("band_min"))
+                    | (F.col("rn") != F.col("row_idx"))).count() == 0
