@@ -1,10 +1,10 @@
 """Dictionary corrections (C10-C14): exact, fuzzy and reference categories.
 
 All matching runs on the DISTINCT values of a column (one shuffle, map-side
-combined), never per row, and the results are joined back with a broadcast
-hash join (one row per distinct value that changed... bounded by the number
-of distinct values, which for a category column is small; the join falls
-back to a shuffle join through AQE when it is not).
+combined), never per row.  The resulting mapping (one row per distinct
+value that has a correction) is checkpointed, its size checked, and joined
+back by broadcast when small -- otherwise by a shuffle join, where AQE's
+skew handling splits a hot value.
 
 Fuzzy score (deviation D5): ``100 * (1 - levenshtein / greatest(len))``,
 accepted when > 80.  A score above 80 needs ``|len(a) - len(b)| < 0.2 *
@@ -57,6 +57,20 @@ def _checked(d: DataFrame) -> DataFrame:
     return F.broadcast(d)
 
 
+def _join_back(base: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Attach the (value -> canonical) mapping: one row per distinct corrected
+    value.  Broadcast when its size is checked small; otherwise a shuffle
+    join (AQE splits a hot value's partition)."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(base.sparkSession)
+    # materialised once (shared checkpoint folder): the size check and the join read the same rows
+    mapping = mapping.withColumnRenamed("value_key", "__k").checkpoint(eager=True)
+    if mapping.count() <= MAX_DICTIONARY_ROWS:
+        mapping = F.broadcast(mapping)
+    return base.join(mapping, "__k", "left")
+
+
 def fuzzy_candidates(values: DataFrame, keys: DataFrame, threshold: float = 80.0) -> DataFrame:
     """values(value_key string) x keys(key string, ord int, + payload) ->
     best key per value by (score desc, ord asc) with score > threshold.
@@ -94,8 +108,7 @@ def correct_exact_fuzzy(df: DataFrame, col: str, dictionary: DataFrame, fuzzy: b
         unmatched = vals.join(exact, "value_key", "left_anti")
         fz = fuzzy_candidates(unmatched, d, threshold).select("value_key", F.col("canonical").alias("canon"))
         mapping = exact.unionByName(fz)
-    # one row per distinct value that has a correction
-    out = base.join(mapping.withColumnRenamed("value_key", "__k"), "__k", "left")
+    out = _join_back(base, mapping)
     empty = F.col("__k").isin("", "nan", "null", "none", "?", "inconnu", "-", "--")
     return out.withColumn(col, F.when(F.col("__v").isNull() | empty, F.lit(None).cast("string"))
                           .otherwise(F.coalesce(F.col("canon"), F.col("__v")))).drop("__v", "__k", "canon")
@@ -116,8 +129,7 @@ def reference_categories(df: DataFrame, col: str, refs: DataFrame, strict: bool,
         F.min_by("canonical", "ord").alias("canon"))
     rest = vals.join(contained, "value_key", "left_anti")
     fz = fuzzy_candidates(rest, r, threshold).select("value_key", F.col("canonical").alias("canon"))
-    mapping = contained.unionByName(fz).withColumnRenamed("value_key", "__k")
-    out = base.join(mapping, "__k", "left")
+    out = _join_back(base, contained.unionByName(fz))
     empty = F.col("__k").isin("", "nan", "null", "none", "?", "inconnu", "-", "--")
     fallback = F.lit(None).cast("string") if strict else F.col("__v")
     return out.withColumn(col, F.when(F.col("__v").isNull() | empty, F.lit(None).cast("string"))
