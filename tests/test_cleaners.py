@@ -123,3 +123,42 @@ def test_cleaners_are_row_local(spark, streaming_ok, tmp_path):
     assert out.count() == 10
     assert set(out.columns) >= {"montant", "statut"}
     assert {r["statut"] for r in out.collect()} == {"termine", "en cours"}
+
+
+def test_clean_table_rules(spark):
+    from tabulo.operators.profile import profile
+
+    rows = [(str(i), f"{i},5" if i % 4 else "n/a", "Terminé" if i % 2 else " En cours", 1 + i % 28, 1 + i % 12, 2020,
+             str(10 * i), str(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "client_id string, prix string, statut string, jour int, mois int, an int, "
+                                     "total string, valeur string")
+    prof = profile(df).collect()
+    types = {r["column"]: r["data_type"] for r in prof}
+    assert types["client_id"] == "id" and types["statut"] == "category"
+    out = C.clean_table(df, prof)
+    cols = out.columns
+    assert "client_id" in cols and "date" in cols                    # F5: id kept; C06 merged date added
+    assert {"montant", "montant_2"} <= set(cols)                     # prix/total collide on "montant"
+    first = out.orderBy(F.col("client_id").cast("int")).first()
+    assert str(first["date"])[:10] == "2020-01-01"
+    assert {r["statut"] for r in out.select("statut").distinct().collect()} == {"termine", "en cours"}
+    trimmed = C.clean_table(df, prof, mode="trim", rename=False)     # C08: trim only
+    assert {r["statut"] for r in trimmed.select("statut").distinct().collect()} == {"Terminé", "En cours"}
+
+
+def test_proposals_policies_and_overrides(spark):
+    props = spark.createDataFrame([("a", "alpha", "number", 0.9), ("b", "beta", "date", 0.6)],
+                                  "column string, proposed_name string, data_type string, confidence double")
+    auto = {r["column"]: (r["final_name"], r["final_type"]) for r in C.accept_proposals(props).collect()}
+    assert auto == {"a": ("alpha", "number"), "b": ("b", "text")}
+    fix_all = {r["column"]: r["final_name"] for r in C.accept_proposals(props, "fix_all").collect()}
+    assert fix_all == {"a": "alpha", "b": "beta"}
+    ov = spark.createDataFrame([("b", "BETA", None)], "column string, name string, type string")
+    got = {r["column"]: (r["proposed_name"], r["data_type"]) for r in C.apply_overrides(props, ov).collect()}
+    assert got == {"a": ("alpha", "number"), "b": ("BETA", "date")}
+
+
+def test_drop_empty_rows(spark):
+    df = spark.createDataFrame([(None, None), ("x", None), (None, 1.0)], "a string, b double")
+    assert C.drop_empty_rows(df).count() == 2
+    assert C.drop_empty_rows(df, ["b"]).count() == 1
