@@ -135,12 +135,20 @@ def parse_cells(page_id: int, html: str):
                 yield (page_id, t["no"], r_no, c_no, is_head, text)
 
 
+CELL_COLUMNS = ["page_id", "table_no", "row_no", "col_no", "is_header", "text"]
+MAX_CELLS_PER_BATCH = 50_000  # bounds the executor memory of one output batch
+
+
 def _cells_batches(it):
     for pdf in it:
         rows = []
         for pid, html in zip(pdf["page_id"], pdf["html"]):
             rows.extend(parse_cells(int(pid), html))
-        yield pd.DataFrame(rows, columns=["page_id", "table_no", "row_no", "col_no", "is_header", "text"])
+            if len(rows) >= MAX_CELLS_PER_BATCH:
+                yield pd.DataFrame(rows, columns=CELL_COLUMNS)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=CELL_COLUMNS)
 
 
 def _ship_parser() -> None:
