@@ -227,8 +227,8 @@ def html_table_stats(spark, sf):
 
 # ---------------------------------------------------------------- A21 - A23
 _ANOMALY_SQL = ORACLE["anomaly_log"]
-_MESSY_COLS = [("\"Order ID\"", "string"), ("Montant", "string"), ("Statut", "string"),
-               ("\"Date Commande\"", "string"), ("priorite", "string")]
+_MESSY_COLS = [('"Order ID"', "string", "Order ID"), ("Montant", "string"), ("Statut", "string"),
+               ('"Date Commande"', "string", "Date Commande"), ("priorite", "string")]
 
 
 @query("report_header", f"""
@@ -242,7 +242,7 @@ def report_header_q(spark, sf):
 
 @query("proposals_summary", f"""
 SELECT CAST(5 AS BIGINT) AS columns, CAST(0.8 AS DOUBLE) AS mean_confidence,
-  (SELECT count(DISTINCT data_type) FROM ({_profile_sql(MESSY_SQL, _MESSY_COLS).replace("'\"Order ID\"'", "'Order ID'").replace("'\"Date Commande\"'", "'Date Commande'")})) AS distinct_types,
+  (SELECT count(DISTINCT data_type) FROM ({_profile_sql(MESSY_SQL, _MESSY_COLS)})) AS distinct_types,
   (SELECT round(avg(k), 4) FROM (SELECT count(*) AS k FROM ({_ANOMALY_SQL}) GROUP BY "column")) AS anomalies_per_column""")
 def proposals_summary_q(spark, sf):
     d, prof_rows = _messy_profile(spark, sf)

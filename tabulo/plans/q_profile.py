@@ -51,14 +51,17 @@ def _like_any(expr: str, words) -> str:
 
 
 def _profile_sql(src: str, cols, guess: bool = False) -> str:
+    """``cols``: (sql_identifier, family[, display_name]) per column."""
     parts = []
-    for i, (c, fam) in enumerate(cols):
+    for i, spec in enumerate(cols):
+        c, fam = spec[0], spec[1]
+        label = spec[2] if len(spec) > 2 else c
         if fam == "string":
             hits = (f"count(*) FILTER (WHERE regexp_matches({c}, '{NUM_RE}')), "
                     f"count(*) FILTER (WHERE length({c}) <= 10 AND regexp_matches({c}, '{DATE_RE}'))")
         else:
             hits = "0, 0"
-        parts.append(f"SELECT '{c}' AS column_name, {i} AS ordinal, '{fam}' AS family, count(*) AS n_rows, "
+        parts.append(f"SELECT '{label}' AS column_name, {i} AS ordinal, '{fam}' AS family, count(*) AS n_rows, "
                      f"count({c}) AS non_null, count(DISTINCT {c}) AS nunique, {hits} FROM {src}")
     stats = " UNION ALL ".join(parts)
     name = "lower(column_name)"
@@ -91,8 +94,9 @@ FROM u"""
         return sql
     # Guess from the name and the 5 most frequent values (ties by value)
     freq_parts = " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, '{fam}' AS family, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {src} "
-        f"WHERE {c} IS NOT NULL GROUP BY 1, 2, 3" for c, fam in cols)
+        f"SELECT '{spec[2] if len(spec) > 2 else spec[0]}' AS column_name, '{spec[1]}' AS family, "
+        f"CAST({spec[0]} AS VARCHAR) AS v, count(*) AS n FROM {src} WHERE {spec[0]} IS NOT NULL GROUP BY 1, 2, 3"
+        for spec in cols)
     gname = "lower(b.column_name)"
     date_words = _like_any(gname, N.GUESS_DATE_WORDS)
     id_words = _like_any(gname, N.GUESS_ID_WORDS)
