@@ -241,6 +241,16 @@ def profile(df: DataFrame, cols=None, ft: DataFrame | None = None, exact_distinc
     return with_roles(p)
 
 
+def profile_rows_df(df: DataFrame, cols=None, **kw):
+    """Profile once and reuse: returns (rows, small DataFrame built from the
+    rows).  The profile has one row per column, so bringing it to the driver
+    is bounded by the schema width; every later consumer reads the local
+    rows instead of re-running the profiling jobs."""
+    p = profile(df, cols, **kw)
+    rows = p.collect()
+    return rows, df.sparkSession.createDataFrame(rows, p.schema)
+
+
 def with_roles(p: DataFrame) -> DataFrame:
     """P08/P11 roles: measure | code | cat | date | constant | forbidden."""
     fam = F.col("family")

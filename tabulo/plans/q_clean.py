@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import clean as C
 from ..operators import fuzzy as Z
 from ..operators.confidence import column_confidence
-from ..operators.profile import profile
+from ..operators.profile import profile, profile_rows_df
 from .registry import query, table, r6
 from .report import anomaly_log, cleaning_report
 
@@ -331,7 +331,14 @@ def messy_orders(spark, sf):
 
 def _messy_profile(spark, sf):
     d = messy_orders(spark, sf)
-    return d, profile(d).collect()
+    rows, _ = profile_rows_df(d)
+    return d, rows
+
+
+def _messy_profile_df(spark, sf):
+    d = messy_orders(spark, sf)
+    rows, p = profile_rows_df(d)
+    return d, rows, p
 
 
 @query("clean_table_orders", f"""
@@ -401,8 +408,7 @@ SELECT column_name, proposed_name, round(conf, 6) AS confidence, conf >= 0.7 AS
        CASE WHEN column_name = 'priorite' THEN 'PRIORITE' ELSE proposed_name END AS overridden_name
 FROM k""")
 def accept_by_confidence(spark, sf):
-    d = messy_orders(spark, sf)
-    p = profile(d)
+    d, _, p = _messy_profile_df(spark, sf)
     conf = column_confidence(p).select("column", "confidence_raw")
     props = p.select("column", "proposed_name", "data_type").join(conf, "column").withColumnRenamed(
         "confidence_raw", "confidence")

@@ -16,7 +16,7 @@ from ..sources import html as H
 from ..session import ensure_checkpoint_dir
 from . import dispatch as DP
 from . import questions as Q
-from .q_clean import MESSY_SQL, messy_orders, _messy_profile
+from .q_clean import MESSY_SQL, messy_orders, _messy_profile_df
 from .q_profile import SCHEMAS, _profile_sql
 from .registry import ORACLE, query, table, r6
 from .report import anomaly_log, missing_cells_pct, proposals_summary, report_header
@@ -235,8 +235,7 @@ _MESSY_COLS = [('"Order ID"', "string", "Order ID"), ("Montant", "string"), ("St
 SELECT (SELECT count(*) FROM {MESSY_SQL}) AS rows, CAST(5 AS BIGINT) AS columns, (SELECT count(*) FROM ({_ANOMALY_SQL})) AS anomalies,
        CAST(80.0 AS DOUBLE) AS mean_confidence_pct, CAST(76.0 AS DOUBLE) AS quality_pct""")
 def report_header_q(spark, sf):
-    d, prof_rows = _messy_profile(spark, sf)
-    p = profile(d)
+    d, prof_rows, p = _messy_profile_df(spark, sf)
     return report_header(p, anomaly_log(d, prof_rows))
 
 
@@ -245,8 +244,7 @@ SELECT CAST(5 AS BIGINT) AS columns, CAST(0.8 AS DOUBLE) AS mean_confidence,
   (SELECT count(DISTINCT data_type) FROM ({_profile_sql(MESSY_SQL, _MESSY_COLS)})) AS distinct_types,
   (SELECT round(avg(k), 4) FROM (SELECT count(*) AS k FROM ({_ANOMALY_SQL}) GROUP BY "column")) AS anomalies_per_column""")
 def proposals_summary_q(spark, sf):
-    d, prof_rows = _messy_profile(spark, sf)
-    p = profile(d)
+    d, prof_rows, p = _messy_profile_df(spark, sf)
     s = proposals_summary(p, anomaly_log(d, prof_rows))
     return s.select(F.col("columns").cast("long"), F.col("mean_confidence").cast("double"),
                     F.col("distinct_types").cast("long"), "anomalies_per_column")
