@@ -57,6 +57,45 @@ def _checked(d: DataFrame) -> DataFrame:
     return F.broadcast(d)
 
 
+def _contained_matches(values: DataFrame, variants: list) -> DataFrame:
+    """(value_key, canonical, ord) for every variant contained in a value.
+
+    One Aho-Corasick automaton over the size-checked variant list is built
+    per task and each distinct value is scanned once (linear in its length)
+    -- no (value x variant) pairs.  Falls back to a plain substring scan
+    when the automaton library is missing."""
+    import pandas as pd
+
+    def scan(it):
+        try:
+            import ahocorasick
+        except ImportError:  # pragma: no cover - gated optional dependency
+            ahocorasick = None
+        auto = None
+        if ahocorasick is not None and variants:
+            auto = ahocorasick.Automaton()
+            for key, canonical, ord_ in variants:
+                prev = auto.get(key, None)
+                auto.add_word(key, (prev or []) + [(canonical, ord_)])
+            auto.make_automaton()
+        for pdf in it:
+            out = []
+            for v in pdf["value_key"]:
+                if auto is not None:
+                    for _, hits in auto.iter(v):
+                        out.extend((v, c, o) for c, o in hits)
+                else:
+                    out.extend((v, c, o) for key, c, o in variants if key in v)
+            yield pd.DataFrame(out, columns=["value_key", "canonical", "ord"])
+
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no package install
+    return values.mapInPandas(scan, "value_key string, canonical string, ord int")
+
+
 def _join_back(base: DataFrame, mapping: DataFrame) -> DataFrame:
     """Attach the (value -> canonical) mapping: one row per distinct corrected
     value.  Broadcast when its size is checked small; otherwise a shuffle
@@ -119,13 +158,18 @@ def reference_categories(df: DataFrame, col: str, refs: DataFrame, strict: bool,
     """Variant equality or containment -> canonical (first in dictionary
     order), else fuzzy > threshold over all variants, else NULL (strict) or
     the trimmed value (lenient).  ``refs(column, canonical, variant, ord)``."""
-    r = refs.filter(F.col("column") == col).select(F.lower("variant").alias("key"), "canonical", "ord")
-    r = _checked(r)
+    r = refs.filter(F.col("column") == col).select(F.lower("variant").alias("key"), "canonical",
+                                                    F.col("ord").cast("int").alias("ord"))
+    variants = [(x["key"], x["canonical"], x["ord"]) for x in
+                r.limit(MAX_DICTIONARY_ROWS + 1).collect()]  # size-checked, shipped to each task
+    if len(variants) > MAX_DICTIONARY_ROWS:
+        raise ValueError(f"reference list above {MAX_DICTIONARY_ROWS} variants")
+    r = F.broadcast(r)
     s = strip_ws(F.col(f"`{col}`").cast("string"))
     base = df.withColumn("__v", s).withColumn("__k", F.lower(F.col("__v")))
     vals = base.select(F.col("__k").alias("value_key")).filter(F.col("value_key").isNotNull()).distinct()
-    # containment includes equality; join condition against a bounded broadcast list
-    contained = vals.join(r, F.instr(F.col("value_key"), F.col("key")) > 0).groupBy("value_key").agg(
+    # containment includes equality
+    contained = _contained_matches(vals, variants).groupBy("value_key").agg(
         F.min_by("canonical", "ord").alias("canon"))
     rest = vals.join(contained, "value_key", "left_anti")
     fz = fuzzy_candidates(rest, r, threshold).select("value_key", F.col("canonical").alias("canon"))

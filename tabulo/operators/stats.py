@@ -248,7 +248,10 @@ def linear_trend(df: DataFrame, x: str, y: str, points: int = 100, min_pairs: in
 
 
 def _trend_line(summ: DataFrame, points: int) -> DataFrame:
+    """The line is generated from the one summary row (no join); the
+    summary columns ride along."""
     i = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
-    s = summ.select(i, "slope", "intercept", "x_min", "x_max")
+    s = summ.select(i, "slope", "intercept", "r", "n", "x_min", "x_max")
     x = F.col("x_min") + F.col("i") * (F.col("x_max") - F.col("x_min")) / F.lit(points - 1)
-    return s.select("i", x.alias("x"), (F.col("intercept") + F.col("slope") * x).alias("y"))
+    return s.select("i", x.alias("x"), (F.col("intercept") + F.col("slope") * x).alias("y"),
+                    "slope", "intercept", "r", "n")

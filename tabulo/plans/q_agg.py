@@ -197,16 +197,9 @@ SELECT i, round(x_min + i * (x_max - x_min) / 99, 6) AS x,
        round(intercept + slope * (x_min + i * (x_max - x_min) / 99), 4) AS y,
        round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r, 6) AS r, n FROM p""")
 def linear_trend(spark, sf):
-    summ, line = ST.linear_trend(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
-    s = summ.select(r6("slope").alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), "n")
-    return _trend_rows(line, s)
-
-
-def _trend_rows(line, s):
-    # 100 points x 1 summary row: attach the summary through a constant key
-    k = F.lit(1).alias("_k")
-    return (line.select(k, F.col("i").cast("long").alias("i"), r6("x").alias("x"), F.round("y", 4).alias("y"))
-            .join(s.select(k, "*"), "_k").drop("_k"))
+    _, line = ST.linear_trend(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+    return line.select(F.col("i").cast("long").alias("i"), r6("x").alias("x"), F.round("y", 4).alias("y"),
+                       r6("slope").alias("slope"), F.round("intercept", 4).alias("intercept"), r6("r").alias("r"), "n")
 
 
 # ---------------------------------------------------------------- A15 - A18

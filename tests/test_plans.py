@@ -63,3 +63,11 @@ def test_fuzzy_matching_has_no_nested_loop_join(spark):
     cust = spark.read.parquet(f"{SF_CHECK}/customer.parquet").select(F.lower("c_mktsegment").alias("c"))
     plan = executed(Z.correct_exact_fuzzy(cust, "c", d))
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_reference_categories_has_no_nested_loop_join(spark):
+    refs = Z.known_categories_df(spark)
+    df = spark.createDataFrame([("terminé",), ("Formation Terminée",), ("zzz",), ("expert confirmé",)],
+                               "statut string")
+    plan = executed(Z.reference_categories(df, "statut", refs, strict=True))
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
