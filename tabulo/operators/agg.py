@@ -211,7 +211,7 @@ def date_histogram(df: DataFrame, col: str, unit: str | None = None) -> DataFram
 
 # ---------------------------------------------------------------- A15 - A18
 def hierarchy_rollup(df: DataFrame, cols, value: str | None = None) -> DataFrame:
-    """Sum (or count) at every level of a 2-3 level hierarchy.
+    """Sum (or count) and row count at every level of a 2-3 level hierarchy.
 
     Rows with a NULL in any level are removed first (pandas drops them);
     ``rollup`` then yields every node, ``level`` = number of defined keys.
@@ -221,7 +221,7 @@ def hierarchy_rollup(df: DataFrame, cols, value: str | None = None) -> DataFrame
     for c in cols:
         base = base.filter(_q(c).isNotNull())
     agg = (F.sum(_num(value)) if value else F.count(F.lit(1)).cast("double")).alias("value")
-    out = base.rollup(*keys).agg(agg, F.grouping_id().alias("_gid"))
+    out = base.rollup(*keys).agg(agg, F.count(F.lit(1)).alias("n_rows"), F.grouping_id().alias("_gid"))
     level = sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))
     # with NULL keys removed, a NULL key in the output means "rolled up"
     return out.withColumn("level", level).drop("_gid")

@@ -224,10 +224,8 @@ GROUP BY ROLLUP (r_name, n_name, c_mktsegment)""")
 def hierarchy_rollup(spark, sf):
     d = _hier_df(spark, sf).withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(38,2)"))
     h = A.hierarchy_rollup(d, ["r_name", "n_name", "c_mktsegment"], "c_acctbal")
-    cnt = A.hierarchy_rollup(d, ["r_name", "n_name", "c_mktsegment"]).withColumnRenamed("value", "n")
-    keys = ["r_name", "n_name", "c_mktsegment", "level"]
-    return h.join(cnt, [h[k].eqNullSafe(cnt[k]) for k in keys]).select(
-        *[h[k] for k in keys], F.round(h["value"], 2).alias("value"), cnt["n"].cast("long").alias("n"))
+    return h.select("r_name", "n_name", "c_mktsegment", "level",
+                    F.round(F.col("value").cast("double"), 2).alias("value"), F.col("n_rows").cast("long").alias("n"))
 
 
 @query("flow_edges", f"""
