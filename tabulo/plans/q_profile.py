@@ -122,7 +122,8 @@ gg AS (
     WHEN {num_words} THEN 'number'
     WHEN b.nunique < 15 THEN 'category' ELSE 'text' END AS guessed_type
   FROM base b LEFT JOIN g ON b.column_name = g.column_name)
-SELECT base.*, gg.guessed_type FROM base JOIN gg USING (column_name)"""
+SELECT base.*, gg.guessed_type, gg.guessed_type <> base.data_type AS type_corrected
+FROM base JOIN gg USING (column_name)"""
 
 
 PROFILE_COLS = ["column_name", "ordinal", "n_rows", "non_null", "nulls", "null_pct", "nunique", "data_type",
@@ -134,7 +135,7 @@ def _profile_out(p, guess=False):
             F.col("nulls").cast("long"), "null_pct", F.col("nunique").cast("long"), "data_type", "role",
             F.col("code_threshold").cast("long")]
     if guess:
-        cols.append("guessed_type")
+        cols += ["guessed_type", "type_corrected"]
     return p.select(*cols)
 
 
