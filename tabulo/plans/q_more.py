@@ -158,7 +158,25 @@ def _sales(spark, sf):
                     "c_acctbal", "c_mktsegment", F.col("r_name").alias("region")))
 
 
-@query("question_plan")
+_PLAN_SQL = """
+WITH j AS (SELECT o.o_totalprice AS revenue, c.c_mktsegment, r.r_name AS region
+           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+           JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
+f AS (SELECT count(DISTINCT revenue) > 1 AS has_rev, count(DISTINCT c_mktsegment) > 1 AS has_seg,
+             count(DISTINCT region) > 1 AS has_reg FROM j),
+q AS (
+  SELECT 1 AS k, 'Which customer segments bring the most revenue?' AS question, 'c_mktsegment,revenue' AS columns,
+         'bar' AS chart, 'ventes: compare performance across segments' AS purpose FROM f WHERE has_seg AND has_rev
+  UNION ALL SELECT 5, 'Which regions perform best?', 'region,revenue', 'bar',
+         'ventes: compare performance across segments' FROM f WHERE has_reg AND has_rev
+  UNION ALL SELECT 6, 'How is revenue distributed?', 'revenue', 'histogram',
+         'ventes: understand the spread and spot potential anomalies' FROM f WHERE has_rev
+  UNION ALL SELECT 7, 'How are segments spread over regions?', 'c_mktsegment,region', 'bar',
+         'ventes: highlight combined segments' FROM f WHERE has_seg AND has_reg)
+SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS qid, question, columns, chart, purpose FROM q"""
+
+
+@query("question_plan", _PLAN_SQL)
 def question_plan(spark, sf):
     d = _sales(spark, sf)
     prof = profile(d).collect()
