@@ -28,6 +28,10 @@ SCHEMAS = {
                ("value", "numeric"), ("props", "string")],
     "supplier": [("s_suppkey", "numeric"), ("s_name", "string"), ("s_nationkey", "numeric"),
                  ("s_acctbal", "numeric")],
+    "documents": [("doc_id", "numeric"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                  ("n_chars", "numeric")],
+    "conversations": [("conv_id", "numeric"), ("turn", "numeric"), ("role", "string"), ("text", "string")],
+    "labels": [("doc_id", "numeric"), ("quality", "numeric"), ("toxic", "numeric")],
 }
 
 # Deterministic messy strings derived from lineitem keys (shared input text).
@@ -139,7 +143,7 @@ def _profile_out(p, guess=False):
     return p.select(*cols)
 
 
-for _t in ["orders", "lineitem", "customer", "part", "events", "supplier"]:
+for _t in ["orders", "lineitem", "customer", "part", "events", "supplier", "documents", "conversations", "labels"]:
     def _mk(t):
         @query(f"profile_{t}", _profile_sql(t, SCHEMAS[t]))
         def _q(spark, sf):
@@ -219,13 +223,11 @@ ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lin
 ALL_COLUMNS = {
     "region": ["r_regionkey", "r_name"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    **{t: [c for c, _ in SCHEMAS[t]] for t in ["customer", "supplier", "part", "orders", "lineitem", "events"]},
-    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    **{t: [c for c, _ in SCHEMAS[t]] for t in ["customer", "supplier", "part", "orders", "lineitem", "events",
+                                               "documents", "labels", "conversations"]},
     "embeddings": ["vec_id", "embedding", "label"],
     "pages": ["page_id", "url", "html"],
     "benchmark": ["item_id", "text"],
-    "labels": ["doc_id", "quality", "toxic"],
-    "conversations": ["conv_id", "turn", "role", "text"],
 }
 CATALOG_SQL = "(VALUES " + ", ".join(
     f"('{t}', '{c}', {i + 1})" for t in ALL_TABLES for i, c in enumerate(ALL_COLUMNS[t])
