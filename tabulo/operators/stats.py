@@ -3,8 +3,9 @@
 Spark 4 runs with ANSI on: bare ``corr`` on a zero-variance column raises
 DIVIDE_BY_ZERO.  The correlation here is ``try_divide(covar_pop, sd_a*sd_b)``
 over pairwise-complete rows -- NULL on zero variance, equal to ``corr``
-otherwise.  Everything is a single global aggregate (partial aggregation
-per task, one tiny final merge), or one group-by per column.
+otherwise.  Correlations and trends are single global aggregates (partial
+aggregation per task, one tiny final merge); quartiles use
+``exact_quantiles``, a few passes whose memory never grows with a group.
 """
 
 from __future__ import annotations
