@@ -39,7 +39,8 @@ lb AS (SELECT DISTINCT b FROM c)
 SELECT la.a, lb.b, coalesce(c.n, 0) AS n FROM la CROSS JOIN lb LEFT JOIN c ON c.a = la.a AND c.b = lb.b""")
 def two_way_auto(spark, sf):
     li = table(spark, sf, "lineitem")
-    prof = profile(li).collect()
+    # only text columns can be the categorical second dimension: profile just those
+    prof = profile(li, [c for c, t in li.dtypes if t == "string"]).collect()
     return A.two_way_auto(li, "l_returnflag", prof, top_n=10).select("a", "b", F.col("n").cast("long"))
 
 
