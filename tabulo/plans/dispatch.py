@@ -186,6 +186,22 @@ def auto_analyze(df: DataFrame, prof_rows, max_charts: int = 15) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else _empty(spark)
 
 
+def identifier_like(df: DataFrame, col: str, prof_rows, order_cols=None) -> bool:
+    """Name rule, or distinct ratio >= 0.995, or (with an explicit row
+    order -- Spark has none) ratio >= 0.98 and monotonic in that order
+    (W03, distributed), with at least 3 values."""
+    if _identifier_like(col, prof_rows):
+        return True
+    r = next((r for r in prof_rows if r["column"] == col), None)
+    if not order_cols or r is None or r["non_null"] < 3 or r["kind"] != "num":
+        return False
+    if r["nunique"] / r["non_null"] < 0.98:
+        return False
+    from ..operators.series import is_monotonic
+
+    return bool(is_monotonic(df, col, list(order_cols)).first()["monotonic"])
+
+
 def _identifier_like(col: str, prof_rows) -> bool:
     """P09 without an order column: name rule or distinct ratio >= 0.995."""
     low = col.lower()

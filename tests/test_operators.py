@@ -269,3 +269,15 @@ def test_rolling_hot_key_spans_chunks(spark):
     assert j.count() == df.count() == got.count()
     assert j.filter((F.abs(F.col("m") - F.col("rolling_mean")) > 1e-9) | (F.col("mn") != F.col("band_min"))
                     | (F.col("rn") != F.col("row_idx"))).count() == 0
+
+
+def test_identifier_like_with_order(spark):
+    from tabulo.plans.dispatch import identifier_like
+
+    rows = [(i, float(i if i % 100 else i - 1), float((i * 7) % 500)) for i in range(1, 1001)]
+    df = spark.createDataFrame(rows, "t long, seq double, other double")
+    prof = profile(df).collect()
+    # seq: 990/1000 distinct (0.99 < 0.995) but monotonic in t -> identifier-like with an order column
+    assert identifier_like(df, "seq", prof) is False
+    assert identifier_like(df, "seq", prof, order_cols=["t"]) is True
+    assert identifier_like(df, "other", prof, order_cols=["t"]) is False
