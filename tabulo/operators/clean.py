@@ -136,3 +136,31 @@ def drop_empty_rows(df: DataFrame, subset=None) -> DataFrame:
     if subset:
         return df.na.drop(how="any", subset=list(subset))
     return df.na.drop(how="all")
+
+
+# ---------------------------------------------------------------- C10-C14 inside C16
+def apply_dictionaries(df: DataFrame, prof_rows, dictionary: DataFrame | None = None,
+                       references: DataFrame | None = None) -> DataFrame:
+    """The richer cleaning pass for category columns: a column with entries in
+    ``dictionary(column, variant, canonical)`` gets exact + fuzzy correction
+    (C10/C11); otherwise a column whose name marks it strict (C14) is mapped
+    onto ``references(column, canonical, variant, ord)`` (C12, default: the
+    known canonical lists C13), unknown values becoming NULL.  Each step works
+    on distinct values and joins back (see ``fuzzy``)."""
+    from . import fuzzy as Z
+
+    refs = references if references is not None else Z.known_categories_df(df.sparkSession)
+    dict_cols = set()
+    if dictionary is not None:
+        dict_cols = {r[0] for r in dictionary.select("column").distinct().limit(10_000).collect()}
+    ref_cols = {r[0] for r in refs.select("column").distinct().limit(10_000).collect()}
+    for r in sorted(prof_rows, key=lambda r: r["ordinal"]):
+        c = r["column"]
+        if r["data_type"] != "category" or c not in df.columns:
+            continue
+        if c in dict_cols:
+            df = Z.correct_exact_fuzzy(df, c, dictionary)
+        elif Z.is_strict_column(c) and c.lower() in ref_cols:
+            df = Z.reference_categories(df, c, refs.withColumn("column", F.lower("column")).filter(
+                F.col("column") == c.lower()).withColumn("column", F.lit(c)), strict=True)
+    return df

@@ -162,3 +162,19 @@ def test_drop_empty_rows(spark):
     df = spark.createDataFrame([(None, None), ("x", None), (None, 1.0)], "a string, b double")
     assert C.drop_empty_rows(df).count() == 2
     assert C.drop_empty_rows(df, ["b"]).count() == 1
+
+
+def test_apply_dictionaries(spark):
+    from tabulo.operators.profile import profile
+
+    rows = [("Terminé", "cpf", "Débutant"), ("termine ", "région", "Expert"), ("TERMINEE", "opco", "expert"),
+            ("inconnu", "CPF", "Avancé"), ("Abandonné", "xyz", "avance")] * 4
+    df = spark.createDataFrame(rows, "statut string, financeur string, niveau_label string")
+    prof = profile(df).collect()
+    d = spark.createDataFrame([("financeur", "cpf", "CPF"), ("financeur", "region", "Région")],
+                              "column string, variant string, canonical string")
+    out = C.apply_dictionaries(df, prof, dictionary=d)
+    got = {(r["statut"], r["financeur"]) for r in out.select("statut", "financeur").collect()}
+    statuts = {s for s, _ in got}
+    assert statuts == {"Terminé", "Abandonné", None}     # strict column mapped onto the known list
+    assert {f for _, f in got} >= {"CPF", "Région", "xyz"}  # dictionary column: exact/fuzzy, else kept
