@@ -22,10 +22,12 @@ from ..operators import stats as ST
 from ..session import ensure_checkpoint_dir
 from . import questions as Q
 
-TIDY = "qid int, chart string, series string, x string, y double, extra string"
+TIDY = "qid int, chart string, series string, x string, y double, x_lo double, x_hi double, extra string"
 
 
-def _tidy(df: DataFrame, qid: int, chart: str, series, x, y, extra=None) -> DataFrame:
+def _tidy(df: DataFrame, qid: int, chart: str, series, x, y, extra=None, x_lo=None, x_hi=None) -> DataFrame:
+    """One chart's data in the shared tidy shape; numbers rounded to 6 decimals
+    (chart precision, identical across engines)."""
     def col(v, t):
         if v is None:
             return F.lit(None).cast(t)
@@ -33,7 +35,8 @@ def _tidy(df: DataFrame, qid: int, chart: str, series, x, y, extra=None) -> Data
 
     return df.select(F.lit(qid).cast("int").alias("qid"), F.lit(chart).alias("chart"),
                      col(series, "string").alias("series"), col(x, "string").alias("x"),
-                     col(y, "double").alias("y"), col(extra, "string").alias("extra"))
+                     F.round(col(y, "double"), 6).alias("y"), F.round(col(x_lo, "double"), 6).alias("x_lo"),
+                     F.round(col(x_hi, "double"), 6).alias("x_hi"), col(extra, "string").alias("extra"))
 
 
 def _empty(spark) -> DataFrame:
@@ -51,7 +54,7 @@ def kinds_of(prof_rows) -> dict:
 
 def histogram_tidy(df, col, qid, chart="histogram", nbins=None):
     h = A.histogram(df, col, nbins)
-    return _tidy(h, qid, chart, F.lit(col), "bin", "n", F.concat_ws(",", F.col("lo").cast("string"), F.col("hi").cast("string")))
+    return _tidy(h, qid, chart, F.lit(col), "bin", "n", x_lo="lo", x_hi="hi")
 
 
 def aggregate_for_question(df: DataFrame, q: dict, prof_rows, policy: str = "chart") -> DataFrame:
@@ -103,8 +106,7 @@ def aggregate_for_question(df: DataFrame, q: dict, prof_rows, policy: str = "cha
         if (a in date and b in num) or (b in date and a in num):
             d, m = (a, b) if a in date else (b, a)
             r = S.rolling(df, d, m)
-            return _tidy(r, qid, "line", F.lit("rolling_mean"), d, "rolling_mean",
-                         F.concat_ws(",", F.col("band_min").cast("string"), F.col("band_max").cast("string")))
+            return _tidy(r, qid, "line", F.lit("rolling_mean"), d, "rolling_mean", x_lo="band_min", x_hi="band_max")
         if chart == "bar" and ((a in cat and b in num) or (b in cat and a in num)):
             c, m = (a, b) if a in cat else (b, a)
             g = A.mean_by_two(df, c, m, prof_rows=prof_rows)

@@ -185,7 +185,42 @@ def question_plan(spark, sf):
                                             "chart", "purpose")
 
 
-@query("question_answers")
+def _answers_sql():
+    from .q_agg import _hist_sql
+
+    j = """(SELECT o.o_orderstatus, o.o_totalprice AS revenue, c.c_mktsegment, r.r_name AS region
+            FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+            JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+
+    def hist(qid, chart, nbins):
+        return (f"SELECT {qid} AS qid, '{chart}' AS chart, 'revenue' AS series, CAST(bin AS VARCHAR) AS x, "
+                f"CAST(n AS DOUBLE) AS y, lo AS x_lo, hi AS x_hi, NULL AS extra FROM ({_hist_sql(j, 'revenue', nbins)})")
+
+    def mean2(qid, cat):
+        return (f"SELECT {qid}, 'bar', o_orderstatus, {cat}, round(avg(revenue), 6), NULL, NULL, "
+                f"CAST(count(revenue) AS VARCHAR) FROM {j} WHERE {cat} IS NOT NULL AND o_orderstatus IS NOT NULL "
+                f"GROUP BY o_orderstatus, {cat}")
+
+    def mean1(qid, cat):
+        return (f"SELECT {qid}, 'dtype:bar', 'revenue', {cat}, round(avg(revenue), 6), NULL, NULL, "
+                f"CAST(count(revenue) AS VARCHAR) FROM {j} WHERE {cat} IS NOT NULL GROUP BY {cat}")
+
+    cross = f"""SELECT 4, 'dtype:heatmap', lb.b, la.a, CAST(coalesce(c.n, 0) AS DOUBLE), NULL, NULL, NULL
+FROM (SELECT DISTINCT c_mktsegment AS a FROM {j} WHERE c_mktsegment IS NOT NULL AND region IS NOT NULL) la
+CROSS JOIN (SELECT DISTINCT region AS b FROM {j} WHERE c_mktsegment IS NOT NULL AND region IS NOT NULL) lb
+LEFT JOIN (SELECT c_mktsegment AS a, region AS b, count(*) AS n FROM {j}
+           WHERE c_mktsegment IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2) c ON c.a = la.a AND c.b = lb.b"""
+    parts = [mean2(1, "c_mktsegment"), mean2(2, "region"),
+             hist(3, "histogram", "least(40, greatest(10, CAST(floor(sqrt(n)) AS INTEGER)))"),
+             mean1(1, "c_mktsegment"), mean1(2, "region"), hist(3, "dtype:histogram", "20"), cross]
+    body = " UNION ALL ".join(f"({x})" for x in parts)
+    return f"""
+SELECT CAST(qid AS INTEGER) AS qid, chart, series, x, CAST(y AS DOUBLE) AS y, CAST(x_lo AS DOUBLE) AS x_lo,
+       CAST(x_hi AS DOUBLE) AS x_hi, CAST(extra AS VARCHAR) AS extra
+FROM ({body}) AS t(qid, chart, series, x, y, x_lo, x_hi, extra)"""
+
+
+@query("question_answers", _answers_sql())
 def question_answers(spark, sf):
     d = _sales(spark, sf)
     prof = profile(d).collect()
