@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .agg import _num, _q
+from .agg import _num
 
 
 def pair_corr(a, b) -> F.Column:

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import clean as C
 from ..operators import fuzzy as Z
 from ..operators.confidence import column_confidence
-from ..operators.profile import profile, profile_rows_df
+from ..operators.profile import profile_rows_df
 from .registry import query, table, r6
 from .report import anomaly_log, cleaning_report
 
