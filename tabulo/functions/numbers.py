@@ -18,7 +18,9 @@ PLAIN_RE = r"^-?(\d+\.?\d*|\.\d+)$"
 
 
 def _to_double_gated(s: Column, regex: str) -> Column:
-    return F.when(s.rlike(regex), s.try_cast("double"))
+    # the cheap cast first (fails fast on text), the exact regex gate second
+    d = s.try_cast("double")
+    return F.when(d.isNotNull() & s.rlike(regex), d)
 
 
 def clean_number_basic(col) -> Column:

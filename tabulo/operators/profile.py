@@ -82,7 +82,9 @@ def numeric_stats(df: DataFrame, cols=None) -> DataFrame:
 
 
 def column_counts(ft: DataFrame) -> DataFrame:
-    is_num = F.col("value").rlike(NUM_RE)
+    # try_cast fails fast on ordinary text; the regex (exact test) then runs
+    # only on castable values -- no per-position regex scan of long texts
+    is_num = F.col("value").try_cast("double").isNotNull() & F.col("value").rlike(NUM_RE)
     is_date = (F.length("value") <= 10) & F.col("value").rlike(DATE_SHAPE_RE)
     return ft.groupBy("ordinal").agg(
         F.sum("n").alias("n_rows"),
@@ -164,7 +166,7 @@ def near_unique_split(df: DataFrame, cols, ratio: float = 0.5, rsd: float = 0.02
         v = value_text(df, c)
         aggs += [F.count(v).alias(f"nn{i}"), F.approx_count_distinct(raw, rsd).alias(f"nd{i}")]
         if type_family(df.schema[c].dataType) == "string":  # shape ratios only matter for text
-            aggs += [F.count(F.when(raw.rlike(NUM_RE), 1)).alias(f"nh{i}"),
+            aggs += [F.count(F.when(raw.try_cast("double").isNotNull() & raw.rlike(NUM_RE), 1)).alias(f"nh{i}"),
                      F.count(F.when((F.length(raw) <= 10) & raw.rlike(DATE_SHAPE_RE), 1)).alias(f"dh{i}")]
         else:
             aggs += [F.lit(0).alias(f"nh{i}"), F.lit(0).alias(f"dh{i}")]

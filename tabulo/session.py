@@ -42,7 +42,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.driver.memory", os.environ.get("TABULO_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("TABULO_DRIVER_MEMORY", "4g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in SQL_SETTINGS.items():
