@@ -36,6 +36,15 @@ def accent_table() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+def qname(name: str) -> str:
+    """Backtick-quoted column reference that survives dots and backticks in names."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def qcol(name: str) -> Column:
+    return F.col(qname(name))
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 

@@ -15,11 +15,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import qcol
 MAX_PIVOT_LABELS = 10_000
 
 
 def _q(c: str):
-    return F.col(f"`{c}`")
+    return qcol(c)
 
 
 def _num(c: str):

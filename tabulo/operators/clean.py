@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import qcol
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
@@ -21,7 +22,7 @@ FIX_ALL = 0.5
 
 
 def _q(c: str):
-    return F.col(f"`{c}`")
+    return qcol(c)
 
 
 # ---------------------------------------------------------------- C15

@@ -13,13 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType, ArrayType, MapType, BinaryType
 
+from ..functions.text import qcol
 from ..session import spread
 
 
 def value_text(df: DataFrame, col: str) -> Column:
     """Text rendering used by the frequency table (NaN is NULL)."""
     dt = df.schema[col].dataType
-    c = F.col(f"`{col}`")
+    c = qcol(col)
     if isinstance(dt, (DoubleType, FloatType)):
         c = F.when(F.isnan(c), F.lit(None)).otherwise(c)
     return c.cast("string")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_ws
+from ..functions.text import qcol, strip_ws
 
 MAX_DICTIONARY_ROWS = 1_000_000  # broadcast bound for dictionaries
 
@@ -137,7 +137,7 @@ def correct_exact_fuzzy(df: DataFrame, col: str, dictionary: DataFrame, fuzzy: b
         d = d.withColumn("ord", F.row_number().over(Window.orderBy("variant")))
     d = d.select(F.lower("variant").alias("key"), "canonical", "ord")
     d = _checked(d)
-    s = strip_ws(F.col(f"`{col}`").cast("string"))
+    s = strip_ws(qcol(col).cast("string"))
     base = df.withColumn("__v", s).withColumn("__k", F.lower(F.col("__v")))
     vals = base.select(F.col("__k").alias("value_key")).filter(F.col("value_key").isNotNull()).distinct()
     exact = vals.join(d.withColumnRenamed("key", "value_key"), "value_key").groupBy("value_key").agg(
@@ -165,7 +165,7 @@ def reference_categories(df: DataFrame, col: str, refs: DataFrame, strict: bool,
     if len(variants) > MAX_DICTIONARY_ROWS:
         raise ValueError(f"reference list above {MAX_DICTIONARY_ROWS} variants")
     r = F.broadcast(r)
-    s = strip_ws(F.col(f"`{col}`").cast("string"))
+    s = strip_ws(qcol(col).cast("string"))
     base = df.withColumn("__v", s).withColumn("__k", F.lower(F.col("__v")))
     vals = base.select(F.col("__k").alias("value_key")).filter(F.col("value_key").isNotNull()).distinct()
     # containment includes equality

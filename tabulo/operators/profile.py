@@ -24,6 +24,7 @@ from pyspark.sql.types import (
 )
 
 from ..functions import names as N
+from ..functions.text import qcol
 from ..functions.numbers import NUM_RE
 from .freq import freq, profilable
 
@@ -64,9 +65,9 @@ def numeric_stats(df: DataFrame, cols=None) -> DataFrame:
     for i, c in num:
         if type_family(df.schema[c].dataType) == "temporal":
             # epoch seconds: the coefficient of variation does not depend on the unit
-            v = F.unix_micros(F.col(f"`{c}`").cast("timestamp")) / F.lit(1e6)
+            v = F.unix_micros(qcol(c).cast("timestamp")) / F.lit(1e6)
         else:
-            v = F.col(f"`{c}`").cast("double")
+            v = qcol(c).cast("double")
         v = F.when(F.isnan(v), F.lit(None)).otherwise(v)
         aggs += [
             F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"),
@@ -162,7 +163,7 @@ def near_unique_split(df: DataFrame, cols, ratio: float = 0.5, rsd: float = 0.02
 
     aggs = []
     for i, c in enumerate(cols):
-        raw = F.col(f"`{c}`")
+        raw = qcol(c)
         v = value_text(df, c)
         aggs += [F.count(v).alias(f"nn{i}"), F.approx_count_distinct(raw, rsd).alias(f"nd{i}")]
         if type_family(df.schema[c].dataType) == "string":  # shape ratios only matter for text
@@ -278,7 +279,7 @@ def with_roles(p: DataFrame) -> DataFrame:
 def dataset_summary(df: DataFrame) -> DataFrame:
     """Rows, columns, total null cells -- one aggregate pass."""
     cols = df.columns
-    nulls = sum((F.col(f"`{c}`").isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    nulls = sum((qcol(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(nulls).alias("null_cells")).select(
         F.col("rows").cast("long"), F.lit(len(cols)).cast("long").alias("columns"),
         F.coalesce(F.col("null_cells"), F.lit(0)).cast("long").alias("null_cells"))

@@ -16,6 +16,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import qname
 from .agg import _num
 
 
@@ -99,7 +100,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
     idx = F.sequence(F.lit(0), F.lit(len(probs) - 1))
     local = br.limit(MAX_LOCAL_GROUPS + 1).collect()
     if not local:
-        return spark.createDataFrame([], (f"`{by}` {df.schema[by].dataType.simpleString()}, " if by else "")
+        return spark.createDataFrame([], (f"{qname(by)} {df.schema[by].dataType.simpleString()}, " if by else "")
                                      + "p double, q double")
     distributed = len(local) > MAX_LOCAL_GROUPS
     state = [dict(g=(r[by] if by else None), n=r["_n"], lo=list(r["_lo"]), hi=list(r["_hi"])) for r in local]
@@ -111,7 +112,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
             return base.select("_v", F.array(*[F.lit(x) for x in s0["lo"]]).alias("_lo"),
                                F.array(*[F.lit(x) for x in s0["hi"]]).alias("_hi"), F.lit(s0["n"]).alias("_n"))
         rows = [(s_["g"], s_["n"], s_["lo"], s_["hi"]) for s_ in st]
-        schema = f"`{by}` {df.schema[by].dataType.simpleString()}, _n long, _lo array<double>, _hi array<double>"
+        schema = f"{qname(by)} {df.schema[by].dataType.simpleString()}, _n long, _lo array<double>, _hi array<double>"
         return base.join(F.broadcast(spark.createDataFrame(rows, schema)), by)  # <= 10,000 rows
 
     if not distributed:

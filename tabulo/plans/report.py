@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import qcol
 from ..operators.clean import cleaner_for, rename_map
 from ..operators.freq import freq
 from ..operators.profile import dataset_summary
@@ -46,7 +47,7 @@ def anomaly_log(raw: DataFrame, prof_rows, outlier_threshold: float = 1.5) -> Da
     if conv:
         aggs = []
         for i, r in enumerate(conv):
-            raw_c = F.col(f"`{r['column']}`")
+            raw_c = qcol(r['column'])
             clean_c = cleaner_for(r["data_type"], r["family"], r["column"])
             aggs.append(F.count(F.when(raw_c.isNotNull() & clean_c.isNull(), F.lit(1))).alias(f"l{i}"))
         wide = raw.agg(*aggs)
@@ -55,7 +56,7 @@ def anomaly_log(raw: DataFrame, prof_rows, outlier_threshold: float = 1.5) -> Da
         parts.append(wide.selectExpr(f"stack({len(conv)}, {st}) as (column, problem, n)"))
     cats = [r for r in typed if r["data_type"] == "category"]
     if cats:
-        sel = [F.col(f"`{r['column']}`").alias(f"b{i}") for i, r in enumerate(cats)] + \
+        sel = [qcol(r['column']).alias(f"b{i}") for i, r in enumerate(cats)] + \
               [cleaner_for("category", r["family"], r["column"]).alias(f"a{i}") for i, r in enumerate(cats)]
         ft = freq(raw.select(*sel))
         per = ft.groupBy("column").agg(F.count("value").alias("n"))

@@ -281,3 +281,14 @@ def test_identifier_like_with_order(spark):
     assert identifier_like(df, "seq", prof) is False
     assert identifier_like(df, "seq", prof, order_cols=["t"]) is True
     assert identifier_like(df, "other", prof, order_cols=["t"]) is False
+
+
+def test_awkward_column_names(spark):
+    from tabulo.operators.clean import clean_table
+
+    df = spark.createDataFrame([(1.5, "x"), (2.5, "y"), (3.5, "x")], "`a.b` double, `we``ird` string")
+    p = profile(df).collect()
+    assert {r["column"]: r["data_type"] for r in p} == {"a.b": "number", "we`ird": "category"}
+    assert clean_table(df, p).columns == ["ab", "weird"]
+    assert A.top_values(df, "we`ird").first()["value"] == "x"
+    assert ST.boxplot_stats(df, "a.b").first()["median"] == 2.5
