@@ -71,3 +71,18 @@ def test_reference_categories_has_no_nested_loop_join(spark):
                                "statut string")
     plan = executed(Z.reference_categories(df, "statut", refs, strict=True))
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_profile_of_a_column_subset_prunes_the_scan(spark):
+    import re
+
+    li = spark.read.parquet(f"{SF_CHECK}/lineitem.parquet")
+    p = profile(li, ["l_returnflag", "l_quantity"])
+    p.collect()
+    formatted = p._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    schemas = set(re.findall(r"ReadSchema: (struct<[^\n]*>)", formatted))
+    assert schemas, formatted
+    for s in schemas:
+        cols = set(re.findall(r"(\w+):", s))
+        assert cols <= {"l_returnflag", "l_quantity"}, s
