@@ -86,3 +86,17 @@ def test_profile_of_a_column_subset_prunes_the_scan(spark):
     for s in schemas:
         cols = set(re.findall(r"(\w+):", s))
         assert cols <= {"l_returnflag", "l_quantity"}, s
+
+
+def test_clean_table_is_one_narrow_stage(spark):
+    import re
+
+    from tabulo.operators.clean import clean_table
+
+    o = spark.read.parquet(f"{SF_CHECK}/orders.parquet")
+    prof = profile(o).collect()
+    plan = executed(clean_table(o, prof))
+    exchanges = re.findall(r"Exchange (\w+)", plan)
+    # the only exchange is the round-robin spread of a small input (absent at scale)
+    assert set(exchanges) <= {"RoundRobinPartitioning"}, plan
+    assert "Join" not in plan and "Aggregate" not in plan
