@@ -100,3 +100,16 @@ def test_clean_table_is_one_narrow_stage(spark):
     # the only exchange is the round-robin spread of a small input (absent at scale)
     assert set(exchanges) <= {"RoundRobinPartitioning"}, plan
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_profile_top_values_limit_runs_before_the_exchange(spark):
+    li = spark.read.parquet(f"{SF_CHECK}/lineitem.parquet")
+    p = profile(li)
+    p.collect()
+    formatted = p._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    tree = formatted.split("\n\n\n")[0].split("\n(1)")[0].splitlines()
+    wgl = [i for i, x in enumerate(tree) if "WindowGroupLimit" in x]
+    exch = [i for i, x in enumerate(tree) if "Exchange" in x]
+    # going down the tree: final limit, then the exchange, then the partial limit under it
+    assert any(a < e < b for a in wgl for e in exch for b in wgl), "\n".join(tree)
