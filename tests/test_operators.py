@@ -292,3 +292,13 @@ def test_awkward_column_names(spark):
     assert clean_table(df, p).columns == ["ab", "weird"]
     assert A.top_values(df, "we`ird").first()["value"] == "x"
     assert ST.boxplot_stats(df, "a.b").first()["median"] == 2.5
+
+
+def test_dictionary_broadcast_bound_is_checked(spark, monkeypatch):
+    d = spark.createDataFrame([("c", f"v{i}", f"V{i}") for i in range(5)], "column string, variant string, canonical string")
+    df = spark.createDataFrame([("v1",), ("v3",)], "c string")
+    monkeypatch.setattr(Z, "MAX_DICTIONARY_ROWS", 3)
+    with pytest.raises(ValueError, match="broadcast bound"):
+        Z.correct_exact_fuzzy(df, "c", d)
+    monkeypatch.setattr(Z, "MAX_DICTIONARY_ROWS", 1_000_000)
+    assert sorted(r[0] for r in Z.correct_exact_fuzzy(df, "c", d).collect()) == ["V1", "V3"]
