@@ -302,3 +302,19 @@ def test_dictionary_broadcast_bound_is_checked(spark, monkeypatch):
         Z.correct_exact_fuzzy(df, "c", d)
     monkeypatch.setattr(Z, "MAX_DICTIONARY_ROWS", 1_000_000)
     assert sorted(r[0] for r in Z.correct_exact_fuzzy(df, "c", d).collect()) == ["V1", "V3"]
+
+
+def test_exact_quantiles_distributed_brackets(spark, monkeypatch):
+    """More groups than the local bound: brackets stay distributed (checkpointed)."""
+    import numpy as np
+
+    monkeypatch.setattr(ST, "MAX_LOCAL_GROUPS", 3)
+    rng = np.random.default_rng(5)
+    groups = {f"g{k}": rng.integers(0, 50, 200 + 37 * k).astype(float) for k in range(6)}
+    rows = [(g, float(v)) for g, arr in groups.items() for v in arr]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.1, 0.5, 0.75]
+    got = {(r["g"], r["p"]): r["q"] for r in ST.exact_quantiles(df, "v", probs, by="g").collect()}
+    for g, arr in groups.items():
+        for p in probs:
+            assert math.isclose(got[(g, p)], float(np.quantile(arr, p)), rel_tol=1e-12, abs_tol=1e-12), (g, p)
