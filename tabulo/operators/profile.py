@@ -218,6 +218,10 @@ def profile(df: DataFrame, cols=None, ft: DataFrame | None = None, exact_distinc
         parts = column_counts(ft).join(top_values(ft), "ordinal", "left")
     if approx_rows is not None:
         parts = approx_rows if parts is None else parts.unionByName(approx_rows)
+    if parts is None:  # nothing profilable (only nested / binary columns)
+        parts = df.sparkSession.createDataFrame(
+            [], "ordinal int, n_rows long, non_null long, nulls long, nunique long, num_hits long, date_hits long, "
+                "samples array<string>")
     exact_flag = F.lit(True) if not near else ~F.col("column").isin(*near)
     # all joined sides are one row per column: size bounded by the schema width
     p = (

@@ -318,3 +318,11 @@ def test_exact_quantiles_distributed_brackets(spark, monkeypatch):
     for g, arr in groups.items():
         for p in probs:
             assert math.isclose(got[(g, p)], float(np.quantile(arr, p)), rel_tol=1e-12, abs_tol=1e-12), (g, p)
+
+
+def test_nested_columns_are_passed_through(spark):
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    cols = [r["column"] for r in profile(emb).collect()]
+    assert cols == ["vec_id", "label"]                                   # array<float> not profiled
+    only_nested = emb.select("embedding")
+    assert profile(only_nested).collect() == []
