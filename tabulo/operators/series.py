@@ -119,14 +119,14 @@ def is_monotonic(df: DataFrame, value_col: str, order_cols, min_values: int = 3)
     data = df.select(*[_q(c) for c in dict.fromkeys(list(order_cols))], _num(value_col).alias("_v")).filter(
         F.col("_v").isNotNull())
     idx = global_index(data, list(order_cols)).select("_idx", "_v")
+    n = idx.count()  # the index is checkpointed: a cheap scalar
     prev = idx.select((F.col("_idx") + 1).alias("_idx"), F.col("_v").alias("_p"))
     steps = idx.join(prev, "_idx")
     return steps.agg(
-        F.count(F.lit(1)).alias("steps"),
         F.coalesce(F.bool_and(F.col("_p") <= F.col("_v")), F.lit(True)).alias("increasing"),
         F.coalesce(F.bool_and(F.col("_p") >= F.col("_v")), F.lit(True)).alias("decreasing"),
     ).select(
-        (F.col("steps") + 1).alias("n"),
-        ((F.col("steps") + 1 >= min_values) & (F.col("increasing") | F.col("decreasing"))).alias("monotonic"),
+        F.lit(n).cast("long").alias("n"),
+        ((F.lit(n) >= min_values) & (F.col("increasing") | F.col("decreasing"))).alias("monotonic"),
         "increasing", "decreasing",
     )

@@ -326,3 +326,20 @@ def test_nested_columns_are_passed_through(spark):
     assert cols == ["vec_id", "label"]                                   # array<float> not profiled
     only_nested = emb.select("embedding")
     assert profile(only_nested).collect() == []
+
+
+def test_empty_inputs_everywhere(spark):
+    from tabulo.operators.clean import clean_table
+    from tabulo.plans.report import anomaly_log, cleaning_report
+
+    e = spark.createDataFrame([], "k string, t long, v double, c string")
+    assert S.rolling(e, "t", "v").count() == 0 and S.rolling(e, "t", "v", partition_cols=["k"]).count() == 0
+    assert S.is_monotonic(e, "v", ["t"]).first()["n"] == 0
+    assert ST.iqr_outliers(e, ["v"]).count() == 0 and ST.boxplot_stats(e, "v").count() == 0
+    assert ST.linear_trend(e, "t", "v")[1].count() == 0
+    assert A.value_shares(e, "c").count() == 0 and A.crosstab(e, "c", "k").count() == 0
+    assert A.histogram(e, "v").count() == 0 and A.flow_edges(e, "k", "c").count() == 0
+    assert A.hierarchy_rollup(e, ["k", "c"], "v").count() == 0
+    prof = profile(e).collect()
+    assert cleaning_report(e, clean_table(e, prof)).first()["rows_after"] == 0
+    assert anomaly_log(e, prof).count() == 0
