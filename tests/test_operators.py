@@ -343,3 +343,19 @@ def test_empty_inputs_everywhere(spark):
     prof = profile(e).collect()
     assert cleaning_report(e, clean_table(e, prof)).first()["rows_after"] == 0
     assert anomaly_log(e, prof).count() == 0
+
+
+def test_nan_and_infinities_never_raise(spark):
+    """NaN and +-inf in a double column go through every numeric operator
+    under ANSI mode (NaN is NULL; infinities behave as pandas numbers)."""
+    inf = float("inf")
+    d = spark.createDataFrame([(float(v), i) for i, v in enumerate([1, 2, 3, inf, -inf, float("nan"), 5])],
+                              "v double, t long")
+    assert A.histogram(d, "v").count() > 0
+    b = ST.boxplot_stats(d, "v").first()
+    assert (b["n"], b["q1"], b["median"], b["n_outliers"]) == (6, 1.25, 2.5, 2)
+    assert ST.iqr_outliers(d, ["v"]).first()["n_outliers"] == 2
+    assert ST.correlation_matrix(d, ["v", "t"]).count() == 1
+    assert ST.linear_trend(d, "t", "v")[0].count() == 1
+    assert S.rolling(d, "t", "v").count() == 6
+    assert {r["column"] for r in K.column_confidence(profile(d)).collect()} == {"v", "t"}
