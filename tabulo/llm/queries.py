@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, quality
+from . import bpe, decontaminate, fingerprint, langid, neardup, quality, substring
 from .common import table, text_of
 
 QUERIES: dict = {}
@@ -50,6 +50,19 @@ def op6_langid(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query
+def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = neardup.near_duplicates(docs, size=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op8_substring(spark: SparkSession, sf: str) -> DataFrame:
+    done = substring.remove_repeated(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 @query
 def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
