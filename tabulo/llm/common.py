@@ -3,9 +3,11 @@ lookup, worker-side word hashing, tables stored in the shared folder."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,6 @@ from ..session import configure, ensure_checkpoint_dir
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: rows of one Arrow batch; texts can be long, so fewer than Spark's default
 ARROW_ROWS = "1000"
-#: entries of a worker's word memo before it starts afresh
-MEMO_ENTRIES = 400_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -52,19 +52,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, kept while it has under MEMO_ENTRIES words."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -72,6 +59,76 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: bytes that are hashed at once; longer texts are cut at white space
+CHUNK = 1 << 20
+_rng = np.random.default_rng(20240131)
+_BYTE = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_LOWER = _BYTE.copy()
+_BYTE_LOWER[65:91] = _BYTE[97:123]
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.ones(CHUNK + 1, np.uint64)
+np.cumprod(np.full(CHUNK, np.uint64(_BASE)), out=_POWERS[1:])
+_SCALES = np.ones(CHUNK + 1, np.uint64)
+np.cumprod(np.full(CHUNK, np.uint64(pow(_BASE, -1, 2**64))), out=_SCALES[1:])
+
+
+def _hashed(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of at most CHUNK bytes: a polynomial of the bytes' random numbers, scaled
+    to begin at power 0, from running sums."""
+    b = np.frombuffer(data, np.uint8)
+    blank = np.ones(len(b) + 2, bool)
+    blank[1:-1] = (b == 32) | ((b >= 9) & (b <= 13))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edges[::2], edges[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(table[b] * _POWERS[:len(b)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * _SCALES[start] ^ (end - start).astype(np.uint64)), start
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _long(data: bytes, table: np.ndarray, lower: bool):
+    """Hashes of the words of a text of over CHUNK bytes, part by part; the parts end at white space."""
+    at = 0
+    while at < len(data):
+        cut = max(data.rfind(blank, at, at + CHUNK) for blank in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+        if cut < 0 and len(data) - at > CHUNK:  # a word longer than that
+            end = found.start() if (found := _BLANK.search(data, at)) else len(data)
+            word = data[at:end].lower() if lower else data[at:end]
+            yield np.array([xxhash.xxh64_intdigest(word)], np.uint64)
+            at = end
+        else:
+            end = cut + 1 if len(data) - at > CHUNK else len(data)
+            yield _hashed(data[at:end], table)[0]
+            at = end
+
+
+def word_hashes(texts: list[bytes], lower: bool = False):
+    """For each text the 64-bit hashes of its words, in order; lower: A-Z count as a-z."""
+    table = _BYTE_LOWER if lower else _BYTE
+    at = 0
+    while at < len(texts):
+        size, end = len(texts[at]), at + 1
+        while end < len(texts) and size + 1 + len(texts[end]) <= CHUNK:
+            size += 1 + len(texts[end])
+            end += 1
+        if size > CHUNK:
+            yield np.concatenate(list(_long(texts[at], table, lower)))
+        else:
+            hashes, start = _hashed(b"\n".join(texts[at:end]), table)
+            ends = np.cumsum([len(t) + 1 for t in texts[at:end]])
+            cuts = np.concatenate([[0], np.searchsorted(start, ends)])
+            for i in range(end - at):
+                yield hashes[cuts[i]:cuts[i + 1]]
+        at = end
+
+
+def as_bytes(texts) -> list[bytes]:
+    """An Arrow column of strings as UTF-8."""
+    return texts.cast(pa.binary()).to_pylist()
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of `size` words; fewer words count as one run, none give none."""
     if not len(words):

@@ -21,16 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, shingles, text_of
+from .common import as_bytes, shingles, text_of, word_hashes
 
 K = 128
 SHINGLE = 5
-_words = WordHashes()
+
+
+def sketches(texts: list[bytes]):
+    for words in word_hashes(texts):
+        yield np.unique(shingles(words, SHINGLE))[:K]
 
 
 def sketch(text: str) -> np.ndarray:
-    hashes = np.unique(shingles(_words.of(text.encode().split()), SHINGLE))
-    return hashes[:K]
+    return next(sketches([text.encode()]))
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,7 +69,7 @@ def load(s: str | None) -> np.ndarray:
 
 @F.arrow_udf(T.StringType())
 def _fingerprint(texts: pa.Array) -> pa.Array:
-    return pa.array([dump(sketch(t or "")) for t in texts.to_pylist()], pa.string())
+    return pa.array([dump(x) for x in sketches(as_bytes(texts))], pa.string())
 
 
 def _pairwise(measure):
@@ -175,19 +178,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     def edits(batches):
         held = None  # (range, doc_id, text, sketch): the document whose next one is still to come
         for batch in batches:
-            out = []
-            for r, lent, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            done = []  # (id, text, edited text, sketch, sketch of the next)
+            for (r, lent, doc, text), own in zip(zip(*(c.to_pylist() for c in batch.columns)), sketches(as_bytes(batch.column(3)))):
                 if lent and (held is None or held[0] != r):
                     continue  # a further row of the first document's id
-                own = sketch(text)
                 if held is not None:
                     _, held_doc, held_text, held_sketch = held
-                    n_chars = len(held_text)
-                    q = n_chars // 4
-                    edited = held_text[:n_chars - q] + text[:q]
-                    changed = sketch(edited)
-                    out.append((held_doc, n_chars, edited, dump(held_sketch), dump(changed), resemblance(held_sketch, changed), resemblance(held_sketch, own)))
+                    q = len(held_text) // 4
+                    done.append((held_doc, len(held_text), held_text[:len(held_text) - q] + text[:q], held_sketch, own))
                 held = None if lent else (r, doc, text, own)
+            out = [(doc, n, edited, dump(mine), dump(changed), resemblance(mine, changed), resemblance(mine, own))
+                   for (doc, n, edited, mine, own), changed in zip(done, sketches([x[2].encode() for x in done]))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [()] * 7, kinds)], names=names)
 
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]

@@ -195,3 +195,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         "score": F.when(has, F.col(p)["score"]).otherwise(F.lit(0.0)),
         "rejected": F.when(has, F.col(p)["rejected"]).otherwise(F.lit(True)),
     }).drop(p)
+
+
+def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without the rejected ones; all columns as they are."""
+    t = fresh(docs, "_text")
+    known = identify(docs.select(F.struct("*").alias("row"), F.col(f"`{text}`").alias(t)), model, t).where(~F.col("rejected"))
+    return known.select("row.*")

@@ -15,7 +15,8 @@ components of a key is compared pair by pair.  No key is capped, no group is col
 
 Edge cases: null, empty and white-space texts have an empty set, link with nothing and are their own
 component; a text shorter than a shingle is one shingle; repeated rows are one class; rows with a null id
-have component null unless they link with a row that has an id; other columns are kept as they are.
+have component null unless they link with a row that has an id, and those of null component all stay; other
+columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, mix, shingles, stored, text_of
+from .common import as_bytes, mix, shingles, stored, text_of, word_hashes
 from .graph import components
 
 POSITIONS = 60
@@ -42,11 +43,11 @@ MAX_STARS = 8
 _rng = np.random.default_rng(20240229)
 _MASK = _rng.integers(0, 2**63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = _rng.integers(0, 2**63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
-_words = WordHashes()
 
 
-def shingle_set(text: str, size: int) -> np.ndarray:
-    return np.unique(shingles(_words.of(text.encode().lower().split()), size))
+def shingle_sets(texts: list[bytes], size: int):
+    for words in word_hashes(texts, lower=True):
+        yield np.unique(shingles(words, size))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -76,8 +77,7 @@ def _signing(size: int):
     @F.arrow_udf("struct<n:bigint,c:binary,s:binary>")
     def sign(texts: pa.Array) -> pa.Array:
         n, c, s = [], [], []
-        for t in texts.to_pylist():
-            hashes = shingle_set(t, size)
+        for hashes in shingle_sets(as_bytes(texts), size):
             n.append(len(hashes))
             c.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
             s.append(signature(hashes).tobytes() if len(hashes) else None)
@@ -99,15 +99,8 @@ def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
 def _linking(size: int, percent: int):
     @F.arrow_udf("boolean")
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        out, known = [], {}
-        for x, y in zip(a.to_pylist(), b.to_pylist()):
-            sets = []
-            for t in (x, y):
-                if t not in known:
-                    if len(known) > 8:
-                        known.clear()
-                    known[t] = shingle_set(t, size)
-                sets.append(known[t])
+        out = []
+        for sets in zip(shingle_sets(as_bytes(a), size), shingle_sets(as_bytes(b), size)):
             both = len(np.intersect1d(*sets, assume_unique=True))
             out.append(100 * both >= percent * (len(sets[0]) + len(sets[1]) - both))
         return pa.array(out, pa.bool_())
@@ -177,24 +170,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
             break
 
     if roots is None:
-        return signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(
-            F.min("doc_id").over(_by("c"))).alias("component_id"))
-    least = classes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("root"), F.col("at.doc_id").alias("d"))
-    first_null = classes.select("c")  # a class whose smallest id is null may have others
-    ids = signed.where("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("d")).join(least.drop("d"), "c")
+        roots = docs.sparkSession.createDataFrame([], "node binary, root binary")
+    of_class = classes.select("c").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("root"))
+    ids = signed.where("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("d")).join(of_class, "c")
     smallest = ids.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_class = least.drop("d").join(smallest, "root", "left").select("c", "component_id")
+    of_class = of_class.join(smallest, "root", "left").select("c", "component_id")
     out = signed.join(of_class, "c", "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of every component: the one with its id (of rows that repeat this id within the
-    component, the one with the lowest text hash; without any id in a component, likewise)."""
+    """docs with one row of every component: the one with its id (of different texts that repeat this id within
+    the component, the one with the lowest text hash).  Documents without words and without a component stay."""
     found = near_duplicates(docs, text, id_, size, percent)
     stay = found.where("n_shingles = 0 OR component_id IS NULL OR doc_id = component_id")
-    nodes = stay.groupBy(F.col("doc_id").alias("_d"), "component_id", (F.col("n_shingles") == 0).alias("_e")).agg(F.min("text_hash").alias("_h"))
-    nodes = nodes.select("_d", "_h").distinct()
-    here = docs.alias("docs")
-    match = here.join(nodes.alias("kept"), F.col(f"docs.`{id_}`").cast("bigint").eqNullSafe(F.col("kept._d")) & (F.xxhash64(F.coalesce(F.col(f"docs.`{text}`").cast("string"), F.lit(""))) == F.col("kept._h")), "left_semi")
-    return match
+    nodes = stay.groupBy("doc_id", "component_id", (F.col("n_shingles") == 0).alias("none")).agg(F.min("text_hash").alias("h"))
+    nodes = nodes.select(F.col("doc_id").alias("d"), "h").distinct().alias("kept")
+    at, key = docs.alias("docs"), F.col(f"docs.`{id_}`").cast("bigint")
+    hash_ = F.xxhash64(F.coalesce(F.col(f"docs.`{text}`").cast("string"), F.lit("")))
+    return at.join(nodes, key.eqNullSafe(F.col("kept.d")) & (hash_ == F.col("kept.h")), "left_semi")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, neardup, quality, substring
+from . import bpe, decontaminate, fingerprint, langid, licenses, linededup, neardup, quality, secrets, substring
 from .common import table, text_of
 
 QUERIES: dict = {}
@@ -30,6 +30,12 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find_contaminated(docs, items)
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = linededup.remove_similar_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 @query
 def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -41,6 +47,17 @@ def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
                           F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+@query
+def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans")
+
+
+@query
+def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf, "documents"))
+
+
 @query
 def op6_langid(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
@@ -54,7 +71,7 @@ def op6_langid(spark: SparkSession, sf: str) -> DataFrame:
 def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = neardup.near_duplicates(docs, size=3, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 @query
