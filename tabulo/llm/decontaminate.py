@@ -95,13 +95,13 @@ class Index:
             pivot = front[-1][0]
             while heap and heap[0][0] == pivot:
                 front.append(heapq.heappop(heap))
-            if sum(self.blocks[t][self._seek(at, t, pivot) // BLOCK] for _, t in front if at[t] < len(self.items[t])) < threshold:
-                # no item up to the end of these blocks can reach it (nor before the next cursor's item)
-                ends = [self.items[t][min(len(self.items[t]), (at[t] // BLOCK + 1) * BLOCK) - 1] for _, t in front if at[t] < len(self.items[t])]
-                target = min([e + 1 for e in ends] + [heap[0][0] if heap else len(self.ids)])
-                target = max(target, pivot + 1)
+            live = [t for _, t in front if self._seek(at, t, pivot) < len(self.items[t])]
+            if sum(self.blocks[t][at[t] // BLOCK] for t in live) < threshold:
+                # nothing up to the end of these blocks can reach it, nor before the next cursor's item
+                ends = [self.items[t][min(len(self.items[t]), (at[t] // BLOCK + 1) * BLOCK) - 1] + 1 for t in live]
+                target = max(pivot + 1, min(ends + [heap[0][0] if heap else len(self.ids)]))
             else:
-                score = sum(self.impacts[t][at[t]] for _, t in front if at[t] < len(self.items[t]) and self.items[t][at[t]] == pivot)
+                score = sum(self.impacts[t][at[t]] for t in live if self.items[t][at[t]] == pivot)
                 if score >= threshold:
                     found.append((pivot, score))
                 target = pivot + 1

@@ -76,14 +76,16 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def band_keys(grams: np.ndarray, size: int, stride: int):
-    """For each band the keys of the windows of `size` words (one window if there are fewer), from their shingles."""
+    """Starts of the windows of `size` words (one if there are fewer; the last one always counts), and for each band
+    their keys, from the shingles."""
     width = min(max(1, size - SHINGLE + 1), len(grams))
+    starts = np.unique(np.append(np.arange(0, len(grams) - width + 1, stride), len(grams) - width))
     for band in range(BANDS):
-        key = np.full(-(-(len(grams) - width + 1) // stride), np.uint64(band + 1))
+        key = np.full(len(starts), np.uint64(band + 1))
         for row in range(ROWS):
             i = band * ROWS + row
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ _least((grams ^ _MASK[i]) * _FACTOR[i], width)[::stride])
-        yield key
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ _least((grams ^ _MASK[i]) * _FACTOR[i], width)[starts])
+        yield starts, key
 
 
 class Templates:
@@ -96,10 +98,10 @@ class Templates:
         for size in (SHORT, LONG):
             keys, owner = [], []
             for t, w in enumerate(hashed):
-                if not len(w) or (SHORT if len(w) < 2 * LONG // 2 else LONG) != size:
+                if not len(w) or (SHORT if len(w) < LONG else LONG) != size:
                     continue
                 for at in range(0, max(1, len(w) - size + 1), max(1, size // 2)):
-                    for key in band_keys(shingles(w[at:at + size], SHINGLE), size, 1):
+                    for _, key in band_keys(shingles(w[at:at + size], SHINGLE), size, 1):
                         keys.append(key)
                         owner.append(np.full(len(key), t))
             order = np.argsort(np.concatenate(keys)) if keys else np.zeros(0, int)
@@ -112,13 +114,12 @@ class Templates:
         for size, (keys, owner) in self.keys.items():
             if not len(keys) or not len(grams):
                 continue
-            stride = size // 4
-            for key in band_keys(grams, size, stride):
+            for starts, key in band_keys(grams, size, size // 4):
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 for w in np.flatnonzero(keys[at] == key).tolist():
                     i = int(at[w])
                     while i < len(keys) and keys[i] == key[w]:
-                        seen.setdefault(int(owner[i]), []).append((w * stride, w * stride + size))
+                        seen.setdefault(int(owner[i]), []).append((int(starts[w]), int(starts[w]) + size))
                         i += 1
         out = []
         for t, hits in sorted(seen.items()):
