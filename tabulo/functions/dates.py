@@ -33,10 +33,15 @@ def clean_date_basic(col) -> Column:
     return _parse(s, BASIC_PATTERNS).cast("date")
 
 
+def _iso(s: Column) -> Column:
+    """The lenient ISO cast, for text that starts with a year (a bare time of day would become today's date)."""
+    return F.when(s.rlike(r"^[+-]?\d{4}"), s.try_cast("timestamp"))
+
+
 def clean_date_multi(col) -> Column:
     """Ten layouts, then a lenient ISO fallback (date with optional time)."""
     s = strip_ws(_c(col).cast("string"))
-    return F.coalesce(_parse(s, EXTENDED_PATTERNS), s.try_cast("timestamp")).cast("date")
+    return F.coalesce(_parse(s, EXTENDED_PATTERNS), _iso(s)).cast("date")
 
 
 def to_datetime(col, source_type: str = "string") -> Column:
@@ -45,7 +50,7 @@ def to_datetime(col, source_type: str = "string") -> Column:
     if source_type in ("date", "timestamp", "timestamp_ntz"):
         return c.cast("timestamp")
     s = strip_ws(c.cast("string"))
-    return F.coalesce(s.try_cast("timestamp"), _parse(s, EXTENDED_PATTERNS))
+    return F.coalesce(_iso(s), _parse(s, EXTENDED_PATTERNS))
 
 
 def merge_day_month_year(day, month, year) -> Column:

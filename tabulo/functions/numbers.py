@@ -54,12 +54,3 @@ def clean_number_locale(col) -> Column:
         .otherwise(s1)
     )
     return F.when(s0.rlike(SCI_RE), s0.try_cast("double")).otherwise(_to_double_gated(norm, PLAIN_RE))
-
-
-def clean_number_any(df_type, col) -> Column:
-    """Numeric source columns pass through (NaN -> NULL); strings go through C01."""
-    c = _c(col)
-    if isinstance(df_type, NumericType):
-        d = c.cast("double")
-        return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
-    return clean_number_basic(c)

@@ -69,9 +69,3 @@ def empty_to_null(col) -> Column:
     """Trimmed value, NULL when it is one of the empty tokens."""
     s = strip_ws(_c(col).cast("string"))
     return F.when(F.lower(s).isin(*EMPTY_TOKENS), F.lit(None).cast("string")).otherwise(s)
-
-
-def nan_to_null(col) -> Column:
-    """NaN -> NULL for floating columns (pandas' ``isna`` treats both alike)."""
-    c = _c(col)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)

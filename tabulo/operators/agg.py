@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import math
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import qcol
-MAX_PIVOT_LABELS = 10_000
 
 
 def _q(c: str):
@@ -72,24 +73,18 @@ def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 def crosstab(df: DataFrame, a: str, b: str, a_labels=None, b_labels=None) -> DataFrame:
     """Zero-filled crosstab in long form (a, b, n).
 
-    The label lists come from the profile (bounded by the category rule);
-    the zero cells are produced by a pivot on the explicit ``b`` labels and
-    an unpivot back to long form -- no join of all label pairs.
-    """
+    Each ``a`` label carries its counts as a map of its ``b`` labels and is
+    exploded over all ``b`` labels; labels are values, never SQL text or column names."""
     counts = pair_counts(df, a, b)
     if b_labels is None:
-        b_labels = [r[0] for r in counts.select("b").distinct().orderBy("b").limit(MAX_PIVOT_LABELS + 1).collect()]
-    if len(b_labels) > MAX_PIVOT_LABELS:
-        raise ValueError(f"{b} has too many labels for a crosstab")
-    wide = counts.groupBy("a").pivot("b", b_labels).agg(F.sum("n"))
+        b_labels = [r[0] for r in counts.select("b").distinct().orderBy("b").collect()]  # one row a label
+    if not b_labels:
+        return counts.limit(0)
     if a_labels is not None:
-        wide = wide.filter(F.col("a").isin(a_labels))
-    stack = ", ".join(f"{_sql_lit(v)}, coalesce(`{v}`, 0L)" for v in b_labels)
-    return wide.selectExpr("a", f"stack({len(b_labels)}, {stack}) as (b, n)") if b_labels else counts.limit(0)
-
-
-def _sql_lit(v: str) -> str:
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        counts = counts.filter(F.col("a").isin(a_labels))
+    of_a = counts.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    labels = F.from_json(F.lit(json.dumps([str(v) for v in b_labels])), "array<string>")
+    return of_a.select("a", "m", F.explode(labels).alias("b")).select("a", "b", F.coalesce(F.try_element_at("m", F.col("b")), F.lit(0)).alias("n"))
 
 
 def two_way_auto(df: DataFrame, col: str, prof_rows, top_n: int = 10) -> DataFrame:
@@ -121,14 +116,6 @@ def mean_by_category(df: DataFrame, cat: str, measure: str, decimals: int | None
     return g.orderBy(F.desc_nulls_last("mean"), F.asc(cat))
 
 
-def mean_from_partials(df: DataFrame, cat: str, sum_col: str, cnt_col: str) -> DataFrame:
-    """A05 over pre-aggregated partial sums (sum, count) -- used after a
-    fact table was reduced on its join key before the join."""
-    g = df.filter(_q(cat).isNotNull()).groupBy(_q(cat).alias(cat)).agg(
-        F.sum(sum_col).alias("_s"), F.sum(cnt_col).alias("n"))
-    return g.select(cat, (F.col("_s") / F.col("n")).alias("mean"), "n").orderBy(F.desc_nulls_last("mean"), F.asc(cat))
-
-
 def mean_by_two(df: DataFrame, cat: str, measure: str, second: str | None = None, prof_rows=None,
                 decimals: int | None = None) -> DataFrame:
     """Mean by two categories; 2nd one chosen as first other category with 2-7 labels."""
@@ -252,29 +239,31 @@ def flow_edges(df: DataFrame, source: str, target: str, value: str | None = None
         "source", "target", "source_id", "target_id", "value")
 
 
+SAMPLE_BUCKETS = 65_536
+
+
 def bounded_sample(df: DataFrame, n: int = 120_000, key_cols=None, seed: int = 42) -> DataFrame:
-    """Deterministic row-bounded sample for point clouds.
-
-    Each row gets a hash of its key columns (all columns by default) and the
-    seed.  A first filter keeps the rows whose hash falls under ~1.2 n / N
-    (map-side, no shuffle), then the n smallest hashes are kept.  Aggregates
-    never use this (D7)."""
-    key_cols = key_cols or df.columns
-    h = F.xxhash64(*[_q(c) for c in key_cols], F.lit(seed))
-    total = df.count()
-    if total <= n:
-        return df
-    frac = min(1.0, 1.2 * n / total + 1e-6)
-    # map the signed 64-bit hash to [0, 1)
-    u = (F.abs(h % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0))
-    return df.withColumn("_h", h).filter(u < F.lit(frac)).orderBy("_h").limit(n).drop("_h")
-
-
-def bubble_projection(df: DataFrame, x: str, y: str, size: str | None = None, colour: str | None = None,
-                      n: int = 120_000) -> DataFrame:
-    """X, y, size, colour for a bubble chart; rows missing x or y dropped."""
+    """Deterministic sample of exactly min(n, rows) rows, for point clouds only (aggregates use all rows, D7).
+
+    Rows are ordered by an MD5 of the seed and their key columns (all by default).  One pass counts the first
+    16 bits of it; every row below the bucket that holds the n-th row stays, and only that bucket is sorted."""
+    names = key_cols or df.columns
+    parts = [F.coalesce(_q(c).cast("string"), F.lit("\0")) for c in names]
+    spot = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    hashed = df.withColumn("_spot", spot).withColumn("_bucket", F.conv(F.substring("_spot", 1, 4), 16, 10).cast("int"))
+    left, at = n, SAMPLE_BUCKETS
+    for r in hashed.groupBy("_bucket").count().orderBy("_bucket").collect():  # SAMPLE_BUCKETS rows at most
+        if r["count"] > left:
+            at = r["_bucket"]
+            break
+        left -= r["count"]
+    below, edge = hashed.filter(F.col("_bucket") < at), hashed.filter(F.col("_bucket") == at).orderBy("_spot").limit(left)
+    return below.unionByName(edge).drop("_spot", "_bucket")
+
+
+def bubble_projection(df: DataFrame, x: str, y: str, size: str | None = None, colour: str | None = None) -> DataFrame:
+    """X, y, size, colour for a bubble chart; rows missing x or y dropped, all others kept."""
     cols = [_num(x).alias("x"), _num(y).alias("y"),
             (_num(size) if size else F.lit(None).cast("double")).alias("size"),
             (_q(colour).cast("string") if colour else F.lit(None).cast("string")).alias("colour")]
-    proj = df.select(*cols).na.drop(subset=["x", "y"])
-    return bounded_sample(proj, n)
+    return df.select(*cols).na.drop(subset=["x", "y"])

@@ -15,10 +15,8 @@ from ..functions.text import qcol
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
-from ..session import spread
 
 AUTO_ACCEPT = 0.7  # C17 thresholds
-FIX_ALL = 0.5
 
 
 def _q(c: str):
@@ -55,17 +53,23 @@ def dmy_columns(columns) -> tuple[str, str, str] | None:
 
 # ---------------------------------------------------------------- C16
 def rename_map(prof_rows) -> dict:
-    """P06 names for every non-id column, collisions suffixed ``_2``, ``_3``
-    in schema order (the reference would produce duplicate names)."""
-    seen: dict[str, int] = {}
+    """P06 names for every non-id column, collisions suffixed ``_2``, ``_3`` in
+    schema order: the first suffix that neither a kept id column, nor another
+    column's proposed name, nor a name given before has."""
+    rows = sorted(prof_rows, key=lambda r: r["ordinal"])
+    given = {r["column"].lower() for r in rows if r["data_type"] == "id"}
+    wanted = {(r["proposed_name"] or r["column"]).lower() for r in rows if r["data_type"] != "id"}
     out = {}
-    for r in sorted(prof_rows, key=lambda r: r["ordinal"]):
+    for r in rows:
         if r["data_type"] == "id":
             continue  # id columns keep their name and values
-        name = r["proposed_name"] or r["column"]
-        k = seen.get(name, 0) + 1
-        seen[name] = k
-        out[r["column"]] = name if k == 1 else f"{name}_{k}"
+        name = base = r["proposed_name"] or r["column"]
+        k = 1
+        while name.lower() in given or (k > 1 and name.lower() in wanted):
+            k += 1
+            name = f"{base}_{k}"
+        given.add(name.lower())
+        out[r["column"]] = name
     return out
 
 
@@ -92,7 +96,7 @@ def clean_table(df: DataFrame, prof_rows, rename: bool = True, mode: str = "full
     ``types`` overrides the profile's ``data_type`` per column (C17/C18).
     Day/month/year columns are merged into ``date`` (originals kept), and the
     ``etat``/``note`` shift is repaired first (C15, clean-time rule)."""
-    df = realign(spread(df), "etat", "note", "^[A-Za-z]")
+    df = realign(df, "etat", "note", "^[A-Za-z]")
     prof = {r["column"]: r for r in prof_rows}
     types = types or {}
     names = rename_map(prof_rows) if rename else {}
@@ -153,8 +157,8 @@ def apply_dictionaries(df: DataFrame, prof_rows, dictionary: DataFrame | None =
     refs = references if references is not None else Z.known_categories_df(df.sparkSession)
     dict_cols = set()
     if dictionary is not None:
-        dict_cols = {r[0] for r in dictionary.select("column").distinct().limit(10_000).collect()}
-    ref_cols = {r[0] for r in refs.select("column").distinct().limit(10_000).collect()}
+        dict_cols = {r[0] for r in dictionary.select("column").distinct().collect()}
+    ref_cols = {r[0] for r in refs.select("column").distinct().collect()}
     for r in sorted(prof_rows, key=lambda r: r["ordinal"]):
         c = r["column"]
         if r["data_type"] != "category" or c not in df.columns:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType, ArrayType, MapType, BinaryType
 
 from ..functions.text import qcol
-from ..session import spread
 
 
 def value_text(df: DataFrame, col: str) -> Column:
@@ -43,7 +42,7 @@ def freq(df: DataFrame, cols=None) -> DataFrame:
         ])
     ).alias("cell")
     return (
-        spread(df).select(cells)
+        df.select(cells)
         .select("cell.*")
         .groupBy("ordinal", "column", "value")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -158,7 +158,6 @@ def near_unique_split(df: DataFrame, cols, ratio: float = 0.5, rsd: float = 0.02
     """One aggregate pass: per column non-null count, approximate distinct
     count and the number/date shape hit counts.  Returns (stats_rows,
     near_unique_columns) -- the stats are one row per column."""
-    from ..session import spread
     from .freq import value_text
 
     aggs = []
@@ -171,7 +170,7 @@ def near_unique_split(df: DataFrame, cols, ratio: float = 0.5, rsd: float = 0.02
                      F.count(F.when((F.length(raw) <= 10) & raw.rlike(DATE_SHAPE_RE), 1)).alias(f"dh{i}")]
         else:
             aggs += [F.lit(0).alias(f"nh{i}"), F.lit(0).alias(f"dh{i}")]
-    r = spread(df).agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
+    r = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
     stats = {c: dict(n_rows=r["_rows"], non_null=r[f"nn{i}"], nunique=r[f"nd{i}"], num_hits=r[f"nh{i}"],
                      date_hits=r[f"dh{i}"]) for i, c in enumerate(cols)}
     near = [c for c in cols if stats[c]["non_null"] > 0 and stats[c]["nunique"] >= ratio * stats[c]["non_null"]]

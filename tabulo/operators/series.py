@@ -19,8 +19,9 @@ with one plan instead:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -47,9 +48,8 @@ def global_index(df: DataFrame, order_cols, partitions: int | None = None) -> Da
     for pid, n in counts:
         offsets[pid] = acc
         acc += n
-    off_map = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o).cast("long"))]) \
-        if offsets else F.create_map().cast("map<int,bigint>")
-    return ranged.withColumn("_idx", off_map[F.col("_pid")] + F.col("_pos")).drop("_pid", "_pos")
+    starts = spark.createDataFrame(list(offsets.items()), "_pid int, _before long")  # one row a partition
+    return ranged.join(F.broadcast(starts), "_pid").withColumn("_idx", F.col("_before") + F.col("_pos")).drop("_pid", "_pos", "_before")
 
 
 def index_within(df: DataFrame, group_cols, order_cols, partitions: int | None = None) -> DataFrame:
@@ -61,7 +61,10 @@ def index_within(df: DataFrame, group_cols, order_cols, partitions: int | None =
     g = list(group_cols)
     indexed = global_index(df, g + [c for c in order_cols if c not in g], partitions)
     starts = indexed.groupBy(*[_q(c) for c in g]).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    return indexed.join(starts, g).withColumn("_k", F.col("_idx") - F.col("_start")).drop("_start")
+    held = [f"_g{i}" for i in range(len(g))]  # a NULL key is a group like any other
+    starts = starts.withColumnsRenamed(dict(zip(g, held)))
+    same = [_q(c).eqNullSafe(F.col(h)) for c, h in zip(g, held)]
+    return indexed.join(starts, reduce(Column.__and__, same)).withColumn("_k", F.col("_idx") - F.col("_start")).drop("_start", *held)
 
 
 def _chunked(indexed: DataFrame, lookback: int, n_rows: int, chunk_rows: int | None = None) -> DataFrame:
@@ -90,12 +93,12 @@ def rolling(df: DataFrame, order_col: str, value_col: str, partition_cols=(), ti
     if keys:
         # skew-proof: no window over a whole series key; the dense index runs
         # over (keys, order) and the chunks never mix keys
-        indexed = index_within(data, keys, order)
+        indexed = index_within(data, keys, [*order, "_v"])  # the value last: equal rows are all that can tie
         n_rows = indexed.count()
         out = _chunked(indexed, lookback, n_rows, chunk_rows)
         w = Window.partitionBy(*[_q(c) for c in keys], "_chunk").orderBy("_idx")
     else:
-        indexed = global_index(data, order)
+        indexed = global_index(data, [*order, "_v"])
         n_rows = indexed.count()
         out = _chunked(indexed, lookback, n_rows, chunk_rows).withColumn("_n", F.lit(n_rows))
         out = out.withColumn("_k", F.col("_idx"))

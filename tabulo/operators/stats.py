@@ -39,17 +39,9 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
         aggs += [pair_corr(a, b).alias(f"r{k}"),
                  F.count(F.when(a.isNotNull() & b.isNotNull(), F.lit(1))).alias(f"n{k}")]
     wide = df.agg(*aggs)
-    parts = ", ".join(f"'{cols[i]}', '{cols[j]}', r{k}, n{k}" for k, (i, j) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {parts}) as (c1, c2, r, n)")
-
-
-def quantiles(v, probs, exact: bool = True, accuracy: int = 100_000):
-    """Single-aggregate quantiles: Spark's exact ``percentile`` (memory grows
-    with the distinct values of a group) or ``percentile_approx``.  Prefer
-    ``exact_quantiles`` on large data."""
-    if exact:
-        return F.percentile(v, F.array(*[F.lit(p) for p in probs]))
-    return F.percentile_approx(v, [float(p) for p in probs], accuracy)
+    rows = [F.struct(F.lit(cols[i]).alias("c1"), F.lit(cols[j]).alias("c2"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n"))
+            for k, (i, j) in enumerate(pairs)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 MAX_LOCAL_GROUPS = 10_000

@@ -57,6 +57,15 @@ def histogram_tidy(df, col, qid, chart="histogram", nbins=None):
     return _tidy(h, qid, chart, F.lit(col), "bin", "n", x_lo="lo", x_hi="hi")
 
 
+MIN_VALUES = 3  # fixed value: date and line charts of fewer rows are not drawn
+
+
+def _enough(chart: DataFrame, df: DataFrame, cols) -> DataFrame:
+    """The chart, or no rows if under MIN_VALUES rows of df have all the columns (at most that many are looked up)."""
+    rows = df.select(*[A._q(c) for c in cols]).na.drop().limit(MIN_VALUES).collect()
+    return chart if len(rows) == MIN_VALUES else chart.limit(0)
+
+
 def aggregate_for_question(df: DataFrame, q: dict, prof_rows, policy: str = "chart") -> DataFrame:
     """Q04 (``policy='chart'``: chart type + column kinds) and Q05
     (``policy='dtype'``: kinds only; adds category x category)."""
@@ -99,19 +108,21 @@ def aggregate_for_question(df: DataFrame, q: dict, prof_rows, policy: str = "cha
             return _tidy(t, qid, chart, "b", "a", "n")
         if c in date:
             h = A.date_histogram(df, c)
-            return _tidy(h, qid, "histogram", "unit", "period", "n")
+            return _enough(_tidy(h, qid, "histogram", "unit", "period", "n"), df, [c])
         return _empty(spark)
     if len(cols) == 2:
         a, b = cols
         if (a in date and b in num) or (b in date and a in num):
             d, m = (a, b) if a in date else (b, a)
             r = S.rolling(df, d, m)
-            return _tidy(r, qid, "line", F.lit("rolling_mean"), d, "rolling_mean", x_lo="band_min", x_hi="band_max")
-        if chart == "bar" and ((a in cat and b in num) or (b in cat and a in num)):
+            line = _tidy(r, qid, "line", F.lit("rolling_mean"), d, "rolling_mean", x_lo="band_min", x_hi="band_max")
+            return _enough(line, df, [d, m])
+        # whatever the chart asked for: category and number is a mean, two numbers are a trend
+        if (a in cat and b in num) or (b in cat and a in num):
             c, m = (a, b) if a in cat else (b, a)
             g = A.mean_by_two(df, c, m, prof_rows=prof_rows)
             return _tidy(g, qid, "bar", "second", c, "mean", "n")
-        if chart == "scatter" and a in num and b in num:
+        if a in num and b in num:
             _, line = ST.linear_trend(df, a, b)
             return _tidy(line, qid, "scatter", F.lit("trend"), "x", "y")
     return _empty(spark)

@@ -246,17 +246,17 @@ SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y, CA
        l_returnflag AS colour
 FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""")
 def bubble_projection(spark, sf):
-    """A17 with the A18 bound (120,000 points): below the bound all rows
-    are returned, above it a deterministic hash sample."""
+    """Every row with x and y."""
     return A.bubble_projection(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_discount",
                                "l_returnflag")
 
 
-@query("bounded_sample")
+@query("bounded_sample", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey) LIMIT 1000""")
 def bounded_sample(spark, sf):
-    """Deterministic 1,000-row sample of orders (no SQL oracle: the
-    hash order is Spark's xxhash64)."""
-    return A.bounded_sample(table(spark, sf, "orders"), 1000, ["o_orderkey"])
+    """Deterministic 1,000-row sample of orders."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return A.bounded_sample(orders, 1000, ["o_orderkey"])
 
 
 # ---------------------------------------------------------------- W01 - W03 / T01

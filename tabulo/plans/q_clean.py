@@ -21,9 +21,7 @@ EMPTY = "('', 'nan', 'null', 'none', '?', 'inconnu', '-', '--')"
 
 
 def staged(df, *stages):
-    from ..session import spread
 
-    df = spread(df)
     for s in stages:
         df = df.selectExpr(*s)
     return df

@@ -56,37 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting points at shared storage and is used as is.
-    Only when it is unset (local tests) do we create a scratch folder.
+    Only a local session without it gets a scratch folder; on a cluster a
+    machine-local folder would lose data, so that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        # unset: only happens in local tests
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         d = tempfile.mkdtemp(prefix="tabulo-ckpt-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
-
-SMALL_INPUT_BYTES = 32 * 1024 * 1024  # per core
-
-
-def spread(df):
-    """Round-robin rows over the cluster's cores before CPU-heavy row work
-    (regex cleaners, unpivot, HTML parsing) -- ONLY for small inputs, where
-    a file with one row group would otherwise be read by one task.  The
-    decision uses Catalyst's size estimate of the optimized plan (no job is
-    run); inputs above ``cores x 32 MB`` are returned untouched, so this
-    never adds a shuffle at scale."""
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = size if isinstance(size, int) else int(size.toString())
-    except Exception:  # estimate unavailable: leave the plan alone
-        return df
-    if size > cores * SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(cores)

@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,23 +49,33 @@ def separator_expr(line) -> F.Column:
 def sniff_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, first_line, sep, encoding) for every file under ``path``.
 
-    The first split of each file supplies its first line; a line of that
-    split that is not valid UTF-8 (``try_validate_utf8`` is NULL) makes the
-    file ISO-8859-1 (S03: latin-1 decodes anything, so the reference's later
-    fallbacks are never reached for encoding errors)."""
-    lines = (spark.read.text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("start"),
-                     F.monotonically_increasing_id().alias("pos"))
-             .filter(F.col("start") == 0))
+    All lines of a file are looked at, in all of its splits: the first one
+    names the separator, and any line that is not valid UTF-8
+    (``try_validate_utf8`` is NULL) makes the file ISO-8859-1 (S03: latin-1
+    decodes anything, so the reference's later fallbacks are never reached
+    for encoding errors).  One row per file, summed up by each task first."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("pos")).alias("at"))
     per_file = lines.groupBy("file").agg(
-        F.min_by("value", "pos").alias("first_line"),
+        F.min_by(F.when((F.col("at.start") == 0), F.col("value")), "at").alias("first_line"),
         F.max(F.try_validate_utf8("value").isNull()).alias("bad_utf8"))
     return per_file.select(
         "file", "first_line", separator_expr(F.col("first_line")).alias("sep"),
         F.when(F.col("bad_utf8"), F.lit("ISO-8859-1")).otherwise(F.lit("UTF-8")).alias("encoding"))
 
 
+def _json_files(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """Files by whether they hold one top-level array (needs multiLine) or JSON Lines: the first character that is not blank."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"), F.substring(F.ltrim("value"), 1, 1).alias("c"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("pos")).alias("at"))
+    out: dict[bool, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("c", "at").alias("c")).orderBy("file").collect():  # one row a file
+        out.setdefault(r["c"] == "[", []).append(unquote(r["file"]))
+    return out
+
+
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None = None,
              encoding: str | None = None, header: bool = True) -> DataFrame:
     """S01 + S04: load a table; delimited text all-string with a header."""
@@ -72,21 +83,22 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, sep: str |
     if ext in (".parquet", "parquet"):
         return spark.read.parquet(path)
     if ext in (".json", "json"):
-        # a top-level JSON array needs multiLine; JSON Lines does not
-        first = spark.read.text(path).limit(1).collect()
-        multi = bool(first) and first[0][0].lstrip().startswith("[")
-        return spark.read.option("multiLine", multi).json(path)
+        frames = [spark.read.option("multiLine", multi).json(files) for multi, files in sorted(_json_files(spark, path).items())]
+        return _stacked(frames) if frames else spark.read.json(path)
     if ext in (".tsv", ".txt", "tsv") and sep is None:
         sep = "\t"
-    if sep is None or encoding is None:
-        sniffed = sniff_files(spark, path).groupBy("sep", "encoding").agg(
-            F.sort_array(F.collect_list("file")).alias("files")).collect()  # one row per (sep, encoding) group
-        groups = [(sep or r["sep"], encoding or r["encoding"], r["files"]) for r in sniffed] or [(sep or ",", encoding or "UTF-8", [path])]
-    else:
-        groups = [(sep, encoding, [path])]
+    groups: dict[tuple, list[str]] = {}
+    # files of one separator, encoding and header line are read together; unlike headers are matched by name
+    for r in sniff_files(spark, path).orderBy("file").collect():  # one row a file, as Spark's own file list
+        key = (sep or r["sep"], encoding or r["encoding"], r["first_line"] if header else None)
+        groups.setdefault(key, []).append(unquote(r["file"]))
     frames = [spark.read.option("header", header).option("sep", s).option("encoding", e)
               .option("inferSchema", False).option("mode", "PERMISSIVE").csv(files)
-              for s, e, files in groups]
+              for (s, e, _), files in (groups or {(sep or ",", encoding or "UTF-8", None): [path]}).items()]
+    return _stacked(frames)
+
+
+def _stacked(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

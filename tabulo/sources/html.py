@@ -41,7 +41,7 @@ class _TableParser(HTMLParser):
             self.skip += 1
             return
         if tag == "table":
-            self.stack.append(dict(no=self.count, rows=[], row=None, cell=None, in_head=False))
+            self.stack.append(dict(no=self.count, rows=[], row=None, cell=None, in_head=False, open={}, lent={}))
             self.count += 1
             return
         if not self.stack:
@@ -59,14 +59,11 @@ class _TableParser(HTMLParser):
             self._close_cell(t)
             if t["row"] is None:
                 t["row"] = dict(cells=[], head=t["in_head"])
-            span = 1
+            spans = {"colspan": 1, "rowspan": 1}
             for k, v in attrs:
-                if k == "colspan":
-                    try:
-                        span = max(1, min(1000, int(v)))
-                    except (TypeError, ValueError):
-                        span = 1
-            t["cell"] = dict(th=(tag == "th"), text=[], span=span)
+                if k in spans and (v or "").strip().isdigit():
+                    spans[k] = max(1, int(v))
+            t["cell"] = dict(th=(tag == "th"), text=[], **spans)
         elif tag == "br" and t["cell"] is not None:
             t["cell"]["text"].append(" ")
 
@@ -100,12 +97,28 @@ class _TableParser(HTMLParser):
         if c is None:
             return
         text = " ".join("".join(c["text"]).split())
-        t["row"]["cells"].extend([(c["th"], text)] * c["span"])
+        self._lent(t)
+        for _ in range(c["colspan"]):
+            if c["rowspan"] > 1:
+                t["lent"][len(t["row"]["cells"])] = (c["rowspan"], c["th"], text)
+            t["row"]["cells"].append((c["th"], text))
         t["cell"] = None
 
+    def _lent(self, t):
+        """Cells of rows above that reach into this row at its next columns."""
+        cells, lent = t["row"]["cells"], t["lent"]
+        while len(cells) in t["open"]:
+            left, th, text = t["open"].pop(len(cells))
+            if left > 2:
+                lent[len(cells)] = (left - 1, th, text)
+            cells.append((th, text))
+
     def _close_row(self, t):
         self._close_cell(t)
         r = t["row"]
+        if r is not None:
+            self._lent(t)
+            t["open"], t["lent"] = t["lent"], {}
         if r is not None and r["cells"]:
             t["rows"].append(r)
         t["row"] = None
@@ -163,10 +176,8 @@ def _ship_parser() -> None:
 
 def html_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """S11 (raw): long cells of every table of every page."""
-    from ..session import spread
-
     _ship_parser()
-    src = spread(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")))
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
     return src.mapInPandas(_cells_batches, CELL_SCHEMA)
 
 
