@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +38,7 @@ CHUNKS = 12
 SYMBOLS = POSITIONS // CHUNKS
 DISTANCE = 2 * CHUNKS - 1
 #: star rounds go on while the pairs left to compare are more than this many per class
-PAIRS_PER_CLASS = 4
+PAIRS_PER_CLASS = 2
 MAX_STARS = 8
 
 _rng = np.random.default_rng(20240229)
@@ -96,11 +97,18 @@ def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((x != y).sum(axis=1).astype(np.int32))
 
 
+@F.arrow_udf(T.BinaryType())
+def _packed(texts: pa.Array) -> pa.Array:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([pack(t) for t in as_bytes(texts)], pa.binary())
+
+
 def _linking(size: int, percent: int):
     @F.arrow_udf("boolean")
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for sets in zip(shingle_sets(as_bytes(a), size), shingle_sets(as_bytes(b), size)):
+        out, unpack = [], zstandard.ZstdDecompressor().decompress
+        one, two = ([unpack(t) for t in x.to_pylist()] for x in (a, b))
+        for sets in zip(shingle_sets(one, size), shingle_sets(two, size)):
             both = len(np.intersect1d(*sets, assume_unique=True))
             out.append(100 * both >= percent * (len(sets[0]) + len(sets[1]) - both))
         return pa.array(out, pa.bool_())
@@ -116,17 +124,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
     signed = stored(rows.select("doc_id", "text_hash", _signing(size)("t").alias("x")).select("doc_id", "text_hash", "x.*"))
     classes = stored(signed.where("c IS NOT NULL").groupBy("c").agg(F.first("s").alias("s"), F.first("n").alias("n"),
                                                                      F.min(F.struct("doc_id", "text_hash")).alias("at")))
-    keys = classes.select("c", F.explode(_keys("s")).alias("key"))
+    keys = classes.select("c", "n", F.explode(_keys("s")).alias("key"))
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     members = stored(keys.join(shared, "key"))  # only keys that documents share
 
-    # the texts of the documents that share a key, looked up once
+    # the texts of the documents that share a key, looked up once and kept compressed
     wanted = members.select("c").distinct().join(classes, "c").select("c", F.col("at.doc_id").alias("d"), F.col("at.text_hash").alias("h"))
-    texts = stored(rows.join(wanted, (rows.text_hash == wanted.h) & rows.doc_id.eqNullSafe(wanted.d)).select("c", "t").dropDuplicates(["c"]))
+    texts = stored(rows.join(wanted, (rows.text_hash == wanted.h) & rows.doc_id.eqNullSafe(wanted.d)).select("c", _packed("t").alias("t")).dropDuplicates(["c"]))
 
     small = classes.select("c", "s", "n")
     n_classes = classes.count()
-    roots, links, tested = None, None, None
+    roots, links, tested, before = None, None, None, None
 
     def placed():
         """members with the root of their component."""
@@ -150,14 +158,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
         left = by_root.groupBy("key").agg((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)).alias("p")).agg(F.sum("p") / 2).first()[0] or 0
         if not left:
             break
-        last = left <= PAIRS_PER_CLASS * n_classes or turn == MAX_STARS
+        # a round that leaves most of the pairs shows that they are no links: hubs do not help any more
+        last = left <= PAIRS_PER_CLASS * n_classes or turn == MAX_STARS or (before is not None and left > 0.8 * before)
+        before = left
         mixed = at.join(by_root.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key")
         if last:
-            x, y = mixed.select("key", F.col("c").alias("a"), F.col("root").alias("ra")), mixed.select("key", F.col("c").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "key").where("a < b AND ra <> rb").select("a", "b")
+            x, y = (mixed.select("key", F.col("c").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+            similar = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+            pairs = x.join(y, "key").where(similar & F.expr("a < b AND ra <> rb")).select("a", "b")
         else:
-            hubs = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("x"), "c", "root")).alias("hub"))
-            pairs = mixed.join(hubs, "key").where("root <> hub.root").select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
+            hubs = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("x"), "c", "n", "root")).alias("hub"))
+            similar = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+            pairs = mixed.join(hubs, "key").where(similar & F.expr("root <> hub.root")).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
