@@ -8,7 +8,8 @@ then place) is equal or has a Jaccard similarity of at least 0.8.
 2. The words of a class are ordered by rarity, hash next: counts of all words of the corpus in BUCKETS hash
    buckets, the fixed-size table every task gets.  Any order gives the same result, rarity makes it cheap.
 3. Prefix filter: classes are joined on the n - ceil(0.8 n) + 1 rarest of their n words; length filter and
-   positional filter (the words from the first common one on must suffice) are part of the join.
+   positional filter (the words from the first common one on must suffice) are part of the join, and so is a
+   64-bit parity of the words, which bounds how many words differ.
 4. The candidates' words are read again from their documents and their Jaccard similarity is computed.
 
 Words are joined as 56-bit hashes, and verified as strings.  Classes are 128-bit hashes.
@@ -48,15 +49,17 @@ def _rarity(texts: DataFrame) -> Column:
 
 
 def _classes(texts: DataFrame) -> DataFrame:
-    """Distinct lines: x, y (hash of the text), first (place), n (words), prefix."""
+    """Distinct lines: x, y (hash of the text), first (place), n (words), bits (every word flips one), prefix."""
     table = _rarity(texts)
     rank = lambda w: F.ascii(F.substring(table, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
     key = lambda w: F.shiftleft(rank(w).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
     lines = _lines(texts).select(F.struct(*KEY, "i").alias("first"), "x", "y", words_of(F.col("line")).alias("w"))
     lines = lines.select("x", "y", "first", F.size("w").alias("n"), F.sort_array(F.transform("w", key)).alias("s"))
     needed = F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5)).cast("int") + 1
-    lines = lines.select("x", "y", "first", "n", F.slice("s", F.lit(1), needed).alias("prefix"))
-    return lines.groupBy("x", "y").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    flip = lambda b, k: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
+    bits = F.aggregate("s", F.lit(0).cast("long"), flip)
+    lines = lines.select("x", "y", "first", "n", bits.alias("bits"), F.slice("s", F.lit(1), needed).alias("prefix"))
+    return lines.groupBy("x", "y").agg(F.min("first").alias("first"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix")))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -69,13 +72,15 @@ def _lines(texts: DataFrame) -> DataFrame:
 def similar_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts (k, h, t) -> classes (x, y, first), links (x, y): the classes that an earlier class is similar to."""
     classes = _classes(texts)
-    posted = classes.select("x", "y", "first", "n", F.posexplode("prefix").alias("p", "w"))
-    a = posted.select("w", *(F.col(c).alias(f"{c}1") for c in ("x", "n", "p")))
-    b = posted.select("w", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "p")))
+    posted = classes.select("x", "n", "bits", F.posexplode("prefix").alias("p", "w"))
+    a = posted.select("w", *(F.col(c).alias(f"{c}1") for c in ("x", "n", "p", "bits")))
+    b = posted.select("w", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "p", "bits")))
     n1, n2, p1, p2 = (F.col(c) for c in ("n1", "n2", "p1", "p2"))
     length = 5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)
     position = 9 * F.least(n1 - p1, n2 - p2) >= 4 * (n1 + n2)
-    pairs = a.join(b, (a.w == b.w) & (F.col("x1") < F.col("x2")) & length & position).select("x1", "x2").distinct()
+    # words of one line only flip at least as many bits as differ; a match has (n1 + n2) / 9 of them at most
+    few = 9 * F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) <= n1 + n2
+    pairs = a.join(b, (a.w == b.w) & (F.col("x1") < F.col("x2")) & length & position & few).select("x1", "x2").distinct()
 
     # the candidates' words, from the first line of each class
     wanted = pairs.select(F.explode(F.array("x1", "x2")).alias("x")).distinct().join(classes.select("x", "y", "first"), "x")
