@@ -86,10 +86,12 @@ def similar_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = pairs.select(F.explode(F.array("x1", "x2")).alias("x")).distinct().join(classes.select("x", "y", "first"), "x")
     asked = wanted.select("first.*", "x", "y").groupBy(*KEY).agg(F.collect_list(F.struct("i", "x", "y")).alias("asked"))
     read = asked.join(texts, KEY).select(*KEY, F.split("t", "\n", -1).alias("all"), F.explode("asked").alias("q"))
-    read = read.select("q.x", "q.y", F.struct(*KEY, "q.i").alias("first"), words_of(F.col("all")[F.col("q.i")]).alias("w")).dropDuplicates(["x", "y"])
+    read = read.select("q.x", "q.y", F.struct(*KEY, "q.i").alias("first"), F.lower(F.col("all")[F.col("q.i")]).alias("w")).dropDuplicates(["x", "y"])
     one = read.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("first").alias("f1"), F.col("w").alias("w1"))
     two = read.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("first").alias("f2"), F.col("w").alias("w2"))
-    both = pairs.join(one, "x1").join(two, "x2").where(9 * F.size(F.array_intersect("w1", "w2")) >= 4 * (F.size("w1") + F.size("w2")))
+    both = pairs.join(one, "x1").join(two, "x2")
+    words1, words2 = words_of(F.col("w1")), words_of(F.col("w2"))  # lines travel as text, which is smaller than their words
+    both = both.where(9 * F.size(F.array_intersect(words1, words2)) >= 4 * (F.size(words1) + F.size(words2)))
     later = both.select(F.when(F.col("f1") < F.col("f2"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))).otherwise(
         F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))).alias("l")).select("l.*").distinct()
     return classes.select("x", "y", "first"), later
