@@ -33,6 +33,8 @@ from .common import fresh, text_of
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 BLOCK = 32
+#: neighbouring items that share one bound before the search
+AREA = 4
 GRAM, ANSWER_GRAM = 5, 3
 OVERLAP = 0.5
 SHARD_BYTES = 8 << 20
@@ -75,8 +77,24 @@ class Index:
         self.impacts = [[x for _, x in p] for p in postings.values()]
         self.blocks = [[max(x[i:i + BLOCK]) for i in range(0, len(x), BLOCK)] for x in self.impacts]
         self.most = np.array([max(x) for x in self.blocks] + [0.0])  # the last is for words outside the index
+        # the largest impact of each term in each area of items, term after term
+        areas = []
+        for p in postings.values():
+            most: dict[int, float] = {}
+            for n, x in p:
+                most[n // AREA] = max(x, most.get(n // AREA, 0.0))
+            areas.append(sorted(most.items()))
+        self.from_ = np.concatenate([[0], np.cumsum([len(a) for a in areas])]).astype(np.int64)
+        self.area = np.array([n for a in areas for n, _ in a], np.int64)
+        self.area_most = np.array([x for a in areas for _, x in a], np.float64)
         self.longest = max([len(q) + len(a) for q, a in self.parts], default=0)
 
+    def bound(self, terms: np.ndarray) -> float:
+        """What an item can score at most: the terms' largest impacts, summed area by area."""
+        first, size = self.from_[terms], self.from_[terms + 1] - self.from_[terms]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return float(np.bincount(self.area[at], self.area_most[at]).max()) if len(at) else 0.0
+
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items whose summed impact over the distinct terms reaches the threshold."""
         at = dict.fromkeys(terms, 0)
@@ -133,7 +151,7 @@ def contaminated_items(text: str, index: Index, threshold: float = THRESHOLD, ov
             continue
         terms = np.unique(ids[start:end])
         terms = terms[terms < outside]
-        if index.most[terms].sum() < threshold - 1e-9:
+        if index.most[terms].sum() < threshold - 1e-9 or index.bound(terms) < threshold - 1e-9:
             continue
         passage = words[start:end]
         for item, score in index.search(terms.tolist(), threshold):
