@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -89,14 +90,14 @@ class Index:
         self.area_most = np.array([x for a in areas for _, x in a], np.float64)
         self.longest = max([len(q) + len(a) for q, a in self.parts], default=0)
 
-    def bound(self, terms: np.ndarray) -> float:
-        """What an item can score at most: the terms' largest impacts, summed area by area."""
+    def areas(self, terms: np.ndarray, threshold: float) -> list[int]:
+        """Areas of which an item may reach the threshold: the terms' largest impacts there, summed."""
         first, size = self.from_[terms], self.from_[terms + 1] - self.from_[terms]
         at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        return float(np.bincount(self.area[at], self.area_most[at]).max()) if len(at) else 0.0
+        return np.flatnonzero(np.bincount(self.area[at], self.area_most[at]) >= threshold - 1e-9).tolist() if len(at) else []
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose summed impact over the distinct terms reaches the threshold."""
+    def search(self, terms: list[int], threshold: float, areas: list[int] | None = None) -> list[tuple[int, float]]:
+        """All items whose summed impact over the distinct terms reaches the threshold; areas: where such items can be."""
         at = dict.fromkeys(terms, 0)
         heap = [(self.items[t][0], t) for t in at]
         heapq.heapify(heap)
@@ -113,6 +114,15 @@ class Index:
             pivot = front[-1][0]
             while heap and heap[0][0] == pivot:
                 front.append(heapq.heappop(heap))
+            if areas is not None:
+                here = bisect_left(areas, pivot // AREA)
+                if here == len(areas):
+                    break
+                if areas[here] * AREA > pivot:  # on to the next area that can reach the threshold
+                    for _, t in front:
+                        if self._seek(at, t, areas[here] * AREA) < len(self.items[t]):
+                            heapq.heappush(heap, (self.items[t][at[t]], t))
+                    continue
             live = [t for _, t in front if self._seek(at, t, pivot) < len(self.items[t])]
             if sum(self.blocks[t][at[t] // BLOCK] for t in live) < threshold:
                 # nothing up to the end of these blocks can reach it, nor before the next cursor's item
@@ -129,11 +139,8 @@ class Index:
         return found
 
     def _seek(self, at: dict[int, int], t: int, target: int) -> int:
-        items, i = self.items[t], at[t]
-        while i < len(items) and items[i] < target:
-            i += 1
-        at[t] = i
-        return i
+        at[t] = bisect_left(self.items[t], target, at[t])
+        return at[t]
 
 
 def contaminated_items(text: str, index: Index, threshold: float = THRESHOLD, overlap: float = OVERLAP):
@@ -151,10 +158,10 @@ def contaminated_items(text: str, index: Index, threshold: float = THRESHOLD, ov
             continue
         terms = np.unique(ids[start:end])
         terms = terms[terms < outside]
-        if index.most[terms].sum() < threshold - 1e-9 or index.bound(terms) < threshold - 1e-9:
+        if index.most[terms].sum() < threshold - 1e-9 or not (areas := index.areas(terms, threshold)):
             continue
         passage = words[start:end]
-        for item, score in index.search(terms.tolist(), threshold):
+        for item, score in index.search(terms.tolist(), threshold, areas):
             q, a = index.parts[item]
             seen = tuple(_overlap(part, passage, n) for part, n in ((q, GRAM), (a, ANSWER_GRAM)))
             if min(seen) >= overlap and (item not in best or (score, -start) > (best[item][1], -best[item][4])):

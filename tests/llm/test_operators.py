@@ -72,7 +72,9 @@ def test_wand_retrieves_all_that_a_full_scan_does():
             for t in terms:
                 for i, x in zip(index.items[t], index.impacts[t]):
                     full[i] += x
-            assert {i for i, _ in index.search(terms, threshold)} == {i for i, x in full.items() if x >= threshold}
+            want = {i for i, x in full.items() if x >= threshold}
+            assert {i for i, _ in index.search(terms, threshold)} == want
+            assert {i for i, _ in index.search(terms, threshold, index.areas(np.array(terms), threshold))} == want
 
 
 def test_items_in_several_shards(spark, monkeypatch):
