@@ -1,18 +1,19 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
-A vocabulary of ranked byte strings is compiled into a finite-state transducer that is determinised
-lazily, only for the inputs that occur.  It rests on two facts about BPE: the encoding of a text is the
-one segmentation in which every two neighbouring tokens stay as they are when encoded together, and the
-encoding of every prefix is fixed by that prefix.  After some bytes, the hypotheses are therefore "the
-encoding of a prefix, then the beginning of one more token".  A state of the determinised machine is the
-set of these hypotheses; what all of them share of their tokens is emitted, so lookahead never exceeds
-the longest token.  A later byte drops hypotheses that no token continues.
+A vocabulary of ranked byte strings is compiled into a finite-state transducer.  It rests on two facts
+about BPE: the encoding of a text is the one segmentation in which every two neighbouring tokens stay as
+they are when encoded together, and the encoding of every prefix is fixed by that prefix.  After some
+bytes the hypotheses are "the encoding of a prefix, then the beginning of one more token"; the machine is
+determinised lazily, only for the inputs that occur: a state is the set of beginnings, which the longest of
+them determines, so there are no more states than beginnings of tokens.  Entering a state fixes the last
+token of the encoding so far: the one of the tokens that end here which stays beside the token before it.
+What all live hypotheses share is emitted, every LOOKAHEAD bytes and at the end of a piece.
 
 Decoding concatenates the bytes of the tokens and turns them into text with a UTF-8 state machine that
 keeps an unfinished character (three bytes at most) between calls; malformed bytes become U+FFFD.
 
-Both run inside Arrow UDFs: no shuffle, memory bounded by the batch, the lazily built states and the
-piece memo (each starts afresh at a fixed number of entries); any task can be run again.
+Both run inside Arrow UDFs: no shuffle, memory bounded by the batch, the vocabulary, and the memos of pieces
+and of token pairs (each starts afresh at a fixed number of entries); any task can be run again.
 
 Edge cases: a null text or null id list is read as empty (no tokens, empty text); other columns are kept
 as they are, whatever their names; an id outside the vocabulary raises ValueError.
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 
 #: bound of a rank file that is sent to the executors
 MAX_RANK_BYTES = 64 << 20
-MAX_STATES = 200_000
-MAX_PIECES = 300_000
+#: entries of the memos of a worker
+MAX_PAIRS = 500_000
+MAX_PIECES = 200_000
+#: bytes after which a long piece emits what is settled
+LOOKAHEAD = 4096
 
 
 def read_ranks(blob: bytes) -> dict[bytes, int]:
@@ -48,68 +52,97 @@ class Transducer:
             raise ValueError(f"not byte-level: no token for the byte {missing[0]}")
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.unfinished = {b[:i] for b in ranks for i in range(len(b))}
-        self._together: dict[tuple[int, int], bool] = {}
-        self._fresh()
-
-    def _fresh(self) -> None:
-        self.states = [(None, (((), b""),))]
-        self.number = {self.states[0]: 0}
-        self.arcs: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
+        self.width = {i: len(b) for b, i in ranks.items()}
+        self.beginnings = {b[:i + 1] for b in ranks for i in range(len(b))}
+        self.shift = max(ranks.values()).bit_length() + 1
+        self.start = 1 << (self.shift - 1)  # stands before the first token; no id is that large
+        self._together: dict[int, bool] = {}
+        self.states = [b""]
+        self.number = {b"": 0}
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.arcs: list[dict[int, int]] = [{}]
 
     def _merged(self, data: bytes) -> list[int]:
         """BPE by definition: merge the leftmost pair of the lowest rank until none is left."""
-        parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, len(self.ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == len(self.ranks):
-                break
+        parts, none, rank = [data[i:i + 1] for i in range(len(data))], len(self.ranks), self.ranks.get
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (low := min(pairs)) < none:
+            at = pairs.index(low)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
         return [self.ranks[p] for p in parts]
 
     def _stay(self, a: int, b: int) -> bool:
-        """Whether the tokens a, b next to each other stay as they are."""
-        known = self._together.get((a, b))
-        if known is None:
-            if len(self._together) > 4 * MAX_STATES:
-                self._together.clear()
-            known = self._together[a, b] = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
-
-    def _arc(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        last, hypotheses = self.states[state]
-        after, whole = [], None
-        for tokens, begun in hypotheses:
-            begun += bytes([byte])
-            if begun in self.unfinished:
-                after.append((tokens, begun))
-            token = self.ranks.get(begun)
-            if token is not None and whole is None:
-                before = tokens[-1] if tokens else last
-                if (before is None and self._merged(begun) == [token]) or (before is not None and self._stay(before, token)):
-                    whole = (*tokens, token)
-        after.append((whole, b""))
-        first = min(t for t, _ in after)
-        final = max(t for t, _ in after)
-        n = next((i for i, (x, y) in enumerate(zip(first, final)) if x != y), min(len(first), len(final)))
-        out = first[:n]
-        target = (out[-1] if out else last, tuple((t[n:], b) for t, b in after))
-        if target not in self.number:
-            self.number[target] = len(self.states)
-            self.states.append(target)
+        """Whether the token b stays as it is behind a, or at the start."""
+        if a == self.start:
+            return self._merged(self.bytes_of[b]) == [b]
+        return self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+
+    def _arc(self, state: int, byte: int) -> int:
+        """The state after the byte: the longest beginning of a token that ends there."""
+        begun = self.states[state] + bytes([byte])
+        while begun not in self.beginnings:
+            begun = begun[1:]
+        target = self.number.get(begun)
+        if target is None:
+            target = self.number[begun] = len(self.states)
+            self.states.append(begun)
+            ends = (begun[i:] for i in range(len(begun)))
+            self.ends.append(tuple((len(e), self.ranks[e]) for e in ends if e in self.ranks))
             self.arcs.append({})
-        arc = self.arcs[state][byte] = (out, self.number[target])
-        return arc
+        self.arcs[state][byte] = target
+        return target
+
+    def _settled(self, last: list[int], state: int) -> int:
+        """The position up to which all live hypotheses have the same tokens."""
+        at = len(last) - 1
+        live = set(range(at - len(self.states[state]), at + 1))
+        while len(live) > 1:  # back to where they meet
+            far = max(live)
+            live.remove(far)
+            live.add(far - self.width[last[far]])
+        return live.pop()
+
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """The tokens up to a position, from the last token of every prefix."""
+        out = []
+        while at:
+            out.append(last[at])
+            at -= self.width[last[at]]
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
-            self._fresh()
-        state, out, arcs = 0, [], self.arcs
+        token = self.ranks.get(piece)
+        if token is not None:
+            return [token]
+        together, arcs, ends, shift = self._together, self.arcs, self.ends, self.shift
+        if len(together) > MAX_PAIRS:
+            together.clear()
+        out: list[int] = []
+        state, last, at = 0, [self.start], 0
         for byte in piece:
-            emitted, state = arcs[state].get(byte) or self._arc(state, byte)
-            if emitted:
-                out += emitted
-        return out + list(next(t for t, b in self.states[state][1] if not b))
+            at += 1
+            state = arcs[state].get(byte) or self._arc(state, byte)
+            for width, token in ends[state]:
+                before = last[at - width]
+                pair = before << shift | token
+                stays = together.get(pair)
+                if stays is None:
+                    stays = together[pair] = self._stay(before, token)
+                if stays:
+                    break
+            last.append(token)
+            if at >= LOOKAHEAD + len(self.states[state]):
+                meet = self._settled(last, state)
+                if meet:
+                    out += self._back(last, meet)
+                    del last[:meet]
+                    at -= meet
+        return out + self._back(last, at)
 
 
 class StreamDecoder:
@@ -171,9 +204,13 @@ class _Pieces(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def _worker(blob: bytes) -> tuple[Transducer, _Pieces]:
-    transducer = Transducer(read_ranks(blob))
-    return transducer, _Pieces(transducer)
+def _pieces(blob: bytes) -> _Pieces:
+    return _Pieces(Transducer(read_ranks(blob)))
+
+
+@functools.lru_cache(maxsize=2)
+def _bytes_of(blob: bytes) -> dict[int, bytes]:
+    return {i: b for b, i in read_ranks(blob).items()}
 
 
 class Tokenizer:
@@ -189,22 +226,24 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
-            _, pieces = _worker(sent.value)
-            if len(pieces) > MAX_PIECES:
-                pieces.clear()
+            pieces = _pieces(sent.value)
             split, of = regex.compile(pattern).findall, pieces.__getitem__
-            found = [b"".join(map(of, split(t))) for t in texts.to_pylist()]
+            found = []
+            for text in texts:
+                if len(pieces) > MAX_PIECES:
+                    pieces.clear()
+                found.append(b"".join(map(of, split(text.as_py()))))
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
-            transducer, _ = _worker(sent.value)
+            bytes_of = _bytes_of(sent.value)
             out = []
             for row in ids:
-                stream = StreamDecoder(transducer.bytes_of)
-                out.append(stream.feed(row.values.to_pylist()) + stream.end())
+                stream = StreamDecoder(bytes_of)
+                out.append(stream.feed(row.values.to_numpy(zero_copy_only=False).tolist()) + stream.end())
             return pa.array(out, pa.string())
 
         self._encode, self._decode = encode, decode

@@ -132,13 +132,27 @@ def test_bpe_equals_the_library(spark, ranks):
         assert x.ids == library.encode_ordinary(x.text) and x.decoded == x.text
 
 
-def test_transducer_waits_no_longer_than_a_token(ranks):
-    machine = bpe.Transducer(ranks)
-    longest, state, out = max(map(len, ranks)), 0, 0
-    for n, byte in enumerate(b"internationalisation of the unbelievable" * 5, 1):
-        emitted, state = machine._arc(state, byte)
-        out += sum(len(machine.bytes_of[i]) for i in emitted)
-        assert n - out <= 2 * longest
+def test_transducer_waits_no_longer_than_a_token(ranks, monkeypatch):
+    machine, library = bpe.Transducer(ranks), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    longest, waited, settled = max(map(len, ranks)), [], bpe.Transducer._settled
+
+    def watch(self, last, state):
+        waited.append(len(last) - 1 - (meet := settled(self, last, state)))
+        return meet
+
+    monkeypatch.setattr(bpe, "LOOKAHEAD", 1)  # emit after every byte what is settled
+    monkeypatch.setattr(bpe.Transducer, "_settled", watch)
+    text = "internationalisation" * 5 + "unbelievable" * 5
+    assert machine.encode(text.encode()) == library.encode_ordinary(text)
+    assert len(waited) > 20 and max(waited) <= 2 * longest
+
+
+def test_long_piece_is_emitted_in_parts(ranks):
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r, machine = random.Random(4), bpe.Transducer(ranks)
+    for letters in ("abeinstrou", "a", "éñ漢"):
+        text = "".join(r.choices(letters, k=3 * bpe.LOOKAHEAD + 17))
+        assert machine.encode(text.encode()) == library.encode_ordinary(text)
 
 
 def test_streaming_decoder(ranks):
