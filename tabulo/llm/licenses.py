@@ -31,6 +31,8 @@ SHINGLE = 2
 SHORT, LONG = 8, 32
 BANDS, ROWS = 20, 2
 CONTAINED = 0.8
+#: shingles whose BANDS x ROWS hashes are in memory at once
+BLOCK = 2048
 MAX_TEMPLATE_BYTES = 16 << 20
 
 # fixed values: statements and notices as they are published
@@ -68,24 +70,27 @@ def words(text: str) -> bytes:
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of every `width` neighbours, row by row."""
     have = 1
     while have * 2 <= width:
-        x = np.minimum(x[:-have], x[have:])
+        x = np.minimum(x[:, :-have], x[:, have:])
         have *= 2
-    return np.minimum(x[:len(x) - (width - have)], x[width - have:]) if have < width else x
+    return np.minimum(x[:, :x.shape[1] - (width - have)], x[:, width - have:]) if have < width else x
 
 
 def band_keys(grams: np.ndarray, size: int, stride: int):
-    """Starts of the windows of `size` words (one if there are fewer; the last one always counts), and for each band
-    their keys, from the shingles."""
+    """Windows of `size` words (one if there are fewer; the last one always counts), BLOCK shingles at a time: their starts,
+    and a row of keys for each band."""
     width = min(max(1, size - SHINGLE + 1), len(grams))
     starts = np.unique(np.append(np.arange(0, len(grams) - width + 1, stride), len(grams) - width))
-    for band in range(BANDS):
-        key = np.full(len(starts), np.uint64(band + 1))
+    step = max(1, BLOCK // stride)
+    for some in (starts[i:i + step] for i in range(0, len(starts), step)):
+        hashed = (grams[None, some[0]:some[-1] + width] ^ _MASK[:, None]) * _FACTOR[:, None]
+        least = _least(hashed, width)[:, some - some[0]].reshape(BANDS, ROWS, len(some))
+        key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(some), axis=1)
         for row in range(ROWS):
-            i = band * ROWS + row
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ _least((grams ^ _MASK[i]) * _FACTOR[i], width)[starts])
-        yield starts, key
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ least[:, row])
+        yield some, key
 
 
 class Templates:
@@ -102,8 +107,8 @@ class Templates:
                     continue
                 for at in range(0, max(1, len(w) - size + 1), max(1, size // 2)):
                     for _, key in band_keys(shingles(w[at:at + size], SHINGLE), size, 1):
-                        keys.append(key)
-                        owner.append(np.full(len(key), t))
+                        keys.append(key.ravel())
+                        owner.append(np.full(key.size, t))
             order = np.argsort(np.concatenate(keys)) if keys else np.zeros(0, int)
             self.keys[size] = (np.concatenate(keys)[order], np.concatenate(owner)[order]) if keys else (np.zeros(0, np.uint64), np.zeros(0, int))
 
@@ -116,9 +121,9 @@ class Templates:
                 continue
             for starts, key in band_keys(grams, size, size // 4):
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                for w in np.flatnonzero(keys[at] == key).tolist():
-                    i = int(at[w])
-                    while i < len(keys) and keys[i] == key[w]:
+                for band, w in np.argwhere(keys[at] == key).tolist():
+                    i = int(at[band, w])
+                    while i < len(keys) and keys[i] == key[band, w]:
                         seen.setdefault(int(owner[i]), []).append((int(starts[w]), int(starts[w]) + size))
                         i += 1
         out = []
