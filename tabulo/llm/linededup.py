@@ -7,10 +7,11 @@ then place) is equal or has a Jaccard similarity of at least 0.8.
    that a third of the documents share is one row per task).
 2. The words of a class are ordered by rarity, hash next: counts of all words of the corpus in BUCKETS hash
    buckets, the fixed-size table every task gets.  Any order gives the same result, rarity makes it cheap.
-3. Prefix filter: classes are joined on the n - ceil(0.8 n) + 1 rarest of their n words; length filter and
-   positional filter (the words from the first common one on must suffice) are part of the join, and so is a
-   64-bit parity of the words, which bounds how many words differ.
-4. The candidates' words are read again from their documents and their Jaccard similarity is computed.
+3. Prefix filter: classes are joined on the n - ceil(0.8 n) + 1 rarest of their n words (of the shorter line,
+   n - ceil(8/9 n) + 1 are enough); length filter and positional filter (the words from the first common one
+   on must suffice) are part of the join, and so is a 64-bit parity of the words, which bounds how many differ.
+4. The candidates' lines are read again from their documents and their Jaccard similarity is computed: for each
+   later line first with its earliest candidate, then, unless it goes by that, with all others.
 
 Words are joined as 56-bit hashes, and verified as strings.  Classes are 128-bit hashes.
 
@@ -24,23 +25,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_of
+from .common import fresh, stored
 
 BUCKETS = 1 << 15
 NO_ID = -(2**63)
+BLANKS = "[\\x20\\x09-\\x0D]+"
 KEY = ["k", "h"]
 
 
 def words_of(line: Column) -> Column:
     """Distinct lower-cased words, split at ASCII white space."""
-    for blank in ("\t", "\x0b", "\f", "\r", "\n"):
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), " ", -1)), "")
+    return F.array_remove(F.array_distinct(F.split(F.lower(line), BLANKS, -1)), "")
 
 
 def _rarity(texts: DataFrame) -> Column:
-    """word -> 0..127, by how often words of its bucket occur; the table is a literal of BUCKETS bytes."""
-    counted = texts.select(F.explode(F.split(F.lower("t"), "[\\x20\\x09-\\x0D]+")).alias("w")).where("w <> ''")
+    """word hash -> 0..127, by how often words of its bucket occur; the table is a literal of BUCKETS bytes."""
+    counted = texts.select(F.explode(F.split(F.lower("t"), BLANKS)).alias("w")).where("w <> ''")
     found = counted.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.least(F.lit(127), F.floor(4 * F.log2(F.count("*") + 1))).alias("c")).collect()
     table = bytearray(BUCKETS)
     for r in found:
@@ -48,73 +48,93 @@ def _rarity(texts: DataFrame) -> Column:
     return F.lit(table)
 
 
-def _classes(texts: DataFrame) -> DataFrame:
-    """Distinct lines: x, y (hash of the text), first (place), n (words), bits (every word flips one), prefix."""
+def _lines(texts: DataFrame) -> DataFrame:
+    """Every line with words: its document, place and text hash (x, y)."""
+    lines = texts.select(*KEY, F.posexplode(F.split("t", "\n", -1)).alias("i", "line")).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    lower = F.lower("line")
+    return lines.select(*KEY, "i", F.xxhash64(lower).alias("x"), F.xxhash64(lower, F.lit(1)).alias("y"))
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """Repeated rows once; all joins with the texts share this exchange."""
+    return texts.groupBy(*KEY).agg(F.first("t").alias("t"))
+
+
+def _read(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes (x, y, first) with the text of their first line, looked up in its document."""
+    asked = classes.select("first.*", "x", "y").groupBy(*KEY).agg(F.collect_list(F.struct("i", "x", "y")).alias("asked"))
+    read = asked.join(_once(texts), KEY).select(*KEY, F.split("t", "\n", -1).alias("all"), F.explode("asked").alias("q"))
+    return read.select("q.x", "q.y", F.struct(*KEY, "q.i").alias("first"), F.col("all")[F.col("q.i")].alias("line"))
+
+
+def _postings(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row for each word w of the prefix of a class: p (place of the word), x, n (words), bits (every word flips one)."""
     table = _rarity(texts)
-    rank = lambda w: F.ascii(F.substring(table, F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-    key = lambda w: F.shiftleft(rank(w).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    lines = _lines(texts).select(F.struct(*KEY, "i").alias("first"), "x", "y", words_of(F.col("line")).alias("w"))
-    lines = lines.select("x", "y", "first", F.size("w").alias("n"), F.sort_array(F.transform("w", key)).alias("s"))
+    rank = lambda x: F.ascii(F.substring(table, F.pmod(x, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
+    key = lambda x: F.shiftleft(rank(x).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    words = F.filter(F.split(F.lower("line"), BLANKS, -1), lambda w: w != "")
+    lines = _read(texts, classes).select("x", F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("w"))
+    lines = lines.select("x", F.size("w").alias("n"), F.sort_array(F.transform("w", key)).alias("s"))
     needed = F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5)).cast("int") + 1
     flip = lambda b, k: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
     bits = F.aggregate("s", F.lit(0).cast("long"), flip)
-    lines = lines.select("x", "y", "first", "n", bits.alias("bits"), F.slice("s", F.lit(1), needed).alias("prefix"))
-    return lines.groupBy("x", "y").agg(F.min("first").alias("first"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix")))
-
-
-def _lines(texts: DataFrame) -> DataFrame:
-    """Every line with words: its document, place, text hash (x, y) and text."""
-    lines = texts.select(*KEY, F.posexplode(F.split("t", "\n", -1)).alias("i", "line")).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
-    lower = F.lower("line")
-    return lines.select(*KEY, "i", F.xxhash64(lower).alias("x"), F.xxhash64(lower, F.lit(1)).alias("y"), "line")
+    return lines.select("x", "n", bits.alias("bits"), F.posexplode(F.slice("s", F.lit(1), needed)).alias("p", "w"))
 
 
 def similar_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """texts (k, h, t) -> classes (x, y, first), links (x, y): the classes that an earlier class is similar to."""
-    classes = _classes(texts)
-    posted = classes.select("x", "n", "bits", F.posexplode("prefix").alias("p", "w"))
+    """texts (k, h, t) -> classes (x, y, first), later (x, y): the classes that an earlier class is similar to."""
+    classes = _lines(texts).groupBy("x", "y").agg(F.min(F.struct(*KEY, "i")).alias("first"))
+    posted = _postings(texts, classes)
     a = posted.select("w", *(F.col(c).alias(f"{c}1") for c in ("x", "n", "p", "bits")))
     b = posted.select("w", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "p", "bits")))
     n1, n2, p1, p2 = (F.col(c) for c in ("n1", "n2", "p1", "p2"))
-    length = 5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)
+    length = (5 * n1 >= 4 * n2) & ((n1 < n2) | ((n1 == n2) & (F.col("x1") < F.col("x2"))))
+    # of the shorter line, 8/9 of the words are common, so one of the n1 - 8/9 n1 + 1 rarest
+    shorter = 9 * (n1 - p1) >= 8 * n1
     position = 9 * F.least(n1 - p1, n2 - p2) >= 4 * (n1 + n2)
     # words of one line only flip at least as many bits as differ; a match has (n1 + n2) / 9 of them at most
     few = 9 * F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) <= n1 + n2
-    pairs = a.join(b, (a.w == b.w) & (F.col("x1") < F.col("x2")) & length & position & few).select("x1", "x2").distinct()
-
-    # the candidates' words, from the first line of each class
-    wanted = pairs.select(F.explode(F.array("x1", "x2")).alias("x")).distinct().join(classes.select("x", "y", "first"), "x")
-    asked = wanted.select("first.*", "x", "y").groupBy(*KEY).agg(F.collect_list(F.struct("i", "x", "y")).alias("asked"))
-    read = asked.join(texts, KEY).select(*KEY, F.split("t", "\n", -1).alias("all"), F.explode("asked").alias("q"))
-    read = read.select("q.x", "q.y", F.struct(*KEY, "q.i").alias("first"), F.lower(F.col("all")[F.col("q.i")]).alias("w")).dropDuplicates(["x", "y"])
-    one = read.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("first").alias("f1"), F.col("w").alias("w1"))
-    two = read.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("first").alias("f2"), F.col("w").alias("w2"))
-    both = pairs.join(one, "x1").join(two, "x2")
-    words1, words2 = words_of(F.col("w1")), words_of(F.col("w2"))  # lines travel as text, which is smaller than their words
-    both = both.where(9 * F.size(F.array_intersect(words1, words2)) >= 4 * (F.size(words1) + F.size(words2)))
-    later = both.select(F.when(F.col("f1") < F.col("f2"), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))).otherwise(
-        F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))).alias("l")).select("l.*").distinct()
-    return classes.select("x", "y", "first"), later
+    pairs = a.where(shorter).join(b, (a.w == b.w) & length & position & few).select("x1", "x2").distinct()
+
+    # every pair as (later, earlier) with the earlier line's place
+    place1, place2 = (classes.select(F.col("x").alias(f"x{c}"), F.col("first").alias(f"f{c}")) for c in "12")
+    placed = pairs.join(place1, "x1").join(place2, "x2")
+    ordered = lambda l, e: F.struct(F.col(f"x{l}").alias("l"), F.col(f"f{l}").alias("fl"), F.col(f"x{e}").alias("e"), F.col(f"f{e}").alias("fe"))
+    placed = stored(placed.select(F.when(F.col("f1") < F.col("f2"), ordered(2, 1)).otherwise(ordered(1, 2)).alias("p")).select("p.*").distinct())
+
+    # the candidates' lines, dealt out by x once for both sides
+    wanted = placed.select(F.explode(F.array("l", "e")).alias("x")).distinct().join(classes, "x")
+    read = _read(texts, wanted).repartition("x").dropDuplicates(["x", "y"])
+    one = read.select(F.col("x").alias("l"), F.col("y").alias("yl"), F.col("first").alias("fl"), F.col("line").alias("ll"))
+    two = read.select(F.col("x").alias("e"), F.col("first").alias("fe"), F.col("line").alias("le"))
+    words1, words2 = words_of(F.col("ll")), words_of(F.col("le"))  # lines travel as text, which is smaller than their words
+    similar = 9 * F.size(F.array_intersect(words1, words2)) >= 4 * (F.size(words1) + F.size(words2))
+
+    def confirmed(asked: DataFrame) -> DataFrame:
+        both = asked.join(one, ["l", "fl"]).join(two, ["e", "fe"])
+        return stored(both.where(similar).select(F.col("l").alias("x"), F.col("yl").alias("y")).distinct())
+
+    # most later lines go by their earliest candidate; only those that stay are compared with the others
+    earliest = placed.groupBy("l", "fl").agg(F.min(F.struct("fe", "e")).alias("b")).select("l", "fl", "b.e", "b.fe")
+    gone = confirmed(earliest)
+    left = placed.join(gone.select(F.col("x").alias("l")).distinct(), "l", "left_anti").join(earliest, ["l", "fl", "e", "fe"], "left_anti")
+    return classes, gone.union(confirmed(left)).distinct()
 
 
 def remove_similar_lines(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """docs with the later of equal or similar lines removed from the text, and n_lines (before) and n_removed."""
-    # only key and text are dealt out; every join with the texts can use the same exchange
-    texts = docs.select(F.coalesce(F.col(id_).cast("bigint"), F.lit(NO_ID)).alias("k"), F.xxhash64(text_of(text)).alias("h"), F.col(text).cast("string").alias("t"))
+    hashed = F.coalesce(F.col(id_).cast("bigint"), F.lit(NO_ID)), F.xxhash64(F.col(text).cast("string"))  # a null hashes unlike an empty text
+    texts = docs.select(*(c.alias(n) for c, n in zip(hashed, KEY)), F.col(text).cast("string").alias("t"))
     classes, later = similar_lines(texts)
     judged = classes.join(later.withColumn("later", F.lit(True)), ["x", "y"], "left")
-    lines = _lines(texts).select(*KEY, "i", "x", "y").join(judged, ["x", "y"])
-    gone = lines.where(F.col("later") | (F.struct(*KEY, "i") != F.col("first")))
+    gone = _lines(texts).join(judged, ["x", "y"]).where(F.col("later") | (F.struct(*KEY, "i") != F.col("first")))
     gone = gone.groupBy(*KEY).agg(F.collect_set("i").alias("gone"))
     k, h = fresh(docs, "_k"), fresh(docs, "_h")
     split = F.split("t", "\n", -1)
     kept = F.filter(split, lambda _, i: ~F.array_contains(F.col("gone"), i))
-    done = texts.join(gone, KEY, "left").select(
+    done = _once(texts).join(gone, KEY, "left").select(
         F.col("k").alias(k), F.col("h").alias(h), F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias(text),
         F.when(F.col("t").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-    done = done.withColumn(id_, F.nullif(F.col(k), F.lit(NO_ID)).cast(docs.schema[id_].dataType))
-    others = [c for c in docs.columns if c not in (id_, text, "n_lines", "n_removed")]
-    if others:
-        keyed = docs.select(F.coalesce(F.col(id_).cast("bigint"), F.lit(NO_ID)).alias(k), F.xxhash64(text_of(text)).alias(h), *(F.col(f"`{c}`") for c in others))
-        done = done.dropDuplicates([k, h]).join(keyed, [k, h])
-    return done.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+    others = [c for c in docs.columns if c not in (text, "n_lines", "n_removed")]
+    keyed = docs.select(*(c.alias(n) for c, n in zip(hashed, (k, h))), *(F.col(f"`{c}`") for c in others))
+    return done.join(keyed, [k, h]).select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
