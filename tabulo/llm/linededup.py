@@ -63,7 +63,8 @@ def _once(texts: DataFrame) -> DataFrame:
 def _read(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """classes (x, y, first) with the text of their first line, looked up in its document."""
     asked = classes.select("first.*", "x", "y").groupBy(*KEY).agg(F.collect_list(F.struct("i", "x", "y")).alias("asked"))
-    read = asked.join(_once(texts), KEY).select(*KEY, F.split("t", "\n", -1).alias("all"), F.explode("asked").alias("q"))
+    read = asked.join(_once(texts), KEY).select(*KEY, "asked", F.split("t", "\n", -1).alias("all"))  # before the lines are dealt out, so once a text
+    read = read.select(*KEY, "all", F.explode("asked").alias("q"))
     return read.select("q.x", "q.y", F.struct(*KEY, "q.i").alias("first"), F.col("all")[F.col("q.i")].alias("line"))
 
 
@@ -83,18 +84,19 @@ def _postings(texts: DataFrame, classes: DataFrame) -> DataFrame:
 
 def similar_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """texts (k, h, t) -> classes (x, y, first), later (x, y): the classes that an earlier class is similar to."""
-    classes = _lines(texts).groupBy("x", "y").agg(F.min(F.struct(*KEY, "i")).alias("first"))
+    classes = stored(_lines(texts).groupBy("x", "y").agg(F.min(F.struct(*KEY, "i")).alias("first")))
     posted = _postings(texts, classes)
     a = posted.select("w", *(F.col(c).alias(f"{c}1") for c in ("x", "n", "p", "bits")))
     b = posted.select("w", *(F.col(c).alias(f"{c}2") for c in ("x", "n", "p", "bits")))
     n1, n2, p1, p2 = (F.col(c) for c in ("n1", "n2", "p1", "p2"))
     length = (5 * n1 >= 4 * n2) & ((n1 < n2) | ((n1 == n2) & (F.col("x1") < F.col("x2"))))
-    # of the shorter line, 8/9 of the words are common, so one of the n1 - 8/9 n1 + 1 rarest
-    shorter = 9 * (n1 - p1) >= 8 * n1
+    # of the shorter line, 8/9 of the words are common, so one of the n1 - 8/9 n1 + 1 rarest (n1 is the least; a filter of
+    # one side alone would go below the exchange that both sides share)
+    shorter = 9 * (n1 - p1) >= 8 * F.least(n1, n2)
     position = 9 * F.least(n1 - p1, n2 - p2) >= 4 * (n1 + n2)
     # words of one line only flip at least as many bits as differ; a match has (n1 + n2) / 9 of them at most
     few = 9 * F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) <= n1 + n2
-    pairs = a.where(shorter).join(b, (a.w == b.w) & length & position & few).select("x1", "x2").distinct()
+    pairs = a.join(b, (a.w == b.w) & length & shorter & position & few).select("x1", "x2").distinct()
 
     # every pair as (later, earlier) with the earlier line's place
     place1, place2 = (classes.select(F.col("x").alias(f"x{c}"), F.col("first").alias(f"f{c}")) for c in "12")
