@@ -65,9 +65,10 @@ def _once(texts: DataFrame) -> DataFrame:
 def _read(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """classes (x, y, first) with the text of their first line, looked up in its document."""
     asked = classes.select("first.*", "x", "y").groupBy(*KEY).agg(F.collect_list(F.struct("i", "x", "y")).alias("asked"))
-    read = asked.join(_once(texts), KEY).select(*KEY, "asked", F.split("t", "\n", -1).alias("all"))  # before the lines are dealt out, so once a text
-    read = read.select(*KEY, "all", F.explode("asked").alias("q"))
-    return read.select("q.x", "q.y", F.struct(*KEY, "q.i").alias("first"), F.col("all")[F.col("q.i")].alias("line"))
+    split = _once(texts).select(*KEY, F.split("t", "\n", -1).alias("all"))  # below the join, so once a text
+    line = lambda q: F.struct(q.x.alias("x"), q.y.alias("y"), F.struct(*KEY, q.i.alias("i")).alias("first"), F.col("all")[q.i].alias("line"))
+    # the lines leave the array before they are dealt out, or every row would carry its whole document
+    return asked.join(split, KEY).select(F.explode_outer(F.transform("asked", line)).alias("q")).select("q.*")
 
 
 def _postings(texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def _postings(texts: DataFrame, classes: DataFrame) -> DataFrame:
     flip = lambda b, k: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
     bits = F.aggregate("s", F.lit(0).cast("long"), flip)
     # _outer: no filter on the prefix, which would compute it once more (every line has a word)
-    return lines.select("x", "n", bits.alias("bits"), F.posexplode_outer(F.slice("s", F.lit(1), needed)).alias("p", "w"))
+    return lines.select("x", "n", bits.alias("bits"), F.posexplode_outer(F.slice("s", F.lit(1), needed)).alias("p", "w")).where("p IS NOT NULL AND w IS NOT NULL")
 
 
 def similar_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
