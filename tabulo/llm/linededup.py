@@ -81,8 +81,10 @@ def _postings(texts: DataFrame, classes: DataFrame) -> DataFrame:
     needed = F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5)).cast("int") + 1
     flip = lambda b, k: b.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
     bits = F.aggregate("s", F.lit(0).cast("long"), flip)
-    # _outer: no filter on the prefix, which would compute it once more (every line has a word)
-    return lines.select("x", "n", bits.alias("bits"), F.posexplode_outer(F.slice("s", F.lit(1), needed)).alias("p", "w")).where("p IS NOT NULL AND w IS NOT NULL")
+    # a select of its own: beside posexplode, the bits would be computed for every posting; _outer: no filter on the
+    # prefix, which would compute it once more (every line has a word)
+    lines = lines.select("x", "n", bits.alias("bits"), F.slice("s", F.lit(1), needed).alias("prefix"))
+    return lines.select("x", "n", "bits", F.posexplode_outer("prefix").alias("p", "w")).where("p IS NOT NULL AND w IS NOT NULL")
 
 
 def similar_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
