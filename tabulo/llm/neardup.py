@@ -116,9 +116,10 @@ def _linking(size: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id), one row per row of docs: component_id is the smallest
+    """(doc_id, text_hash, n_shingles, component_id, root), one row per row of docs: component_id is the smallest
     id of the rows that chains of links (Jaccard of the shingle sets of at least percent / 100) reach.  text_hash
-    (xxhash64 of the text, null as empty) tells rows of the same id apart."""
+    (xxhash64 of the text, null as empty) tells rows of the same id apart, root (null without words) components of
+    the same component_id."""
     rows = docs.select(F.col(id_).cast("bigint").alias("doc_id"), text_of(text).alias("t"))
     rows = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), "t")
     signed = stored(rows.select("doc_id", "text_hash", _signing(size)("t").alias("x")).select("doc_id", "text_hash", "x.*"))
@@ -186,18 +187,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
     of_class = classes.select("c").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("root"))
     ids = signed.where("c IS NOT NULL AND doc_id IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("d")).join(of_class, "c")
     smallest = ids.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_class = of_class.join(smallest, "root", "left").select("c", "component_id")
+    of_class = of_class.join(smallest, "root", "left").select("c", "root", "component_id")
     out = signed.join(of_class, "c", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of every component: the one with its id (of different texts that repeat this id within
     the component, the one with the lowest text hash).  Documents without words and without a component stay."""
-    found = near_duplicates(docs, text, id_, size, percent)
-    stay = found.where("n_shingles = 0 OR component_id IS NULL OR doc_id = component_id")
-    nodes = stay.groupBy("doc_id", "component_id", (F.col("n_shingles") == 0).alias("none")).agg(F.min("text_hash").alias("h"))
-    nodes = nodes.select(F.col("doc_id").alias("d"), "h").distinct().alias("kept")
+    found = near_duplicates(docs, text, id_, size, percent).where("n_shingles > 0")
+    # components of unrelated texts can have the same id, or none: their roots tell them apart
+    nodes = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).select("at.*").alias("kept")
+    alone = found.where("component_id IS NULL").select("text_hash").distinct()
     at, key = docs.alias("docs"), F.col(f"docs.`{id_}`").cast("bigint")
-    hash_ = F.xxhash64(F.coalesce(F.col(f"docs.`{text}`").cast("string"), F.lit("")))
-    return at.join(nodes, key.eqNullSafe(F.col("kept.d")) & (hash_ == F.col("kept.h")), "left_semi")
+    content = F.coalesce(F.col(f"docs.`{text}`").cast("string"), F.lit(""))
+    words, hash_ = content.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(content)
+    one = at.where(words).join(nodes, (key == F.col("kept.doc_id")) & (hash_ == F.col("kept.text_hash")), "left_semi")
+    nameless = at.where(words & key.isNull()).join(alone.alias("alone"), hash_ == F.col("alone.text_hash"), "left_semi")
+    return one.union(nameless).union(at.where(~words))

@@ -270,6 +270,15 @@ def test_pigeonhole_keys():
         assert set(neardup.chunk_keys(a)) & set(neardup.chunk_keys(b))
 
 
+def test_unrelated_texts_of_one_id_all_stay(spark):
+    texts = [prose(100 + i, 40) for i in range(9)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:7]] + [(7, ""), (7, " "), (None, ""), (None, "\t"), (8, None), (8, None)]
+    rows += [(9, texts[5]), (None, texts[6]), (10, texts[7]), (3, texts[8]), (7, texts[8])]  # of these only 9, null and 7 go: they link with 7 or 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.text) for r in neardup.keep_one(docs).collect())
+    assert got == Counter(rows) - Counter([(9, texts[5]), (None, texts[6]), (7, texts[8])])
+
+
 # ---- 8
 
 def brute_removal(texts, size=substring.WINDOW):
