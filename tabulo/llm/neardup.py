@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
 
 def keep_one(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of every component: the one with its id (of different texts that repeat this id within
-    the component, the one with the lowest text hash).  Documents without words and without a component stay."""
+    the component, the one with the lowest text hash; of rows that repeat id and text, the one whose other columns
+    hash lowest).  Documents without words and without a component stay."""
     found = near_duplicates(docs, text, id_, size, percent).where("n_shingles > 0")
     # components of unrelated texts can have the same id, or none: their roots tell them apart
     nodes = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("at")).select("at.*").alias("kept")
@@ -202,6 +203,9 @@ def keep_one(docs: DataFrame, text: str = "text", id_: str = "doc_id", size: int
     at, key = docs.alias("docs"), F.col(f"docs.`{id_}`").cast("bigint")
     content = F.coalesce(F.col(f"docs.`{text}`").cast("string"), F.lit(""))
     words, hash_ = content.rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(content)
-    one = at.where(words).join(nodes, (key == F.col("kept.doc_id")) & (hash_ == F.col("kept.text_hash")), "left_semi")
+    # rows that repeat id and text meet as one row of each task; they differ in their other columns at most
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"docs.`{c}`") for c in docs.columns if c not in (id_, text))))
+    rows = at.where(words & key.isNotNull()).groupBy(key.alias("k"), hash_.alias("h")).agg(F.min_by(F.struct("docs.*"), F.xxhash64(others)).alias("row"))
+    one = rows.join(nodes, (F.col("k") == F.col("kept.doc_id")) & (F.col("h") == F.col("kept.text_hash")), "left_semi").select("row.*")
     nameless = at.where(words & key.isNull()).join(alone.alias("alone"), hash_ == F.col("alone.text_hash"), "left_semi")
     return one.union(nameless).union(at.where(~words))

@@ -279,6 +279,19 @@ def test_unrelated_texts_of_one_id_all_stay(spark):
     assert got == Counter(rows) - Counter([(9, texts[5]), (None, texts[6]), (7, texts[8])])
 
 
+def test_repeated_rows_of_a_kept_text_stay_once(spark, odd):
+    kept = neardup.keep_one(odd)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.schema == odd.schema and ids.count(7) == 1 and ids.count(None) == 1  # of null, the row without words
+    rows = [(1, prose(50, 40), s) for s in "cabab"] + [(2, prose(50, 40), "a"), (3, "", "a"), (3, "", "a"), (None, prose(51, 40), "a"), (None, prose(51, 40), "a")]
+    want = Counter([rows[1], *rows[6:]])
+    for n in (1, 3, 7):  # whatever the partitions
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(n)
+        got = Counter(map(tuple, neardup.keep_one(docs).collect()))
+        assert {(i, t) for i, t, _ in got} == {(i, t) for i, t, _ in want} and len(list(got.elements())) == 5
+        want = got
+
+
 # ---- 8
 
 def brute_removal(texts, size=substring.WINDOW):
