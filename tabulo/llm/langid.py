@@ -2,14 +2,20 @@
 
 A text is lower-cased and its UTF-8 bytes are counted as runs of one to four, hashed into DIMENSIONS
 buckets; the vector is sqrt(count) * idf, normalised.  Every language has CENTROIDS centroids.  A text
-takes the language of the centroid of the highest cosine; its score is that cosine.  It is rejected when
-the cosine is under mean - REJECT_SD * sd of training texts of about its length (short texts lie further
-off), or when it has no letter.
+takes the language of the centroid of the highest cosine; its score is that cosine.
 
-Fitting: document frequencies, one reassignment of the centroids and the statistics for the rejection
-cover all training rows, each as one pass whose tasks add up fixed-size arrays; only the starting
-centroids come from a bounded sample (SAMPLE texts of a language, those with the lowest hash of their id).
-What reaches the driver is bounded by DIMENSIONS, the number of languages and SAMPLE.
+The cosine of a short text is as low as that of a long one of a script that was never learned, so rejection
+goes by the text's familiarity: the mean over its n-grams (weighted by sqrt(count)) of the log of their share in
+the language that knows them best, against an even share.  A text is rejected when it lies more than SLACK
+under the lowest REJECT_SHARE of the training rows of its language and richness, or when it has no letter.
+Richness is the bit length of the number of its different n-grams; unlike the characters it does not grow when a
+text repeats itself.  A class of under THIN rows is joined by its neighbours, step by step, then by those of all
+languages; only with under LEAST training rows in all is nothing rejected for its distance.
+
+Fitting: document frequencies, one reassignment of the centroids (and the languages' shares) and the
+histograms for the rejection cover all training rows, each as one pass whose tasks add up fixed-size arrays;
+only the starting centroids come from a bounded sample (SAMPLE texts of a language, those with the lowest hash
+of their id).  What reaches the driver is bounded by DIMENSIONS, the number of languages and SAMPLE.
 
 Edge cases: rows whose text or language is null are not learned from; a null or empty text, or one
 without letters, is `und` with score 0 and rejected; without any training row every text is; equal cosines
@@ -30,7 +36,16 @@ from .common import fresh
 DIMENSIONS = 4096
 CENTROIDS = 3
 SAMPLE = 300
-REJECT_SD = 4.0
+REJECT_SHARE = 0.005
+SLACK = 0.1
+THIN, LEAST = 100, 30
+#: weight of an even share beside a language's own, so that no log is unbounded
+EVEN = 0.1
+RICHNESS = DIMENSIONS.bit_length() + 1
+#: bins of familiarity
+STEP = 0.01
+LOWEST = np.log(EVEN / (1 + EVEN))
+BINS = int((np.log(DIMENSIONS) - LOWEST) / STEP) + 2
 UNKNOWN = "und"
 
 
@@ -53,8 +68,9 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def length_class(texts: list[str]) -> np.ndarray:
-    return np.array([len(t).bit_length() for t in texts], np.int64)
+def richness(x: np.ndarray) -> np.ndarray:
+    """Bit length of the number of different n-grams of each vector."""
+    return np.frexp((x > 0).sum(axis=1))[1].astype(np.int64)
 
 
 @dataclass
@@ -63,7 +79,17 @@ class Model:
     owner: np.ndarray  # language of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    floor: dict[int, float]  # by length class: the lowest cosine that is not rejected
+    known: np.ndarray  # log of each n-gram's share in each language, against an even share
+    floor: np.ndarray  # by language and richness: the lowest familiarity that is not rejected
+
+    def measured(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of at most a few hundred texts: number of the language, cosine, familiarity, richness."""
+        x = vectors(texts, self.idf)
+        cosine = x @ self.centroids.T
+        best = cosine.argmax(axis=1)
+        n_grams = x / self.idf  # sqrt(count), but for a factor a text
+        familiar = (n_grams @ self.known.T).max(axis=1) / np.maximum(n_grams.sum(axis=1), 1e-12)
+        return self.owner[best], np.clip(cosine[np.arange(len(texts)), best], 0, 1), familiar, richness(x)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine, rejected."""
@@ -71,13 +97,27 @@ class Model:
         if not self.languages:
             return [UNKNOWN] * len(texts), score, rejected
         for at in range(0, len(texts), 256):
-            some = texts[at:at + 256]
-            cosine = vectors(some, self.idf) @ self.centroids.T
-            best = cosine.argmax(axis=1)
-            lang += [self.languages[i] for i in self.owner[best]]
-            score[at:at + 256] = np.clip(cosine[np.arange(len(some)), best], 0, 1)
-        floors = np.array([self.floor.get(int(c), 0.0) for c in length_class(texts)])
-        return lang, score, score < floors
+            number, cosine, familiar, rich = self.measured(texts[at:at + 256])
+            lang += [self.languages[i] for i in number]
+            score[at:at + 256], rejected[at:at + 256] = cosine, familiar < self.floor[number, rich]
+        return lang, score, rejected
+
+
+def floors(rows: np.ndarray) -> np.ndarray:
+    """By language and richness, from the number of rows of each language, richness and bin of familiarity."""
+    out = np.full(rows.shape[:2], -np.inf)
+    if rows.sum() < LEAST:
+        return out
+    for lang, rich in np.ndindex(*out.shape):
+        for some in (rows[lang], rows.sum(axis=0)):  # all languages when this one has too few rows
+            reach = 0
+            while (near := some[max(0, rich - reach):rich + reach + 1].sum(axis=0)).sum() < THIN and reach < RICHNESS:
+                reach += 1
+            if near.sum() >= THIN:
+                break
+        lowest = np.argmax(near.cumsum() > REJECT_SHARE * near.sum())
+        out[lang, rich] = LOWEST + STEP * lowest - SLACK
+    return out
 
 
 def _add_up(df: DataFrame, fold, width: int, groups: str = "g int") -> dict[int, np.ndarray]:
@@ -115,7 +155,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", id_: str =
     rows = rows.where("t IS NOT NULL AND l IS NOT NULL")
     languages = sorted(r.l for r in rows.select("l").distinct().collect())
     if not languages:
-        return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), {})
+        return Model([], np.zeros(0, int), np.zeros((0, DIMENSIONS)), np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), np.zeros((0, RICHNESS)))
     number = {x: i for i, x in enumerate(languages)}
 
     def frequencies(batches):
@@ -160,22 +200,25 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", id_: str =
                 sums[c] = sums[c] + v if c in sums else v.astype(np.float64)
         return sums
 
+    shares = np.zeros((len(languages), DIMENSIONS))
     for c, total in _add_up(rows.select("t", "l"), reassigned, DIMENSIONS).items():
         centers[c] = total / max(np.linalg.norm(total), 1e-12)
-    model = Model(languages, owner, centers, idf, {})
+        shares[owner[c]] += total / idf
+    shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1e-12)
+    known = np.log((shares * DIMENSIONS + EVEN) / (1 + EVEN)).astype(np.float32)
+    model = Model(languages, owner, centers, idf, known, np.zeros((len(languages), RICHNESS)))
 
     def spreads(batches):
-        stats = {}
-        for texts, langs in per_batch(batches):
-            _, cosine, _ = model.predict(texts)
-            for size, x in zip(length_class(texts).tolist(), cosine):
-                stats.setdefault(size, np.zeros(3))
-                stats[size] += (1, x, x * x)
-        return stats
-
-    for size, (n, s, ss) in sorted(_add_up(rows.select("t", "l"), spreads, 3).items()):
-        mean = s / n
-        model.floor[size] = max(0.0, mean - REJECT_SD * np.sqrt(max(ss / n - mean * mean, 0))) if n >= 30 else 0.0
+        found = {}
+        for texts, _ in per_batch(batches):
+            for lang, _, familiar, rich in zip(*model.measured(texts)):
+                found.setdefault(int(lang), np.zeros((RICHNESS, BINS)))[rich, int((familiar - LOWEST) / STEP)] += 1
+        return {g: v.ravel() for g, v in found.items()}
+
+    histograms = np.zeros((len(languages), RICHNESS, BINS))
+    for g, v in _add_up(rows.select("t", "l"), spreads, RICHNESS * BINS).items():
+        histograms[g] = v.reshape(RICHNESS, BINS)
+    model.floor = floors(histograms)
     return model
 
 

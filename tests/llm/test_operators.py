@@ -223,6 +223,36 @@ def test_languages(spark):
     assert [x.rejected for x in strange] == [True, True] and strange[1].lang_pred == "und"
 
 
+def test_unlearned_scripts_are_rejected_at_every_length(spark):
+    stems = {"xx": "ka to mi ru se no", "yy": "sch ung lich ver gen ein"}
+    r = random.Random(8)
+
+    def text(stems, words):
+        return " ".join("".join(r.choices(stems.split(), k=r.randint(1, 4))) for _ in range(words))
+    sizes = [2, 3, 4, 6, 9, 15, 30, 60, 120, 250, 500, 1000]
+    clean = [(text(stems[x], n), x) for n in sizes for x in stems for _ in range(10 if n < 300 else 3)]
+    clean += [((text(stems[x], 2) + "!! ") * n, x) for n in (10, 60, 250) for x in stems for _ in range(4)]  # repetitions: far off for their length
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(clean)], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    scripts = ["во да не ст при го", "και το μεν θα ση", "我们 山 水边 城 老师 天空 花 雪", "שלום בית ספר ים"]
+    for n in [3, *sizes[2:]]:
+        assert model.predict([text(s, n) for s in scripts] + [text(scripts[0], 3) * n])[2].all(), n
+    for n in (200, 1600, 30_000):
+        assert model.predict([base64.b64encode(r.randbytes(n)).decode()])[2].all(), n
+    again = [text(stems[x], n) for n in sizes for x in stems for _ in range(5)]
+    assert model.predict([t for t, _ in clean])[2].mean() <= 0.01 and model.predict(again)[2].mean() <= 0.02
+    assert not model.predict([text(stems["xx"], 12_000)])[2].any()  # longer than all learned from
+
+
+def test_floors_of_thin_classes_come_from_their_neighbours():
+    rows = np.zeros((2, langid.RICHNESS, langid.BINS))
+    rows[0, 5, 300], rows[0, 9, 200], rows[1, 5, 100] = 99, 500, 20
+    at = lambda b: langid.LOWEST + langid.STEP * b - langid.SLACK
+    got = langid.floors(rows)
+    assert np.allclose(got[0, [0, 5, 6, 7, 9, 13]], at(200)) and np.allclose(got[1, 5], at(100))
+    assert np.isneginf(langid.floors(rows[1:])).all()
+
+
 # ---- 7
 
 def brute_components(texts, size, percent):
