@@ -6,7 +6,8 @@ probability under 1 - j, so a link shows as a small signature distance.  Signatu
 by the pigeonhole principle, two signatures within DISTANCE = 2 * CHUNKS - 1 positions have a chunk with at
 most one differing symbol.  That error is enumerated: a chunk gives one key for each of its positions, with
 the symbol there left out.  Every pair within DISTANCE therefore shares a key; at the thresholds used here
-(0.8 and more) a link lies beyond it with a probability under 1e-4 (0.8) or 1e-6 (0.85).  All candidate
+(0.8 and more) a link lies beyond it with a probability of at most 3.1e-4 (0.8) or 2.4e-6 (0.85), and is then lost
+unless other links join the two.  All candidate
 pairs are compared by signature, then on the full shingle sets.
 
 Hot groups: equal sets collapse to one class first.  Within a key, members are compared with one hub per

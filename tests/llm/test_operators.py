@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -322,6 +323,14 @@ def test_repeated_rows_of_a_kept_text_stay_once(spark, odd):
         want = got
 
 
+def test_stated_bounds_hold():
+    stated = {float(j): float(p) for p, j in re.findall(r"([\d.]+e-\d+) \((0\.\d+)\)", neardup.__doc__)}
+    assert set(stated) == {0.8, 0.85}
+    for j, p in stated.items():
+        n = neardup.POSITIONS
+        assert sum(math.comb(n, k) * (1 - j) ** k * j ** (n - k) for k in range(neardup.DISTANCE + 1, n + 1)) <= p
+
+
 # ---- 8
 
 def brute_removal(texts, size=substring.WINDOW):
