@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.text import qcol
 
 
+#: a crosstab's labels are paired in LABEL_BLOCKS x LABEL_BLOCKS blocks
+LABEL_BLOCKS = 16
+
+
 def _q(c: str):
     return qcol(c)
 
@@ -73,18 +77,25 @@ def pair_counts(df: DataFrame, a: str, b: str) -> DataFrame:
 def crosstab(df: DataFrame, a: str, b: str, a_labels=None, b_labels=None) -> DataFrame:
     """Zero-filled crosstab in long form (a, b, n).
 
-    Each ``a`` label carries its counts as a map of its ``b`` labels and is
-    exploded over all ``b`` labels; labels are values, never SQL text or column names."""
+    The labels stay tables: each is dealt to one of LABEL_BLOCKS rows or columns of blocks, and a block
+    pairs its ``a`` and ``b`` labels; labels are values, never SQL text or column names."""
     counts = pair_counts(df, a, b)
     if b_labels is None:
-        b_labels = [r[0] for r in counts.select("b").distinct().orderBy("b").collect()]  # one row a label
-    if not b_labels:
+        of_b = counts.select("b").distinct()
+    elif not b_labels:
         return counts.limit(0)
+    else:
+        labels = F.from_json(F.lit(json.dumps([str(v) for v in b_labels])), "array<string>")  # the caller's own
+        of_b = df.sparkSession.range(1).select(F.explode(labels).alias("b"))
     if a_labels is not None:
         counts = counts.filter(F.col("a").isin(a_labels))
-    of_a = counts.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    labels = F.from_json(F.lit(json.dumps([str(v) for v in b_labels])), "array<string>")
-    return of_a.select("a", "m", F.explode(labels).alias("b")).select("a", "b", F.coalesce(F.try_element_at("m", F.col("b")), F.lit(0)).alias("n"))
+
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(LABEL_BLOCKS))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LABEL_BLOCKS - 1).cast("long")))
+    of_a = counts.select("a").distinct().select("a", block("a").alias("_i"), every.alias("_j"))
+    of_b = of_b.select("b", block("b").alias("_j"), every.alias("_i"))
+    cells = of_a.join(of_b, ["_i", "_j"]).select("a", "b")
+    return cells.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def two_way_auto(df: DataFrame, col: str, prof_rows, top_n: int = 10) -> DataFrame:

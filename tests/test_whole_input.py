@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +80,20 @@ def test_names_and_labels_are_never_sql(spark):
     assert got == {("a`b", "x'y"): 1, ("a`b", 'q"'): 0, ("c.d", "x'y"): 0, ("c.d", 'q"'): 1}
 
 
+def test_crosstab_labels_stay_in_spark(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 40).alias("k"), (F.col("id") * F.col("id") % 700).alias("l"))
+    rows = [(str(r.k), str(r.l)) for r in df.collect()]
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", lambda self: pytest.fail("labels went to the driver"))
+        out = A.crosstab(df, "k", "l")
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = {(r.a, r.b): r.n for r in out.collect()}
+    assert got == {(a, b): 0 for a in {x[0] for x in rows} for b in {x[1] for x in rows}} | dict(Counter(rows)) and out.count() == len(got)
+    some = A.crosstab(df, "k", "l", a_labels=["1", "2"], b_labels=["1", "none"])
+    assert {(r.a, r.b): r.n for r in some.collect()} == {(a, b): rows.count((a, b)) for a in "12" for b in ("1", "none")}
+
+
 def test_null_series_key_keeps_its_rows(spark):
     df = spark.range(30).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.col("id").alias("t"), F.col("id").cast("double").alias("v"))
     assert S.rolling(df, "t", "v", ["g"]).count() == 30
