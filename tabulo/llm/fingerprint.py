@@ -147,41 +147,65 @@ def merge_fingerprints(df: DataFrame, key: str, column: str = "fingerprint") ->
 EDITS = "doc_id bigint, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def edges_of(ends: list[float], hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and text hashes at which ranges begin, in order: at the quantiles of the ids, and in as many
+    places of a hot id's hashes as it should have ranges."""
+    lowest, highest = -(2**63), 2**63 - 1
+    edges = {(min(int(e), highest), lowest) for e in ends}
+    for k, parts in hot.items():
+        edges |= {(k, lowest + i * (2**64 // parts)) for i in range(parts)}
+    return tuple(np.array(x, np.int64) for x in zip(*sorted(edges or {(0, lowest)})))
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Each document with its edited text (the last quarter replaced by the beginning of the next
     document in the order of doc_id; after the last comes the first), both fingerprints, and the likeness
     of its own to the edited text's and to the next document's.
 
-    Documents are dealt out once, by ranges of doc_id; the ranges' ends come from quantiles of the ids
-    (as many as four times the shuffle partitions), and the first document of every range also goes to
-    the range before, so each task reads its documents in order and has the next one at hand.
+    Rows of the same id follow by the hash of their text.  Documents are dealt out once, by ranges of doc_id and,
+    for an id of more rows than two ranges should have, of the text hash; the ranges' ends come from quantiles
+    of the ids (as many as four times the shuffle partitions), and the first document of every range also goes
+    to the range before, so each task reads its documents in order and has the next one at hand.  Only exact copies
+    of one text under one id stay together.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = rows.select(F.col("k").cast("double").alias("k")).approxQuantile("k", [i / (4 * n) for i in range(1, 4 * n)], 1 / (8 * n))
-    edges = np.unique(np.array(ends or [0.0]))
+    sizes = rows.groupBy("k").count()
+    share = max(1, (sizes.agg(F.sum("count")).first()[0] or 0) // (4 * n))
+    hot = {x.k: x["count"] // share for x in sizes.where(F.col("count") >= 2 * share).collect()}  # at most 4 n of two shares or more
+    edge_k, edge_h = edges_of(ends, hot)
+    inner = {k: edge_h[edge_k == k] for k in hot}
 
     @F.arrow_udf("int")
-    def range_of(k: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(edges, k.to_numpy(zero_copy_only=False).astype(np.float64), side="right").astype(np.int32))
-
-    ranged = rows.withColumn("r", range_of("k"))
-    firsts = [(x.r, x.k) for x in ranged.groupBy("r").agg(F.min("k").alias("k")).orderBy("r").collect()]  # one row a range
-    after = [(k, r) for (r, _), (_, k) in zip(firsts, firsts[1:] + firsts[:1])]
-    heads = spark.createDataFrame(after, "k bigint, r int")  # at most 4 n rows
-    lent = rows.join(F.broadcast(heads), "k").select("doc_id", "text", "k", "r", F.lit(1).alias("lent"))
-    dealt = ranged.select("doc_id", "text", "k", "r", F.lit(0).alias("lent")).unionByName(lent)
-    dealt = dealt.repartition("r").sortWithinPartitions("r", "lent", "k", "text").select("r", "lent", "doc_id", "text")
+    def range_of(k: pa.Array, h: pa.Array) -> pa.Array:
+        ids, hashes = k.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)
+        out = np.searchsorted(edge_k, ids, side="right")
+        for x in np.unique(ids):
+            if int(x) in inner:
+                at = ids == x
+                out[at] = np.searchsorted(edge_k, x, side="left") + np.searchsorted(inner[int(x)], hashes[at], side="right")
+        return pa.array(out.astype(np.int32))
+
+    # the hash decides only for hot ids; without any, no text is read for the ranges
+    of_hot = F.when(F.col("k").isin(list(hot)), F.xxhash64("text")) if hot else F.lit(None).cast("bigint")
+    ranged = rows.withColumn("hot", of_hot).withColumn("r", range_of("k", F.coalesce("hot", F.lit(0).cast("bigint"))))
+    firsts = [(x.r, *x.first) for x in ranged.groupBy("r").agg(F.min(F.struct("k", "hot")).alias("first")).orderBy("r").collect()]  # one row a range
+    after = [(k, h, r) for (r, _, _), (_, k, h) in zip(firsts, firsts[1:] + firsts[:1])]
+    heads = F.broadcast(spark.createDataFrame(after, "k bigint, first bigint, r int"))  # at most 12 n rows
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    lent = hashed.join(heads, "k").where("first IS NULL OR first = h").groupBy("r", "k").agg(F.min(F.struct("h", "text")).alias("x"))
+    lent = lent.select(F.col("k").alias("doc_id"), "x.text", "k", "x.h", "r", F.lit(1).alias("lent"))
+    dealt = ranged.select("doc_id", "text", "k", F.xxhash64("text").alias("h"), "r", F.lit(0).alias("lent")).unionByName(lent)
+    dealt = dealt.repartition("r").sortWithinPartitions("r", "lent", "k", "h", "text").select("r", "lent", "doc_id", "text")
 
     def edits(batches):
         held = None  # (range, doc_id, text, sketch): the document whose next one is still to come
         for batch in batches:
             done = []  # (id, text, edited text, sketch, sketch of the next)
             for (r, lent, doc, text), own in zip(zip(*(c.to_pylist() for c in batch.columns)), sketches(as_bytes(batch.column(3)))):
-                if lent and (held is None or held[0] != r):
-                    continue  # a further row of the first document's id
                 if held is not None:
                     _, held_doc, held_text, held_sketch = held
                     q = len(held_text) // 4

@@ -396,6 +396,25 @@ def test_edited_texts(spark):
         assert rows[i].near_next == fingerprint.resemblance(fingerprint.sketch(t), fingerprint.sketch(after))
 
 
+def test_rows_of_a_hot_id_are_dealt_over_ranges(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(x, prose(i, 12)) for i, x in enumerate([None] * 60 + [7] * 60 + list(range(60)))] + [(7, "same text of an id")] * 3
+    r.shuffle(rows)
+    docs, dealt = spark.createDataFrame(rows, "doc_id bigint, text string"), []
+    inside = type(docs).sortWithinPartitions
+    monkeypatch.setattr(type(docs), "sortWithinPartitions", lambda self, *c: dealt.append(self) or inside(self, *c))
+    got = Counter((x.doc_id, x.edited, x.near_next) for x in fingerprint.fingerprint_edits(docs).collect())
+    hashes = {x.text: x.h for x in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (-(2**63) if x[0] is None else x[0], hashes[x[1]], x[1]))
+    want = Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        q = len(t) // 4
+        want[i, t[:len(t) - q] + after[:q], fingerprint.resemblance(fingerprint.sketch(t), fingerprint.sketch(after))] += 1
+    assert got == want
+    ranges = {x.doc_id: x.n for x in dealt[0].where("lent = 0").groupBy("doc_id").agg(F.countDistinct("r").alias("n")).collect()}
+    assert ranges[None] > 1 and ranges[7] > 1
+
+
 # ---- odd tables
 
 def every(spark, docs, items):
