@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, licenses, linededup, neardup, quality, secrets, substring
-from .common import table, text_of
+from . import align, bpe, decontaminate, fingerprint, langid, licenses, linededup, merkle, neardup, quality, secrets, substring, warc
+from .common import stored, table, text_of
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -95,3 +95,23 @@ def op10_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     found = fingerprint.fingerprint_edits(table(spark, sf, "documents"))
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
                         "near_edited", "near_next")
+
+
+@query
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = warc.scratch(spark)
+    warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.page_captures(warc.captures(stored(warc.read_archives(spark, folder, keep_payload=False))))
+
+
+@query
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    found = merkle.document_manifest(table(spark, sf, "documents"))
+    found = found.withColumn("folded_root", merkle.fold(F.col("changed_leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_align(spark: SparkSession, sf: str) -> DataFrame:
+    vocabularies = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align_corpus(table(spark, sf, "documents"), *vocabularies)
