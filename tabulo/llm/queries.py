@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, decontaminate, fingerprint, langid, licenses, linededup, merkle, neardup, quality, secrets, substring, warc
+from . import align, bpe, decontaminate, fingerprint, langid, licenses, linededup, merkle, neardup, oracles, quality, secrets, substring, warc
 from .common import stored, table, text_of
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict = {"op11_warc": oracles.OP11, "op12_merkle": oracles.OP12}
 
 
 def query(fn):
