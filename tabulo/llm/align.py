@@ -19,6 +19,7 @@ the input is one row of the output; names of special tokens in a text are plain
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import json
 
@@ -35,7 +36,7 @@ from .common import stored
 #: id pairs that are broadcast
 FREQUENT = 1 << 20
 #: bytes of text that are laid end to end
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: fixed value: the pattern that byte-level tokenizer files split texts by
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: characters below this one are letters, digits or blanks alike in every Unicode version
@@ -55,15 +56,13 @@ class ByteLevel:
     text are SETTLED ones, the same ids come faster by ranks."""
 
     def __init__(self, blob: bytes):
-        self.slow = tokenizers.Tokenizer.from_str(blob.decode())
-        self.slow.encode_special_tokens = True
-        letters = byte_letters()
-        vocabulary = self.slow.get_vocab(with_added_tokens=False)
-        special = {t.content for t in self.slow.get_added_tokens_decoder().values()}
+        self.blob = blob
+        letters, model = byte_letters(), json.loads(blob)
+        vocabulary = model["model"]["vocab"]
+        special = {t["content"] for t in model["added_tokens"]}
         self.pieces = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.pieces[i] = token.encode() if token in special else bytes(letters[c] for c in token)
-        model = json.loads(blob)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
         ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in special}
         in_order = all(vocabulary.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and len(ranks) == 256 + len(merges)
@@ -71,12 +70,16 @@ class ByteLevel:
         plain = (split["type"], split.get("use_regex", True), split["add_prefix_space"], model["normalizer"]) == ("ByteLevel", True, False, None)
         self.fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}) if in_order and plain else None
 
+    @functools.cached_property
+    def slow(self) -> tokenizers.Tokenizer:
+        """The library's own tokenizer, made when a text first needs it."""
+        made = tokenizers.Tokenizer.from_str(self.blob.decode())
+        made.encode_special_tokens = True
+        return made
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of a space and each text."""
-        if self.fast is None:
-            return [self.slow.encode(" " + t, add_special_tokens=False).ids for t in texts]
-        ranked = self.fast.encode_ordinary
-        return [ranked(" " + t) if t.isascii() or max(t) < SETTLED else self.slow.encode(" " + t, add_special_tokens=False).ids for t in texts]
+        return [self.fast.encode_ordinary(" " + t) if self.fast and (t.isascii() or max(t) < SETTLED) else self.slow.encode(" " + t, add_special_tokens=False).ids for t in texts]
 
 
 class Pieces:
@@ -123,8 +126,8 @@ def _blocks(texts: list):
         at = end
 
 
-def align_block(texts: list, a, b, lengths, parts):
-    """(n_a, n_b, n_groups, groups, links) of each text."""
+def align_block(texts: list, a, b, lengths, parts, digest: bool = False):
+    """(n_a, n_b, n_groups, groups, links) of each text; digest: the groups' SHA-256 instead of their string."""
     found = [(0, 0, 0, "", np.empty(0, np.int64))] * len(texts)
     asked = [i for i, t in enumerate(texts) if t]
     ids = list(zip(asked, a.encode([texts[i] for i in asked]), b.encode([texts[i] for i in asked])))
@@ -155,6 +158,8 @@ def align_block(texts: list, a, b, lengths, parts):
     before = 0
     for k, (i, x, y) in enumerate(ids):
         string = "".join(map(of_part, code[cuts_a[k] + cuts_b[k]:cuts_a[k + 1] + cuts_b[k + 1]].tolist()))
+        if digest:
+            string = hashlib.sha256(string.encode()).hexdigest()
         found[i] = (len(x), len(y), int(groups_at[k] - before), string, links[before:groups_at[k]])
         before = groups_at[k]
     assert before == n_groups
@@ -169,17 +174,18 @@ def read_file(path: str) -> bytes:
     return blob
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", digest: bool = False) -> DataFrame:
     """docs with a column ``aligned``: n_a, n_b (tokens), n_groups, groups (``a1,a2|b1;a3|b2,b3``: the ids of A and of B in
     each group) and links (one number for each pair of tokens that end together, in order: id of A times
-    the size of B's vocabulary plus id of B).  path_a is a byte-level file of the tokenizers library, path_b a sentencepiece
+    the size of B's vocabulary plus id of B).  The group strings are several times as long as the texts: with
+    ``digest`` their SHA-256 leaves the workers in their place.  path_a is a byte-level file of the tokenizers library, path_b a sentencepiece
     model; the driver reads them and sends their bytes."""
     sent = docs.sparkSession.sparkContext.broadcast((read_file(path_a), read_file(path_b)))
 
     @F.arrow_udf("struct<n_a:bigint,n_b:bigint,n_groups:bigint,groups:string,links:array<bigint>>")
     def aligned(texts: pa.Array) -> pa.Array:
         sides = _sides(*sent.value)
-        found = [x for block in _blocks(texts.to_pylist()) for x in align_block(block, *sides)]
+        found = [x for block in _blocks(texts.to_pylist()) for x in align_block(block, *sides, digest)]
         n_a, n_b, n_groups, groups, links = zip(*found) if found else [()] * 5
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in links])]).astype(np.int32)
         flat = np.concatenate([np.empty(0, np.int64), *links])
@@ -220,9 +226,8 @@ def rate_links(links: DataFrame, size_b: int, frequent: int = FREQUENT) -> DataF
 def align_corpus(docs: DataFrame, path_a: str, path_b: str, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row per row of docs: n_best links have a
     pair that is the most frequent one of its id of B in the whole corpus (ties included), count_sum adds up the pairs' counts."""
-    x = align(docs.select(F.col(id_).alias("doc_id"), F.col(text).cast("string").alias("t")), path_a, path_b, "t")
-    sha = F.when(F.col("aligned.n_a") > 0, F.sha2("aligned.groups", 256)).otherwise("")
-    rows = stored(x.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "aligned.n_a", "aligned.n_b", "aligned.n_groups", sha.alias("groups_sha256"), "aligned.links"))
+    x = align(docs.select(F.col(id_).alias("doc_id"), F.col(text).cast("string").alias("t")), path_a, path_b, "t", digest=True)
+    rows = stored(x.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "aligned.n_a", "aligned.n_b", "aligned.n_groups", F.col("aligned.groups").alias("groups_sha256"), "aligned.links"))
     size_b = len(Pieces(read_file(path_b)).pieces)
     rated = rate_links(rows.where("n_a > 0").select("uid", "links"), size_b)
     done = rows.withColumn("n_links", F.size("links").cast("long")).drop("links").join(rated, "uid", "left")
