@@ -23,8 +23,18 @@ EXTENDED_PATTERNS = [
 ]
 
 
+def _may_fit(s: Column, pattern: str) -> Column:
+    """What a text must have for the layout to fit at all: its separator after one or two (day, month) or at least four (year)
+    characters, or first (a year with a sign).  A failed parse costs an exception, so a text meets only the one or two layouts of its shape."""
+    mark = next((m for m in " -/." if m in pattern), None)
+    if mark is None:  # digits only
+        return ~F.rlike(s, F.lit(r"[-/. ,]"))
+    at = F.locate(mark, s)
+    return (at >= 5) | (at == 1) if pattern.startswith("y") else (at >= 2) & (at <= 3) if pattern.startswith(("d", "M/")) else at >= 4
+
+
 def _parse(s: Column, patterns) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in patterns])
+    return F.coalesce(*[F.when(_may_fit(s, p), F.try_to_timestamp(s, F.lit(p))) for p in patterns])
 
 
 def clean_date_basic(col) -> Column:

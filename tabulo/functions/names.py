@@ -135,11 +135,30 @@ def identifier_name(col) -> Column:
 
 
 def dedupe_names(df, name_col: str, order_col: str, partition_cols=(), out_col: str = "final_name"):
-    """Collisions after renaming get ``_2``, ``_3``... in ordinal order."""
+    """Collisions after renaming: in order, a name that is taken gets ``_2``, ``_3``..., the first suffix that no name of the
+    group has or was given.  A fold over each group's names (a table's columns); names differing in case only collide."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*partition_cols, name_col).orderBy(order_col)
-    rn = F.row_number().over(w)
-    return df.withColumn(
-        out_col, F.when(rn == 1, F.col(name_col)).otherwise(F.concat(F.col(name_col), F.lit("_"), rn.cast("string")))
-    )
+    keys = [F.col(c) for c in partition_cols]
+    # a number to each row, so that rows of one place and name are told apart
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(order_col, name_col))
+    numbered = df.withColumn("_row", row)
+    lists = numbered.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_row", F.col(name_col).alias("name")))).alias("_l"))
+    wanted = F.transform("_l", lambda x: F.lower(x["name"]))
+
+    def step(state, x):
+        name = x["name"]
+        free = lambda k: F.concat(name, F.lit("_"), k.cast("string"))
+        taken = lambda n: F.array_contains(state["given"], F.lower(n))
+        # among as many suffixes as there are names, one is free
+        ks = F.filter(F.sequence(F.lit(2), F.size("_l") + 2), lambda k: ~taken(free(k)) & ~F.array_contains(wanted, F.lower(free(k))))
+        final = F.when(taken(name), free(F.element_at(ks, 1))).otherwise(name)
+        return F.struct(F.concat(state["given"], F.array(F.lower(final))).alias("given"), F.concat(state["out"], F.array(F.struct(x["_row"].alias("_row"), final.alias("final")))).alias("out"))
+
+    start = F.struct(F.array().cast("array<string>").alias("given"), F.array().cast("array<struct<_row: int, final: string>>").alias("out"))
+    found = lists.select(*keys, F.explode(F.aggregate("_l", start, step, lambda st: st["out"])).alias("_o")).select(
+        *(k.alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_o._row").alias("_r"), F.col("_o.final").alias(out_col))
+    same = F.col("_row") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"_k{i}"))
+    return numbered.join(found, same).drop("_row", "_r", *(f"_k{i}" for i in range(len(keys))))

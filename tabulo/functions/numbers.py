@@ -13,6 +13,8 @@ from pyspark.sql.types import NumericType
 from .text import _c, strip_ws
 
 NUM_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Signs and blanks that may stand in a number.
+DROPPED = "€$£% \t\n\x0b\f\r\u00a0\u202f"
 SCI_RE = r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$"
 PLAIN_RE = r"^-?(\d+\.?\d*|\.\d+)$"
 
@@ -38,19 +40,29 @@ def clean_number_locale(col) -> Column:
     mark; a repeated single separator is a thousands mark; a lone one is the
     decimal mark.
     """
-    s0 = F.regexp_replace(_c(col).cast("string"), r"[€$£%\s  ]", "")
-    s1 = F.regexp_replace(s0, r"[^0-9.,\-]", "")
-    n_comma = F.length(s1) - F.length(F.replace(s1, F.lit(","), F.lit("")))
-    n_dot = F.length(s1) - F.length(F.replace(s1, F.lit("."), F.lit("")))
-    drop_dots = F.replace(s1, F.lit("."), F.lit(""))
-    drop_commas = F.replace(s1, F.lit(","), F.lit(""))
-    comma_last = s1.rlike(r",[^.]*$")
-    norm = (
-        F.when((n_comma > 0) & (n_dot > 0) & comma_last, F.replace(drop_dots, F.lit(","), F.lit(".")))
-        .when((n_comma > 0) & (n_dot > 0), drop_commas)
-        .when(n_comma > 1, drop_commas)
-        .when(n_comma == 1, F.replace(s1, F.lit(","), F.lit(".")))
-        .when(n_dot > 1, drop_dots)
-        .otherwise(s1)
-    )
-    return F.when(s0.rlike(SCI_RE), s0.try_cast("double")).otherwise(_to_double_gated(norm, PLAIN_RE))
+    text = _c(col).cast("string")
+    without = lambda x, characters: F.call_function("translate", x, characters, F.lit(""))
+    let = lambda x, body: F.transform(F.array(x), body)[0]  # noqa: E731  x is computed once, whatever body does with it
+
+    def parsed(s0: Column) -> Column:
+        # everything that is not wanted, as the characters to be removed
+        s1 = without(s0, without(s0, F.lit("0123456789.,-")))
+        return F.when(s0.rlike(SCI_RE), s0.try_cast("double")).otherwise(let(s1, separated))
+
+    def separated(s1: Column) -> Column:
+        drop_dots, drop_commas = F.replace(s1, F.lit("."), F.lit("")), F.replace(s1, F.lit(","), F.lit(""))
+        has_comma, has_dot = F.contains(s1, F.lit(",")), F.contains(s1, F.lit("."))
+        many = lambda c: F.substring_index(s1, c, 2) != s1  # noqa: E731  the mark occurs more than once
+        comma_last = F.locate(".", F.substring_index(s1, ",", -1)) == 0
+        norm = (
+            F.when(has_comma & has_dot & comma_last, F.replace(drop_dots, F.lit(","), F.lit(".")))
+            .when(has_comma & has_dot, drop_commas)
+            .when(has_comma & many(","), drop_commas)
+            .when(has_comma, F.replace(s1, F.lit(","), F.lit(".")))
+            .when(has_dot & many("."), drop_dots)
+            .otherwise(s1))
+        return let(norm, lambda x: _to_double_gated(x, PLAIN_RE))
+
+    # a plain number needs none of this
+    plain = F.when(text.rlike(PLAIN_RE), text.try_cast("double"))
+    return F.coalesce(plain, let(without(text, F.lit(DROPPED)), parsed))

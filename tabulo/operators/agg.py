@@ -90,12 +90,18 @@ def crosstab(df: DataFrame, a: str, b: str, a_labels=None, b_labels=None) -> Dat
     if a_labels is not None:
         counts = counts.filter(F.col("a").isin(a_labels))
 
+    return zero_filled(counts, counts.select("a").distinct(), of_b)
+
+
+def zero_filled(counts: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """(a, b, n) for every label of a with every label of b, 0 where counts (a, b, n) has no row.  The result is as large as the
+    product of the labels: that is what a zero-filled crosstab is."""
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(LABEL_BLOCKS))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LABEL_BLOCKS - 1).cast("long")))
-    of_a = counts.select("a").distinct().select("a", block("a").alias("_i"), every.alias("_j"))
+    of_a = of_a.select("a", block("a").alias("_i"), every.alias("_j"))
     of_b = of_b.select("b", block("b").alias("_j"), every.alias("_i"))
-    cells = of_a.join(of_b, ["_i", "_j"]).select("a", "b")
-    return cells.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
+    labels = of_a.join(of_b, ["_i", "_j"]).select("a", "b")
+    return labels.join(counts, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def two_way_auto(df: DataFrame, col: str, prof_rows, top_n: int = 10) -> DataFrame:
@@ -127,6 +133,14 @@ def mean_by_category(df: DataFrame, cat: str, measure: str, decimals: int | None
     return g.orderBy(F.desc_nulls_last("mean"), F.asc(cat))
 
 
+def ranked(means: DataFrame, value: str, label: str) -> DataFrame:
+    """``rank`` from 1, highest value first (NULL last), ties by label; the dense index of ``series``, so no task sorts all labels."""
+    from .series import global_index
+
+    keyed = means.withColumn("_none", _q(value).isNull()).withColumn("_down", -_q(value))
+    return global_index(keyed, ["_none", "_down", label]).withColumn("rank", F.col("_idx") + 1).drop("_none", "_down", "_idx")
+
+
 def mean_by_two(df: DataFrame, cat: str, measure: str, second: str | None = None, prof_rows=None,
                 decimals: int | None = None) -> DataFrame:
     """Mean by two categories; 2nd one chosen as first other category with 2-7 labels."""

@@ -16,7 +16,7 @@ from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
 
-AUTO_ACCEPT = 0.7  # C17 thresholds
+AUTO_ACCEPT = 0.7  # fixed value (C17)
 
 
 def _q(c: str):
@@ -44,6 +44,9 @@ def realign(df: DataFrame, target: str = "etat", source: str = "note", pattern:
 
 
 # ---------------------------------------------------------------- C06
+MERGED_DATE = "date"  # fixed value
+
+
 def dmy_columns(columns) -> tuple[str, str, str] | None:
     low = {c.lower(): c for c in reversed(list(columns))}
     if all(k in low for k in ("jour", "mois", "an")):
@@ -55,9 +58,12 @@ def dmy_columns(columns) -> tuple[str, str, str] | None:
 def rename_map(prof_rows) -> dict:
     """P06 names for every non-id column, collisions suffixed ``_2``, ``_3`` in
     schema order: the first suffix that neither a kept id column, nor another
-    column's proposed name, nor a name given before has."""
+    column's proposed name, nor a name given before has.  ``date`` is kept for
+    the column that day, month and year columns are merged into."""
     rows = sorted(prof_rows, key=lambda r: r["ordinal"])
     given = {r["column"].lower() for r in rows if r["data_type"] == "id"}
+    if dmy_columns(r["column"] for r in rows):
+        given.add(MERGED_DATE)
     wanted = {(r["proposed_name"] or r["column"]).lower() for r in rows if r["data_type"] != "id"}
     out = {}
     for r in rows:
@@ -110,9 +116,16 @@ def clean_table(df: DataFrame, prof_rows, rename: bool = True, mode: str = "full
         expr = cleaner_for(dtype, r["family"], c, mode) if dtype != "id" else _q(c)
         cols.append(expr.alias(names.get(c, c)))
     dmy = dmy_columns(df.columns)
+    out = df.select(*cols)
     if dmy:
-        cols.append(D.merge_day_month_year(*dmy).cast("timestamp").alias("date"))
-    return df.select(*cols)
+        merged = D.merge_day_month_year(*dmy).cast("timestamp")
+        # a kept id, a column without a profile or one that is not renamed may hold the name already
+        k, name = 1, MERGED_DATE
+        while name in {c.lower() for c in out.columns}:
+            k += 1
+            name = f"{MERGED_DATE}_{k}"
+        out = df.select(*cols, merged.alias(name))
+    return out
 
 
 # ---------------------------------------------------------------- C17 / C18
@@ -128,9 +141,9 @@ def accept_proposals(proposals: DataFrame, policy: str = "auto", threshold: floa
 
 def apply_overrides(proposals: DataFrame, overrides: DataFrame) -> DataFrame:
     """``overrides(column, name, type)`` (either may be NULL) win over
-    the proposals.  One row per column on both sides."""
+    the proposals.  One row per column on both sides; a table of overrides that grows is joined as any other."""
     o = overrides.select("column", F.col("name").alias("_on"), F.col("type").alias("_ot"))
-    return proposals.join(F.broadcast(o), "column", "left").withColumn(
+    return proposals.join(o, "column", "left").withColumn(
         "proposed_name", F.coalesce("_on", "proposed_name")).withColumn(
         "data_type", F.coalesce("_ot", "data_type")).drop("_on", "_ot")
 

@@ -1,26 +1,33 @@
 """Dictionary corrections (C10-C14): exact, fuzzy and reference categories.
 
 All matching runs on the DISTINCT values of a column (one shuffle, map-side
-combined), never per row.  The resulting mapping (one row per distinct
-value that has a correction) is checkpointed, its size checked, and joined
-back by broadcast when small -- otherwise by a shuffle join, where AQE's
-skew handling splits a hot value.
+combined), never per row, and only by equi-joins: neither the values nor the
+dictionary pass the driver, and both may have any size.  The resulting
+mapping (one row per distinct value that has a correction) is checkpointed,
+its size checked, and joined back by broadcast when small -- otherwise by a
+shuffle join, where AQE's skew handling splits a hot value.
 
 Fuzzy score (deviation D5): ``100 * (1 - levenshtein / greatest(len))``,
-accepted when > 80.  A score above 80 needs ``|len(a) - len(b)| < 0.2 *
-greatest(len)``, so candidates are found by an EQUI-join on the key length
-over the admissible length band -- an exact prefilter, not a cap, and no
-all-pairs join.
+accepted when > 80, so fewer than a fifth of the longer string's characters
+may change.  A key is cut into one piece more than the changes it allows; by
+the pigeonhole principle one piece occurs unchanged in every value that
+matches, shifted by no more than the changes before and after it.  Values
+emit the substrings that may be such a piece and meet the keys on (key
+length, piece number, piece).
+
+Containment (C12): every variant looks for its rarest n-gram (counted over
+the distinct values) among the values' n-grams, then the whole variant is
+verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import qcol, strip_ws
 
-MAX_DICTIONARY_ROWS = 1_000_000  # broadcast bound for dictionaries
+MAX_DICTIONARY_ROWS = 1_000_000  # rows of a mapping that is joined back by broadcast
 
 # Canonical lists shipped as the default reference
 # categories (C13), in the reference's order.
@@ -50,50 +57,31 @@ def known_categories_df(spark) -> DataFrame:
     return spark.createDataFrame(rows, "column string, canonical string, variant string, ord int")
 
 
-def _checked(d: DataFrame) -> DataFrame:
-    n = d.count()
-    if n > MAX_DICTIONARY_ROWS:
-        raise ValueError(f"dictionary has {n} rows; above the broadcast bound {MAX_DICTIONARY_ROWS}")
-    return F.broadcast(d)
-
-
-def _contained_matches(values: DataFrame, variants: list) -> DataFrame:
-    """(value_key, canonical, ord) for every variant contained in a value.
-
-    One Aho-Corasick automaton over the size-checked variant list is built
-    per task and each distinct value is scanned once (linear in its length)
-    -- no (value x variant) pairs.  Falls back to a plain substring scan
-    when the automaton library is missing."""
-    import pandas as pd
-
-    def scan(it):
-        try:
-            import ahocorasick
-        except ImportError:  # pragma: no cover - gated optional dependency
-            ahocorasick = None
-        auto = None
-        if ahocorasick is not None and variants:
-            auto = ahocorasick.Automaton()
-            for key, canonical, ord_ in variants:
-                prev = auto.get(key, None)
-                auto.add_word(key, (prev or []) + [(canonical, ord_)])
-            auto.make_automaton()
-        for pdf in it:
-            out = []
-            for v in pdf["value_key"]:
-                if auto is not None:
-                    for _, hits in auto.iter(v):
-                        out.extend((v, c, o) for c, o in hits)
-                else:
-                    out.extend((v, c, o) for key, c, o in variants if key in v)
-            yield pd.DataFrame(out, columns=["value_key", "canonical", "ord"])
-
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no package install
-    return values.mapInPandas(scan, "value_key string, canonical string, ord int")
+GRAM = 3  # characters of an n-gram; shorter variants are looked up whole
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct substrings of `size` characters (none of a shorter text)."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
+def contained_matches(values: DataFrame, variants: DataFrame) -> DataFrame:
+    """values(value_key) x variants(key, ...) -> the pairs where the value contains the key.  Empty keys match nothing."""
+    v = variants.filter(F.length("key") > 0).withColumn("_size", F.least(F.lit(GRAM), F.length("key")))
+    sizes = [r[0] for r in v.select("_size").distinct().collect()]  # at most GRAM numbers
+    if not sizes:
+        return values.join(variants.withColumn("value_key", F.col("key")).limit(0), "value_key")
+    of_values = F.concat(*(_grams(F.col("value_key"), F.lit(n)) for n in sorted(sizes)))
+    posted = values.select("value_key", F.explode(of_values).alias("_gram"))
+    counts = posted.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    keys = v.select("key", "_size").distinct().select("key", F.explode(_grams(F.col("key"), F.col("_size"))).alias("_gram"))
+    # a gram that no value has rules its key out: the left join keeps it, with a count of 0, as the rarest one
+    rarest = keys.join(counts, "_gram", "left").groupBy("key").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("r"))
+    rarest = rarest.filter("r.n > 0").select("key", F.col("r.gram").alias("_gram"))
+    found = posted.join(rarest, "_gram").filter(F.contains(F.col("value_key"), F.col("key"))).select("value_key", "key")
+    return found.join(variants, "key")
 
 
 def _join_back(base: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -110,21 +98,47 @@ def _join_back(base: DataFrame, mapping: DataFrame) -> DataFrame:
     return base.join(mapping, "__k", "left")
 
 
+def _changes(length: Column, share: float) -> Column:
+    """Changes that a match between two strings may need, the longer one being as long as `length`: fewer than that share."""
+    return F.ceil(length * share - 1e-9).cast("int") - 1
+
+
+def piece_pairs(values: DataFrame, keys: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """(value_key, key) of all pairs that may score above the threshold: they share a piece of the key."""
+    share = 1.0 - threshold / 100.0
+    length = F.length("key")
+    longest = F.ceil(length / (1 - share) - 1e-9).cast("int") - 1  # of the values that can match
+    k = keys.select("key").distinct().select("key", length.alias("_len"), _changes(F.greatest(longest, length), share).alias("_k")).filter("_k >= 0")
+    place = lambda s: F.floor(s * F.col("_len") / (F.col("_k") + 1)).cast("int")  # noqa: E731  where piece s begins
+    pieces = k.select("key", "_len", "_k", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_s"))
+    pieces = pieces.select("key", "_len", "_s", F.substring(F.col("key"), place(F.col("_s")) + 1, place(F.col("_s") + 1) - place(F.col("_s"))).alias("_piece"))
+
+    lengths = k.select("_len", "_k").distinct()  # few numbers
+    v = values.select("value_key", F.length("value_key").alias("_vlen"))
+    of_length = v.select("_vlen").distinct().select("_vlen", F.explode(F.sequence(F.floor(F.col("_vlen") * (1 - share)).cast("int"), F.ceil(F.col("_vlen") / (1 - share)).cast("int"))).alias("_len"))
+    of_length = of_length.join(lengths, "_len").filter(F.abs(F.col("_vlen") - F.col("_len")) <= _changes(F.greatest("_vlen", "_len"), share))
+    # piece s may be shifted by the s changes before it, and by no more than the others after it
+    probe = of_length.select("_vlen", "_len", "_k", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_s"))
+    at, more, after = place(F.col("_s")), F.col("_vlen") - F.col("_len"), F.col("_k") - F.col("_s")
+    size = place(F.col("_s") + 1) - at
+    low = F.greatest(at - F.col("_s"), at + more - after, F.lit(0))
+    high = F.least(at + F.col("_s"), at + more + after, F.col("_vlen") - size)
+    probe = probe.select("_vlen", "_len", "_s", low.alias("_low"), high.alias("_high"), size.alias("_size")).filter("_low <= _high")
+    cut = v.join(probe, "_vlen").select("value_key", "_len", "_s", "_size", F.explode(F.sequence("_low", "_high")).alias("_at"))
+    cut = cut.select("value_key", "_len", "_s", F.substring(F.col("value_key"), F.col("_at") + 1, F.col("_size")).alias("_piece"))
+    return cut.join(pieces, ["_len", "_s", "_piece"]).select("value_key", "key").distinct()
+
+
 def fuzzy_candidates(values: DataFrame, keys: DataFrame, threshold: float = 80.0) -> DataFrame:
-    """values(value_key string) x keys(key string, ord int, + payload) ->
-    best key per value by (score desc, ord asc) with score > threshold.
-    Equi-join on key length inside the admissible band."""
-    ratio = 1.0 - threshold / 100.0  # 0.2
-    L = F.length("value_key")
-    band = F.sequence(F.greatest(F.lit(0), F.floor(L * (1 - ratio)).cast("int")),
-                      F.ceil(L / (1 - ratio)).cast("int"))
-    v = values.select("value_key", F.explode(band).alias("klen"))
-    k = keys.withColumn("klen", F.length("key"))
-    j = v.join(F.broadcast(k), "klen")
-    score = 100.0 * (1 - F.levenshtein("value_key", "key") / F.greatest(F.length("value_key"), F.length("key")))
-    j = j.withColumn("score", score).filter(F.col("score") > threshold)
-    w = Window.partitionBy("value_key").orderBy(F.desc("score"), F.asc("ord"))
-    return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "klen")
+    """values(value_key string, distinct) x keys(key string, ord, canonical) ->
+    (value_key, key, ord, canonical, score): the best key per value by (score desc, ord asc, key)
+    with score > threshold."""
+    pairs = piece_pairs(values, keys, threshold)
+    longer = F.greatest(F.length("value_key"), F.length("key"))
+    score = 100.0 * (1 - F.levenshtein("value_key", "key") / longer)
+    scored = pairs.withColumn("score", score).filter(F.col("score") > threshold).join(keys, "key")
+    best = scored.groupBy("value_key").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "key", "canonical")).alias("b"))
+    return best.select("value_key", "b.key", "b.ord", "b.canonical", (-F.col("b.s")).alias("score"))
 
 
 def correct_exact_fuzzy(df: DataFrame, col: str, dictionary: DataFrame, fuzzy: bool = True,
@@ -134,9 +148,8 @@ def correct_exact_fuzzy(df: DataFrame, col: str, dictionary: DataFrame, fuzzy: b
     (score > threshold), else the trimmed original.  Empty tokens -> NULL."""
     d = dictionary.filter(F.col("column") == col)
     if "ord" not in d.columns:
-        d = d.withColumn("ord", F.row_number().over(Window.orderBy("variant")))
+        d = d.withColumn("ord", F.col("variant"))  # its order is all that matters
     d = d.select(F.lower("variant").alias("key"), "canonical", "ord")
-    d = _checked(d)
     s = strip_ws(qcol(col).cast("string"))
     base = df.withColumn("__v", s).withColumn("__k", F.lower(F.col("__v")))
     vals = base.select(F.col("__k").alias("value_key")).filter(F.col("value_key").isNotNull()).distinct()
@@ -160,16 +173,11 @@ def reference_categories(df: DataFrame, col: str, refs: DataFrame, strict: bool,
     the trimmed value (lenient).  ``refs(column, canonical, variant, ord)``."""
     r = refs.filter(F.col("column") == col).select(F.lower("variant").alias("key"), "canonical",
                                                     F.col("ord").cast("int").alias("ord"))
-    variants = [(x["key"], x["canonical"], x["ord"]) for x in
-                r.limit(MAX_DICTIONARY_ROWS + 1).collect()]  # size-checked, shipped to each task
-    if len(variants) > MAX_DICTIONARY_ROWS:
-        raise ValueError(f"reference list above {MAX_DICTIONARY_ROWS} variants")
-    r = F.broadcast(r)
     s = strip_ws(qcol(col).cast("string"))
     base = df.withColumn("__v", s).withColumn("__k", F.lower(F.col("__v")))
     vals = base.select(F.col("__k").alias("value_key")).filter(F.col("value_key").isNotNull()).distinct()
     # containment includes equality
-    contained = _contained_matches(vals, variants).groupBy("value_key").agg(
+    contained = contained_matches(vals, r).groupBy("value_key").agg(
         F.min_by("canonical", "ord").alias("canon"))
     rest = vals.join(contained, "value_key", "left_anti")
     fz = fuzzy_candidates(rest, r, threshold).select("value_key", F.col("canonical").alias("canon"))

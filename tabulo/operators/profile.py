@@ -3,10 +3,11 @@
 ``profile(df)`` returns ONE ROW PER COLUMN, computed from two distributed
 passes:
 
-* the frequency table P00 (one shuffle, map-side combined), aggregated per
-  column: rows, nulls, exact distinct count, number/date shape ratios and
-  the 5 most frequent values (``row_number`` <= 5 per column, which Spark
-  plans as a per-partition group limit before the exchange);
+* the frequency table P00 (keys of values, one shuffle, map-side combined),
+  aggregated per column: rows, nulls, exact distinct count, number/date shape
+  ratios and the keys of the 5 most frequent values (``row_number`` <= 5 per
+  column, which Spark plans as a per-partition group limit before the
+  exchange), whose texts are looked up last;
 * one global aggregate over the numeric columns (mean, sample std, min,
   max, integral test) -- partial aggregation only, no data shuffle.
 
@@ -19,31 +20,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DateType, NumericType, TimestampNTZType, TimestampType, BooleanType,
-)
-
 from ..functions import names as N
 from ..functions.text import qcol
 from ..functions.numbers import NUM_RE
-from .freq import freq, profilable
+from .freq import DATE_SHAPE_RE, freq, profilable, type_family, value_text, values_of
 
-DATE_SHAPE_RE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$"
 GUESS_DATE_RE = r"^(\d{1,4}[-/. ]\d{1,2}[-/. ]\d{1,4})$"
 GUESS_ISO_RE = r"^(\d{4}-\d{2}-\d{2})"
 N_SAMPLES = 5
 
 
-def type_family(dt) -> str:
-    if isinstance(dt, BooleanType):
-        return "boolean"
-    if isinstance(dt, NumericType):
-        return "numeric"
-    if isinstance(dt, (DateType, TimestampType, TimestampNTZType)):
-        return "temporal"
-    return "string"
-
-
 def catalog(df: DataFrame, cols=None) -> DataFrame:
     """Schema as a small DataFrame (metadata, not data)."""
     spark = df.sparkSession
@@ -83,34 +69,29 @@ def numeric_stats(df: DataFrame, cols=None) -> DataFrame:
 
 
 def column_counts(ft: DataFrame) -> DataFrame:
-    # try_cast fails fast on ordinary text; the regex (exact test) then runs
-    # only on castable values -- no per-position regex scan of long texts
-    is_num = F.col("value").try_cast("double").isNotNull() & F.col("value").rlike(NUM_RE)
-    is_date = (F.length("value") <= 10) & F.col("value").rlike(DATE_SHAPE_RE)
+    held = F.col("key").isNotNull()
+    sum_of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     return ft.groupBy("ordinal").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-        F.count("value").alias("nunique"),
-        F.coalesce(F.sum(F.when(is_num, F.col("n"))), F.lit(0)).alias("num_hits"),
-        F.coalesce(F.sum(F.when(is_date, F.col("n"))), F.lit(0)).alias("date_hits"),
-    )
+        F.sum("n").alias("n_rows"), sum_of(held).alias("non_null"), sum_of(~held).alias("nulls"), F.count("key").alias("nunique"),
+        sum_of(F.col("is_num")).alias("num_hits"), sum_of(F.col("is_date")).alias("date_hits"))
 
 
-def top_values(ft: DataFrame, k: int = N_SAMPLES) -> DataFrame:
-    """k most frequent non-null values per column, ties by value (deterministic).
+def top_keys(ft: DataFrame, k: int = N_SAMPLES) -> DataFrame:
+    """(ordinal, key, rk): the k most frequent non-null values per column, ties by key (deterministic).
 
     NULL is ranked last inside the window instead of being filtered first,
     so this branch shares the frequency-table exchange with
     ``column_counts`` (Spark reuses it; a pushed-down filter would not)."""
-    w = Window.partitionBy("ordinal").orderBy(F.col("value").isNull().asc(), F.desc("n"), F.asc("value"))
-    return (
-        ft.withColumn("rk", F.row_number().over(w))
-        .filter((F.col("rk") <= k) & F.col("value").isNotNull())
-        .groupBy("ordinal")
-        .agg(F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("_s"))
-        .select("ordinal", F.transform("_s", lambda x: x["value"]).alias("samples"))
-    )
+    w = Window.partitionBy("ordinal").orderBy(F.col("key").isNull().asc(), F.desc("n"), F.asc("key"))
+    return ft.select("ordinal", "key", "n", F.row_number().over(w).alias("rk")).filter((F.col("rk") <= k) & F.col("key").isNotNull())
+
+
+def samples_of(df: DataFrame, ft: DataFrame, cols, k: int = N_SAMPLES) -> DataFrame:
+    """(ordinal, samples): the texts of the k most frequent values of each column."""
+    top = top_keys(ft, k).select("ordinal", "key", "rk")
+    named = values_of(df, top, cols).join(F.broadcast(top), ["ordinal", "key"])  # k rows a column
+    return named.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("_s")).select(
+        "ordinal", F.transform("_s", lambda x: x["value"]).alias("samples"))
 
 
 def _guess_type(p) -> F.Column:
@@ -158,8 +139,6 @@ def near_unique_split(df: DataFrame, cols, ratio: float = 0.5, rsd: float = 0.02
     """One aggregate pass: per column non-null count, approximate distinct
     count and the number/date shape hit counts.  Returns (stats_rows,
     near_unique_columns) -- the stats are one row per column."""
-    from .freq import value_text
-
     aggs = []
     for i, c in enumerate(cols):
         raw = qcol(c)
@@ -197,7 +176,6 @@ def profile(df: DataFrame, cols=None, ft: DataFrame | None = None, exact_distinc
             ords = {c: i for i, c in enumerate(cols)}
             samples = {}
             for c in near:
-                from .freq import value_text
                 v = value_text(df, c)
                 samples[c] = [x[0] for x in df.select(v.alias("v")).filter(F.col("v").isNotNull())
                               .orderBy("v").limit(N_SAMPLES).collect()]
@@ -211,10 +189,9 @@ def profile(df: DataFrame, cols=None, ft: DataFrame | None = None, exact_distinc
     parts = None
     if exact_cols:
         ft = ft if ft is not None else freq(df, exact_cols)
+        parts = column_counts(ft).join(samples_of(df, ft, exact_cols), "ordinal", "left")
         if exact_cols != cols:  # re-number the frequency table's ordinals to the full schema
-            remap = F.create_map(*[x for i, c in enumerate(exact_cols) for x in (F.lit(i), F.lit(cols.index(c)))])
-            ft = ft.withColumn("ordinal", remap[F.col("ordinal")])
-        parts = column_counts(ft).join(top_values(ft), "ordinal", "left")
+            parts = parts.withColumn("ordinal", F.array(*(F.lit(cols.index(c)) for c in exact_cols))[F.col("ordinal")])
     if approx_rows is not None:
         parts = approx_rows if parts is None else parts.unionByName(approx_rows)
     if parts is None:  # nothing profilable (only nested / binary columns)

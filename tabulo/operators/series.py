@@ -19,8 +19,12 @@ with one plan instead:
 from __future__ import annotations
 
 import math
+import sys
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,21 +119,44 @@ def rolling(df: DataFrame, order_col: str, value_col: str, partition_cols=(), ti
                       F.col("_v").alias(value_col), "rolling_mean", "band_min", "band_max")
 
 
+RUN = "part int, n bigint, first double, last double, rising boolean, falling boolean"
+
+
+def _runs(batches):
+    """The summary of one sorted partition: its first and last value, and whether it never falls or never rises."""
+    part, n, first, last, rising, falling = None, 0, None, None, True, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v = batch.column(1).to_numpy(zero_copy_only=False)
+        if n == 0:
+            part, first = batch.column(0)[0].as_py(), float(v[0])
+        else:
+            v = np.append(last, v)
+        steps = v[1:] >= v[:-1], v[1:] <= v[:-1]
+        rising, falling = rising and bool(steps[0].all()), falling and bool(steps[1].all())
+        n, last = n + batch.num_rows, float(v[-1])
+    if n:
+        yield pa.RecordBatch.from_pylist([dict(part=part, n=n, first=first, last=last, rising=rising, falling=falling)], schema=pa.schema(
+            [("part", pa.int32()), ("n", pa.int64()), ("first", pa.float64()), ("last", pa.float64()), ("rising", pa.bool_()), ("falling", pa.bool_())]))
+
+
 def is_monotonic(df: DataFrame, value_col: str, order_cols, min_values: int = 3) -> DataFrame:
-    """Is ``value_col`` monotonic (non-decreasing or non-increasing) in
-    ``order_cols`` order?  The lag is a self-join of the global index on
-    ``idx + 1`` (no single-task window).  NULL values are dropped first."""
-    data = df.select(*[_q(c) for c in dict.fromkeys(list(order_cols))], _num(value_col).alias("_v")).filter(
-        F.col("_v").isNotNull())
-    idx = global_index(data, list(order_cols)).select("_idx", "_v")
-    n = idx.count()  # the index is checkpointed: a cheap scalar
-    prev = idx.select((F.col("_idx") + 1).alias("_idx"), F.col("_v").alias("_p"))
-    steps = idx.join(prev, "_idx")
-    return steps.agg(
-        F.coalesce(F.bool_and(F.col("_p") <= F.col("_v")), F.lit(True)).alias("increasing"),
-        F.coalesce(F.bool_and(F.col("_p") >= F.col("_v")), F.lit(True)).alias("decreasing"),
-    ).select(
-        F.lit(n).cast("long").alias("n"),
-        ((F.lit(n) >= min_values) & (F.col("increasing") | F.col("decreasing"))).alias("monotonic"),
-        "increasing", "decreasing",
-    )
+    """Is ``value_col`` monotonic (non-decreasing or non-increasing) in ``order_cols`` order?
+
+    One range exchange; every sorted partition becomes one summary (first, last, rising, falling, count), and the summaries --
+    one row a partition -- are folded in order.  Rows of equal order keys go by value, so the result does not depend on the
+    partitioning.  NULL values are dropped first."""
+    spark = df.sparkSession
+    # executors need no package install
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    order = list(dict.fromkeys(order_cols))
+    data = df.select(*[_q(c).alias(f"_o{i}") for i, c in enumerate(order)], _num(value_col).alias("_v")).filter(F.col("_v").isNotNull())
+    by = [*(f"_o{i}" for i in range(len(order))), "_v"]
+    runs = data.repartitionByRange(*by).sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), "_v").mapInArrow(_runs, RUN)
+    n, last, rising, falling = 0, None, True, True
+    for r in sorted(runs.collect(), key=lambda r: r["part"]):
+        if last is not None:
+            rising, falling = rising and r["first"] >= last, falling and r["first"] <= last
+        n, last, rising, falling = n + r["n"], r["last"], rising and r["rising"], falling and r["falling"]
+    return spark.createDataFrame([(n, n >= min_values and (rising or falling), rising, falling)], "n long, monotonic boolean, increasing boolean, decreasing boolean")

@@ -3,21 +3,22 @@
 Spark 4 runs with ANSI on: bare ``corr`` on a zero-variance column raises
 DIVIDE_BY_ZERO.  The correlation here is ``try_divide(covar_pop, sd_a*sd_b)``
 over pairwise-complete rows -- NULL on zero variance, equal to ``corr``
-otherwise.  Correlations and trends are single global aggregates (partial
-aggregation per task, one tiny final merge); quartiles use
-``exact_quantiles``, a few passes whose memory never grows with a group.
+otherwise.  The matrix of many columns comes from one accumulator pass
+(``moments``), trends are single global aggregates; quartiles use sketches and
+exact recounts, two passes whose memory never grows with a group.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import qname
+from ..functions.text import qcol
+from ..session import ensure_checkpoint_dir
 from .agg import _num
+from .moments import correlations
 
 
 def pair_corr(a, b) -> F.Column:
@@ -28,214 +29,172 @@ def pair_corr(a, b) -> F.Column:
 
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """Long output (c1, c2, r, n) for every pair c1 < c2 (schema order),
-    pairwise-complete; one aggregate pass over the data."""
+    pairwise-complete; one pass over the data whatever the number of columns."""
     cols = list(cols)
-    if len(cols) < 2:
-        return df.sparkSession.createDataFrame([], "c1 string, c2 string, r double, n long")
-    pairs = list(combinations(range(len(cols)), 2))
-    aggs = []
-    for k, (i, j) in enumerate(pairs):
-        a, b = _num(cols[i]), _num(cols[j])
-        aggs += [pair_corr(a, b).alias(f"r{k}"),
-                 F.count(F.when(a.isNotNull() & b.isNotNull(), F.lit(1))).alias(f"n{k}")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(cols[i]).alias("c1"), F.lit(cols[j]).alias("c2"), F.col(f"r{k}").alias("r"), F.col(f"n{k}").alias("n"))
-            for k, (i, j) in enumerate(pairs)]
-    return wide.select(F.inline(F.array(*rows)))
-
-
-MAX_LOCAL_GROUPS = 10_000
-
-
-def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None,
-                    accuracy: int = 10_000, margin: float = 3.0, bracket_rows: int = 2_000_000,
-                    grid: int = 1000, max_rounds: int = 3) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) with
-    bounded memory, for groups of any size.
-
-    Pass 1, per group: ``count``, min, max and a Greenwald-Khanna sketch
-    (``percentile_approx``, rank error <= n/accuracy) read at ``p -+ margin/A``;
-    these bracket the rows of rank floor(h) and floor(h)+1, h = (n-1)p
-    (groups under 2A rows use [min, max]).
-    Refinement (only for huge groups, when a bracket may hold more than
-    ``bracket_rows`` rows): one pass counts the rows below / inside each
-    bracket, a second reads a ``grid``-point sketch over the rows inside the
-    wide brackets only and narrows them around the target ranks.
-    Final pass: rows below a bracket are only counted; rows inside it are
-    collapsed to (value, count) map-side -- a value repeated a billion times
-    is one row -- and a running count picks the two exact neighbours.
-    No task holds a whole group, no row is multiplied.  Brackets (one row
-    per group) go through the driver when there are at most 10,000 groups
-    (then attached by broadcast), otherwise they are checkpointed and joined
-    as a table (no refinement then).  Returns (by, p, q)."""
-    probs = [float(p) for p in probs]
-    eps = margin / accuracy
-    qs = sorted({min(1.0, max(0.0, x)) for p in probs for x in (p - eps, p + eps)})
-    keys = [F.col(by)] if by else []
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v"))
-    sk = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", qs, accuracy).alias("_sk"),
-                                 F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
-    small = F.col("_n") < 2 * accuracy
-
-    def at(x, lower):
-        x = min(1.0, max(0.0, x))
-        edge = F.col("_mn") if lower else F.col("_mx")
-        if x <= 0.0 or x >= 1.0:
-            return F.col("_mn") if x <= 0.0 else F.col("_mx")
-        return F.when(small, edge).otherwise(F.col("_sk")[qs.index(x)])
-
-    br = sk.select(*keys, "_n", F.array(*[at(p - eps, True) for p in probs]).alias("_lo"),
-                   F.array(*[at(p + eps, False) for p in probs]).alias("_hi"))
-    spark = df.sparkSession
-    key_cols = [by] if by else []
-    idx = F.sequence(F.lit(0), F.lit(len(probs) - 1))
-    local = br.limit(MAX_LOCAL_GROUPS + 1).collect()
-    if not local:
-        return spark.createDataFrame([], (f"{qname(by)} {df.schema[by].dataType.simpleString()}, " if by else "")
-                                     + "p double, q double")
-    distributed = len(local) > MAX_LOCAL_GROUPS
-    state = [dict(g=(r[by] if by else None), n=r["_n"], lo=list(r["_lo"]), hi=list(r["_hi"])) for r in local]
-
-    def attach(st):
-        """base rows with their group's bracket arrays (_lo, _hi, _n)."""
-        if by is None:
-            s0 = st[0]
-            return base.select("_v", F.array(*[F.lit(x) for x in s0["lo"]]).alias("_lo"),
-                               F.array(*[F.lit(x) for x in s0["hi"]]).alias("_hi"), F.lit(s0["n"]).alias("_n"))
-        rows = [(s_["g"], s_["n"], s_["lo"], s_["hi"]) for s_ in st]
-        schema = f"{qname(by)} {df.schema[by].dataType.simpleString()}, _n long, _lo array<double>, _hi array<double>"
-        return base.join(F.broadcast(spark.createDataFrame(rows, schema)), by)  # <= 10,000 rows
-
-    if not distributed:
-        for _ in range(max_rounds):
-            if all(s_["n"] * 2 * eps <= bracket_rows for s_ in state):
-                break
-            j = attach(state)
-            meas = j.groupBy(*key_cols).agg(*[
-                F.sum((F.col("_v") < F.col("_lo")[i]).cast("long")).alias(f"b{i}") for i in range(len(probs))] + [
-                F.sum(((F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i])).cast("long")).alias(f"m{i}")
-                for i in range(len(probs))]).collect()
-            meas = {(r[by] if by else None): r for r in meas}
-            wide = [(s_, i) for s_ in state for i in range(len(probs)) if meas[s_["g"]][f"m{i}"] > bracket_rows]
-            if not wide:
-                break
-            gp = [k / grid for k in range(grid + 1)]
-            flags = {(s_["g"], i) for s_, i in wide}
-            j = attach(state)
-            want = F.filter(idx, lambda i: (F.col("_v") >= F.col("_lo")[i]) & (F.col("_v") <= F.col("_hi")[i]))
-            ins = j.select(*key_cols, "_v", F.explode(want).alias("_i"))
-            gsk = {((r[by] if by else None), r["_i"]): r["_g"] for r in ins.groupBy(*key_cols, "_i").agg(
-                F.percentile_approx("_v", gp, accuracy).alias("_g")).collect() if ((r[by] if by else None), r["_i"]) in flags}
-            for s_, i in wide:
-                m, below = meas[s_["g"]][f"m{i}"], meas[s_["g"]][f"b{i}"]
-                h = (s_["n"] - 1) * probs[i]
-                t0, t1 = math.floor(h) - below, min(math.floor(h) + 1, s_["n"] - 1) - below
-                gv = gsk[(s_["g"], i)]
-                k_lo = math.floor((t0 / m - 1.0 / accuracy) * grid) - 1
-                k_hi = math.ceil(((t1 + 1) / m + 1.0 / accuracy) * grid) + 1
-                if k_lo >= 0:
-                    s_["lo"][i] = max(s_["lo"][i], gv[k_lo])
-                if k_hi <= grid:
-                    s_["hi"][i] = min(s_["hi"][i], gv[k_hi])
-        j = attach(state)
-    else:
-        from ..session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(spark)
-        j = base.join(br.checkpoint(eager=True), by)
-    below = j.groupBy(*key_cols).agg(
-        F.first("_n").alias("_n"),
-        *[F.sum((F.col("_v") < F.col("_lo")[i]).cast("long")).alias(f"_b{i}") for i in range(len(probs))])
-    inside = j.select(*key_cols, "_v", F.explode(F.filter(idx, lambda i: (F.col("_v") >= F.col("_lo")[i])
-                                                          & (F.col("_v") <= F.col("_hi")[i]))).alias("_i"))
-    # ties collapse map-side: one row per distinct in-bracket value and count
-    vc = inside.groupBy(*key_cols, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    cum = F.sum("_c").over(Window.partitionBy(*key_cols, "_i").orderBy("_v")
-                           .rowsBetween(Window.unboundedPreceding, 0))
-    vc = vc.withColumn("_cum", cum)  # in-bracket position just past this value
-    targets = below.select(*key_cols, "_n", F.posexplode(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.col(f"_b{i}").alias("below")) for i, p in enumerate(probs)])).alias("_i", "t"))
-    h = (F.col("_n") - 1) * F.col("t.p")
-    targets = targets.select(*key_cols, "_i", F.col("t.p").alias("p"), (h - F.floor(h)).alias("_fr"),
-                             (F.floor(h) - F.col("t.below")).cast("long").alias("_k0"),
-                             (F.least(F.floor(h) + 1, F.col("_n") - 1) - F.col("t.below")).cast("long").alias("_k1"))
-    # targets: one row per (group, p) -- bounded by groups x probabilities
-    pick = vc.join(targets if distributed else F.broadcast(targets), key_cols + ["_i"])
-    # value at in-bracket position k = smallest value whose running count exceeds k
-    out = pick.groupBy(*key_cols, "p").agg(
-        F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_b"),
-        F.first("_fr").alias("_fr"))
-    return out.select(*key_cols, "p", (F.col("_a") + F.col("_fr") * (F.col("_b") - F.col("_a"))).alias("q"))
+    return correlations(df, cols, [_num(c) for c in cols])
+
+
+ACCURACY = 10_000  # rank error of the sketches: rows / ACCURACY
+MARGIN = 3.0  # brackets reach this many rank errors to either side
+SLICES = 1000  # slices of a bracket; the exact neighbours are looked for in one or two of them
+
+
+def _reads(probs, accuracy: int) -> list[float]:
+    """The ranks that a sketch is read at, around each probability."""
+    return sorted({min(1.0, max(0.0, p + side * MARGIN / accuracy)) for p in probs for side in (-1, 1)})
+
+
+def _bracket(p: float, side: int, accuracy: int, n, sketch, low, high):
+    """An end of the bracket of probability p; few rows are all inside."""
+    x = p + side * MARGIN / accuracy
+    edge = low if side < 0 else high
+    if x <= 0.0 or x >= 1.0:
+        return edge
+    return F.when(n < 2 * accuracy, edge).otherwise(sketch[_reads([p], accuracy).index(x)])
+
+
+def _picked(counts: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, p, q): the interpolated values of the target ranks.
+
+    counts (keys, _i, _v, _c): the values inside a bracket and how often each occurs (NULL: all rows below it);
+    targets (keys, _i, p, _n, _lo, _hi).  Keys are never NULL.  A bracket's rows are first counted by slice; only the values of
+    the slices that hold a target rank are sorted, so no task sorts a whole bracket."""
+    at = [*keys, "_i"]
+    below = counts.filter("_v IS NULL").select(*at, F.col("_c").alias("_below"))
+    t = targets.join(below, at, "left")
+    h = (F.col("_n") - 1) * F.col("p")
+    t = t.select(*at, "p", "_lo", "_hi", (h - F.floor(h)).alias("_fr"), (F.floor(h) - F.coalesce("_below", F.lit(0))).cast("long").alias("_k0"),
+                 (F.least(F.floor(h) + 1, F.col("_n") - 1) - F.coalesce("_below", F.lit(0))).cast("long").alias("_k1"))
+    place = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SLICES
+    flat = (F.col("_hi") <= F.col("_lo")) | (F.abs(F.col("_lo")) == float("inf")) | (F.abs(F.col("_hi")) == float("inf"))
+    inside = counts.filter("_v IS NOT NULL").join(t, at).withColumn("_s", F.when(flat, 0).otherwise(F.least(F.lit(SLICES - 1), F.floor(place))).cast("int"))
+    before = Window.partitionBy(*at).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows at most
+    slices = inside.groupBy(*at, "_s", "_k0", "_k1").agg(F.sum("_c").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    holds = lambda k: (F.col("_before") <= F.col(k)) & (F.col(k) < F.col("_before") + F.col("_m"))
+    slices = slices.filter(holds("_k0") | holds("_k1")).select(*at, "_s", "_before")
+    run = Window.partitionBy(*at, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = inside.join(slices, [*at, "_s"]).withColumn("_cum", F.col("_before") + F.sum("_c").over(run))
+    # the value of rank k is the smallest one whose running count exceeds k
+    out = near.groupBy(*at, "p", "_fr").agg(F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_v"))).alias("_a"), F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_v"))).alias("_b"))
+    return out.select(*keys, "p", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + F.col("_fr") * (F.col("_b") - F.col("_a"))).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, value: str, probs, by: str | None = None, accuracy: int = ACCURACY) -> DataFrame:
+    """(by, p, q): exact linear-interpolation quantiles (pandas / ``quantile_cont``) with bounded memory, for any
+    number of groups of any size; NULL is a group like any other.
+
+    Pass 1, per group: count, min, max and a Greenwald-Khanna sketch (``percentile_approx``, rank error <= n / accuracy)
+    read around each probability, which brackets the two neighbouring ranks (groups under 2 * accuracy rows use
+    [min, max]).  Pass 2: rows below a bracket are only counted, rows inside it collapse map-side to (value, count) -- a
+    value repeated a billion times is one row.  ``_picked`` takes the neighbours from those counts.  Brackets stay a
+    table; no task holds a whole group, and nothing per group reaches the driver."""
+    probs = list(dict.fromkeys(float(p) for p in probs))
+    ensure_checkpoint_dir(df.sparkSession)
+    v = qcol(value).cast("double")
+    base = df.select(F.struct(*([qcol(by).alias("g")] if by else [F.lit(0).alias("g")])).alias("_g"), v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    sketch = base.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.array(*(F.percentile_approx("_v", _reads([p], accuracy), accuracy) for p in probs)).alias("_q"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    end = lambda i, p, side: _bracket(p, side, accuracy, F.col("_n"), F.col("_q")[i], F.col("_mn"), F.col("_mx"))
+    ends = F.array(*(F.struct(F.lit(i).alias("_i"), F.lit(p).alias("p"), end(i, p, -1).alias("_lo"), end(i, p, 1).alias("_hi")) for i, p in enumerate(probs)))
+    brackets = sketch.select("_g", "_n", ends.alias("_b")).checkpoint(eager=True)  # one row a group, read by both later steps
+    held = F.filter("_b", lambda b: F.col("_v") <= b["_hi"])
+    cells = base.join(brackets, "_g").select("_g", "_v", F.explode(held).alias("b"))
+    cells = cells.select("_g", F.col("b._i").alias("_i"), F.when(F.col("_v") >= F.col("b._lo"), F.col("_v")).alias("_v"))
+    counts = cells.groupBy("_g", "_i", "_v").agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
+    targets = brackets.select("_g", "_n", F.explode("_b").alias("b")).select("_g", "_n", "b.*")
+    out = _picked(counts, targets, ["_g"])
+    return out.select(*([F.col("_g.g").alias(by)] if by else []), "p", "q")
 
 
 def boxplot_stats(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
-    """Q1, median, Q3, IQR fences, mean, sample std and outlier count.
-
-    One global aggregate (moments), the exact quartiles (bounded memory,
-    ``exact_quantiles``) and one filtered count; only scalars reach the
-    driver."""
+    """Q1, median, Q3, IQR fences, mean, sample std and outlier count, in two passes: moments and sketch in one row, then the
+    exact quartiles and the number of outliers."""
     v = _num(col)
     st = df.agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"),
-                F.min(v).alias("min"), F.max(v).alias("max")).first()
+                F.min(v).alias("min"), F.max(v).alias("max"), *column_sketches([v], (0.25, 0.5, 0.75))).first()
+    found = iqr_summary(df, [col], [v], whisker, row=st, median=True)
+    lit = lambda c, t="double": F.lit(st[c]).cast(t).alias(c)
+    return found.select("q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), F.col("lower").alias("lower_fence"), F.col("upper").alias("upper_fence"),
+                        lit("mean"), lit("std"), lit("n", "long"), lit("min"), lit("max"), "n_outliers")
+
+
+QUARTILES = (0.25, 0.75)
+
+
+def column_sketches(values, probs=QUARTILES, accuracy: int = ACCURACY) -> list:
+    """The aggregates that ``iqr_summary`` needs of each column, to be taken in one pass with others."""
+    sketch = lambda v: [F.percentile_approx(v, _reads([p], accuracy), accuracy).alias(f"q{p}") for p in probs]
+    return [F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), *sketch(v)).alias(f"_sketch{k}") for k, v in enumerate(values)]
+
+
+def iqr_summary(df: DataFrame, names, values, threshold: float = 1.5, accuracy: int = ACCURACY, row=None, median: bool = False) -> DataFrame:
+    """(column, q1, q3, lower, upper, n_outliers and, if asked for, median) of many double columns in two passes.
+
+    Pass 1 (or the caller's row with ``column_sketches``): all sketches in one row.  They bracket the quartiles, and those the fences.
+    Pass 2 counts, for all columns at once, the rows below and the values inside each of these brackets; quartiles, fences and
+    the number of outliers are then exact.  Columns without values have no row."""
+    names, values = list(names), list(values)
+    probs = (0.25, 0.5, 0.75) if median else QUARTILES
     spark = df.sparkSession
-    schema = ("q1 double, median double, q3 double, iqr double, lower_fence double, upper_fence double, "
-              "mean double, std double, n long, min double, max double, n_outliers long")
-    if not st["n"]:
+    ensure_checkpoint_dir(spark)
+    row = row or (df.agg(*column_sketches(values, probs, accuracy)).first() if names else None)
+    bounds, targets, held = [], [], []
+    for k in range(len(names)):
+        s = row[f"_sketch{k}"]
+        if not s["n"]:
+            continue
+        few = s["n"] < 2 * accuracy
+        ends = [(s["lo"], s["hi"]) if few else tuple(s[f"q{p}"]) for p in probs]
+        (l1, h1), (l3, h3) = ends[0], ends[-1]
+        fences = [l1 - threshold * (h3 - l1), h1 - threshold * (l3 - h1), l3 + threshold * (l3 - h1), h3 + threshold * (h3 - l1)]
+        # infinite quartiles: the fences may be anywhere
+        fences = [x if math.isfinite(x) else edge for x, edge in zip(fences, (-math.inf, math.inf) * 2)]
+        bounds.append([float(x) for x in [*(x for e in ends for x in e), fences[0], max(fences[:2]), min(fences[2:]), fences[3]]])
+        held.append(k)
+        targets += [(len(held) - 1, i, p, s["n"], float(e[0]), float(e[1])) for i, (p, e) in enumerate(zip(probs, ends))]
+    schema = "column string, q1 double, q3 double, lower double, upper double, n_outliers long" + (", median double" if median else "")
+    if not held:
         return spark.createDataFrame([], schema)
-    qv = {r["p"]: r["q"] for r in exact_quantiles(df.select(v.alias("_x")), "_x", [0.25, 0.5, 0.75]).collect()}
-    q1, med, q3 = qv[0.25], qv[0.5], qv[0.75]
-    iqr = q3 - q1
-    lo, hi = q1 - whisker * iqr, q3 + whisker * iqr
-    n_out = df.filter((v < F.lit(lo)) | (v > F.lit(hi))).count()
-    return spark.createDataFrame(
-        [(q1, med, q3, iqr, lo, hi, st["mean"], st["std"], st["n"], st["min"], st["max"], n_out)], schema)
+    b, v, at = F.array(*(F.array(*(F.lit(x) for x in xs)) for xs in bounds))[F.col("c")], F.col("v"), len(probs)
+    cell = lambda kind, some, value: F.when(some, F.struct(F.lit(kind).alias("_i"), F.when(value, v).alias("_v")))
+    cells = F.array(*(cell(i, v <= b[2 * i + 1], v >= b[2 * i]) for i in range(at)),
+                    cell(at, v < b[2 * at + 1], v >= b[2 * at]), cell(at + 1, v > b[2 * at + 2], v <= b[2 * at + 3]))
+    long = df.select(F.posexplode(F.array(*(values[k] for k in held))).alias("c", "v")).filter(v.isNotNull())
+    long = long.select("c", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).select("c", "x.*")
+    counts = long.groupBy("c", "_i", "_v").agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
+
+    t = spark.createDataFrame(targets, "c int, _i int, p double, _n long, _lo double, _hi double")
+    of = lambda p, name: F.max(F.when(F.col("p") == p, F.col("q"))).alias(name)
+    q = _picked(counts.filter(F.col("_i") < at), t, ["c"]).groupBy("c").agg(of(0.25, "q1"), of(0.75, "q3"), of(0.5, "median"))
+    q = q.withColumn("lower", F.col("q1") - threshold * (F.col("q3") - F.col("q1"))).withColumn("upper", F.col("q3") + threshold * (F.col("q3") - F.col("q1")))
+    out = F.col("_v").isNull() | ((F.col("_i") == at) & (F.col("_v") < F.col("lower"))) | ((F.col("_i") == at + 1) & (F.col("_v") > F.col("upper")))
+    n = counts.filter(F.col("_i") >= at).join(F.broadcast(q), "c").filter(out).groupBy("c").agg(F.sum("_c").alias("n_outliers"))  # q: one row a column
+    label = F.array(*(F.lit(names[k]) for k in held))[F.col("c")]
+    return q.join(n, "c", "left").select(label.alias("column"), "q1", "q3", "lower", "upper", F.coalesce("n_outliers", F.lit(0)).cast("long").alias("n_outliers"), *(["median"] if median else []))
 
 
 def iqr_outliers(df: DataFrame, cols, threshold: float = 1.5, samples: int = 5) -> DataFrame:
-    """Per numeric column, IQR fences, the TRUE outlier count and the
-    ``samples`` smallest outlying values (fixes the reference's cap-at-5 count).
-
-    Numerics are unpivoted, exact quartiles computed per column with bounded
-    memory, the per-column fences (one row per column) broadcast back and
-    the outliers filtered and counted -- all distributed."""
+    """Per numeric column, IQR fences, the TRUE outlier count and the ``samples`` smallest outlying values
+    (fixes the reference's cap-at-5 count): two passes for the fences and counts, a third for the examples."""
     cols = list(cols)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), _num(c).alias("v")) for c in cols])).alias("x")).select("x.*")
-    long = long.filter(F.col("v").isNotNull())
-    q = exact_quantiles(long, "v", [0.25, 0.75], by="column")  # one row per (column, p)
-    fences = q.groupBy("column").agg(F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-                                     F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-    fences = fences.withColumn("lower", F.col("q1") - threshold * (F.col("q3") - F.col("q1"))).withColumn(
-        "upper", F.col("q3") + threshold * (F.col("q3") - F.col("q1")))
-    out = long.join(F.broadcast(fences), "column").filter((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")))
-    agg = _outlier_summary(out, samples)
-    return fences.join(agg, "column", "left").select(
-        "column", "q1", "q3", "lower", "upper",
-        F.coalesce("n_outliers", F.lit(0)).cast("long").alias("n_outliers"), "examples")
-
-
-def _outlier_summary(out: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    counts = out.groupBy("column").agg(F.count(F.lit(1)).alias("n_outliers"))
+    fences = iqr_summary(df, cols, [_num(c) for c in cols], threshold).checkpoint(eager=True)  # one row a column
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), _num(c).alias("v")) for c in cols))).alias("x")).select("x.*")
+    out = long.join(F.broadcast(fences.select("column", "lower", "upper")), "column").filter((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")))
     w = Window.partitionBy("column").orderBy("v")
-    ex = (out.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
-          .groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("examples")))
-    return counts.join(ex, "column", "left")
+    ex = out.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= samples).groupBy("column").agg(F.array_sort(F.collect_list("v")).alias("examples"))
+    return fences.join(ex, "column", "left").select("column", "q1", "q3", "lower", "upper", "n_outliers", "examples")
+
+
+def trend_scalars(a: Column, b: Column) -> dict[str, Column]:
+    """The aggregates of a linear trend of b on a."""
+    both = a.isNotNull() & b.isNotNull()
+    return {"slope": F.regr_slope(b, a), "intercept": F.regr_intercept(b, a), "r": pair_corr(a, b), "n": F.count(F.when(both, F.lit(1))),
+            "x_min": F.min(F.when(both, a)), "x_max": F.max(F.when(both, a))}
 
 
 def linear_trend(df: DataFrame, x: str, y: str, points: int = 100, min_pairs: int = 3):
     """OLS slope/intercept, r and n over complete pairs, plus the
     ``points``-point trend line.  Returns (summary_df, line_df)."""
-    a, b = _num(x), _num(y)
-    both = a.isNotNull() & b.isNotNull()
-    summ = df.agg(
-        F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"),
-        pair_corr(a, b).alias("r"), F.count(F.when(both, F.lit(1))).alias("n"),
-        F.min(F.when(both, a)).alias("x_min"), F.max(F.when(both, a)).alias("x_max"),
-    )
+    summ = df.agg(*(v.alias(n) for n, v in trend_scalars(_num(x), _num(y)).items()))
     summ = summ.filter(F.col("n") >= min_pairs)
     line = _trend_line(summ, points)
     return summ, line

@@ -1,47 +1,18 @@
-"""Question -> aggregate dispatch and the automatic dashboard (Q04-Q06).
-
-Each question becomes one aggregate DataFrame (A-operators), reshaped to a
-tidy frame ``(qid, chart, series, x, y, extra)`` and unioned: one result for
-all charts, keyed by question id (the reference pairs files by list index,
-F9).  ``auto_analyze`` cuts the input's lineage once with ``checkpoint()``
-(written to the shared ``spark.checkpoint.dir``) so its ~15 aggregates read
-materialised data instead of recomputing the input plan, and a lost
-executor never forces the whole lineage to be replayed.
+"""Question -> chart dispatch and the automatic dashboard (Q04-Q06).
+
+Each question becomes one chart object (``charts``); all charts of a call are drawn together, from two scans of the pruned
+input whatever their number, into one tidy frame ``(qid, chart, series, x, y, x_lo, x_hi, extra)`` keyed by question id (the
+reference pairs files by list index, F9).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import agg as A
-from ..operators import series as S
-from ..operators import stats as ST
-from ..session import ensure_checkpoint_dir
+from . import charts as C
 from . import questions as Q
 
-TIDY = "qid int, chart string, series string, x string, y double, x_lo double, x_hi double, extra string"
-
-
-def _tidy(df: DataFrame, qid: int, chart: str, series, x, y, extra=None, x_lo=None, x_hi=None) -> DataFrame:
-    """One chart's data in the shared tidy shape; numbers rounded to 6 decimals
-    (chart precision, identical across engines)."""
-    def col(v, t):
-        if v is None:
-            return F.lit(None).cast(t)
-        return (F.col(v) if isinstance(v, str) else v).cast(t)
-
-    return df.select(F.lit(qid).cast("int").alias("qid"), F.lit(chart).alias("chart"),
-                     col(series, "string").alias("series"), col(x, "string").alias("x"),
-                     F.round(col(y, "double"), 6).alias("y"), F.round(col(x_lo, "double"), 6).alias("x_lo"),
-                     F.round(col(x_hi, "double"), 6).alias("x_hi"), col(extra, "string").alias("extra"))
-
-
-def _empty(spark) -> DataFrame:
-    return spark.createDataFrame([], TIDY)
-
 
 def kinds_of(prof_rows) -> dict:
     rows = sorted(prof_rows, key=lambda r: r["ordinal"])
@@ -52,151 +23,95 @@ def kinds_of(prof_rows) -> dict:
     }
 
 
-def histogram_tidy(df, col, qid, chart="histogram", nbins=None):
-    h = A.histogram(df, col, nbins)
-    return _tidy(h, qid, chart, F.lit(col), "bin", "n", x_lo="lo", x_hi="hi")
-
+def two_way(column: str, prof_rows, chart: str, top_n: int = 10) -> C.Chart:
+    """Crossed with the first other category of 2-5 labels when one exists."""
+    second = A.second_dimension(prof_rows, column, 2, 5)
+    return C.Cross(column, second, chart, first=top_n) if second else C.TwoWay(column, chart, top_n)
 
-MIN_VALUES = 3  # fixed value: date and line charts of fewer rows are not drawn
 
+def means(category: str, number: str, prof_rows) -> C.Chart:
+    """By a second category of 2-7 labels when one exists."""
+    return C.Means(category, number, A.second_dimension(prof_rows, category, 2, 7))
 
-def _enough(chart: DataFrame, df: DataFrame, cols) -> DataFrame:
-    """The chart, or no rows if under MIN_VALUES rows of df have all the columns (at most that many are looked up)."""
-    rows = df.select(*[A._q(c) for c in cols]).na.drop().limit(MIN_VALUES).collect()
-    return chart if len(rows) == MIN_VALUES else chart.limit(0)
 
-
-def aggregate_for_question(df: DataFrame, q: dict, prof_rows, policy: str = "chart") -> DataFrame:
+def chart_for_question(q: dict, prof_rows, policy: str = "chart") -> C.Chart | None:
     """Q04 (``policy='chart'``: chart type + column kinds) and Q05
     (``policy='dtype'``: kinds only; adds category x category)."""
-    spark = df.sparkSession
-    k = kinds_of(prof_rows)
-    num, cat, date = set(k["num"]), set(k["cat"]), set(k["date"])
-    cols, chart, qid = q["columns"], q["chart"], q["qid"]
-    if policy == "dtype":
-        if len(cols) == 1:
-            c = cols[0]
-            if c in num:
-                return histogram_tidy(df, c, qid, "histogram", 20)
-            t = A.top_values(df, c, 12)
-            return _tidy(t, qid, "bar", F.lit(c), "value", "n")
-        if len(cols) == 2:
-            a, b = cols
-            if a in num and b in num:
-                _, line = ST.linear_trend(df, a, b)
-                return _tidy(line, qid, "scatter", F.lit("trend"), "x", "y")
-            if (a in cat and b in num) or (b in cat and a in num):
-                c, m = (a, b) if a in cat else (b, a)
-                g = A.mean_by_category(df, c, m)
-                return _tidy(g, qid, "bar", F.lit(m), c, "mean", "n")
-            if a in cat and b in cat:
-                ct = A.crosstab(df, a, b)
-                return _tidy(ct, qid, "heatmap", "b", "a", "n")
-        return _empty(spark)
-    # policy == "chart"
+    kind = {c: name for name, cols in kinds_of(prof_rows).items() for c in cols}
+    cols = q["columns"]
+    of = [kind.get(c) for c in cols]
     if len(cols) == 1:
-        c = cols[0]
-        if chart == "box" and c in num:
-            b = ST.boxplot_stats(df, c)
-            stack = b.selectExpr("stack(5, 'q1', q1, 'median', median, 'q3', q3, 'mean', mean, 'n_outliers', "
-                                 "cast(n_outliers as double)) as (x, y)")
-            return _tidy(stack, qid, "box", F.lit(c), "x", "y")
-        if c in num:
-            return histogram_tidy(df, c, qid)
-        if c in cat:
-            t = A.two_way_auto(df, c, prof_rows)
-            return _tidy(t, qid, chart, "b", "a", "n")
-        if c in date:
-            h = A.date_histogram(df, c)
-            return _enough(_tidy(h, qid, "histogram", "unit", "period", "n"), df, [c])
-        return _empty(spark)
+        (c,), (k,) = cols, of
+        if policy == "dtype":
+            return C.Histogram(c, "histogram", 20) if k == "num" else C.Top(c, 12)
+        if k == "num":
+            return C.Box(c) if q["chart"] == "box" else C.Histogram(c)
+        return two_way(c, prof_rows, q["chart"]) if k == "cat" else C.Periods(c) if k == "date" else None
     if len(cols) == 2:
-        a, b = cols
-        if (a in date and b in num) or (b in date and a in num):
-            d, m = (a, b) if a in date else (b, a)
-            r = S.rolling(df, d, m)
-            line = _tidy(r, qid, "line", F.lit("rolling_mean"), d, "rolling_mean", x_lo="band_min", x_hi="band_max")
-            return _enough(line, df, [d, m])
-        # whatever the chart asked for: category and number is a mean, two numbers are a trend
-        if (a in cat and b in num) or (b in cat and a in num):
-            c, m = (a, b) if a in cat else (b, a)
-            g = A.mean_by_two(df, c, m, prof_rows=prof_rows)
-            return _tidy(g, qid, "bar", "second", c, "mean", "n")
-        if a in num and b in num:
-            _, line = ST.linear_trend(df, a, b)
-            return _tidy(line, qid, "scatter", F.lit("trend"), "x", "y")
-    return _empty(spark)
+        by = dict(zip(of, cols))
+        if of == ["num", "num"]:
+            return C.Trend(*cols)
+        if set(of) == {"cat", "num"}:
+            return C.Means(by["cat"], by["num"], named=True) if policy == "dtype" else means(by["cat"], by["num"], prof_rows)
+        if set(of) == {"date", "num"} and policy == "chart":
+            return C.Line(by["date"], by["num"])
+        if of == ["cat", "cat"] and policy == "dtype":
+            return C.Cross(*cols)
+    return None
 
 
 def answer_questions(df: DataFrame, questions, prof_rows, policy: str = "chart") -> DataFrame:
-    parts = [aggregate_for_question(df, q, prof_rows, policy) for q in questions]
-    return reduce(DataFrame.unionByName, parts) if parts else _empty(df.sparkSession)
+    found = ((q["qid"], chart_for_question(q, prof_rows, policy)) for q in questions)
+    return C.draw(df, [(qid, chart) for qid, chart in found if chart is not None])
 
 
-def auto_analyze(df: DataFrame, prof_rows, max_charts: int = 15) -> DataFrame:
-    """Q06: the automatic dashboard on a (cleaned) table, in the reference's
-    order: metric histogram, box plot, metric by segment and by region,
-    segment x region crosstab, a category distribution, a pie, correlations,
-    a scatter, a bubble cloud, a sunburst over the dimensions, a
-    segment -> region flow, then other metrics and categories up to 15."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    df = df.checkpoint(eager=True)
+def aggregate_for_question(df: DataFrame, q: dict, prof_rows, policy: str = "chart") -> DataFrame:
+    """The answer to one question."""
+    return answer_questions(df, [q], prof_rows, policy)
+
+
+def dashboard(df: DataFrame, prof_rows, max_charts: int = 15) -> list[C.Chart]:
+    """Q06: which charts the automatic dashboard shows, in the reference's order: metric histogram, box plot, metric by
+    segment and by region, segment x region crosstab, a category distribution, a pie, correlations, a scatter, a bubble
+    cloud, a sunburst over the dimensions, a segment -> region flow, then other metrics and categories up to 15."""
     k = kinds_of(prof_rows)
-    nun = {r["column"]: r["nunique"] for r in prof_rows}
-    num_cols = k["num"]
-    cat_cols = k["cat"]
-    business = [c for c in num_cols if not _identifier_like(c, prof_rows)]
-    main = Q.main_metric(df, business or num_cols)
+    rows = {r["column"]: r for r in prof_rows}
+    nums, cats = k["num"], k["cat"]
+    business = [c for c in nums if not _identifier_like(c, prof_rows)]
+    candidates = business or nums
+    if all(rows[c]["std"] is not None for c in candidates):  # P13 from the profile; numbers held as text are looked at
+        main = max(candidates, key=lambda c: rows[c]["std"], default=None)
+    else:
+        main = Q.main_metric(df, candidates)
     dims = Q.dimensions(prof_rows)
     seg, reg, oth = dims["segment"], dims["region"], dims["other"]
-    out = []
-
-    def add(chart_df):
-        out.append(chart_df)
-        return len(out)
-
+    hierarchy = [d for d in (seg, reg, oth) if d][:3]
+    out: list[C.Chart] = []
     if main:
-        add(histogram_tidy(df, main, len(out) + 1))
-        add(aggregate_for_question(df, dict(qid=len(out) + 1, columns=[main], chart="box"), prof_rows))
-        for dim in (seg, reg):
-            if dim:
-                g = A.mean_by_two(df, dim, main, prof_rows=prof_rows)
-                add(_tidy(g, len(out) + 1, "bar", "second", dim, "mean", "n"))
+        out += [C.Histogram(main), C.Box(main), *(means(d, main, prof_rows) for d in (seg, reg) if d)]
     if seg and reg:
-        add(_tidy(A.crosstab(df, seg, reg), len(out) + 1, "heatmap", "b", "a", "n"))
-    if cat_cols:
-        primary = next((c for c in cat_cols if nun.get(c, 0) < 15), cat_cols[0])
-        add(_tidy(A.two_way_auto(df, primary, prof_rows, 10), len(out) + 1, "bar", "b", "a", "n"))
-        pie = next((c for c in cat_cols if 5 < nun.get(c, 0) < 12), None)
-        if pie:
-            add(_tidy(A.value_shares(df, pie, 8), len(out) + 1, "pie", F.lit(pie), "value", "share"))
-    if len(num_cols) >= 2:
-        corr_cols = business if len(business) >= 2 else num_cols
-        add(_tidy(ST.correlation_matrix(df, corr_cols), len(out) + 1, "heatmap", "c1", "c2", "r"))
+        out.append(C.Cross(seg, reg))
+    if cats:
+        out.append(two_way(next((c for c in cats if rows[c]["nunique"] < 15), cats[0]), prof_rows, "bar"))
+        out += [C.Shares(c, 8) for c in cats if 5 < rows[c]["nunique"] < 12][:1]
+    if len(nums) >= 2:
+        out.append(C.Correlations(business if len(business) >= 2 else nums))
     if len(business) >= 2:
-        _, line = ST.linear_trend(df, business[0], business[1])
-        add(_tidy(line, len(out) + 1, "scatter", F.lit(f"{business[0]}~{business[1]}"), "x", "y"))
-    if len(num_cols) >= 2:
-        size = num_cols[2] if len(num_cols) > 2 else None
-        colour = cat_cols[0] if cat_cols else None
-        b = A.bubble_projection(df, num_cols[0], num_cols[1], size, colour)
-        add(_tidy(b, len(out) + 1, "bubble", "colour", "x", "y", F.col("size").cast("string")))
-    hierarchy = [d for d in (seg, reg, oth) if d][:3]
-    if len(cat_cols) >= 2 and len(hierarchy) >= 2:
-        h = A.hierarchy_rollup(df, hierarchy, main)
-        label = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in hierarchy])
-        add(_tidy(h, len(out) + 1, "sunburst", F.col("level").cast("string"), label, "value"))
+        out.append(C.Trend(business[0], business[1], f"{business[0]}~{business[1]}"))
+    if len(nums) >= 2:
+        out.append(C.Bubble(nums[0], nums[1], nums[2] if len(nums) > 2 else None, cats[0] if cats else None))
+    if len(cats) >= 2 and len(hierarchy) >= 2:
+        out.append(C.Rollup(hierarchy, main))
     if seg and reg:
-        f = A.flow_edges(df, seg, reg, main)
-        add(_tidy(f, len(out) + 1, "sankey", "source", "target", "value"))
-    for c in num_cols:
-        if c != main and len(out) < max_charts:
-            add(histogram_tidy(df, c, len(out) + 1))
-    for c in cat_cols:
-        if c not in (seg, reg, oth) and len(out) < max_charts and 3 < nun.get(c, 0) < 20:
-            add(_tidy(A.two_way_auto(df, c, prof_rows, 10), len(out) + 1, "bar", "b", "a", "n"))
-    return reduce(DataFrame.unionByName, out) if out else _empty(spark)
+        out.append(C.Flow(seg, reg, main))
+    more = [C.Histogram(c) for c in nums if c != main]
+    more += [two_way(c, prof_rows, "bar") for c in cats if c not in (seg, reg, oth) and 3 < rows[c]["nunique"] < 20]
+    return out + more[:max(0, max_charts - len(out))]
+
+
+def auto_analyze(df: DataFrame, prof_rows, max_charts: int = 15) -> DataFrame:
+    """Q06: the automatic dashboard on a (cleaned) table; charts are numbered from 1."""
+    return C.draw(df, list(enumerate(dashboard(df, prof_rows, max_charts), 1)))
 
 
 def identifier_like(df: DataFrame, col: str, prof_rows, order_cols=None) -> bool:
@@ -227,4 +142,4 @@ def _identifier_like(col: str, prof_rows) -> bool:
     return r["nunique"] / r["non_null"] >= 0.995
 
 
-__all__ = ["aggregate_for_question", "answer_questions", "auto_analyze"]
+__all__ = ["aggregate_for_question", "answer_questions", "auto_analyze", "dashboard"]

@@ -306,3 +306,31 @@ def monotonic_test(spark, sf):
     a = S.is_monotonic(ev, "event_id", ["ts", "event_id"]).select(F.lit("event_id").alias("column_name"), "*")
     b = S.is_monotonic(ev, "value", ["ts", "event_id"]).select(F.lit("value").alias("column_name"), "*")
     return a.unionByName(b)
+
+
+# ---------------------------------------------------------------- T02 / P09
+@query("mean_rank", """
+SELECT p_brand, round(avg(p_retailprice), 6) AS mean, count(p_retailprice) AS n, row_number() OVER (ORDER BY round(avg(p_retailprice), 6) DESC, p_brand) AS rank
+FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand""")
+def mean_rank(spark, sf):
+    """Every category with its place by mean."""
+    means = A.mean_by_category(table(spark, sf, "part"), "p_brand", "p_retailprice").withColumn("mean", r6("mean"))
+    return A.ranked(means, "mean", "p_brand")
+
+
+SEQUENCES = ["event_id", "ts", "CASE WHEN event_id % 100 = 0 THEN event_id - 1 ELSE event_id END AS nearly", "(event_id * 7919) % 100003 AS mixed", "value"]
+
+
+@query("identifier_like_in_order", f"""
+WITH e AS (SELECT {', '.join(SEQUENCES)} FROM events),
+l AS (SELECT 'nearly' AS c, CAST(nearly AS DOUBLE) AS v, ts, event_id FROM e UNION ALL SELECT 'mixed', CAST(mixed AS DOUBLE), ts, event_id FROM e UNION ALL SELECT 'value', value, ts, event_id FROM e),
+s AS (SELECT c, v, lag(v) OVER (PARTITION BY c ORDER BY ts, event_id, v) AS p FROM l WHERE v IS NOT NULL),
+a AS (SELECT c, count(*) AS nn, count(DISTINCT v) AS nd, bool_and(coalesce(p <= v, true)) OR bool_and(coalesce(p >= v, true)) AS monotonic FROM s GROUP BY c)
+SELECT c AS column_name, nn >= 3 AND (nd / nn >= 0.995 OR (nd / nn >= 0.98 AND monotonic)) AS identifier_like FROM a""")
+def identifier_like_in_order(spark, sf):
+    """P09 with an order: columns that are nearly unique and run with the events."""
+    from .dispatch import identifier_like
+
+    d = table(spark, sf, "events").selectExpr(*SEQUENCES)
+    prof = profile(d, ["nearly", "mixed", "value"]).collect()
+    return spark.createDataFrame([(c, identifier_like(d, c, prof, ["ts", "event_id"])) for c in ("nearly", "mixed", "value")], "column_name string, identifier_like boolean")

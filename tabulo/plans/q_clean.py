@@ -11,6 +11,7 @@ from ..operators import clean as C
 from ..operators import fuzzy as Z
 from ..operators.confidence import column_confidence
 from ..operators.profile import profile_rows_df
+from .q_profile import _profile_sql
 from .registry import query, table, r6
 from .report import anomaly_log, cleaning_report
 
@@ -393,6 +394,8 @@ def _messy_stats_sql():
         f"count(DISTINCT {c}) AS nunique FROM {MESSY_SQL}" for i, (c, nm) in enumerate(zip(cols, names)))
 
 
+MESSY_COLS = [('"Order ID"', "string", "Order ID"), ("Montant", "string"), ("Statut", "string"),
+              ('"Date Commande"', "string", "Date Commande"), ("priorite", "string")]
 # proposal types / names of the messy table, as the profile decides them
 _PROPOSED = ("CASE column_name WHEN 'Order ID' THEN 'order_id' WHEN 'Montant' THEN 'montant' WHEN 'Statut' THEN 'statut' "
              "WHEN 'Date Commande' THEN 'date_commande' ELSE 'priorite' END")
@@ -403,8 +406,9 @@ WITH s AS ({_messy_stats_sql()}),
 k AS (SELECT column_name, {_k01_text} AS conf, {_PROPOSED} AS proposed_name FROM s)
 SELECT column_name, proposed_name, round(conf, 6) AS confidence, conf >= 0.7 AS accepted,
        CASE WHEN conf >= 0.7 THEN proposed_name ELSE column_name END AS final_name,
-       CASE WHEN column_name = 'priorite' THEN 'PRIORITE' ELSE proposed_name END AS overridden_name
-FROM k""")
+       CASE WHEN column_name = 'priorite' THEN 'PRIORITE' ELSE proposed_name END AS overridden_name,
+       CASE WHEN data_type = 'date' THEN 'text' ELSE data_type END AS overridden_type
+FROM k JOIN (SELECT column_name, data_type FROM ({_profile_sql(MESSY_SQL, MESSY_COLS)})) USING (column_name)""")
 def accept_by_confidence(spark, sf):
     d, _, p = _messy_profile_df(spark, sf)
     conf = column_confidence(p).select("column", "confidence_raw")
@@ -412,13 +416,14 @@ def accept_by_confidence(spark, sf):
         "confidence_raw", "confidence")
     acc = C.accept_proposals(props, "auto")
     # Overrides derived from the profile: category columns with a lower-case
-    # name are renamed upper-case by the "user"
+    # name are renamed upper-case by the "user", dates become text
     ov = p.filter((F.col("data_type") == "category") & (F.col("column") == F.lower("column"))).select(
         "column", F.upper("column").alias("name"), F.lit(None).cast("string").alias("type"))
-    over = C.apply_overrides(props, ov).select("column", F.col("proposed_name").alias("overridden_name"))
+    ov = ov.unionByName(p.filter(F.col("data_type") == "date").select("column", F.lit(None).cast("string").alias("name"), F.lit("text").alias("type")))
+    over = C.apply_overrides(props, ov).select("column", F.col("proposed_name").alias("overridden_name"), F.col("data_type").alias("overridden_type"))
     return acc.join(over, "column").select(
         F.col("column").alias("column_name"), "proposed_name", r6("confidence").alias("confidence"),
-        "accepted", "final_name", "overridden_name")
+        "accepted", "final_name", "overridden_name", "overridden_type")
 
 
 EMPTY_ROWS = ["CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderstatus END AS a",
@@ -436,3 +441,45 @@ def drop_empty_rows(spark, sf):
                                          F.count("b").alias("n_b"))
     return a.unionByName(s)
 
+
+
+# ---------------------------------------------------------------- C08
+@query("clean_table_trimmed", f"""
+SELECT "Order ID", {_montant} AS montant, trim(Statut) AS statut, {_date} AS date_commande, trim(priorite) AS priorite
+FROM {MESSY_SQL}""")
+def clean_table_trimmed(spark, sf):
+    """Categories are only trimmed."""
+    d, prof = _messy_profile(spark, sf)
+    out = C.clean_table(d, prof, mode="trim")
+    return out.withColumn("date_commande", F.col("date_commande").cast("string"))
+
+
+# ---------------------------------------------------------------- C13 / C14
+STRICT = ["o_orderkey",
+          """CASE o_orderkey % 7 WHEN 0 THEN 'Formation Terminé' WHEN 1 THEN ' EN COURS ' WHEN 2 THEN 'inscrit' WHEN 3 THEN 'inscrot'
+             WHEN 4 THEN 'zzz' WHEN 5 THEN '-' END AS statut""",
+          """CASE o_orderkey % 4 WHEN 0 THEN 'expert confirmé' WHEN 1 THEN 'Expart' WHEN 2 THEN 'advanced' ELSE 'expert' END AS niveau""",
+          "CASE o_orderkey % 3 WHEN 0 THEN 'expert' ELSE 'Zzz' END AS genre"]
+_KNOWN = [(c, v, k) for c, vs in Z.KNOWN_CATEGORIES.items() for k, v in enumerate(vs)]
+
+
+def _strict_sql(col):
+    known = ", ".join(f"('{v}', lower('{v}'), {k})" for c, v, k in _KNOWN if c == col)
+    return f"""SELECT o_orderkey, '{col}' AS name, (
+    SELECT canonical FROM (VALUES {known}) AS k(canonical, variant, ord)
+    WHERE lower(trim({col})) NOT IN {EMPTY} AND (contains(lower(trim({col})), variant)
+       OR 100.0 * (1 - levenshtein(lower(trim({col})), variant) / greatest(length(lower(trim({col}))), length(variant))) > 80)
+    ORDER BY contains(lower(trim({col})), variant) DESC,
+      CASE WHEN contains(lower(trim({col})), variant) THEN 0 ELSE levenshtein(lower(trim({col})), variant) / greatest(length(lower(trim({col}))), length(variant)) END, ord LIMIT 1) AS value FROM s"""
+
+
+@query("strict_categories", f"""
+WITH s AS ({staged_sql('orders', STRICT)})
+{_strict_sql('statut')} UNION ALL {_strict_sql('niveau')} UNION ALL SELECT o_orderkey, 'genre', genre FROM s""")
+def strict_categories(spark, sf):
+    """Columns whose name marks them strict are mapped onto the known categories; others are left alone."""
+    d = staged(table(spark, sf, "orders"), STRICT)
+    rows, _ = profile_rows_df(d)
+    out = C.apply_dictionaries(d, rows)
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("statut", "niveau", "genre")))
+    return out.select("o_orderkey", F.inline(pairs))

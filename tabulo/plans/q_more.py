@@ -16,7 +16,8 @@ from ..sources import html as H
 from ..session import ensure_checkpoint_dir
 from . import dispatch as DP
 from . import questions as Q
-from .q_clean import MESSY_SQL, messy_orders, _messy_profile_df
+from .q_clean import MESSY_COLS, MESSY_SQL, messy_orders, _messy_profile_df
+from .q_plans import _first_match_sql, sales
 from .q_profile import SCHEMAS, _profile_sql
 from .registry import ORACLE, query, table, r6
 from .report import anomaly_log, missing_cells_pct, proposals_summary, report_header
@@ -117,13 +118,7 @@ def confidence_table(spark, sf):
                     "quality_summary", "n_columns")
 
 
-# ---------------------------------------------------------------- Q07 / Q08
-def _first_match_sql(x, table_, default):
-    cases = " ".join(f"WHEN {' OR '.join(f'contains({x}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'"
-                     for name, words in table_)
-    return f"CASE {cases} ELSE '{default}' END"
-
-
+# ---------------------------------------------------------------- Q07
 @query("question_intent", f"""
 SELECT conv_id, turn, {_first_match_sql('lower(text)', Q.INTENT_WORDS, 'bar')} AS intent FROM conversations""")
 def question_intent(spark, sf):
@@ -131,60 +126,6 @@ def question_intent(spark, sf):
     return c.select("conv_id", "turn", Q.question_intent("text").alias("intent"))
 
 
-@query("question_route", f"""
-WITH r AS (SELECT conv_id, turn, {_first_match_sql('lower(text)', Q.ROUTE_WORDS, 'histogram')} AS route
-           FROM conversations),
-k AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY conv_id, turn) - 1 AS k FROM r)
-SELECT conv_id, turn, route,
-  CASE route WHEN 'correlation_matrix' THEN NULL
-             WHEN 'category_distribution' THEN ['o_orderstatus', 'o_orderpriority'][k % 2 + 1]
-             ELSE ['o_orderkey', 'o_custkey', 'o_totalprice'][k % 3 + 1] END AS "column"
-FROM k""")
-def question_route(spark, sf):
-    prof = profile(table(spark, sf, "orders")).collect()
-    kinds = DP.kinds_of(prof)
-    c = table(spark, sf, "conversations")
-    return Q.route_questions(c, "text", ["conv_id", "turn"], kinds).select("conv_id", "turn", "route", "column")
-
-
-# ---------------------------------------------------------------- Q01 - Q06 (rows-only: plans have no SQL form)
-def _sales(spark, sf):
-    o = table(spark, sf, "orders")
-    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey")
-    n = table(spark, sf, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
-    r = table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
-    return (o.join(c, "o_custkey").join(n, "c_nationkey").join(r, "n_regionkey")
-            .select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("revenue"), "o_orderdate", "o_orderpriority",
-                    "c_acctbal", "c_mktsegment", F.col("r_name").alias("region")))
-
-
-_PLAN_SQL = """
-WITH j AS (SELECT o.o_totalprice AS revenue, c.c_mktsegment, r.r_name AS region
-           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-           JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
-f AS (SELECT count(DISTINCT revenue) > 1 AS has_rev, count(DISTINCT c_mktsegment) > 1 AS has_seg,
-             count(DISTINCT region) > 1 AS has_reg FROM j),
-q AS (
-  SELECT 1 AS k, 'Which customer segments bring the most revenue?' AS question, 'c_mktsegment,revenue' AS columns,
-         'bar' AS chart, 'ventes: compare performance across segments' AS purpose FROM f WHERE has_seg AND has_rev
-  UNION ALL SELECT 5, 'Which regions perform best?', 'region,revenue', 'bar',
-         'ventes: compare performance across segments' FROM f WHERE has_reg AND has_rev
-  UNION ALL SELECT 6, 'How is revenue distributed?', 'revenue', 'histogram',
-         'ventes: understand the spread and spot potential anomalies' FROM f WHERE has_rev
-  UNION ALL SELECT 7, 'How are segments spread over regions?', 'c_mktsegment,region', 'bar',
-         'ventes: highlight combined segments' FROM f WHERE has_seg AND has_reg)
-SELECT CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS qid, question, columns, chart, purpose FROM q"""
-
-
-@query("question_plan", _PLAN_SQL)
-def question_plan(spark, sf):
-    d = _sales(spark, sf)
-    prof = profile(d).collect()
-    qs = Q.plan_questions(prof)
-    return Q.questions_df(spark, qs).select("qid", "question", F.concat_ws(",", "columns").alias("columns"),
-                                            "chart", "purpose")
-
-
 def _answers_sql():
     from .q_agg import _hist_sql
 
@@ -222,7 +163,7 @@ FROM ({body}) AS t(qid, chart, series, x, y, x_lo, x_hi, extra)"""
 
 @query("question_answers", _answers_sql())
 def question_answers(spark, sf):
-    d = _sales(spark, sf)
+    d = sales(spark, sf)
     prof = profile(d).collect()
     qs = Q.plan_questions(prof)
     return DP.answer_questions(d, qs, prof, policy="chart").unionByName(
@@ -231,7 +172,7 @@ def question_answers(spark, sf):
 
 @query("auto_analyze")
 def auto_analyze(spark, sf):
-    d = _sales(spark, sf)
+    d = sales(spark, sf)
     prof = profile(d).collect()
     return DP.auto_analyze(d, prof)
 
@@ -269,19 +210,16 @@ def _stats_out(s):
 
 @query("html_tables_best", _T0)
 def html_tables_best(spark, sf):
-    st = H.table_stats(H.html_tables(_pages_with_tables(spark, sf)))
-    return _stats_out(H.best_table(st))
+    return _stats_out(H.best_table(_pages_with_tables(spark, sf)))
 
 
 @query("html_table_stats", _T0 + " UNION ALL " + _T1)
 def html_table_stats(spark, sf):
-    return _stats_out(H.table_stats(H.html_tables(_pages_with_tables(spark, sf))))
+    return _stats_out(H.table_stats(_pages_with_tables(spark, sf)))
 
 
 # ---------------------------------------------------------------- A21 - A23
 _ANOMALY_SQL = ORACLE["anomaly_log"]
-_MESSY_COLS = [('"Order ID"', "string", "Order ID"), ("Montant", "string"), ("Statut", "string"),
-               ('"Date Commande"', "string", "Date Commande"), ("priorite", "string")]
 
 
 @query("report_header", f"""
@@ -294,7 +232,7 @@ def report_header_q(spark, sf):
 
 @query("proposals_summary", f"""
 SELECT CAST(5 AS BIGINT) AS columns, CAST(0.8 AS DOUBLE) AS mean_confidence,
-  (SELECT count(DISTINCT data_type) FROM ({_profile_sql(MESSY_SQL, _MESSY_COLS)})) AS distinct_types,
+  (SELECT count(DISTINCT data_type) FROM ({_profile_sql(MESSY_SQL, MESSY_COLS)})) AS distinct_types,
   (SELECT round(avg(k), 4) FROM (SELECT count(*) AS k FROM ({_ANOMALY_SQL}) GROUP BY "column")) AS anomalies_per_column""")
 def proposals_summary_q(spark, sf):
     d, prof_rows, p = _messy_profile_df(spark, sf)

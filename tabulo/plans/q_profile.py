@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions.text import qcol
 from ..operators.profile import profile
 from .questions import detect_domain, main_metric
 from .registry import query, table, r6
@@ -96,7 +100,7 @@ SELECT column_name, ordinal, n_rows, non_null, nulls, round(100.0 * nulls / grea
 FROM u"""
     if not guess:
         return sql
-    # Guess from the name and the 5 most frequent values (ties by value)
+    # Guess from the name and the 5 most frequent values (ties by MD5)
     freq_parts = " UNION ALL ".join(
         f"SELECT '{spec[2] if len(spec) > 2 else spec[0]}' AS column_name, '{spec[1]}' AS family, "
         f"CAST({spec[0]} AS VARCHAR) AS v, count(*) AS n FROM {src} WHERE {spec[0]} IS NOT NULL GROUP BY 1, 2, 3"
@@ -108,7 +112,7 @@ FROM u"""
     return f"""
 WITH base AS ({sql}),
 f AS ({freq_parts}),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, v ASC) AS rk FROM f) WHERE rk <= 5),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, md5(v) ASC) AS rk FROM f) WHERE rk <= 5),
 g AS (
   SELECT column_name, count(*) AS k,
     count(*) FILTER (WHERE regexp_matches(v, '[/\\-. ]') AND length(v) BETWEEN 4 AND 19
@@ -130,24 +134,37 @@ SELECT base.*, gg.guessed_type, gg.guessed_type <> base.data_type AS type_correc
 FROM base JOIN gg USING (column_name)"""
 
 
+def _samples_sql(src: str, cols) -> str:
+    """The five most frequent values (ties by MD5), as one MD5 a column."""
+    counts = " UNION ALL ".join(f"SELECT '{spec[0]}' AS column_name, CAST({spec[0]} AS VARCHAR) AS v, count(*) AS n FROM {src} WHERE {spec[0]} IS NOT NULL GROUP BY 2" for spec in cols)
+    return f"""SELECT column_name, md5(string_agg(v, chr(1) ORDER BY n DESC, md5(v))) AS samples_md5 FROM (
+  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, md5(v)) AS rk FROM ({counts})) WHERE rk <= 5 GROUP BY column_name"""
+
+
+def _with_samples_sql(src: str, cols) -> str:
+    return f"SELECT p.*, s.samples_md5 FROM ({_profile_sql(src, cols)}) p LEFT JOIN ({_samples_sql(src, cols)}) s USING (column_name)"
+
+
 PROFILE_COLS = ["column_name", "ordinal", "n_rows", "non_null", "nulls", "null_pct", "nunique", "data_type",
                 "role", "code_threshold"]
 
 
-def _profile_out(p, guess=False):
+def _profile_out(p, guess=False, samples=False):
     cols = [F.col("column").alias("column_name"), "ordinal", "n_rows", F.col("non_null").cast("long"),
             F.col("nulls").cast("long"), "null_pct", F.col("nunique").cast("long"), "data_type", "role",
             F.col("code_threshold").cast("long")]
     if guess:
         cols += ["guessed_type", "type_corrected"]
+    if samples:
+        cols.append(F.when(F.size("samples") > 0, F.md5(F.concat_ws("\x01", "samples"))).alias("samples_md5"))
     return p.select(*cols)
 
 
 for _t in ["orders", "lineitem", "customer", "part", "events", "supplier", "documents", "conversations", "labels"]:
     def _mk(t):
-        @query(f"profile_{t}", _profile_sql(t, SCHEMAS[t]))
+        @query(f"profile_{t}", _with_samples_sql(t, SCHEMAS[t]))
         def _q(spark, sf):
-            return _profile_out(profile(table(spark, sf, t)))
+            return _profile_out(profile(table(spark, sf, t)), samples=True)
         return _q
     _mk(_t)
 
@@ -291,34 +308,52 @@ def names_suggested(spark, sf):
     return c.select("table_name", "name", N.suggest_name(F.col("name")).alias("suggested"))
 
 
+# would-be column names: the parts of a brand and size, many of which are renamed alike
+PART_NAMES = "concat(CASE p_partkey % 4 WHEN 0 THEN 'Montant' WHEN 1 THEN 'montant_2' WHEN 2 THEN p_name ELSE p_type END, '')"
+
+
 @query("names_deduplicated", f"""
-WITH c AS (SELECT table_name, name, ordinal, {_snake_final} AS proposed FROM
-  (SELECT *, {_snake_s1} AS s1 FROM ({NAME_SOURCE_SQL}) WHERE ordinal > 0))
-SELECT table_name, name, CASE WHEN rn = 1 THEN proposed ELSE proposed || '_' || CAST(rn AS VARCHAR) END AS final_name
-FROM (SELECT *, row_number() OVER (PARTITION BY table_name, proposed ORDER BY ordinal) AS rn FROM c)""")
+WITH RECURSIVE p AS (SELECT p_brand, p_size, p_partkey, {_snake_final} AS proposed FROM
+  (SELECT *, {_snake_s1} AS s1 FROM (SELECT p_brand, p_size, p_partkey, {PART_NAMES} AS name FROM part))),
+n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS k, list(proposed) OVER (PARTITION BY p_brand, p_size) AS wanted FROM p),
+f AS (
+  SELECT p_brand, p_size, CAST(NULL AS BIGINT) AS p_partkey, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS final_name, CAST([] AS VARCHAR[]) AS given FROM (SELECT DISTINCT p_brand, p_size FROM p)
+  UNION ALL
+  SELECT p_brand, p_size, p_partkey, k, final_name, list_append(given, final_name) FROM (
+    SELECT n.p_brand, n.p_size, n.p_partkey, n.k, f.given, CASE WHEN list_contains(f.given, n.proposed) THEN
+        list_filter(list_transform(range(2, len(n.wanted) + 3), lambda i: n.proposed || '_' || i), lambda c: NOT list_contains(f.given, c) AND NOT list_contains(n.wanted, c))[1]
+      ELSE n.proposed END AS final_name
+    FROM f JOIN n ON n.p_brand = f.p_brand AND n.p_size = f.p_size AND n.k = f.k + 1))
+SELECT p_partkey, final_name FROM f WHERE k > 0""")
 def names_deduplicated(spark, sf):
-    c = name_catalog(spark, sf).filter(F.col("ordinal") > 0)
-    c = c.withColumn("proposed", N.snake_case(F.col("name")))
-    return N.dedupe_names(c, "proposed", "ordinal", ["table_name"]).select("table_name", "name", "final_name")
+    """P06 on rows: the parts of a brand and size stand for the columns of a table."""
+    c = table(spark, sf, "part").selectExpr("p_partkey", "p_brand", "p_size", f"{PART_NAMES} AS name").withColumn("proposed", N.snake_case(F.col("name")))
+    return N.dedupe_names(c, "proposed", "p_partkey", ["p_brand", "p_size"]).select("p_partkey", "final_name")
 
 
 def _domain_sql():
     names = "string_agg(lower(column_name), ' ' ORDER BY ordinal_position)"
     from .questions import DOMAIN_WORDS
     cases = " ".join(f"WHEN {_like_any('names', w)} THEN '{d}'" for d, w in DOMAIN_WORDS)
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i + 1} AS ordinal_position, count(*) AS n_rows, count({c}) AS held FROM {t}"
+                                for t in ALL_TABLES for i, c in enumerate(ALL_COLUMNS[t]))
     return f"""
-SELECT table_name, names, CASE {cases} ELSE 'generic' END AS domain FROM (
-  SELECT table_name, {names} AS names FROM {CATALOG_SQL} GROUP BY table_name)"""
+SELECT table_name, names, n_rows, held, CASE {cases} ELSE 'generic' END AS domain FROM (
+  SELECT table_name, max(n_rows) AS n_rows, CAST(sum(held) AS BIGINT) AS held, {names} AS names FROM ({counts}) GROUP BY table_name)"""
 
 
 @query("domain_of_tables", _domain_sql())
 def domain_of_tables(spark, sf):
-    rows = []
+    """P12 over a catalogue made from the tables' rows: each column with its rows and non-null values."""
+    parts = []
     for t in ALL_TABLES:
-        for i, c in enumerate(table(spark, sf, t).columns):
-            rows.append((t, c, i + 1))
-    cat = spark.createDataFrame(rows, "table_name string, column string, ordinal int")
-    return detect_domain(cat, "table_name", "column", "ordinal")
+        df = table(spark, sf, t)
+        columns = F.array(*(F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column"), F.lit(i + 1).alias("ordinal"), F.col("_rows").alias("n_rows"), F.col(f"_held{i}").alias("held"))
+                            for i, c in enumerate(df.columns)))
+        parts.append(df.agg(F.count(F.lit(1)).alias("_rows"), *(F.count(qcol(c)).alias(f"_held{i}") for i, c in enumerate(df.columns))).select(F.inline(columns)))
+    cat = reduce(DataFrame.union, parts)
+    sizes = cat.groupBy("table_name").agg(F.max("n_rows").alias("n_rows"), F.sum("held").alias("held"))
+    return detect_domain(cat, "table_name", "column", "ordinal").join(sizes, "table_name")
 
 
 # ---------------------------------------------------------------- P13 / S08

@@ -15,7 +15,7 @@ from ..functions.text import qcol
 from ..operators.clean import cleaner_for, rename_map
 from ..operators.freq import freq
 from ..operators.profile import dataset_summary
-from ..operators.stats import iqr_outliers
+from ..operators.stats import column_sketches, iqr_summary
 
 
 def cleaning_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -36,45 +36,32 @@ def anomaly_log(raw: DataFrame, prof_rows, outlier_threshold: float = 1.5) -> Da
     * ``distinct_before`` / ``distinct_after`` -- for normalised categories,
     * ``outliers`` -- true IQR outlier count of number columns.
 
-    Loss counts are one global aggregate over ``select(raw, cleaned)``;
-    distinct counts come from one frequency table over raw + cleaned
-    category columns; outliers from one unpivoted group-by."""
+    Three passes at most: one row of loss counts and quartile sketches, the bracket counts of all numbers, and the
+    distinct keys of raw and cleaned categories.  Column names are values, never SQL."""
     spark = raw.sparkSession
     names = rename_map(prof_rows)
+    named = lambda r: names.get(r["column"], r["column"])
     typed = [r for r in sorted(prof_rows, key=lambda r: r["ordinal"]) if r["data_type"] in ("number", "date", "category")]
-    parts = []
+    clean = {r["column"]: cleaner_for(r["data_type"], r["family"], r["column"]) for r in typed}
     conv = [r for r in typed if r["data_type"] in ("number", "date")]
-    if conv:
-        aggs = []
-        for i, r in enumerate(conv):
-            raw_c = qcol(r['column'])
-            clean_c = cleaner_for(r["data_type"], r["family"], r["column"])
-            aggs.append(F.count(F.when(raw_c.isNotNull() & clean_c.isNull(), F.lit(1))).alias(f"l{i}"))
-        wide = raw.agg(*aggs)
-        st = ", ".join(f"'{names.get(r['column'], r['column'])}', '{r['data_type']}_lost', l{i}"
-                       for i, r in enumerate(conv))
-        parts.append(wide.selectExpr(f"stack({len(conv)}, {st}) as (column, problem, n)"))
+    nums = [r for r in typed if r["data_type"] == "number"]
     cats = [r for r in typed if r["data_type"] == "category"]
+    parts, found = [], []
+    if conv:
+        lost = [F.count(F.when(qcol(r["column"]).isNotNull() & clean[r["column"]].isNull(), F.lit(1))).alias(f"_lost{i}") for i, r in enumerate(conv)]
+        values = [clean[r["column"]].cast("double") for r in nums]
+        row = raw.agg(*lost, *column_sketches(values)).first()
+        found += [(named(r), f"{r['data_type']}_lost", row[f"_lost{i}"]) for i, r in enumerate(conv)]
+        if nums:
+            o = iqr_summary(raw, [named(r) for r in nums], values, outlier_threshold, row=row)
+            parts.append(o.filter(F.col("n_outliers") > 0).select("column", F.lit("outliers").alias("problem"), F.col("n_outliers").alias("n")))
     if cats:
-        sel = [qcol(r['column']).alias(f"b{i}") for i, r in enumerate(cats)] + \
-              [cleaner_for("category", r["family"], r["column"]).alias(f"a{i}") for i, r in enumerate(cats)]
-        ft = freq(raw.select(*sel))
-        per = ft.groupBy("column").agg(F.count("value").alias("n"))
-        lookup = spark.createDataFrame(
-            [(f"b{i}", names.get(r["column"], r["column"]), "distinct_before") for i, r in enumerate(cats)]
-            + [(f"a{i}", names.get(r["column"], r["column"]), "distinct_after") for i, r in enumerate(cats)],
-            "key string, name string, problem string")
-        parts.append(per.join(F.broadcast(lookup), per["column"] == lookup["key"]).select(
-            F.col("name").alias("column"), "problem", "n"))
-    nums = [r for r in typed if r["data_type"] == "number"]
-    if nums:
-        cleaned = raw.select(*[cleaner_for("number", r["family"], r["column"]).alias(names.get(r["column"], r["column"]))
-                               for r in nums])
-        o = iqr_outliers(cleaned, cleaned.columns, outlier_threshold)
-        parts.append(o.filter(F.col("n_outliers") > 0).select("column", F.lit("outliers").alias("problem"),
-                                                               F.col("n_outliers").alias("n")))
-    if not parts:
-        return spark.createDataFrame([], "column string, problem string, n long")
+        both = [qcol(r["column"]).alias(f"b{i}") for i, r in enumerate(cats)] + [clean[r["column"]].alias(f"a{i}") for i, r in enumerate(cats)]
+        per = freq(raw.select(*both)).groupBy("ordinal").agg(F.count("key").alias("n"))
+        label = lambda xs: F.array(*(F.lit(x) for x in xs))[F.col("ordinal")]
+        k = len(cats)
+        parts.append(per.select(label([named(r) for r in cats] * 2).alias("column"), label(["distinct_before"] * k + ["distinct_after"] * k).alias("problem"), "n"))
+    parts.insert(0, spark.createDataFrame(found, "column string, problem string, n long"))
     return reduce(DataFrame.unionByName, [p.select("column", "problem", F.col("n").cast("long")) for p in parts])
 
 

@@ -2,12 +2,13 @@
 
 Re-aimed from "fetch one URL" to "a table of stored pages"
 ``(page_id, url, html)``.  Parsing HTML is the one step that needs Python on
-the executors: ``mapInPandas`` runs the standard-library ``html.parser`` on
-each page (Arrow batches, no per-row UDF call) and emits LONG cells
-``(page_id, table_no, row_no, col_no, is_header, text)``.  Everything after
-that -- empty-row removal, table dimensions, best table per page, stats --
-is DataFrame work, so pages are spread over tasks and nothing is gathered
-on the driver.
+the executors: ``parsed_pages`` runs the standard-library ``html.parser`` once
+over each page (Arrow batches) and gives ONE NESTED ROW per page: its tables
+(number, header, rows of cells) and an ``error`` if the markup could not be
+read to its end (the tables up to there are kept, and the row says so).
+Everything after that -- empty-row removal, table dimensions, best table per
+page, stats -- is higher-order functions on that row: no shuffle, no second
+parse.  A page without an id is a page like any other.
 
 Parser rules: every ``<table>`` (nested ones too) is numbered in document
 order and a cell belongs to the innermost open table; rows inside
@@ -19,14 +20,14 @@ entities are decoded.
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELL_SCHEMA = "page_id long, table_no int, row_no int, col_no int, is_header boolean, text string"
-
 
 class _TableParser(HTMLParser):
     def __init__(self):
@@ -131,110 +132,116 @@ class _TableParser(HTMLParser):
         return sorted(self.done, key=lambda t: t["no"])
 
 
-def parse_cells(page_id: int, html: str):
-    p = _TableParser()
+def parse_page(html: str | None) -> tuple[list[dict], str | None]:
+    """The tables of a page, and what went wrong."""
+    p, error = _TableParser(), None
     try:
         p.feed(html or "")
         p.close()
-    except Exception:  # malformed markup: keep what was parsed
-        pass
+    except (AssertionError, ValueError, RecursionError) as e:  # what html.parser raises on markup it cannot read
+        error = f"{type(e).__name__}: {e}"
+    tables = []
     for t in p.tables():
-        data_seen = False
-        for r_no, r in enumerate(t["rows"]):
-            is_head = (r["head"] or all(th for th, _ in r["cells"])) and not data_seen
-            if not is_head:
-                data_seen = True
-            for c_no, (_, text) in enumerate(r["cells"]):
-                yield (page_id, t["no"], r_no, c_no, is_head, text)
-
-
-CELL_COLUMNS = ["page_id", "table_no", "row_no", "col_no", "is_header", "text"]
-MAX_CELLS_PER_BATCH = 50_000  # bounds the executor memory of one output batch
-
-
-def _cells_batches(it):
-    for pdf in it:
-        rows = []
-        for pid, html in zip(pdf["page_id"], pdf["html"]):
-            rows.extend(parse_cells(int(pid), html))
-            if len(rows) >= MAX_CELLS_PER_BATCH:
-                yield pd.DataFrame(rows, columns=CELL_COLUMNS)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=CELL_COLUMNS)
+        header, rows, first = [], [], 0
+        for r in t["rows"]:
+            cells = [text for _, text in r["cells"]]
+            if not rows and (r["head"] or all(th for th, _ in r["cells"])):
+                header += [None] * (len(cells) - len(header))
+                header[:len(cells)] = cells  # the last header row names a column
+                first += 1
+            else:
+                rows.append(cells)
+        tables.append(dict(table_no=t["no"], first_row=first, header=header, rows=rows))
+    return tables, error
+
+
+TABLE_TYPE = "array<struct<table_no: int, first_row: int, header: array<string>, rows: array<array<string>>>>"
+ARROW_TABLES = pa.list_(pa.struct([("table_no", pa.int32()), ("first_row", pa.int32()), ("header", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string())))]))
+MAX_CHARS_PER_BATCH = 16_000_000  # markup of one output batch
+
+
+def _parsed(batches):
+    schema = pa.schema([("page_id", pa.int64()), ("tables", ARROW_TABLES), ("error", pa.string())])
+    for batch in batches:
+        out, size = [], 0
+        for pid, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tables, error = parse_page(html)
+            out.append(dict(page_id=pid, tables=tables, error=error))
+            size += len(html or "")
+            if size >= MAX_CHARS_PER_BATCH:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out, size = [], 0
+        yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
 def _ship_parser() -> None:
     """Executors need this module's parser; pickle it by value so it travels
     with the task (no package install or --py-files needed on the workers)."""
-    import sys
-
-    from pyspark import cloudpickle
-
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def html_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """S11 (raw): long cells of every table of every page."""
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, tables, error), one row per page; ids may be NULL or repeat.
+
+    Data rows whose cells are all empty are dropped, then tables without data rows."""
     _ship_parser()
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    return src.mapInPandas(_cells_batches, CELL_SCHEMA)
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
+    raw = src.mapInArrow(_parsed, f"page_id long, tables {TABLE_TYPE}, error string")
+    filled = lambda row: F.exists(row, lambda x: F.length(F.trim(x)) > 0)
+    # rows keep their numbers within the table's markup
+    numbered = lambda t: F.transform(t["rows"], lambda row, i: F.struct((t["first_row"] + i).alias("row_no"), row.alias("cells")))
+    kept = F.transform("tables", lambda t: F.struct(t["table_no"].alias("table_no"), t["header"].alias("header"), F.filter(numbered(t), lambda r: filled(r["cells"])).alias("rows")))
+    return raw.select("page_id", F.filter(kept, lambda t: F.size(t["rows"]) > 0).alias("tables"), "error")
 
 
 def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Data cells of the kept tables with their column names.
-
-    Header rows name the columns (stripped; unnamed columns get their
-    position); data rows whose cells are all empty are dropped; tables with
-    no data row left are dropped."""
-    cells = html_cells(pages, id_col, html_col)
-    header = (cells.filter("is_header")
-              .withColumn("_r", F.row_number().over(Window.partitionBy("page_id", "table_no", "col_no")
-                                                    .orderBy(F.desc("row_no"))))
-              .filter("_r = 1").select("page_id", "table_no", "col_no", F.col("text").alias("column_name")))
-    data = cells.filter(~F.col("is_header"))
-    row_ok = data.groupBy("page_id", "table_no", "row_no").agg(
-        F.max(F.length(F.trim("text"))).alias("_len")).filter(F.col("_len") > 0).drop("_len")
-    data = data.join(row_ok, ["page_id", "table_no", "row_no"])
-    out = data.join(header, ["page_id", "table_no", "col_no"], "left")
-    return out.select("page_id", "table_no", "row_no", "col_no",
-                      F.coalesce("column_name", F.col("col_no").cast("string")).alias("column_name"),
-                      F.when(F.length(F.trim("text")) > 0, F.col("text")).alias("value"))
-
-
-def table_stats(tables: DataFrame) -> DataFrame:
-    """S13 per table: rows, columns, % missing cells (2 decimals), column
-    names (in order) and a pandas-style dtype per column: ``int64`` (all
-    integers, none missing), ``float64`` (numbers with gaps, or all empty),
-    else ``object``."""
-    per_col = tables.groupBy("page_id", "table_no", "col_no", "column_name").agg(
-        F.count("value").alias("_nn"),
-        F.bool_and(F.when(F.col("value").isNotNull(), F.col("value").rlike(r"^\s*[+-]?\d+\s*$"))).alias("_int"),
-        F.bool_and(F.when(F.col("value").isNotNull(), F.col("value").rlike(
-            r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"))).alias("_num"),
-    )
-    dims = tables.groupBy("page_id", "table_no").agg(
-        F.count_distinct("row_no").alias("rows"), F.count_distinct("col_no").alias("columns"))
-    pc = per_col.join(dims, ["page_id", "table_no"])
-    full = F.col("_nn") == F.col("rows")
-    dtype = (F.when(F.col("_nn") == 0, F.lit("float64"))
-             .when(F.col("_int") & full, F.lit("int64"))
-             .when(F.col("_num"), F.lit("float64"))
-             .otherwise(F.lit("object")))
-    meta = pc.groupBy("page_id", "table_no", "rows", "columns").agg(
-        F.array_sort(F.collect_list(F.struct("col_no", "column_name", dtype.alias("dtype")))).alias("_m"),
-        F.sum("_nn").alias("_nonnull"))
-    cells = F.col("rows") * F.col("columns")
-    return meta.select(
-        "page_id", "table_no", "rows", "columns",
-        F.round(100.0 * (cells - F.col("_nonnull")) / F.greatest(cells, F.lit(1)), 2).alias("missing_pct"),
-        F.transform("_m", lambda x: x["column_name"]).alias("column_names"),
-        F.transform("_m", lambda x: x["dtype"]).alias("dtypes"),
-    )
-
-
-def best_table(stats: DataFrame) -> DataFrame:
-    """Per page, the table with the most cells (rows x columns), the
-    first one on ties."""
-    w = Window.partitionBy("page_id").orderBy(F.desc(F.col("rows") * F.col("columns")), F.asc("table_no"))
-    return stats.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """S11 in long form: (page_id, table_no, row_no, col_no, column_name, value) of the data cells of the kept tables.
+
+    Header rows name the columns (stripped; unnamed columns get their position)."""
+    t = parsed_pages(pages, id_col, html_col).select("page_id", F.explode("tables").alias("t"))
+    r = t.select("page_id", "t.table_no", "t.header", F.explode("t.rows").alias("r"))
+    c = r.select("page_id", "table_no", "header", "r.row_no", F.posexplode("r.cells").alias("col_no", "text"))
+    name = F.coalesce(F.get("header", F.col("col_no")), F.col("col_no").cast("string"))
+    return c.select("page_id", "table_no", "row_no", "col_no", name.alias("column_name"), F.when(F.length(F.trim("text")) > 0, F.col("text")).alias("value"))
+
+
+def _stats(t: Column) -> Column:
+    """S13 of one table."""
+    rows = F.transform(t["rows"], lambda r: F.transform(r["cells"], lambda x: F.when(F.length(F.trim(x)) > 0, x)))
+    n_rows = F.size(t["rows"])
+    n_columns = F.array_max(F.transform(t["rows"], lambda r: F.size(r["cells"])))
+    whole, number = r"^\s*[+-]?\d+\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+    def dtype(i: Column) -> Column:
+        held = F.filter(F.transform(rows, lambda r: F.get(r, i)), lambda x: x.isNotNull())
+        return (F.when(F.size(held) == 0, F.lit("float64"))
+                .when((F.size(held) == n_rows) & F.forall(held, lambda x: x.rlike(whole)), F.lit("int64"))
+                .when(F.forall(held, lambda x: x.rlike(number)), F.lit("float64"))
+                .otherwise(F.lit("object")))
+
+    places = F.sequence(F.lit(0), n_columns - 1)
+    missing = F.aggregate(rows, F.lit(0), lambda n, r: n + n_columns - F.size(F.filter(r, lambda x: x.isNotNull())))
+    return F.struct(
+        t["table_no"].alias("table_no"), n_rows.cast("long").alias("rows"), n_columns.cast("long").alias("columns"),
+        F.round(100.0 * missing / F.greatest(n_rows * n_columns, F.lit(1)), 2).alias("missing_pct"),
+        F.transform(places, lambda i: F.coalesce(F.get(t["header"], i), i.cast("string"))).alias("column_names"),
+        F.transform(places, dtype).alias("dtypes"))
+
+
+def page_stats(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(page_id, error, stats, best): per page the statistics of its tables (rows, columns, % missing cells, column names and a
+    pandas-style dtype per column: ``int64`` for integers without gaps, ``float64`` for other numbers or nothing, else
+    ``object``) and S12, the table with the most cells (the first one on ties)."""
+    stats = parsed_pages(pages, id_col, html_col).select("page_id", "error", F.transform("tables", _stats).alias("stats"))
+    ranked = F.transform("stats", lambda t: F.struct((-t["rows"] * t["columns"]).alias("cells"), t["table_no"].alias("no"), t.alias("t")))
+    return stats.select("*", F.array_min(ranked)["t"].alias("best"))
+
+
+def table_stats(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """One row per kept table."""
+    return page_stats(pages, id_col, html_col).select("page_id", F.explode("stats").alias("t")).select("page_id", "t.*")
+
+
+def best_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """One row per page that has a table."""
+    return page_stats(pages, id_col, html_col).filter("best IS NOT NULL").select("page_id", "best.*")

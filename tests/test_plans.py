@@ -57,6 +57,17 @@ def test_profile_reuses_the_frequency_table_exchange(spark):
     assert "ReusedExchange" in executed(profile(li))
 
 
+def test_profile_shuffles_no_texts(spark):
+    """Exchanges are dealt by ordinals and 16-byte keys; the values of the samples are the only texts that move."""
+    import re
+
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    plan = executed(profile(docs, ["text", "source"]))
+    dealt = re.findall(r"Exchange (?:hash|range)partitioning\(([^)]*)\)", plan)
+    assert dealt and all(re.sub(r"#\d+L?", "", k.strip()) in {"ordinal", "key", "200", "8", "ENSURE_REQUIREMENTS"} or k.strip().isdigit() or k.strip().startswith("ENSURE") for d in dealt for k in d.split(",")), dealt
+    assert not re.search(r"partitioning\([^)]*(value|text|source)#", plan)
+
+
 def test_fuzzy_matching_has_no_nested_loop_join(spark):
     d = spark.createDataFrame([("c", "building", "Building"), ("c", "machinery", "Machinery")],
                               "column string, variant string, canonical string")

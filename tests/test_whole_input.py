@@ -16,7 +16,7 @@ from tabulo.operators.profile import profile
 from tabulo.plans import dispatch as D
 from tabulo.session import ensure_checkpoint_dir
 from tabulo.sources.files import read_any
-from tabulo.sources.html import parse_cells
+from tabulo.sources.html import parse_page
 
 
 def put(folder, name, data):
@@ -129,10 +129,9 @@ def test_line_needs_three_values(spark):
 
 
 def cells(html):
-    out = {}
-    for _, _, r, c, _, text in parse_cells(1, html):
-        out.setdefault(r, {})[c] = text
-    return [[row[i] for i in sorted(row)] for _, row in sorted(out.items())]
+    (table,), error = parse_page(html)
+    assert error is None
+    return table["rows"]
 
 
 def test_spans_of_cells():
