@@ -17,7 +17,7 @@ from ..session import ensure_checkpoint_dir
 from . import dispatch as DP
 from . import questions as Q
 from .q_clean import MESSY_COLS, MESSY_SQL, messy_orders, _messy_profile_df
-from .q_plans import _first_match_sql, sales
+from .q_plans import SALES_SQL, _first_match_sql, sales
 from .q_profile import SCHEMAS, _profile_sql
 from .registry import ORACLE, query, table, r6
 from .report import anomaly_log, missing_cells_pct, proposals_summary, report_header
@@ -170,7 +170,50 @@ def question_answers(spark, sf):
         DP.answer_questions(d, qs, prof, policy="dtype").withColumn("chart", F.concat(F.lit("dtype:"), "chart")))
 
 
-@query("auto_analyze")
+def _dashboard_sql():
+    """The dashboard of the sales, chart by chart: order keys and revenues are nearly unique, so the balance is the main metric."""
+    from .q_agg import _hist_sql
+
+    none = "NULL, NULL, NULL"
+    bins = "least(40, greatest(10, CAST(floor(sqrt(n)) AS INTEGER)))"
+
+    def hist(qid, c):
+        return f"SELECT {qid}, 'histogram', '{c}', CAST(bin AS VARCHAR), CAST(n AS DOUBLE), lo, hi, NULL FROM ({_hist_sql(SALES_SQL, c, bins)})"
+
+    def means(qid, c):
+        return (f"SELECT {qid}, 'bar', o_orderstatus, {c}, round(avg(c_acctbal), 6), NULL, NULL, CAST(count(c_acctbal) AS VARCHAR) FROM j "
+                f"WHERE {c} IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY o_orderstatus, {c}")
+
+    def cross(qid, chart, a, b, first=""):
+        return f"""SELECT {qid}, '{chart}', lb.b, la.a, CAST(coalesce(c.n, 0) AS DOUBLE), {none}
+FROM (SELECT DISTINCT {a} AS a FROM j WHERE {a} IS NOT NULL AND {b} IS NOT NULL {first}) la CROSS JOIN (SELECT DISTINCT {b} AS b FROM j WHERE {a} IS NOT NULL AND {b} IS NOT NULL) lb
+LEFT JOIN (SELECT {a} AS a, {b} AS b, count(*) AS n FROM j GROUP BY 1, 2) c ON c.a = la.a AND c.b = lb.b"""
+
+    numbers = ["o_orderkey", "revenue", "c_acctbal"]
+    pairs = [f"SELECT 7, 'heatmap', '{a}', '{b}', round(corr({a}, {b}), 6), {none} FROM j" for i, a in enumerate(numbers) for b in numbers[i + 1:]]
+    dims = ["c_mktsegment", "region", "o_orderstatus"]
+    held = " AND ".join(f"{d} IS NOT NULL" for d in dims)
+    parts = [
+        hist(1, "c_acctbal"),
+        f"""SELECT 2, 'box', 'c_acctbal', x, round(CAST(y AS DOUBLE), 6), {none} FROM (
+SELECT unnest([{', '.join(f"struct_pack(x := '{n}', y := CAST({e} AS DOUBLE))" for n, e in (("q1", "q1"), ("median", "m"), ("q3", "q3"), ("mean", "mean"), ("n_outliers", "n_out")))}], recursive := true)
+FROM (SELECT *, (SELECT count(*) FROM j WHERE c_acctbal < q1 - 1.5 * (q3 - q1) OR c_acctbal > q3 + 1.5 * (q3 - q1)) AS n_out FROM (
+  SELECT quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.5) AS m, quantile_cont(c_acctbal, 0.75) AS q3, avg(c_acctbal) AS mean FROM j)))""",
+        means(3, "c_mktsegment"), means(4, "region"), cross(5, "heatmap", "c_mktsegment", "region"), cross(6, "bar", "o_orderstatus", "o_orderpriority", "ORDER BY 1 LIMIT 10"), *pairs,
+        f"SELECT 8, 'bubble', o_orderstatus, CAST(CAST(o_orderkey AS DOUBLE) AS VARCHAR), round(revenue, 6), NULL, NULL, CAST(CAST(c_acctbal AS DOUBLE) AS VARCHAR) FROM j WHERE o_orderkey IS NOT NULL AND revenue IS NOT NULL",
+        f"""SELECT 9, 'sunburst', CAST({' + '.join(f'({d} IS NOT NULL)::INTEGER' for d in dims)} AS VARCHAR), concat_ws('/', {', '.join(f"coalesce({d}, '')" for d in dims)}), round(sum(c_acctbal), 6), {none}
+FROM j WHERE {held} GROUP BY ROLLUP ({', '.join(dims)})""",
+        f"SELECT 10, 'sankey', c_mktsegment, region, round(sum(c_acctbal), 6), {none} FROM j WHERE c_mktsegment IS NOT NULL AND region IS NOT NULL GROUP BY 3, 4",
+        hist(11, "o_orderkey"), hist(12, "revenue"), cross(13, "bar", "o_orderpriority", "o_orderstatus", "ORDER BY 1 LIMIT 10")]
+    body = " UNION ALL ".join(f"({x})" for x in parts)
+    return f"""
+WITH j AS {SALES_SQL}
+SELECT CAST(qid AS INTEGER) AS qid, chart, series, x, CAST(y AS DOUBLE) AS y, CAST(x_lo AS DOUBLE) AS x_lo,
+       CAST(x_hi AS DOUBLE) AS x_hi, CAST(extra AS VARCHAR) AS extra
+FROM ({body}) AS t(qid, chart, series, x, y, x_lo, x_hi, extra)"""
+
+
+@query("auto_analyze", _dashboard_sql())
 def auto_analyze(spark, sf):
     d = sales(spark, sf)
     prof = profile(d).collect()
