@@ -207,8 +207,8 @@ def pair_counts(links: DataFrame, size_b: int) -> DataFrame:
 def rate_links(links: DataFrame, size_b: int, frequent: int = FREQUENT) -> DataFrame:
     """links (uid unique, links) -> (uid, n_best, count_sum) of the rows that have links."""
     counts = pair_counts(links, size_b)
-    sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect()  # at most 64 rows
-    least, room = 63, frequent
+    sizes = counts.groupBy((F.length(F.bin("n")) - 1).alias("power")).count().collect()  # at most 63 rows
+    least, room = 62, frequent
     for power, n in sorted(((r["power"], r["count"]) for r in sizes), reverse=True):
         if n > room:
             break
