@@ -10,7 +10,8 @@ runs, and of the answer's ANSWER_GRAM-word runs, that the passage contains.  The
 its last sentence if it has one line; an item of one sentence is all question.
 
 The index is built from at most SHARD_BYTES of item texts at a time and broadcast; more items make more
-shards, each with its own pass, with the statistics of all items.  Documents are never shuffled.
+shards, each with its own pass, with the statistics and the longest item of all items, so the shards change no
+result.  Documents are never shuffled.
 
 Edge cases: null or empty texts and items match nothing; items with equal text are found each; repeated rows
 and null ids of documents are reported per row; words are runs of letters, digits and underscores, lower case;
@@ -62,7 +63,8 @@ def grams(words: list[str], n: int) -> set[tuple[str, ...]]:
 class Index:
     """Postings of one shard, by term: item numbers and impacts, with the largest impact of each block."""
 
-    def __init__(self, items: list[tuple[int, str]], n_items: int, mean_len: float, doc_freq: dict[str, int]):
+    def __init__(self, items: list[tuple[int, str]], n_items: int, mean_len: float, doc_freq: dict[str, int], longest: int = 0):
+        """longest: words of the longest item of all shards (0: of these items)."""
         self.ids = [i for i, _ in items]
         self.parts = [parts(t) for _, t in items]
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
@@ -88,7 +90,7 @@ class Index:
         self.from_ = np.concatenate([[0], np.cumsum([len(a) for a in areas])]).astype(np.int64)
         self.area = np.array([n for a in areas for n, _ in a], np.int64)
         self.area_most = np.array([x for a in areas for _, x in a], np.float64)
-        self.longest = max([len(q) + len(a) for q, a in self.parts], default=0)
+        self.longest = longest or max([len(q) + len(a) for q, a in self.parts], default=0)
 
     def areas(self, terms: np.ndarray, threshold: float) -> list[int]:
         """Areas of which an item may reach the threshold: the terms' largest impacts there, summed."""
@@ -188,7 +190,8 @@ def _indexes(items: DataFrame, id_: str, text: str):
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], names=["w"])
 
     lists = rows.select("t").mapInArrow(tokens, "w array<string>")
-    n, mean_len, size = lists.agg(F.count("*"), F.avg(F.size("w"))).first()[:] + (rows.agg(F.sum(F.octet_length("t"))).first()[0],)
+    n, mean_len, longest = lists.agg(F.count("*"), F.avg(F.size("w")), F.max(F.size("w"))).first()
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0]
     shards = max(1, -(-(size or 0) // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("i", "t"), F.lit(shards))
     freq = lists.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").count()
@@ -196,7 +199,7 @@ def _indexes(items: DataFrame, id_: str, text: str):
         own = rows.where(shard == s) if shards > 1 else rows
         texts = [(r.i, r.t) for r in own.sort("i", "t").collect()]  # about SHARD_BYTES
         words = own.select("t").mapInArrow(tokens, "w array<string>").select(F.explode("w").alias("w")).distinct()
-        yield Index(texts, n, mean_len or 0.0, {r["w"]: r["count"] for r in freq.join(words, "w").collect()})
+        yield Index(texts, n, mean_len or 0.0, {r["w"]: r["count"] for r in freq.join(words, "w").collect()}, longest or 0)
 
 
 def find_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,

@@ -6,7 +6,10 @@ shingles.  Their MinHash signatures of BANDS x ROWS values are compared by band:
 equals one of a segment retrieves its template.  A segment that stands in a text has a window with a
 Jaccard similarity of 0.6 or more; with 20 bands of 2 rows it collides with probability
 1 - (1 - 0.36) ** 20 > 0.9998.  A retrieved template is verified exactly: the share of all its shingles that
-the words around the windows hold must reach CONTAINED.
+the words around the windows hold must reach CONTAINED, and its MANDATORY phrases (version and variant, which the
+share cannot tell from those of a neighbour) must stand there word for word.  Of templates that have the same place
+(they overlap by half of the longer one) the best one counts: the highest share, then the longest template; a
+statement within a notice, or a notice within a whole license, has a place of its own.
 
 The templates (a bounded list, size checked) are sent to the executors; documents are not shuffled.
 
@@ -54,10 +57,38 @@ TEMPLATES = {
                   "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
                       "file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "GPL-2.0 statement": "This work is licensed under the GNU General Public License, version 2.",
+    "AGPL-3.0 statement": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-3.0 statement": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "CC-BY-SA-4.0 statement": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-SA-4.0 statement": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 statement": "Licensed under CC BY-NC-ND 4.0.",
+    "GPL-2.0 notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+                      "Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "AGPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+                       "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT license": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to "
+                   "deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or "
+                   "sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+                   "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+                   "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+                   "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+                   "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "ISC notice": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
                   "copyright notice and this permission notice appear in all copies.",
 }
 
+# fixed values: what a template's place must hold word for word
+MANDATORY = {
+    "Apache-2.0 statement": ["apache license version 2 0"], "Apache-2.0 notice": ["apache license version 2 0"], "MIT statement": ["mit license"],
+    "GPL-3.0 statement": ["gnu general public license version 3"], "GPL-2.0 statement": ["gnu general public license version 2"],
+    "AGPL-3.0 statement": ["gnu affero general public license version 3"], "LGPL-3.0 statement": ["gnu lesser general public license version 3"],
+    "GPL notice": ["gnu general public license", "either version 3"], "GPL-2.0 notice": ["gnu general public license", "either version 2"],
+    "AGPL-3.0 notice": ["gnu affero general public license", "either version 3"], "MPL-2.0 notice": ["mozilla public license v 2 0"],
+    "CC-BY-NC-4.0 statement": ["cc by nc 4 0"], "CC-BY-NC-SA-4.0 statement": ["cc by nc sa 4 0"], "CC-BY-NC-ND-4.0 statement": ["cc by nc nd 4 0"],
+    "CC-BY-4.0 statement": ["creative commons attribution 4 0"], "CC-BY-SA-4.0 statement": ["creative commons attribution sharealike 4 0"],
+}
+
 _other = re.compile(r"[\W_]+")
 _rng = np.random.default_rng(5)
 _MASK = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,9 +124,19 @@ def band_keys(grams: np.ndarray, size: int, stride: int):
         yield some, key
 
 
+def holds(text: np.ndarray, phrase: np.ndarray) -> bool:
+    """Whether the words stand in the text one after another."""
+    n = len(text) - len(phrase) + 1
+    at = np.ones(max(0, n), bool)
+    for i, w in enumerate(phrase):
+        at &= text[i:i + len(at)] == w
+    return bool(at.any())
+
+
 class Templates:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], mandatory: dict[str, list[str]]):
         self.names = sorted(templates)
+        self.phrases = [list(word_hashes([words(x) for x in mandatory.get(n, [])])) for n in self.names]
         hashed = list(word_hashes([words(templates[n]) for n in self.names]))
         self.sizes = [len(w) for w in hashed]
         self.grams = [np.unique(shingles(w, SHINGLE)) for w in hashed]
@@ -126,11 +167,12 @@ class Templates:
                     while i < len(keys) and keys[i] == key[band, w]:
                         seen.setdefault(int(owner[i]), []).append((int(starts[w]), int(starts[w]) + size))
                         i += 1
-        out = []
+        # every place where a template is held, best ones first
+        found = []
         for t, hits in sorted(seen.items()):
             hits = sorted(set(hits))
             # windows that lie within the template's length of each other are one place
-            places, best = [], (0.0, 0, 0)
+            places = []
             for a, e in hits:
                 if places and a <= places[-1][1] + self.sizes[t]:
                     places[-1][1] = max(e, places[-1][1])
@@ -140,33 +182,39 @@ class Templates:
                 a, e = max(0, a - self.sizes[t]), min(len(doc), e + self.sizes[t])
                 held = np.isin(grams[a:max(a + 1, e - SHINGLE + 1)], self.grams[t])
                 share = len(np.unique(grams[a:max(a + 1, e - SHINGLE + 1)][held])) / len(self.grams[t])
-                if share > best[0]:
+                if share >= CONTAINED and all(holds(doc[a:e], x) for x in self.phrases[t]):
                     where = np.flatnonzero(held) + a
-                    best = (share, int(where[0]), int(where[-1]) + SHINGLE)
-            if best[0] >= CONTAINED:
-                out.append((self.names[t], best[0], len(hits), best[1], min(best[2], len(doc))))
-        return out
+                    found.append((-share, -self.sizes[t], int(where[0]), t, min(int(where[-1]) + SHINGLE, len(doc)), len(hits)))
+        taken, best = [], {}
+        for share, _, first, t, end, n in sorted(found):
+            if not any(2 * (min(e, end) - max(f, first)) >= max(e - f, end - first) for f, e, other in taken if other != t):
+                taken.append((first, end, t))
+                best.setdefault(t, (self.names[t], -share, n, first, end))
+        return [best[t] for t in sorted(best)]
 
 
 @functools.lru_cache(maxsize=2)
-def _compiled(items: tuple) -> Templates:
-    return Templates(dict(items))
+def _compiled(items: tuple, mandatory: tuple) -> Templates:
+    return Templates(dict(items), dict(mandatory))
 
 
 FOUND = "license string, containment double, n_windows int, first_word int, end_word int"
 
 
-def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs and template that it holds: the columns `keep`, then FOUND."""
+def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+                  mandatory: dict[str, list[str]] = MANDATORY) -> DataFrame:
+    """One row per row of docs and template that it holds: the columns `keep`, then FOUND (the template's best place).  mandatory:
+    phrases that a template's place must hold; templates without any need their share alone."""
     if sum(len(t.encode()) for t in templates.values()) > MAX_TEMPLATE_BYTES:
         raise ValueError(f"templates of over {MAX_TEMPLATE_BYTES} bytes")
     items, hits = tuple(sorted(templates.items())), fresh(docs, "_found")
+    phrases = tuple(sorted((n, tuple(x)) for n, x in mandatory.items()))
     names = [c.split()[0] for c in FOUND.split(", ")]
     kind = pa.list_(pa.struct(list(zip(names, [pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]))))
 
     @F.arrow_udf(f"array<struct<{FOUND.replace(', ', ',').replace(' ', ':')}>>")
     def scan(texts: pa.Array) -> pa.Array:
-        own = _compiled(items)
+        own = _compiled(items, phrases)
         return pa.array([[dict(zip(names, x)) for x in own.scan(w)] for w in word_hashes([words(t) for t in texts.to_pylist()])], kind)
 
     return docs.select(*keep, F.explode(scan(text_of(text))).alias(hits)).select(*keep, f"{hits}.*")

@@ -11,7 +11,7 @@ Features are shares and shapes of a text: classes of characters and of neighbour
 lengths, repetition, lines, hashed characters; whole texts, nothing but the text.
 
 Fitting collects at most SAMPLE feature vectors of either kind (the rows with the lowest hash of their
-id); everything else is one narrow pass.  Training is deterministic.
+id); everything else is one narrow pass, and texts are never shuffled.  Training is deterministic.
 
 Edge cases: null texts count as empty; empty texts are scored like others; rows without label or with a
 null label are unlabelled; without positives the score is 0.5 throughout; repeated rows count as often as
@@ -146,16 +146,20 @@ def _features(texts: pa.Array) -> pa.Array:
     return pa.array([features(t or "").tobytes() for t in texts.to_pylist()], pa.binary())
 
 
-def _sampled(df: DataFrame) -> np.ndarray:
-    """Feature vectors of the SAMPLE rows of the lowest hash; the order is found on narrow rows."""
-    chosen = df.select("h").sort("h").limit(SAMPLE)
-    rows = df.join(F.broadcast(chosen.distinct()), "h").select("h", "t").sort("h", "t").limit(SAMPLE)
-    got = [np.frombuffer(r.f, np.float32) for r in rows.select(_features("t").alias("f")).collect()]
+def _sampled(rows: DataFrame, among: DataFrame) -> np.ndarray:
+    """Feature vectors of the SAMPLE rows of the lowest hash of those `among` (h) names; they are found on narrow rows, and only
+    theirs are the texts that are read: a broadcast of at most SAMPLE hashes, no text is dealt out."""
+    chosen = among.sort("h").limit(SAMPLE).distinct()
+    picked = rows.join(F.broadcast(chosen), "h").select("h", "t").sort("h", "t").limit(SAMPLE)
+    got = [np.frombuffer(r.f, np.float32) for r in picked.select(_features("t").alias("f")).collect()]
     return np.array(got, np.float64).reshape(-1, WIDTH)
 
 
 def fit(positives: DataFrame, unlabelled: DataFrame, text: str = "text", id_: str = "doc_id") -> Model:
-    pos, unl = (_sampled(d.select(F.xxhash64(F.col(id_)).alias("h"), text_of(text).alias("t"))) for d in (positives, unlabelled))
+    """unlabelled: the rows to learn from; positives: the ids of those that are trusted (other columns are not read)."""
+    rows = unlabelled.select(F.xxhash64(F.col(id_)).alias("h"), text_of(text).alias("t"))
+    ids = unlabelled.select(F.col(id_).alias("i")).join(positives.select(F.col(id_).alias("i")).distinct(), "i", "left_semi")
+    pos, unl = _sampled(rows, ids.select(F.xxhash64("i").alias("h"))), _sampled(rows, rows.select("h"))
     if not len(pos) or not len(unl):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), [], 1.0)
     mean, scale = unl.mean(0), unl.std(0) + 1e-3

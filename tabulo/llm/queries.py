@@ -85,7 +85,7 @@ def op9_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
     held_out = F.coalesce(fold(4) == 2, F.lit(False))
     positive = labels.where(~held_out & (F.col("quality") == 1)).select("doc_id").distinct()
-    model = quality.fit(docs.join(positive, "doc_id", "left_semi"), docs.where(~held_out))
+    model = quality.fit(positive, docs.where(~held_out))
     scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(model, spark, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

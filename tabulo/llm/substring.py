@@ -177,12 +177,14 @@ def repeated_spans(texts: DataFrame, packed: DataFrame) -> DataFrame:
     of the windows of each repeated stretch."""
     sent = texts.select(*KEY, F.explode(_minimizers("t")).alias("x")).select("x.m", *KEY, "x.p")
     shared = sent.groupBy("m").count().where("count > 1").select("m")
-    chosen = sent.join(shared, "m", "left_semi").groupBy(*KEY).agg(F.collect_list("p").alias("chosen"))
-    path = chosen.join(packed, KEY).select(*KEY, F.explode(_described("z", "chosen")).alias("x")).select(*KEY, "x.*")
+    chosen = sent.join(shared, "m", "left_semi").groupBy(*KEY).agg(F.collect_set("p").alias("chosen"))
+    # rows that repeat key and text are one row here, met once a task, and count as often as they occur
+    once = packed.groupBy(*KEY).agg(F.first("z").alias("z"), F.count("*").alias("copies"))
+    path = chosen.join(once, KEY).select(*KEY, "copies", F.explode(_described("z", "chosen")).alias("x")).select(*KEY, "copies", "x.*")
 
     # distinct paths; a path's only follower or forerunner, if it has but one
     only = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c))
-    distinct = path.groupBy("m", "c").agg(F.count("*").alias("n"), only("before").alias("before"), only("after").alias("after"), F.min(F.struct(*KEY, "p")).alias("at"))
+    distinct = path.groupBy("m", "c").agg(F.sum("copies").alias("n"), only("before").alias("before"), only("after").alias("after"), F.min(F.struct(*KEY, "p")).alias("at"))
 
     # compaction: a repeated path that always follows the same path, which it alone follows, continues that path
     whole = distinct.where("n > 1").select("m", "c", "before", "after")
@@ -199,7 +201,7 @@ def repeated_spans(texts: DataFrame, packed: DataFrame) -> DataFrame:
     mixed = distinct.groupBy("m").agg(F.min("n").alias("fewest")).where("fewest = 1").select("m")
     opened = distinct.join(mixed, "m", "left_semi").select("at.*", (F.col("n") > 1).cast("bigint").alias("twice"))
     opened = opened.groupBy(*KEY).agg(F.collect_list(F.struct("p", "twice")).alias("opened"))
-    window = opened.join(packed, KEY).select(*KEY, F.explode(_windows("z", "opened")).alias("x")).select("x.u", "x.v", *KEY, "x.s")
+    window = opened.join(once, KEY).select(*KEY, F.explode(_windows("z", "opened")).alias("x")).select("x.u", "x.v", *KEY, "x.s")
     again = window.groupBy("u", "v").agg(F.sum(1 + F.col("s").bitwiseAND(F.lit(1))).alias("n")).where("n > 1").select("u", "v")
     single = window.join(again, ["u", "v"], "left_semi").select(*KEY, F.shiftright("s", 1).alias("a"), F.shiftright("s", 1).alias("e"))
     return compacted.unionByName(single)

@@ -85,6 +85,20 @@ def test_items_in_several_shards(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_contaminated(docs, tests).collect()} == {(i, i) for i in range(5)}
 
 
+def test_shards_change_no_result(spark, monkeypatch):
+    """Items that stand in two halves far apart, beside a long item: found or not, but alike for one shard and for many."""
+    items = [f"{prose(i, 20)} {prose(100 + i, 20)}" for i in range(12)] + [prose(999, 600)]
+    halves = [t.split() for t in items[:-1]]
+    docs = documents(spark, [f"{prose(2000 + i, 40)} {' '.join(h[:20])} {prose(3000 + i, 150)} {' '.join(h[20:])} {prose(4000 + i, 40)}" for i, h in enumerate(halves)])
+    tests = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = []
+    for size in (8 << 20, 2000, 300):
+        monkeypatch.setattr(decontaminate, "SHARD_BYTES", size)
+        found.append(sorted(tuple(r) for r in decontaminate.find_contaminated(docs, tests).collect()))
+        assert decontaminate.remove_contaminated(docs, tests).count() == docs.count() - len({r[0] for r in found[-1]})
+    assert found[0] == found[1] == found[2] and {(r[0], r[1]) for r in found[0]} >= {(i, i) for i in range(12)}
+
+
 # ---- 2
 
 def jaccard(a, b):
@@ -209,6 +223,53 @@ def test_licenses_are_found_wherever_they_stand(spark):
     assert held <= got and {d for d, _ in got} == {d for d, _ in held}
 
 
+def test_neighbouring_licenses_are_told_apart(spark):
+    near = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 statement", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0 statement", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0 statement",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0 statement", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 statement",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0 statement", "This work is licensed under the GNU General Public License, version 4.": None,
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": None, "Licensed under the Apache License, Version 1.1.": None, "Released under the BSD License.": None,
+        licenses.TEMPLATES["GPL-2.0 notice"]: "GPL-2.0 notice", licenses.TEMPLATES["GPL notice"]: "GPL notice", licenses.TEMPLATES["AGPL-3.0 notice"]: "AGPL-3.0 notice",
+        licenses.TEMPLATES["GPL notice"].replace("General", "Lesser General"): None, licenses.TEMPLATES["Apache-2.0 notice"]: "Apache-2.0 notice, Apache-2.0 statement",
+        licenses.TEMPLATES["MIT license"]: "MIT license, MIT notice", licenses.TEMPLATES["MIT notice"]: "MIT notice"}
+    texts = [f"{prose(i, 40)} {t} {prose(100 + i, 40)}" for i, t in enumerate(near)]
+    texts.append(f"{licenses.TEMPLATES['Apache-2.0 notice']} {prose(7, 80)} Licensed under the Apache License, Version 2.0. {prose(8, 80)} Released under the MIT License.")
+    got = {}
+    for r in licenses.find_licenses(documents(spark, texts)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert [got.get(i, set()) for i in range(len(near))] == [set(x.split(", ")) if x else set() for x in near.values()]
+    assert got[len(near)] == {"Apache-2.0 notice", "Apache-2.0 statement", "MIT statement"}
+
+
+def test_license_scan_against_every_place(spark):
+    """Brute force: the share of a template's shingles in every stretch of twice its length, its phrases, the best per place."""
+    r = random.Random(21)
+    names = sorted(licenses.TEMPLATES)
+    texts = []
+    for i in range(60):
+        w = licenses.words(licenses.TEMPLATES[r.choice(names)]).decode().split()
+        kept = [x if r.random() > 0.03 * (i % 4) else "other" for x in w]
+        texts.append(f"{prose(i, r.randint(0, 90))} {' '.join(kept)} {prose(200 + i, r.randint(0, 90))}")
+    got = {}
+    for x in licenses.find_licenses(documents(spark, texts)).collect():
+        got.setdefault(x.doc_id, set()).add(x.license)
+
+    def runs(w, n=2):
+        return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))}
+
+    for i, t in enumerate(texts):
+        w = licenses.words(t).decode().split()
+        held = []
+        for n in names:
+            own = licenses.words(licenses.TEMPLATES[n]).decode().split()
+            share = len(runs(own) & runs(w)) / len(runs(own))
+            if share >= 0.8 and all(f" {x} " in f" {' '.join(w)} " for x in licenses.MANDATORY.get(n, [])):
+                held.append((-share, -len(own), n))
+        # all stand at the one place; a better one of about the same length takes it
+        best = [x for k, x in enumerate(sorted(held)) if not any(2 * max(x[1], y[1]) <= min(x[1], y[1]) for y in sorted(held)[:k])]
+        assert got.get(i, set()) == {n for _, _, n in best}, (i, held)
+
+
 # ---- 6
 
 def test_languages(spark):
@@ -354,6 +415,19 @@ def test_repeated_windows_go(spark):
     assert [got[i] for i in range(len(texts))] == brute_removal(texts)
 
 
+def test_many_repeated_rows_are_one(spark):
+    """10,000 rows of one id and text beside others that share a part of it."""
+    text, other = prose(1, 120), f"{prose(2, 30)} {' '.join(prose(1, 120).split()[40:90])} {prose(3, 30)}"
+    docs = spark.range(10_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit(text).alias("text"), F.lit("x").alias("source"))
+    docs = docs.unionByName(spark.createDataFrame([(8, other, "y"), (9, prose(4, 200), "z")], "doc_id bigint, text string, source string")).repartition(6)
+    got = substring.remove_repeated(docs)
+    found = {(r.doc_id, r.n_words, r.n_removed): r.n for r in got.groupBy("doc_id", "n_words", "n_removed").agg(F.count("*").alias("n")).collect()}
+    assert found == {(7, 120, 120): 10_000, (8, 110, 50): 1, (9, 200, 0): 1}
+    texts = docs.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
+    spans = substring.repeated_spans(texts, texts.select("k", "h", substring._packed("t").alias("z")))
+    assert spans.groupBy("k").count().agg(F.max("count")).first()[0] < 200
+
+
 # ---- 9
 
 def test_quality_learns_from_positives_and_unlabelled(spark):
