@@ -7,9 +7,9 @@ equals one of a segment retrieves its template.  A segment that stands in a text
 Jaccard similarity of 0.6 or more; with 20 bands of 2 rows it collides with probability
 1 - (1 - 0.36) ** 20 > 0.9998.  A retrieved template is verified exactly: the share of all its shingles that
 the words around the windows hold must reach CONTAINED, and its MANDATORY phrases (version and variant, which the
-share cannot tell from those of a neighbour) must stand there word for word.  Of templates that have the same place
-(they overlap by half of the longer one) the best one counts: the highest share, then the longest template; a
-statement within a notice, or a notice within a whole license, has a place of its own.
+share cannot tell from those of a neighbour) must stand there word for word.  Of templates of
+about one length (none twice as long as the other) whose windows overlap, the best one counts: the highest share, then
+the longest template; a statement within a notice, or a notice within a whole license, counts beside it.
 
 The templates (a bounded list, size checked) are sent to the executors; documents are not shuffled.
 
@@ -178,17 +178,17 @@ class Templates:
                     places[-1][1] = max(e, places[-1][1])
                 else:
                     places.append([a, e])
-            for a, e in places:
-                a, e = max(0, a - self.sizes[t]), min(len(doc), e + self.sizes[t])
+            for place in places:
+                a, e = max(0, place[0] - self.sizes[t]), min(len(doc), place[1] + self.sizes[t])
                 held = np.isin(grams[a:max(a + 1, e - SHINGLE + 1)], self.grams[t])
                 share = len(np.unique(grams[a:max(a + 1, e - SHINGLE + 1)][held])) / len(self.grams[t])
                 if share >= CONTAINED and all(holds(doc[a:e], x) for x in self.phrases[t]):
                     where = np.flatnonzero(held) + a
-                    found.append((-share, -self.sizes[t], int(where[0]), t, min(int(where[-1]) + SHINGLE, len(doc)), len(hits)))
+                    found.append((-share, -self.sizes[t], int(where[0]), t, min(int(where[-1]) + SHINGLE, len(doc)), len(hits), *place))
         taken, best = [], {}
-        for share, _, first, t, end, n in sorted(found):
-            if not any(2 * (min(e, end) - max(f, first)) >= max(e - f, end - first) for f, e, other in taken if other != t):
-                taken.append((first, end, t))
+        for share, _, first, t, end, n, a, e in sorted(found):
+            if not any(a < g and f < e and 2 * min(self.sizes[t], self.sizes[o]) >= max(self.sizes[t], self.sizes[o]) for f, g, o in taken if o != t):
+                taken.append((a, e, t))
                 best.setdefault(t, (self.names[t], -share, n, first, end))
         return [best[t] for t in sorted(best)]
 
