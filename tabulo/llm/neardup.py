@@ -12,7 +12,9 @@ pairs are compared by signature, then on the full shingle sets.
 
 Hot groups: equal sets collapse to one class first.  Within a key, members are compared with one hub per
 key and round, not with each other; components found so drop out, and what is left between different
-components of a key is compared pair by pair.  No key is capped, no group is collected.
+components of a key is compared pair by pair: the join itself compares sizes and signatures and lets a pair through
+only at the first key that both share, so that near copies below the threshold leave no rows.  No key is
+capped, no group is collected.
 
 Edge cases: null, empty and white-space texts have an empty set, link with nothing and are their own
 component; a text shorter than a shingle is one shingle; repeated rows are one class; rows with a null id
@@ -23,11 +25,12 @@ columns are kept as they are.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,52 +55,58 @@ def shingle_sets(texts: list[bytes], size: int):
         yield np.unique(shingles(words, size))
 
 
+#: bits of a symbol; the SYMBOLS symbols of a chunk lie in one long
+BITS = 12
+_LOW, _HIGH = (sum(x << (BITS * i) for i in range(SYMBOLS)) for x in ((1 << BITS - 1) - 1, 1 << BITS - 1))
+
+
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """POSITIONS 16-bit symbols of a set."""
+    """One long of BITS-bit MinHash symbols for each chunk of a set."""
     low = np.full(POSITIONS, ~np.uint64(0))
     for at in range(0, len(hashes), 1024):
         part = (hashes[at:at + 1024, None] ^ _MASK) * _FACTOR
         np.minimum(low, part.min(axis=0), out=low)
-    return (mix(low) & np.uint64(0xFFFF)).astype(np.uint16)
+    symbols = (mix(low) & np.uint64((1 << BITS) - 1)).reshape(CHUNKS, SYMBOLS)
+    return (symbols << (np.uint64(BITS) * np.arange(SYMBOLS, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def chunk_keys(s: Column) -> Column:
+    """One key for each chunk and each position of it that is left out, with its number."""
+    whole = (1 << BITS * SYMBOLS) - 1
+    keys = [(chunk * SYMBOLS + skip, s[chunk].bitwiseAND(F.lit(whole ^ ((1 << BITS) - 1 << BITS * skip)))) for chunk in range(CHUNKS) for skip in range(SYMBOLS)]
+    return F.array(*(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), x).alias("key")) for t, x in keys))
+
 
+def differing(a: Column, b: Column) -> Column:
+    """How many symbols of two longs differ: the top bit of a symbol's lane is set if any of its bits is."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(((x.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(x)).bitwiseAND(F.lit(_HIGH)))
 
-def chunk_keys(symbols: np.ndarray) -> np.ndarray:
-    """One key for each chunk and each position of it that is left out."""
-    s = symbols.reshape(CHUNKS, SYMBOLS).astype(np.uint64)
-    out = np.empty((CHUNKS, SYMBOLS), np.uint64)
-    number = np.arange(CHUNKS, dtype=np.uint64)
-    for skip in range(SYMBOLS):
-        key = np.zeros(CHUNKS, np.uint64)
-        for i in range(SYMBOLS):
-            if i != skip:
-                key = key << np.uint64(16) | s[:, i]
-        out[:, skip] = mix(key ^ mix(number * np.uint64(SYMBOLS) + np.uint64(skip + 1)))
-    return out.ravel().view(np.int64)
+
+def distance(a: Column, b: Column) -> Column:
+    return reduce(Column.__add__, (differing(a[i], b[i]) for i in range(CHUNKS)))
+
+
+def first_shared(a: Column, b: Column, t: Column) -> Column:
+    """Whether key number t is the first one that two signatures share: no earlier chunk has less than two errors, and of the
+    keys of a chunk without error it is the first."""
+    chunk = F.floor(t / SYMBOLS)
+    earlier = reduce(Column.__and__, ((chunk <= i) | (differing(a[i], b[i]) >= 2) for i in range(CHUNKS - 1)))
+    return earlier & ((t % SYMBOLS == 0) | (differing(F.get(a, chunk.cast("int")), F.get(b, chunk.cast("int"))) == 1))
 
 
 def _signing(size: int):
-    @F.arrow_udf("struct<n:bigint,c:binary,s:binary>")
+    @F.arrow_udf("struct<n:bigint,c:binary,s:array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
         n, c, s = [], [], []
         for hashes in shingle_sets(as_bytes(texts), size):
             n.append(len(hashes))
             c.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
-            s.append(signature(hashes).tobytes() if len(hashes) else None)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(s, pa.binary())], names=["n", "c", "s"])
+            s.append(signature(hashes) if len(hashes) else None)
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(s, pa.list_(pa.int64()))], names=["n", "c", "s"])
     return sign
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _keys(signatures: pa.Array) -> pa.Array:
-    return pa.array([chunk_keys(np.frombuffer(s, np.uint16)) for s in signatures.to_pylist()], pa.list_(pa.int64()))
-
-
-@F.arrow_udf(T.IntegerType())
-def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(z.to_pylist()), np.uint16).reshape(-1, POSITIONS) for z in (a, b))
-    return pa.array((x != y).sum(axis=1).astype(np.int32))
-
-
 @F.arrow_udf(T.BinaryType())
 def _packed(texts: pa.Array) -> pa.Array:
     pack = zstandard.ZstdCompressor(level=1).compress
@@ -126,7 +135,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
     signed = stored(rows.select("doc_id", "text_hash", _signing(size)("t").alias("x")).select("doc_id", "text_hash", "x.*"))
     classes = stored(signed.where("c IS NOT NULL").groupBy("c").agg(F.first("s").alias("s"), F.first("n").alias("n"),
                                                                      F.min(F.struct("doc_id", "text_hash")).alias("at")))
-    keys = classes.select("c", "n", F.explode(_keys("s")).alias("key"))
+    keys = classes.select("c", "n", F.explode(chunk_keys(F.col("s"))).alias("k")).select("c", "n", "k.t", "k.key")
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     members = stored(keys.join(shared, "key"))  # only keys that documents share
 
@@ -144,13 +153,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
             return members.withColumn("root", F.col("c"))
         return members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
-    def confirmed(pairs):
-        """Those of the pairs (a, b) that are links."""
+    similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    def near(pairs):
+        """Those of the pairs (a, b) whose sizes and signatures may link."""
         one = small.select(F.col("c").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
         two = small.select(F.col("c").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-        near = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        near = stored(near.where(_distance("sa", "sb") <= DISTANCE).select("a", "b"))
-        both = near.join(texts.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
+        both = pairs.join(one, "a").join(two, "b")
+        return both.where(similar(F.col("na"), F.col("nb")) & (distance(F.col("sa"), F.col("sb")) <= DISTANCE)).select("a", "b")
+
+    def confirmed(pairs):
+        """Those of the pairs (a, b) that are links."""
+        both = pairs.join(texts.select(F.col("c").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("t").alias("tb")), "b")
         return stored(both.where(_linking(size, percent)("ta", "tb")).select("a", "b"))
 
     for turn in range(MAX_STARS + 1):
@@ -165,18 +179,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
         before = left
         mixed = at.join(by_root.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key")
         if last:
-            x, y = (mixed.select("key", F.col("c").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-            similar = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-            pairs = x.join(y, "key").where(similar & F.expr("a < b AND ra <> rb")).select("a", "b")
+            with_signs = mixed.join(small.select("c", "s"), "c")
+            x, y = (with_signs.select("key", "t", *(F.col(k).alias(f"{k}{c}") for k in ("c", "root", "n", "s"))) for c in "ab")
+            x = x.drop("t")
+            pair = similar(F.col("na"), F.col("nb")) & F.expr("ca < cb AND roota <> rootb") & (distance(F.col("sa"), F.col("sb")) <= DISTANCE) & first_shared(F.col("sa"), F.col("sb"), F.col("t"))
+            pairs = x.join(y, (x.key == y.key) & pair).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = stored(pairs)
+            found = confirmed(pairs)
         else:
             hubs = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("x"), "c", "n", "root")).alias("hub"))
-            similar = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
-            pairs = mixed.join(hubs, "key").where(similar & F.expr("root <> hub.root")).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        found = confirmed(pairs)
+            pairs = mixed.join(hubs, "key").where(similar(F.col("n"), F.col("hub.n")) & F.expr("root <> hub.root")).select(F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = stored(pairs)
+            found = confirmed(stored(near(pairs)))
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
         roots = components(links)

@@ -353,13 +353,32 @@ def test_star_rounds_give_the_same_components(spark, monkeypatch):
     assert [got[i] for i in range(60)] == want
 
 
-def test_pigeonhole_keys():
+def test_pigeonhole_keys(spark):
+    """Signatures within DISTANCE share a key, and exactly one of the shared keys is the first; distances are counted right."""
     r = np.random.default_rng(1)
-    a = r.integers(0, 65536, neardup.POSITIONS).astype(np.uint16)
-    for _ in range(50):
+    pack = lambda x: [int(v) for v in (x.reshape(neardup.CHUNKS, neardup.SYMBOLS).astype(np.int64) << (neardup.BITS * np.arange(neardup.SYMBOLS))).sum(axis=1)]
+    rows = []
+    for errors in [*range(0, neardup.POSITIONS + 1), *[neardup.DISTANCE] * 60]:
+        a = r.integers(0, 1 << neardup.BITS, neardup.POSITIONS)
         b = a.copy()
-        b[r.choice(neardup.POSITIONS, neardup.DISTANCE, replace=False)] ^= 1
-        assert set(neardup.chunk_keys(a)) & set(neardup.chunk_keys(b))
+        at = r.choice(neardup.POSITIONS, errors, replace=False)
+        b[at] ^= 1 << r.integers(0, neardup.BITS, errors)
+        rows.append((errors, pack(a), pack(b)))
+    df = spark.createDataFrame(rows, "errors int, a array<bigint>, b array<bigint>").withColumn("id", F.monotonically_increasing_id())
+    assert df.where(neardup.distance(F.col("a"), F.col("b")) != F.col("errors")).count() == 0
+    keys = df.select("id", "errors", "a", "b", F.explode(neardup.chunk_keys(F.col("a"))).alias("k")).where(F.array_contains(F.transform(neardup.chunk_keys(F.col("b")), lambda x: x["key"]), F.col("k.key")))
+    shared = keys.groupBy("id", "errors").agg(F.sum(neardup.first_shared(F.col("a"), F.col("b"), F.col("k.t")).cast("int")).alias("first"), F.count("*").alias("n")).collect()
+    assert all(x["first"] == 1 for x in shared) and {x.id for x in shared if x.errors <= neardup.DISTANCE} == {x.id for x in df.where(F.col("errors") <= neardup.DISTANCE).collect()}
+    assert {x.n for x in shared if x.errors == 0} == {neardup.POSITIONS}
+
+
+def test_near_copies_below_the_threshold_leave_no_rows(spark):
+    """A large group of copies that share most keys but are no links: pairs come out of the join once, and only if their signatures are near."""
+    texts = [edited(prose(1, 150), i, 0.12) for i in range(150)] + [prose(500 + i, 60) for i in range(20)]
+    want, _ = brute_components(texts, 3, 85)
+    docs = documents(spark, texts)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, size=3, percent=85).collect()}
+    assert [got[i] for i in range(len(texts))] == want
 
 
 def test_unrelated_texts_of_one_id_all_stay(spark):
