@@ -443,7 +443,7 @@ def test_many_repeated_rows_are_one(spark):
     found = {(r.doc_id, r.n_words, r.n_removed): r.n for r in got.groupBy("doc_id", "n_words", "n_removed").agg(F.count("*").alias("n")).collect()}
     assert found == {(7, 120, 120): 10_000, (8, 110, 50): 1, (9, 200, 0): 1}
     texts = docs.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
-    spans = substring.repeated_spans(texts, texts.select("k", "h", substring._packed("t").alias("z")))
+    spans = substring.repeated_spans(texts, substring.once(texts))
     assert spans.groupBy("k").count().agg(F.max("count")).first()[0] < 200
 
 
