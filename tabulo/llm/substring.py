@@ -172,22 +172,17 @@ def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
 KEY = ["k", "h"]
 
 
-def once(texts: DataFrame) -> DataFrame:
-    """texts (k, h, t) -> (k, h, z, copies): rows that repeat key and text are one row, met once a task; z is the text compressed."""
-    return texts.select(*KEY, _packed("t").alias("z")).groupBy(*KEY).agg(F.first("z").alias("z"), F.count("*").alias("copies"))
-
-
 def repeated_spans(texts: DataFrame, packed: DataFrame) -> DataFrame:
-    """texts (k, h, t), and packed as once() gives it -> (k, h, a, e): first and last start of the windows of each
-    repeated stretch.  A row counts as often as it occurs."""
+    """texts (k, h, t), and packed (k, h, z) with the same texts compressed -> (k, h, a, e): first and last start
+    of the windows of each repeated stretch."""
     sent = texts.select(*KEY, F.explode(_minimizers("t")).alias("x")).select("x.m", *KEY, "x.p")
     shared = sent.groupBy("m").count().where("count > 1").select("m")
-    chosen = sent.join(shared, "m", "left_semi").groupBy(*KEY).agg(F.collect_set("p").alias("chosen"))
-    path = chosen.join(packed, KEY).select(*KEY, "copies", F.explode(_described("z", "chosen")).alias("x")).select(*KEY, "copies", "x.*")
+    chosen = sent.join(shared, "m", "left_semi").groupBy(*KEY).agg(F.collect_set("p").alias("chosen"))  # a place once, however often its row is repeated
+    path = chosen.join(packed, KEY).select(*KEY, F.explode(_described("z", "chosen")).alias("x")).select(*KEY, "x.*")
 
     # distinct paths; a path's only follower or forerunner, if it has but one
     only = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c))
-    distinct = path.groupBy("m", "c").agg(F.sum("copies").alias("n"), only("before").alias("before"), only("after").alias("after"), F.min(F.struct(*KEY, "p")).alias("at"))
+    distinct = path.groupBy("m", "c").agg(F.count("*").alias("n"), only("before").alias("before"), only("after").alias("after"), F.min(F.struct(*KEY, "p")).alias("at"))
 
     # compaction: a repeated path that always follows the same path, which it alone follows, continues that path
     whole = distinct.where("n > 1").select("m", "c", "before", "after")
@@ -216,14 +211,12 @@ def remove_repeated(docs: DataFrame, text: str = "text", id_: str = "doc_id") ->
     k, h = fresh(docs, "_k"), fresh(docs, "_h")
     # the id's column comes back from its key, so that only key and text are dealt out
     texts = docs.select(F.coalesce(F.col(id_).cast("bigint"), F.lit(NO_ID)).alias("k"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("t"))
-    packed = once(texts)
-    spans = repeated_spans(texts, packed).groupBy(*KEY).agg(F.collect_list(F.struct("a", "e")).alias("spans"))
-    done = packed.join(spans, KEY, "left").withColumn("r", _without("z", "spans")).select(*KEY, "copies", "r.*")
+    packed = texts.select("k", "h", _packed("t").alias("z"))
+    spans = repeated_spans(texts, packed).groupBy(*KEY).agg(F.collect_set(F.struct("a", "e")).alias("spans"))
+    done = packed.join(spans, KEY, "left").withColumn("r", _without("z", "spans")).select(*KEY, "r.*")
     others = [c for c in docs.columns if c not in (id_, text, "n_words", "n_removed")]
     out = done.withColumnsRenamed({"k": k, "h": h, "kept": text}).withColumn(id_, F.nullif(F.col(k), F.lit(NO_ID)).cast(docs.schema[id_].dataType))
-    if not others:  # every row as often as it came
-        out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    else:
+    if others:
         keyed = docs.select(F.coalesce(F.col(id_).cast("bigint"), F.lit(NO_ID)).alias(k), F.xxhash64(text_of(text)).alias(h), *(F.col(f"`{c}`") for c in others))
-        out = out.drop("copies").join(keyed, [k, h])
+        out = out.dropDuplicates([k, h]).join(keyed, [k, h])
     return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_removed")), "n_words", "n_removed")

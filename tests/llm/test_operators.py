@@ -443,8 +443,11 @@ def test_many_repeated_rows_are_one(spark):
     found = {(r.doc_id, r.n_words, r.n_removed): r.n for r in got.groupBy("doc_id", "n_words", "n_removed").agg(F.count("*").alias("n")).collect()}
     assert found == {(7, 120, 120): 10_000, (8, 110, 50): 1, (9, 200, 0): 1}
     texts = docs.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("h"), F.col("text").alias("t"))
-    spans = substring.repeated_spans(texts, substring.once(texts))
+    # what is collected for a text is a set of places
+    spans = substring.repeated_spans(texts, texts.select("k", "h", substring._packed("t").alias("z"))).distinct()
     assert spans.groupBy("k").count().agg(F.max("count")).first()[0] < 200
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(struct(a" in plan and "collect_list(p" not in plan and "collect_list(struct(a" not in plan
 
 
 # ---- 9
@@ -544,3 +547,29 @@ def test_empty_tables(spark, odd, nothing):
     for name, df in every(spark, nothing, items).items():
         assert df.count() == 0, name
     assert decontaminate.find_contaminated(odd, items).count() == 0 and decontaminate.remove_contaminated(odd, items).count() == odd.count()
+
+
+def test_registered_queries_on_odd_and_empty_tables(spark, odd, nothing, tmp_path):
+    import __spark_entry__ as E
+
+    queries = {k: q for k, q in E.queries().items() if re.match(r"op(\d|10)_", k)}
+    assert len(queries) == 10
+    items = spark.createDataFrame([(1, None), (None, prose(2, 60))], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (5, 1, None), (7, 0, 0), (None, 1, 1), (9, None, 0)], "doc_id bigint, quality int, toxic int")
+    texts = {(r.doc_id, r.text) for r in odd.collect()}
+    for name, docs in (("odd", odd), ("nothing", nothing)):
+        folder = str(tmp_path / name)
+        docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        got = {k: q(spark, folder).collect() for k, q in queries.items()}
+        for k, rows in got.items():
+            if not k.startswith(("op1_", "op5_")):
+                assert len(rows) == docs.count(), (name, k)
+            for r in rows:
+                assert r.asDict().get("held_out", False) in (True, False) and r.asDict().get("predicted", 0) in (0, 1), k
+        if name == "odd":
+            decoded = Counter(r.decoded_sha256 for r in got["op3_bpe"])
+            assert set(decoded) == {hashlib.sha256((t or "").encode()).hexdigest() for _, t in texts}
+            assert {r.base_sha256 for r in got["op4_secrets"]} == {hashlib.sha256(b"").hexdigest()}
+            assert {(r.doc_id, r.n_shingles) for r in got["op7_near_duplicates"]} >= {(1, 0), (3, 0), (4, 1)}
