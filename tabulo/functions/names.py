@@ -136,29 +136,29 @@ def identifier_name(col) -> Column:
 
 def dedupe_names(df, name_col: str, order_col: str, partition_cols=(), out_col: str = "final_name"):
     """Collisions after renaming: in order, a name that is taken gets ``_2``, ``_3``..., the first suffix that no name of the
-    group has or was given.  A fold over each group's names (a table's columns); names differing in case only collide."""
+    group has or was given; names differing in case only collide, a null name stays null.  The suffix ends a name in one way
+    only, so names get theirs independently of each other: the m-th repetition of a name has the m-th number from 2 on that,
+    put behind it, makes no name of the group.  No group is collected; windows sort the rows of one name."""
     from pyspark.sql import Window
 
-    keys = [F.col(c) for c in partition_cols]
-    # a number to each row, so that rows of one place and name are told apart
-    row = F.row_number().over(Window.partitionBy(*keys).orderBy(order_col, name_col))
-    numbered = df.withColumn("_row", row)
-    lists = numbered.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_row", F.col(name_col).alias("name")))).alias("_l"))
-    wanted = F.transform("_l", lambda x: F.lower(x["name"]))
-
-    def step(state, x):
-        name = x["name"]
-        free = lambda k: F.concat(name, F.lit("_"), k.cast("string"))
-        taken = lambda n: F.array_contains(state["given"], F.lower(n))
-        # among as many suffixes as there are names, one is free
-        ks = F.filter(F.sequence(F.lit(2), F.size("_l") + 2), lambda k: ~taken(free(k)) & ~F.array_contains(wanted, F.lower(free(k))))
-        final = F.when(taken(name), free(F.element_at(ks, 1))).otherwise(name)
-        return F.struct(F.concat(state["given"], F.array(F.lower(final))).alias("given"), F.concat(state["out"], F.array(F.struct(x["_row"].alias("_row"), final.alias("final")))).alias("out"))
-
-    start = F.struct(F.array().cast("array<string>").alias("given"), F.array().cast("array<struct<_row: int, final: string>>").alias("out"))
-    found = lists.select(*keys, F.explode(F.aggregate("_l", start, step, lambda st: st["out"])).alias("_o")).select(
-        *(k.alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_o._row").alias("_r"), F.col("_o.final").alias(out_col))
-    same = F.col("_row") == F.col("_r")
-    for i, k in enumerate(keys):
-        same = same & k.eqNullSafe(F.col(f"_k{i}"))
-    return numbered.join(found, same).drop("_row", "_r", *(f"_k{i}" for i in range(len(keys))))
+    keys, added = [], []
+    for i, c in enumerate((*partition_cols, "stem", "row", "number")):
+        name = f"_{c}{i}"
+        while name.lower() in {x.lower() for x in (*df.columns, out_col)}:
+            name = f"_{name}"
+        (keys if i < len(partition_cols) else added).append(name)
+    stem, row, number = added
+    # m: which repetition of its name a row is (0: the first one, which keeps the name)
+    names = df.select("*", *(F.col(c).alias(k) for c, k in zip(partition_cols, keys)), F.lower(F.col(name_col)).alias(stem))
+    rows = names.withColumn(row, F.row_number().over(Window.partitionBy(*keys, stem).orderBy(order_col, name_col)) - 1)
+    # the numbers of a name that other names of the group have; the i-th, b, has b - i - 1 others before it, counted from 2
+    suffix = r"(?s)^(.*)_([1-9][0-9]{0,8})$"
+    held = names.where(F.col(stem).rlike(suffix)).select(*keys, stem).distinct()
+    held = held.select(*keys, F.regexp_extract(stem, suffix, 1).alias(stem), F.regexp_extract(stem, suffix, 2).cast("int").alias(number)).where(F.col(number) >= 2)
+    others = F.col(number) - F.row_number().over(Window.partitionBy(*keys, stem).orderBy(number)) - 1
+    both = rows.withColumn(number, F.lit(None).cast("int")).unionByName(held.withColumn(row, others + 1), allowMissingColumns=True)
+    # those that are jumped over come first where both have the same place
+    before = F.count(number).over(Window.partitionBy(*keys, stem).orderBy(F.col(row), F.col(number).isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    final = F.when(F.col(row) == 0, F.col(name_col)).otherwise(F.concat(F.col(name_col), F.lit("_"), (F.col(row) + 1 + before).cast("string")))
+    numbered = both.withColumn(out_col, final).where(F.col(number).isNull())
+    return numbered.select(*(F.col(f"`{c}`") for c in df.columns), out_col)

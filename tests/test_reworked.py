@@ -224,6 +224,32 @@ def test_names_are_unique_in_their_group(spark):
     assert got == {("t", 0): "montant", ("t", 1): "montant_3", ("t", 2): "montant_2", ("t", 3): "Montant_4", ("t", 4): "x", (None, 0): "montant", (None, 1): "montant_2"}
 
 
+def test_names_of_large_groups_are_unique(spark):
+    """Names with suffixes of their own, cases, nulls and one group of thousands of rows, against the rule word for word."""
+    rng = random.Random(5)
+    pool = ["x", "X", "x_2", "x_5", "x_02", "x_2_2", "X_2_3", "y", "y_1", "y_4", "y_99999999999", "_2", "", None]
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice(pool)) for i in range(400)] + [("big", i, rng.choice(["Montant", "montant_2", "montant_7"])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, o int, n string")
+    want = {}
+    for g in ("a", "b", None, "big"):
+        mine = [r for r in rows if r[0] == g]
+        wanted, given, last = {n.lower() for _, _, n in mine if n is not None}, set(), {}
+        for _, o, n in mine:
+            final = n
+            if n is not None and n.lower() in given:
+                k = last.get(n.lower(), 1) + 1
+                while f"{n}_{k}".lower() in given or f"{n}_{k}".lower() in wanted:
+                    k += 1
+                last[n.lower()], final = k, f"{n}_{k}"
+            given |= {final.lower()} if final is not None else set()
+            want[g, o] = final
+    # a loop over every suffix and name of a group would take minutes here
+    start = time.monotonic()
+    got = {(r.g, r.o): r.final_name for r in N.dedupe_names(df, "n", "o", ["g"]).collect()}
+    assert got == want
+    assert time.monotonic() - start < 60
+
+
 def test_the_merged_date_has_a_name_of_its_own(spark):
     df = spark.createDataFrame([("1", "2", "2024", "2020-01-01"), ("3", "4", "2024", "2020-01-02")], "jour string, mois string, an string, dt string")
     prof = profile(df).collect()
