@@ -13,7 +13,8 @@ Decoding concatenates the bytes of the tokens and turns them into text with a UT
 keeps an unfinished character (three bytes at most) between calls; malformed bytes become U+FFFD.
 
 Both run inside Arrow UDFs: no shuffle, memory bounded by the batch, the vocabulary, and the memos of pieces
-and of token pairs (each starts afresh at a fixed number of entries); any task can be run again.
+and of token pairs (pairs start afresh at a fixed number of entries; pieces that come again outlive it, or a corpus of more distinct
+pieces than that would have its frequent ones encoded again and again); any task can be run again.
 
 Edge cases: a null text or null id list is read as empty (no tokens, empty text); other columns are kept
 as they are, whatever their names; an id outside the vocabulary raises ValueError.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 #: bound of a rank file that is sent to the executors
 MAX_RANK_BYTES = 64 << 20
-#: entries of the memos of a worker
+#: entries of the memos of a worker; of pieces, those of two generations
 MAX_PAIRS = 500_000
-MAX_PIECES = 200_000
+MAX_PIECES = 400_000
 #: bytes after which a long piece emits what is settled
 LOOKAHEAD = 4096
 
@@ -119,7 +121,7 @@ class Transducer:
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
-        together, arcs, ends, shift = self._together, self.arcs, self.ends, self.shift
+        together, arcs, ends, shift, settle = self._together, self.arcs, self.ends, self.shift, LOOKAHEAD
         if len(together) > MAX_PAIRS:
             together.clear()
         out: list[int] = []
@@ -136,7 +138,7 @@ class Transducer:
                 if stays:
                     break
             last.append(token)
-            if at >= LOOKAHEAD + len(self.states[state]):
+            if at >= settle and at >= settle + len(self.states[state]):
                 meet = self._settled(last, state)
                 if meet:
                     out += self._back(last, meet)
@@ -194,14 +196,22 @@ class _Pieces(dict):
 
     def __init__(self, transducer: Transducer):
         super().__init__()
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode()), np.int32).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def age(self) -> None:
+        """A new generation once this one is full; what the last one held and this one did not ask for goes."""
+        if len(self) > MAX_PIECES:
+            self.older = dict(self)
+            self.clear()
+
 
 @functools.lru_cache(maxsize=2)
 def _pieces(blob: bytes) -> _Pieces:
@@ -230,8 +240,7 @@ class Tokenizer:
             split, of = regex.compile(pattern).findall, pieces.__getitem__
             found = []
             for text in texts:
-                if len(pieces) > MAX_PIECES:
-                    pieces.clear()
+                pieces.age()
                 found.append(b"".join(map(of, split(text.as_py()))))
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in found], out=offsets[1:])

@@ -182,6 +182,21 @@ def test_streaming_decoder(ranks):
         bpe.StreamDecoder(texts).feed([10**7])
 
 
+def test_frequent_pieces_are_encoded_once(ranks, monkeypatch):
+    """Pieces that keep coming stay in the memo while rare ones pass through it, and the memo stays bounded."""
+    monkeypatch.setattr(bpe, "MAX_PIECES", 50)
+    machine, seen = bpe.Transducer(ranks), []
+    encode = machine.encode
+    machine.encode = lambda piece: seen.append(piece) or encode(piece)
+    pieces, frequent = bpe._Pieces(machine), [f"zqfrequent{i}" for i in range(20)]
+    for i in range(2000):
+        pieces.age()
+        for piece in (frequent[i % 20], f"zqrare{i}"):
+            assert np.frombuffer(pieces[piece], np.int32).tolist() == encode(piece.encode())
+        assert len(pieces) + len(pieces.older) <= 2 * (50 + 2)
+    assert all(seen.count(p.encode()) == 1 for p in frequent)
+
+
 # ---- 4
 
 def test_secrets_equal_a_full_scan(spark):
