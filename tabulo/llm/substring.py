@@ -178,11 +178,16 @@ def repeated_spans(texts: DataFrame, packed: DataFrame) -> DataFrame:
     sent = texts.select(*KEY, F.explode(_minimizers("t")).alias("x")).select("x.m", *KEY, "x.p")
     shared = sent.groupBy("m").count().where("count > 1").select("m")
     chosen = sent.join(shared, "m", "left_semi").groupBy(*KEY).agg(F.collect_set("p").alias("chosen"))  # a place once, however often its row is repeated
-    path = chosen.join(packed, KEY).select(*KEY, F.explode(_described("z", "chosen")).alias("x")).select(*KEY, "x.*")
+    path = chosen.join(packed, KEY).select(*KEY, F.explode(_described("z", "chosen")).alias("x")).select(*KEY, "x.*").where("m IS NOT NULL AND c IS NOT NULL")
 
     # distinct paths; a path's only follower or forerunner, if it has but one
     only = lambda c: F.when((F.min(c) == F.max(c)) & (F.min(c) != 0), F.min(c))
     distinct = path.groupBy("m", "c").agg(F.count("*").alias("n"), only("before").alias("before"), only("after").alias("after"), F.min(F.struct(*KEY, "p")).alias("at"))
+    # one array, which cannot be pruned (and no nulls, which each join would filter in its own way): all uses below need the same
+    # rows and columns and share one exchange, so the texts are described once for all of them and not once for each
+    fields = "n", "before", "after", "at.k", "at.h", "at.p"
+    distinct = distinct.select("m", "c", F.flatten(F.array(F.array(*fields))).alias("all"))
+    distinct = distinct.select("m", "c", *(F.col("all")[i].alias(c.split(".")[-1]) for i, c in enumerate(fields)))
 
     # compaction: a repeated path that always follows the same path, which it alone follows, continues that path
     whole = distinct.where("n > 1").select("m", "c", "before", "after")
@@ -197,7 +202,7 @@ def repeated_spans(texts: DataFrame, packed: DataFrame) -> DataFrame:
 
     # paths of their own: their windows against those of all paths with the same minimizer
     mixed = distinct.groupBy("m").agg(F.min("n").alias("fewest")).where("fewest = 1").select("m")
-    opened = distinct.join(mixed, "m", "left_semi").select("at.*", (F.col("n") > 1).cast("bigint").alias("twice"))
+    opened = distinct.join(mixed, "m", "left_semi").select(*KEY, "p", (F.col("n") > 1).cast("bigint").alias("twice"))
     opened = opened.groupBy(*KEY).agg(F.collect_list(F.struct("p", "twice")).alias("opened"))
     window = opened.join(packed, KEY).select(*KEY, F.explode(_windows("z", "opened")).alias("x")).select("x.u", "x.v", *KEY, "x.s")
     again = window.groupBy("u", "v").agg(F.sum(1 + F.col("s").bitwiseAND(F.lit(1))).alias("n")).where("n > 1").select("u", "v")

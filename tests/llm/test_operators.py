@@ -449,6 +449,16 @@ def test_repeated_windows_go(spark):
     assert [got[i] for i in range(len(texts))] == brute_removal(texts)
 
 
+def test_texts_are_described_once_for_every_use(spark):
+    """What is grouped by path is one exchange; its uses used to describe the texts again, each for its own columns."""
+    passages = [prose(i, 60) for i in range(6)]
+    texts = [" ".join([prose(100 + i, 40), passages[i % 6], prose(200 + i, 30), passages[(i + i // 6) % 6]]) for i in range(60)]
+    run = substring.remove_repeated(documents(spark, texts))._jdf.queryExecution()
+    run.toRdd().count()
+    plan = run.executedPlan().toString().split("Initial Plan")[0]
+    assert 1 <= plan.count("ArrowEvalPython [_described") <= 2
+
+
 def test_many_repeated_rows_are_one(spark):
     """10,000 rows of one id and text beside others that share a part of it."""
     text, other = prose(1, 120), f"{prose(2, 30)} {' '.join(prose(1, 120).split()[40:90])} {prose(3, 30)}"
