@@ -12,9 +12,11 @@ pairs are compared by signature, then on the full shingle sets.
 
 Hot groups: equal sets collapse to one class first.  Within a key, members are compared with one hub per
 key and round, not with each other; components found so drop out, and what is left between different
-components of a key is compared pair by pair: the join itself compares sizes and signatures and lets a pair through
-only at the first key that both share, so that near copies below the threshold leave no rows.  No key is
-capped, no group is collected.
+components of a key is compared pair by pair: the join itself compares sizes, signatures and parities and lets a
+pair through only at the first key that both share, so that near copies below the threshold leave no rows.  The parity
+of a set has one bit for each of PARITY buckets of its shingles: every bit in which two parities differ stands for a
+shingle that only one of the sets has, so the bound on such shingles loses no link (it tells little apart in sets of
+several thousand shingles).  No key is capped, no group is collected.
 
 Edge cases: null, empty and white-space texts have an empty set, link with nothing and are their own
 component; a text shorter than a shingle is one shingle; repeated rows are one class; rows with a null id
@@ -41,6 +43,8 @@ POSITIONS = 60
 CHUNKS = 12
 SYMBOLS = POSITIONS // CHUNKS
 DISTANCE = 2 * CHUNKS - 1
+#: bits of the parity of a set, in longs
+PARITY = 1024
 #: star rounds go on while the pairs left to compare are more than this many per class
 PAIRS_PER_CLASS = 2
 MAX_STARS = 8
@@ -70,10 +74,16 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (symbols << (np.uint64(BITS) * np.arange(SYMBOLS, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each bucket whether it has an odd number of the hashes."""
+    odd = np.bincount((hashes & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def chunk_keys(s: Column) -> Column:
-    """One key for each chunk and each position of it that is left out, with its number."""
+    """One key for each chunk and each position of it that is left out, with its number (see first_shared)."""
     whole = (1 << BITS * SYMBOLS) - 1
-    keys = [(chunk * SYMBOLS + skip, s[chunk].bitwiseAND(F.lit(whole ^ ((1 << BITS) - 1 << BITS * skip)))) for chunk in range(CHUNKS) for skip in range(SYMBOLS)]
+    keys = [(16 * chunk + skip, s[chunk].bitwiseAND(F.lit(whole ^ ((1 << BITS) - 1 << BITS * skip)))) for chunk in range(CHUNKS) for skip in range(SYMBOLS)]
     return F.array(*(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), x).alias("key")) for t, x in keys))
 
 
@@ -83,27 +93,34 @@ def differing(a: Column, b: Column) -> Column:
     return F.bit_count(((x.bitwiseAND(F.lit(_LOW)) + F.lit(_LOW)).bitwiseOR(x)).bitwiseAND(F.lit(_HIGH)))
 
 
-def distance(a: Column, b: Column) -> Column:
+def distance(a, b) -> Column:
     return reduce(Column.__add__, (differing(a[i], b[i]) for i in range(CHUNKS)))
 
 
-def first_shared(a: Column, b: Column, t: Column) -> Column:
-    """Whether key number t is the first one that two signatures share: no earlier chunk has less than two errors, and of the
-    keys of a chunk without error it is the first."""
-    chunk = F.floor(t / SYMBOLS)
-    earlier = reduce(Column.__and__, ((chunk <= i) | (differing(a[i], b[i]) >= 2) for i in range(CHUNKS - 1)))
-    return earlier & ((t % SYMBOLS == 0) | (differing(F.get(a, chunk.cast("int")), F.get(b, chunk.cast("int"))) == 1))
+def few_differ(a, b, n: Column, percent: int) -> Column:
+    """Whether the parities allow a link of sets of n shingles together: U - I of their U + I = n differ, 100 I >= percent U."""
+    bits = reduce(Column.__add__, (F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITY // 64)))
+    return (100 + percent) * bits <= (100 - percent) * n
+
+
+def first_shared(a, b, t: Column) -> Column:
+    """Whether the shared key number t (16 chunk + position) is the first one that two signatures share: of a chunk without error it
+    is the first key, of one with an error the only one they share, and no chunk before it has less than two errors.  So for every
+    chunk t < 16 chunk + 16 ** errors; in this form the test is short enough for the JVM to compile the join that holds it."""
+    return reduce(Column.__and__, (t < F.lit(16 * i) + F.call_function("shiftleft", F.lit(1), F.shiftleft(differing(a[i], b[i]), 2)) for i in range(CHUNKS)))
 
 
 def _signing(size: int):
-    @F.arrow_udf("struct<n:bigint,c:binary,s:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,c:binary,s:array<bigint>,p:array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
-        n, c, s = [], [], []
+        n, c, s, p = [], [], [], []
         for hashes in shingle_sets(as_bytes(texts), size):
             n.append(len(hashes))
             c.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
             s.append(signature(hashes) if len(hashes) else None)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(s, pa.list_(pa.int64()))], names=["n", "c", "s"])
+            p.append(parity(hashes) if len(hashes) else None)
+        longs = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(c, pa.binary()), pa.array(s, longs), pa.array(p, longs)], names=["n", "c", "s", "p"])
     return sign
 
 
@@ -133,7 +150,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
     rows = docs.select(F.col(id_).cast("bigint").alias("doc_id"), text_of(text).alias("t"))
     rows = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), "t")
     signed = stored(rows.select("doc_id", "text_hash", _signing(size)("t").alias("x")).select("doc_id", "text_hash", "x.*"))
-    classes = stored(signed.where("c IS NOT NULL").groupBy("c").agg(F.first("s").alias("s"), F.first("n").alias("n"),
+    classes = stored(signed.where("c IS NOT NULL").groupBy("c").agg(F.first("s").alias("s"), F.first("p").alias("p"), F.first("n").alias("n"),
                                                                      F.min(F.struct("doc_id", "text_hash")).alias("at")))
     keys = classes.select("c", "n", F.explode(chunk_keys(F.col("s"))).alias("k")).select("c", "n", "k.t", "k.key")
     shared = keys.groupBy("key").count().where("count > 1").select("key")
@@ -143,7 +160,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
     wanted = members.select("c").distinct().join(classes, "c").select("c", F.col("at.doc_id").alias("d"), F.col("at.text_hash").alias("h"))
     texts = stored(rows.join(wanted, (rows.text_hash == wanted.h) & rows.doc_id.eqNullSafe(wanted.d)).select("c", _packed("t").alias("t")).dropDuplicates(["c"]))
 
-    small = classes.select("c", "s", "n")
+    # columns, not arrays: generated code of over 8,000 bytes, as bounds checks of the elements make it, is not compiled by the JVM
+    part = lambda k, i: F.coalesce(F.get(k, F.lit(i)), F.lit(0).cast("long")).alias(f"{k}{i}")
+    small = classes.select("c", *(part("s", i) for i in range(CHUNKS)), *(part("p", i) for i in range(PARITY // 64)), "n")
+    sides = lambda k, n: ([F.col(f"{k}{i}{x}") for i in range(n)] for x in "ab")
+    (sa, sb), (pa, pb) = sides("s", CHUNKS), sides("p", PARITY // 64)
     n_classes = classes.count()
     roots, links, tested, before = None, None, None, None
 
@@ -155,12 +176,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
 
     similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
+    # sizes, signatures and parities of two classes may link
+    likely = similar(F.col("na"), F.col("nb")) & (distance(sa, sb) <= DISTANCE) & few_differ(pa, pb, F.col("na") + F.col("nb"), percent)
+
     def near(pairs):
-        """Those of the pairs (a, b) whose sizes and signatures may link."""
-        one = small.select(F.col("c").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
-        two = small.select(F.col("c").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-        both = pairs.join(one, "a").join(two, "b")
-        return both.where(similar(F.col("na"), F.col("nb")) & (distance(F.col("sa"), F.col("sb")) <= DISTANCE)).select("a", "b")
+        """Those of the pairs (a, b) that may link."""
+        one, two = (small.select(F.col("c").alias(x), *(F.col(k).alias(f"{k}{x}") for k in small.columns[1:])) for x in "ab")
+        return pairs.join(one, "a").join(two, "b").where(likely).select("a", "b")
 
     def confirmed(pairs):
         """Those of the pairs (a, b) that are links."""
@@ -179,10 +201,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", si
         before = left
         mixed = at.join(by_root.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "key")
         if last:
-            with_signs = mixed.join(small.select("c", "s"), "c")
-            x, y = (with_signs.select("key", "t", *(F.col(k).alias(f"{k}{c}") for k in ("c", "root", "n", "s"))) for c in "ab")
+            with_signs = mixed.drop("n").join(small, "c")
+            x, y = (with_signs.select("key", "t", *(F.col(k).alias(f"{k}{c}") for k in ("root", *small.columns))) for c in "ab")
             x = x.drop("t")
-            pair = similar(F.col("na"), F.col("nb")) & F.expr("ca < cb AND roota <> rootb") & (distance(F.col("sa"), F.col("sb")) <= DISTANCE) & first_shared(F.col("sa"), F.col("sb"), F.col("t"))
+            pair = F.expr("ca < cb AND roota <> rootb") & likely & first_shared(sa, sb, F.col("t"))
             pairs = x.join(y, (x.key == y.key) & pair).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")

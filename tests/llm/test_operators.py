@@ -396,6 +396,53 @@ def test_near_copies_below_the_threshold_leave_no_rows(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_parities_spare_near_copies_the_comparison_of_sets(spark, monkeypatch):
+    """Pairs of near signatures of which too many shingles differ are not compared; the bound holds for every link."""
+    texts = list(dict.fromkeys([edited(prose(1, 150), i, 0.03) for i in range(60)] + [edited(prose(2, 150), i, 0.01) for i in range(20)]))
+    sets = [np.array(x) for x in neardup.shingle_sets([t.encode() for t in texts], 3)]
+    linked, near = 0, 0
+    rows = []
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            link = 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both)
+            linked, near = linked + link, near + (100 * both >= 65 * (len(sets[a]) + len(sets[b]) - both))
+            rows.append((link, neardup.parity(sets[a]).tolist(), neardup.parity(sets[b]).tolist(), len(sets[a]) + len(sets[b])))
+    df = spark.createDataFrame(rows, "link boolean, a array<bigint>, b array<bigint>, n bigint")
+    few = neardup.few_differ(F.col("a"), F.col("b"), F.col("n"), 85)
+    assert df.where("link").count() == linked > 50 and df.where(F.col("link") & ~few).count() == 0
+    compared, write = [], neardup.stored
+
+    def counted(df):
+        out = write(df)
+        if out.columns == ["a", "b"]:
+            compared.append(out.count())
+        return out
+    monkeypatch.setattr(neardup, "stored", counted)
+    monkeypatch.setattr(neardup, "MAX_STARS", 0)  # at once pair by pair
+    want, _ = brute_components(texts, 3, 85)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, texts), size=3, percent=85).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert linked <= max(compared) < linked + (near - linked) / 10
+
+
+def test_the_pair_join_is_compiled(spark, monkeypatch):
+    """The JVM does not compile methods of more than 8,000 bytes."""
+    sizes, write = [], neardup.stored
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+
+    def measured(df):
+        if df.columns == ["a", "b"]:
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            sizes.extend(map(int, re.findall(r"maxMethodCodeSize:\s*(\d+)", df.select("a", "b")._jdf.queryExecution().explainString(mode))))
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        return write(df)
+    monkeypatch.setattr(neardup, "stored", measured)
+    monkeypatch.setattr(neardup, "MAX_STARS", 0)
+    neardup.near_duplicates(documents(spark, [edited(prose(1, 60), i, 0.01) for i in range(20)]), size=3, percent=85)
+    assert sizes and max(sizes) < 8000
+
+
 def test_unrelated_texts_of_one_id_all_stay(spark):
     texts = [prose(100 + i, 40) for i in range(9)]
     rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:7]] + [(7, ""), (7, " "), (None, ""), (None, "\t"), (8, None), (8, None)]
