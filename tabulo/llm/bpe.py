@@ -14,7 +14,8 @@ keeps an unfinished character (three bytes at most) between calls; malformed byt
 
 Both run inside Arrow UDFs: no shuffle, memory bounded by the batch, the vocabulary, and the memos of pieces
 and of token pairs (pairs start afresh at a fixed number of entries; pieces that come again outlive it, or a corpus of more distinct
-pieces than that would have its frequent ones encoded again and again); any task can be run again.
+pieces than that would have its frequent ones encoded again and again), all of which go when another operator takes the
+worker; any task can be run again.
 
 Edge cases: a null text or null id list is read as empty (no tokens, empty text); other columns are kept
 as they are, whatever their names; an id outside the vocabulary raises ValueError.
@@ -32,6 +33,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import take_worker
+
 #: bound of a rank file that is sent to the executors
 MAX_RANK_BYTES = 64 << 20
 #: entries of the memos of a worker; of pieces, those of two generations
@@ -236,6 +239,7 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
+            take_worker("bpe", _pieces.cache_clear, _bytes_of.cache_clear)
             pieces = _pieces(sent.value)
             split, of = regex.compile(pattern).findall, pieces.__getitem__
             found = []
@@ -248,6 +252,7 @@ class Tokenizer:
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
+            take_worker("bpe", _pieces.cache_clear, _bytes_of.cache_clear)
             bytes_of = _bytes_of(sent.value)
             out = []
             for row in ids:

@@ -52,6 +52,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_worker: list = []  # the operator that had this Python worker last, and what frees its tables
+
+
+def take_worker(operator: str, *free) -> None:
+    """Spark hands a Python worker on to the next stage with all that its modules hold.  A function that runs in workers calls
+    this first, so that the tables another operator kept from task to task are freed; those of the same operator stay."""
+    if _worker and _worker[0] != operator:
+        for f in _worker[1]:
+            f()
+    _worker[:] = [operator, free]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, take_worker
 
 DIMENSIONS = 4096
 CENTROIDS = 3
@@ -123,6 +123,7 @@ def floors(rows: np.ndarray) -> np.ndarray:
 def _add_up(df: DataFrame, fold, width: int, groups: str = "g int") -> dict[int, np.ndarray]:
     """fold(batches) gives {group: array of `width` numbers} for a task; the sums over all tasks."""
     def task(batches):
+        take_worker("langid")
         for g, values in fold(batches).items():
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([values.tolist()], pa.list_(pa.float64()))], names=["g", "v"])
 
@@ -175,6 +176,7 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", id_: str =
 
     @F.arrow_udf("array<float>")
     def vector(texts: pa.Array) -> pa.Array:
+        take_worker("langid")
         return pa.array([v.tolist() for v in vectors(texts.to_pylist(), idf)], pa.list_(pa.float32()))
 
     sample: dict[str, list] = {}
@@ -228,6 +230,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def predicted(texts: pa.Array) -> pa.Array:
+        take_worker("langid")
         lang, score, rejected = sent.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=["lang", "score", "rejected"])
 

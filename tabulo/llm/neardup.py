@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, mix, shingles, stored, text_of, word_hashes
+from .common import as_bytes, mix, shingles, stored, take_worker, text_of, word_hashes
 from .graph import components
 
 POSITIONS = 60
@@ -113,6 +113,7 @@ def first_shared(a, b, t: Column) -> Column:
 def _signing(size: int):
     @F.arrow_udf("struct<n:bigint,c:binary,s:array<bigint>,p:array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
+        take_worker("neardup")
         n, c, s, p = [], [], [], []
         for hashes in shingle_sets(as_bytes(texts), size):
             n.append(len(hashes))
@@ -133,6 +134,7 @@ def _packed(texts: pa.Array) -> pa.Array:
 def _linking(size: int, percent: int):
     @F.arrow_udf("boolean")
     def linked(a: pa.Array, b: pa.Array) -> pa.Array:
+        take_worker("neardup")
         out, unpack = [], zstandard.ZstdDecompressor().decompress
         one, two = ([unpack(t) for t in x.to_pylist()] for x in (a, b))
         for sets in zip(shingle_sets(one, size), shingle_sets(two, size)):

@@ -197,6 +197,28 @@ def test_frequent_pieces_are_encoded_once(ranks, monkeypatch):
     assert all(seen.count(p.encode()) == 1 for p in frequent)
 
 
+def test_a_worker_holds_the_tables_of_one_operator():
+    """The next stage's tasks run in the same Python processes: the encoder's memos must not stay in them beside its own tables."""
+    blob = b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256))
+    free = bpe._pieces.cache_clear, bpe._bytes_of.cache_clear
+    sizes = lambda: [f.cache_info().currsize for f in (bpe._pieces, bpe._bytes_of)]
+    tasks = []
+
+    class Rows:
+        def mapInArrow(self, task, schema):
+            tasks.append(task)
+            raise StopIteration
+    with pytest.raises(StopIteration):
+        langid._add_up(Rows(), lambda batches: {}, 1)
+    for f in free:
+        f()
+    for _ in range(2):  # two tasks of the encoder: tables stay
+        common.take_worker("bpe", *free)
+        assert len(bpe._pieces(blob)) == 0 and bpe._bytes_of(blob)[65] == b"A" and sizes() == [1, 1]
+    assert bpe._pieces.cache_info().misses == 1
+    assert list(tasks[0]([])) == [] and sizes() == [0, 0]
+
+
 # ---- 4
 
 def test_secrets_equal_a_full_scan(spark):
