@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from ..session import configure, ensure_checkpoint_dir
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: rows of one Arrow batch; texts can be long, so fewer than Spark's default
 ARROW_ROWS = "1000"
+#: whether Spark removes an execution's shuffle files at its end
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -43,12 +46,25 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def stored(df: DataFrame) -> DataFrame:
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs of one block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """Cut the lineage: write to the shared folder of ``spark.checkpoint.dir`` and read back.  The
-    files outlive lost executors and, unlike an RDD checkpoint, are compressed and read by column."""
+    files outlive lost executors and, unlike an RDD checkpoint, are compressed and read by column.
+    The shuffle files of the write, which nothing reads again, go with its end."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, SHUFFLE_CLEANUP, "true"):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

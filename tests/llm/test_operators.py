@@ -130,6 +130,28 @@ def test_line_dedup_runs_without_python(spark):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
 
+def shuffled_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+
+
+def test_line_dedup_leaves_no_texts_on_disk(spark):
+    """The texts are dealt out by several jobs: none may leave its copy behind for the next."""
+    docs = documents(spark, [prose(i, 400) for i in range(400)]).repartition(4)
+    docs = common.stored(docs)
+    size = sum(len(x.text) for x in docs.collect())
+    before = shuffled_bytes(spark)
+    linededup.similar_lines(docs.selectExpr("doc_id AS k", "xxhash64(text) AS h", "text AS t"))
+    assert shuffled_bytes(spark) - before < size / 10
+
+
+def test_line_dedup_splits_words_at_any_blanks(spark):
+    texts = ["one two three four five\nOne\ttwo three  four\x0bfive", " five four  three two one \n\x0c\nsix\x0dseven", "seven six\n\t\nsix  seven\tEIGHT"]
+    got = linededup.remove_similar_lines(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [x.text for x in got] == ["one two three four five", "\x0c\nsix\x0dseven", "\t\nsix  seven\tEIGHT"]
+    assert [(x.n_lines, x.n_removed) for x in got] == [(2, 1), (3, 1), (3, 1)]
+
+
 # ---- 3
 
 @pytest.fixture(scope="module")
